@@ -4,11 +4,21 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import packing, token_files
+from . import decontamination, fingerprints, near_dedup, packing, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_warc": warc.op2_warc,
+    "op3_fingerprints": fingerprints.op3_fingerprints,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op5_token_files": token_files.op5_token_files,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_warc": warc.OP2_SQL,
+    "op4_decontamination": decontamination.OP4_SQL,
+    "op8_suffix_dedup": suffix_dedup.OP8_SQL,
+    "op10_near_dedup": near_dedup.OP10_SQL,
+}
