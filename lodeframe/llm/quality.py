@@ -1,12 +1,14 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed n-grams (words and runs of punctuation, and pairs of them, in ``BUCKETS`` buckets): the
-target's, from at most ``SAMPLE`` documents labelled good and not toxic, and the raw text's, from all documents. The
-log-ratio of an n-gram is log((c + 1) / (e + 1)), where c is its count in the target sample and e the count that
-the raw model leads one to expect there; where c isn't surely under e (``SURE`` standard deviations and a ratio
-under 1/2), both models share one estimate and the ratio is 1. Ratios over 1 are those of ordinary text, which is all
-alike, and count as 1 too, so that a weight doesn't grow with length. A document's log-weight is the sum over its
-distinct n-grams; ordinary documents have 0.
+Two generative models over hashed n-grams (words and runs of punctuation, and pairs of them, each counted once in a
+document): the target's, from documents labelled good and not toxic, and the raw text's, from all labelled ones; at most
+``SAMPLE`` labelled documents are used. Counts are held in ``ROWS`` rows of ``BUCKETS`` buckets with a hash each, and
+the smallest of an n-gram's buckets is its count, so that a rare n-gram isn't taken for one it shares a bucket with. The
+log-ratio of an n-gram is log((c + 1) / (e + 1)), where c is its count in the target and e the count that the raw
+model leads one to expect there; where c isn't surely under e (``SURE`` standard deviations and a ratio
+under 1 / ``LESS``), both models share one estimate and the ratio is 1. Ratios over 1 are those of ordinary text, which is
+all alike, and count as 1 too, so that a weight doesn't grow with length. A document's log-weight is the sum over its
+distinct n-grams; ordinary documents have 0. Every document is weighed, whole.
 
 The sample is drawn by Gumbel top-k: a document's key is its log-weight over ``HEAT`` plus Gumbel noise made
 from its id, and the k largest keys are kept, where k is the number of documents with a log-weight of at least
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from . import common
 from .hashing import SEGMENT, chain, sums
 
-BUCKETS, SAMPLE, SURE, HEAT, LEAST = 1 << 20, 20_000, 3.0, 0.05, -1.0
+BUCKETS, ROWS, SAMPLE, SURE, LESS, HEAT, LEAST, STRETCH = 1 << 21, 2, 20_000, 2.5, 3, 0.05, -1.0, 12
+_PART = 1 << 14
 
 #: 0 for blanks, 1 for letters, digits and all beyond ASCII, 2 for other characters.
 _KIND = np.array([0 if b == 32 or 9 <= b <= 13 else 1 if b > 127 or chr(b).isalnum() else 2 for b in range(256)], dtype=np.int8)
@@ -49,59 +52,72 @@ def pieces(raw: bytes) -> np.ndarray:
 
 
 def ngrams(text: str | None) -> np.ndarray:
-    """Buckets of all n-grams. A pair of equal pieces is the same n-gram whatever the piece."""
+    """Hashes of the distinct n-grams. ``STRETCH`` pieces that each equal the last or last but one are one more, whatever they are."""
     one = pieces((text or "").encode().translate(common.LOWER))
     if not len(one):
-        return np.zeros(0, dtype=np.int64)
-    two = chain(one, 2)
-    two[one[1:] == one[:-1]] = 1
-    return (np.concatenate([one, two]) % np.uint64(BUCKETS)).astype(np.int64)
+        return one
+    same = np.append(0, np.cumsum(one[2:] == one[:-2]))
+    again = np.ones(int((same[STRETCH:] - same[:-STRETCH] == STRETCH).any()), dtype=np.uint64)
+    return np.unique(np.concatenate([one, chain(one, 2), again]))
 
 
-def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    expected = raw * (target.sum() / max(1.0, raw.sum()))
-    ratio = np.log((target + 1) / (expected + 1))
-    sure = (target - expected < -SURE * np.sqrt(expected + 1)) & (2 * target < expected)
-    return np.where(sure, ratio, 0.0)
+def buckets(grams: np.ndarray, row: int) -> np.ndarray:
+    return (common.mix(grams ^ np.uint64(row + 1)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+class Ratios:
+    """Log-ratios of n-grams from both models' counts. ``share``: documents of the target for each of the raw text."""
+
+    def __init__(self, target: np.ndarray, raw: np.ndarray, share: float):
+        self.target, self.raw, self.share = target.astype(np.int32), raw.astype(np.int32), share
+
+    def weight(self, grams: np.ndarray) -> float:
+        at = [buckets(grams, r) for r in range(ROWS)]
+        seen = np.minimum.reduce([self.target[r][i] for r, i in enumerate(at)]).astype(np.float64)
+        expected = np.minimum.reduce([self.raw[r][i] for r, i in enumerate(at)]) * self.share
+        sure = (seen - expected < -SURE * np.sqrt(expected + 1)) & (LESS * seen < expected)
+        return float(np.log((seen[sure] + 1) / (expected[sure] + 1)).sum())
 
 
 def counts(docs: DataFrame) -> np.ndarray:
-    """Exact n-gram counts by bucket; what reaches the driver is bounded by the number of buckets."""
+    """Documents with an n-gram in the bucket, by row; what reaches the driver is bounded by the number of buckets."""
 
     def run(it):
-        total, held = np.zeros(BUCKETS, dtype=np.int64), [0]
+        total = np.zeros((ROWS, BUCKETS), dtype=np.int32)
         for batch in common.batches(it):
-            got = [ngrams(x) for x in batch.column("text").to_pylist()]
-            np.add.at(total, np.concatenate(got), 1)
-        # ranges of buckets, packed: they are added up by range
-        for a in range(0, BUCKETS, 1 << 14):
-            part = total[a : a + (1 << 14)]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([part.astype("<i8" if part.max() >= 1 << 31 else "<i4").tobytes()], pa.binary())], names=["a", "n"])
+            for text in batch.column("text").to_pylist():
+                grams = ngrams(text)
+                for r in range(ROWS):
+                    np.add.at(total[r], buckets(grams, r), 1)
+        flat = total.ravel()
+        for a in range(0, len(flat), _PART):
+            if flat[a : a + _PART].any():
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([flat[a : a + _PART].astype("<i8").tobytes()], pa.binary())], names=["a", "n"])
 
     def add(t: pa.Table) -> pa.Table:
-        size = 1 << 14
-        total = sum(np.frombuffer(x, "<i4" if len(x) == 4 * size else "<i8").astype(np.int64) for x in t.column("n").to_pylist())
-        return pa.table({"a": t.column("a").slice(0, 1), "n": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+        total = sum(np.frombuffer(x, "<i8") for x in t.column("n").to_pylist())
+        return pa.table({"a": t.column("a").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
 
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    for a, n in docs.select("text").mapInArrow(run, "a int, n binary").groupBy("a").applyInArrow(add, "a int, n binary").collect():
-        out[a : a + (1 << 14)] = np.frombuffer(bytes(n), "<i8")
-    return out
+    out = np.zeros(ROWS * BUCKETS, dtype=np.int64)
+    for a, n in docs.select("text").mapInArrow(run, "a int, n binary").groupBy("a").applyInArrow(add, "a int, n binary").toLocalIterator():
+        out[a : a + _PART] = np.frombuffer(bytes(n), "<i8")
+    return out.reshape(ROWS, BUCKETS)
 
 
 def weigh(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, log_weight and key for every row."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0 AND doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
-    target = counts(docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left_semi"))
-    sent = spark.sparkContext.broadcast(log_ratios(target.astype(np.float64), counts(docs).astype(np.float64)).astype(np.float32))
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.min("quality").eqNullSafe(1) & F.max("toxic").eqNullSafe(0)).alias("good"))
+    known = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
+    chosen = common.written(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "good").repartition(min(8, common.partitions(spark))), "labelled")
+    n_good, n_all = chosen.where("good").count(), chosen.count()
+    sent = spark.sparkContext.broadcast(Ratios(counts(chosen.where("good")), counts(chosen), n_good / max(1, n_all)))
 
     @F.pandas_udf("double")
     def weight(text):
-        ratio = sent.value
-        return text.map(lambda x: float(ratio[np.unique(ngrams(x))].sum(dtype=np.float64)))
+        ratios = sent.value
+        return text.map(lambda x: ratios.weight(ngrams(x)))
 
     noise = -F.log(-F.log((F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 52)) + 0.5) / float(1 << 52)))
     return docs.withColumn("log_weight", weight(F.coalesce("text", F.lit("")))).withColumn("key", F.col("log_weight") / HEAT + F.when(F.col("doc_id").isNull(), 0.0).otherwise(noise))

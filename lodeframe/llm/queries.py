@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, fingerprints, near_dedup, packing, suffix_dedup, token_files, warc
+from . import decontamination, fingerprints, html_text, lm_scoring, near_dedup, packing, quality, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -12,13 +12,19 @@ QUERIES = {
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_token_files": token_files.op5_token_files,
+    "op6_quality": quality.op6_quality,
+    "op7_html_text": html_text.op7_html_text,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
     "op2_warc": warc.OP2_SQL,
     "op4_decontamination": decontamination.OP4_SQL,
+    "op6_quality": quality.op6_quality,
+    "op7_html_text": html_text.op7_html_text,
     "op8_suffix_dedup": suffix_dedup.OP8_SQL,
     "op10_near_dedup": near_dedup.OP10_SQL,
 }
