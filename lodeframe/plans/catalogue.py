@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from . import aggregates, composites, filters, joins, retrieval, runs, scalars, scans, scoring, streams, windows  # noqa: F401
+from .registry import ORACLE, QUERIES
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["score_anomaly"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLE)
