@@ -1 +1,264 @@
-"""Queries."""
+"""Ranking of candidates, domains, entities and other composites over pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import urls
+from ..operators import jobs, ranking
+from .registry import query
+
+_HOST = r"lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1))"
+_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+_PARAMS = ranking.Params(company_domain="example.com", topics=("the", "tion", "thon of"), voluntary=("example.org",), secondary=("example.net",), extra_types=(("thth", 4.0),))
+
+
+def candidates(t):
+    return t.pages.select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.octet_length("html").alias("bytes"))
+
+
+_RANK_SQL = rf"""c AS (SELECT page_id, url, {_TITLE} AS title, strlen(html) AS bytes FROM pages),
+b AS (SELECT *, lower(url) AS u, lower(title) AS n, lower(url) || ' ' || lower(title) AS s, {_HOST} AS host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^#]*)', 1) AS f FROM c),
+y AS (SELECT *, list_max(list_filter(list_transform(regexp_extract_all(s, '\b((?:19|20)[0-9]{{2}})\b', 1), lambda v: v::INT), lambda v: v BETWEEN 1990 AND 2027)) AS year FROM b),
+k AS (SELECT *, CASE WHEN host = 'example.org' OR ends_with(host, '.example.org') THEN 2 WHEN host = 'example.net' OR ends_with(host, '.example.net') THEN 4 WHEN contains(u, 'example.com') THEN 3 ELSE 4 END AS authority,
+  CASE WHEN regexp_matches(s, '10-?k\b|10k\b|20-?f\b|40-?f\b') THEN 12.0 WHEN regexp_matches(s, 'def.?14a|proxy.?statement|agm.?circular|proxy.?circular|notice.?of.?meeting') THEN 10.0 WHEN regexp_matches(s, 'integrated.?report|annual.?report') THEN 7.5 WHEN regexp_matches(s, '10-?q\b') THEN 7.0 WHEN regexp_matches(s, '8-?k\b|6-?k\b') THEN 5.0 WHEN regexp_matches(s, 'thth') THEN 4.0 ELSE 0.0 END::DOUBLE AS c1,
+  CASE WHEN year IS NULL THEN 1.5 WHEN 2026 - year <= 0 THEN 10.0 WHEN 2026 - year <= 1 THEN 8.0 WHEN 2026 - year <= 2 THEN 5.0 WHEN 2026 - year <= 3 THEN 3.0 WHEN 2026 - year <= 4 THEN 1.5 ELSE 0.0 END::DOUBLE AS c2,
+  least(8.0, 1.6 * (contains(s, 'the')::INT + contains(s, 'tion')::INT + (contains(s, 'thon of') OR contains(s, 'thon-of') OR contains(s, 'thonof'))::INT))::DOUBLE AS c3,
+  least(8.0, CASE WHEN regexp_matches(u, 'def-14a|10-k|10k|20-f|40-f|10-q') THEN 3.0 ELSE 0.0 END + CASE WHEN regexp_matches(u, 'report|document|file|filing|pdf|download') THEN 0.5 ELSE 0.0 END + least(2.0, 0.15::DOUBLE * len(list_filter(string_split(path, '/'), lambda x: x <> ''))))::DOUBLE AS c4,
+  least(3.0, 0.3::DOUBLE * len(list_distinct(list_filter(regexp_split_to_array(regexp_replace(n, '[^a-z0-9\s\x{{00c0}}-\x{{ffff}}]', ' ', 'g'), '\s+'), lambda w: length(w) >= 3 AND NOT list_contains(string_split('{ranking.STOP_WORDS}', ' '), w) AND NOT regexp_matches(w, '^\d+$')))))::DOUBLE AS c5,
+  CASE WHEN bytes <= 10240 THEN 0.0 ELSE least(2.0, 0.2 * ln(bytes / 1024.0)) END::DOUBLE AS c7,
+  least(3.0, 1.8::DOUBLE * coalesce((right(regexp_extract_all(f, '(\d{{3,}})', 1)[-1], 6)::INT % 1000) / 1000.0, 0.0) + 0.6::DOUBLE * least(1.0, length(f) / 160.0) + 0.4::DOUBLE * least(1.0, len(list_filter(string_split(f, '/'), lambda x: x <> '')) / 12.0) + 0.2::DOUBLE * ('0x' || substr(sha1(f), 1, 4))::INT / 65535.0)::DOUBLE AS c9,
+  CASE WHEN contains(u, 'example.com') AND regexp_matches(u, '\.pdf(\?|$)') THEN 8.0 ELSE 0.0 END - CASE WHEN regexp_matches(u, '/(ir|reports?)/?$') THEN 6.0 ELSE 0.0 END AS c10,
+  least(2.0, regexp_matches(n, '\bitem\s+\d+[a-z]?\b')::INT + regexp_matches(n, '\bpart\s+[ivx]+\b')::INT + regexp_matches(n, '\bsection\s+\d+\b')::INT)::DOUBLE AS c6 FROM y),
+r AS (SELECT *, (c1 + c2 + c3 + c4 + c5 + c6 + c7 + c9 + c10)::DOUBLE AS fine, sha1(url) AS h FROM k)"""
+
+
+@query("rank_signals", f"WITH {_RANK_SQL} SELECT page_id, authority, round(fine, 6) AS fine_score, h AS url_sha1 FROM r")
+def rank_signals(t):
+    return ranking.components(candidates(t), _PARAMS, size="bytes").select("page_id", "authority", F.round("fine_score", 6).alias("fine_score"), "url_sha1")
+
+
+@query(
+    "neardup_collapse",
+    f"""WITH {_RANK_SQL}, g AS (SELECT *, CASE WHEN regexp_matches(s, '10-?k\\b|10k\\b') THEN '10-K' WHEN regexp_matches(s, '20-?f\\b') THEN '20-F' WHEN regexp_matches(s, '40-?f\\b') THEN '40-F' WHEN regexp_matches(s, 'def.?14a|proxy') THEN 'proxy' WHEN regexp_matches(s, 'annual.?report|integrated.?report') THEN 'annual' ELSE 'other' END AS form,
+    array_to_string(list_filter(string_split(regexp_replace(regexp_replace(lower(title), '\\.(pdf|html?|docx?)$', ''), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')[1:8], ' ') AS stem FROM r)
+    SELECT page_id FROM (SELECT *, row_number() OVER (PARTITION BY form, year, stem ORDER BY authority, fine DESC, h) AS rn FROM g) WHERE rn = 1 OR form = 'other' OR year IS NULL OR length(stem) < 4""",
+)
+def neardup_collapse(t):
+    return ranking.collapse(ranking.components(candidates(t), _PARAMS, size="bytes"), _PARAMS).select("page_id")
+
+
+@query("ranker_diagnostics", f"WITH {_RANK_SQL}, o AS (SELECT host, authority, round(fine, 1) AS x, lag(round(fine, 1)) OVER (PARTITION BY host, authority ORDER BY round(fine, 1) DESC, h) AS before FROM r) SELECT host, count(*) AS docs, count(*) FILTER (WHERE x = before) AS ties FROM o GROUP BY host")
+def ranker_diagnostics(t):
+    rows = ranking.components(candidates(t), _PARAMS, size="bytes").select(urls.host("url").alias("host"), "authority", F.round("fine_score", 1).alias("x"), "url_sha1")
+    rows = rows.withColumn("before", F.lag("x").over(Window.partitionBy("host", "authority").orderBy(F.desc("x"), "url_sha1")))
+    return rows.groupBy("host").agg(F.count("*").alias("docs"), F.count_if(F.col("x") == F.col("before")).alias("ties"))
+
+
+@query("ensemble_union_rank", f"WITH {_RANK_SQL} SELECT page_id FROM r ORDER BY authority, fine DESC, h LIMIT 90")
+def ensemble_union_rank(t):
+    first, second = candidates(t).where("page_id % 2 = 0"), candidates(t).where("page_id % 3 <> 1")
+    both = jobs.first_per_key(first.withColumn("lane", F.lit(1)).unionByName(second.withColumn("lane", F.lit(2))).unionByName(candidates(t).withColumn("lane", F.lit(3))), ["url"], ["lane", "page_id"])
+    return ranking.components(both, _PARAMS, size="bytes").orderBy(*ranking.order()).limit(90).select("page_id")
+
+
+@query("calculate_priority", f"WITH {_RANK_SQL} SELECT page_id, (CASE authority WHEN 2 THEN 40 WHEN 3 THEN 30 ELSE 0 END + CASE WHEN contains(u, '.html') THEN 10 ELSE 0 END - CASE WHEN contains(u, 'utm_') THEN 5 ELSE 0 END + floor(c5)::INT)::BIGINT AS priority FROM r")
+def calculate_priority(t):
+    rows, low = ranking.components(candidates(t), _PARAMS, size="bytes"), F.lower("url")
+    return rows.select("page_id", (F.when(F.col("authority") == 2, 40).when(F.col("authority") == 3, 30).otherwise(0) + F.when(low.contains(".html"), 10).otherwise(0) - F.when(low.contains("utm_"), 5).otherwise(0) + F.floor("title_tokens")).cast("long").alias("priority"))
+
+
+@query("recency_gate", "SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY year(o_orderdate) DESC, o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'P' OR year(o_orderdate) >= 1998 - 4 + 1) WHERE o_orderstatus = 'P' OR rn <= 2")
+def recency_gate(t):
+    rows = t.orders.where((F.col("o_orderstatus") == "P") | (F.year("o_orderdate") >= 1998 - 4 + 1))
+    return jobs.cap_per_group(rows, ["o_custkey", "o_orderstatus"], [F.year("o_orderdate").desc(), F.col("o_orderkey")], 2, exempt=F.col("o_orderstatus") == "P").select("o_orderkey")
+
+
+@query("coverage_metric", "WITH f AS (SELECT user_id, bool_or(event_type = 'purchase') AS a, bool_or(event_type = 'signup') AS p, bool_or(event_type = 'error') AS g, count(*) FILTER (WHERE event_type = 'view') AS t1, count(*) FILTER (WHERE event_type = 'click') AS t2 FROM events WHERE event_id % 7 = 0 GROUP BY user_id) SELECT user_id, t1, t2, CASE WHEN a AND p AND g THEN 'full' WHEN a OR p THEN 'adequate' WHEN t1 > 0 OR t2 >= 3 THEN 'low' ELSE 'minimal' END AS level FROM f")
+def coverage_metric(t):
+    has, n = lambda k: F.bool_or(F.col("event_type") == k), lambda k: F.count_if(F.col("event_type") == k)
+    f = t.events.where("event_id % 7 = 0").groupBy("user_id").agg(has("purchase").alias("a"), has("signup").alias("p"), has("error").alias("g"), n("view").alias("t1"), n("click").alias("t2"))
+    return f.select("user_id", "t1", "t2", F.when(F.expr("a AND p AND g"), "full").when(F.expr("a OR p"), "adequate").when(F.expr("t1 > 0 OR t2 >= 3"), "low").otherwise("minimal").alias("level"))
+
+
+@query("recency_status", "SELECT o_custkey, o_orderpriority, max(year(o_orderdate)) AS best, CASE WHEN max(year(o_orderdate)) >= 1998 THEN 'current' ELSE 'stale' END AS status FROM orders GROUP BY o_custkey, o_orderpriority")
+def recency_status(t):
+    rows = t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.max(F.year("o_orderdate").cast("long")).alias("best"))
+    return rows.withColumn("status", F.when(F.col("best") >= 1998, "current").otherwise("stale"))
+
+
+# ---------------------------------------------------------------- hosts and domains
+
+_DOMAIN = r"regexp_extract(regexp_replace(" + _HOST + r", '^www\.', ''), '([^.]+\.[^.]+)$', 1)"
+
+
+@query("platform_detect", f"SELECT {_DOMAIN} AS domain, count(DISTINCT page_id) AS n, count(DISTINCT page_id) >= 3 AS platform FROM pages GROUP BY 1")
+def platform_detect(t):
+    return t.pages.groupBy(urls.registrable_by_pattern(urls.host("url")).alias("domain")).agg(F.countDistinct("page_id").alias("n")).withColumn("platform", F.col("n") >= 3)
+
+
+@query("domain_infer", f"WITH h AS (SELECT {_HOST} AS host, count(*) AS n, min(page_id) AS first FROM pages GROUP BY 1), o AS (SELECT *, lead(n) OVER (ORDER BY n DESC, first) AS second, row_number() OVER (ORDER BY n DESC, first) AS rn FROM h) SELECT host, n, n >= 10 AND n >= 3 * coalesce(second, 0) AS dominant FROM o WHERE rn = 1 AND n >= 2")
+def domain_infer(t):
+    """The most frequent host and whether it dominates; only the two best reach one place."""
+    top = t.pages.groupBy(urls.host("url").alias("host")).agg(F.count("*").alias("n"), F.min("page_id").alias("first")).orderBy(F.desc("n"), "first").limit(2)
+    rows = top.withColumns({"second": F.lead("n").over(Window.orderBy(F.desc("n"), "first")), "rn": F.row_number().over(Window.orderBy(F.desc("n"), "first"))})
+    return rows.where("rn = 1 AND n >= 2").select("host", "n", ((F.col("n") >= 10) & (F.col("n") >= 3 * F.coalesce("second", F.lit(0)))).alias("dominant"))
+
+
+@query("domain_distinctive", f"SELECT page_id, len(list_filter(string_split(regexp_replace({_HOST}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w IN ('casino', 'tiontion', 'therhe'))) > 0 AS distinctive FROM pages")
+def domain_distinctive(t):
+    words = F.split(F.regexp_replace(urls.host("url"), "[^a-z0-9]+", " "), " ")
+    return t.pages.select("page_id", F.arrays_overlap(words, F.array(*[F.lit(x) for x in ("casino", "tiontion", "therhe")])).alias("distinctive"))
+
+
+@query("domain_rank_freq", f"SELECT {_DOMAIN} AS domain, count(*) AS n, min(page_id) AS first FROM pages GROUP BY 1 ORDER BY n DESC, first")
+def domain_rank_freq(t):
+    return t.pages.groupBy(urls.registrable_by_pattern(urls.host("url")).alias("domain")).agg(F.count("*").alias("n"), F.min("page_id").alias("first")).orderBy(F.desc("n"), "first")
+
+
+@query("related_domains", f"WITH h AS (SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY 1) SELECT host FROM h WHERE contains(host, 'th') AND (n >= 3 OR ends_with(host, '.example.net')) ORDER BY host")
+def related_domains(t):
+    rows = t.pages.groupBy(urls.host("url").alias("host")).agg(F.count("*").alias("n"))
+    return rows.where(F.col("host").contains("th") & ((F.col("n") >= 3) | F.col("host").endswith(".example.net"))).select("host").orderBy("host")
+
+
+@query("sibling_domains", f"WITH h AS (SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY 1) SELECT host, n FROM h WHERE n >= 2 AND regexp_matches(host, '^(m\\.)?(casino|the)')")
+def sibling_domains(t):
+    return t.pages.groupBy(urls.host("url").alias("host")).agg(F.count("*").alias("n")).where((F.col("n") >= 2) & F.col("host").rlike(r"^(m\.)?(casino|the)"))
+
+
+@query("section_relevance", "SELECT item_id, concat_ws(',', CASE WHEN regexp_matches(lower(text), 'th') THEN '1A' END, CASE WHEN regexp_matches(lower(text), 'ing') THEN '7' END, CASE WHEN regexp_matches(lower(text), 'ó|é') THEN '1' END) AS sections FROM benchmark")
+def section_relevance(t):
+    low = F.lower("text")
+    return t.benchmark.select("item_id", F.concat_ws(",", F.array_compact(F.array(F.when(low.rlike("th"), "1A"), F.when(low.rlike("ing"), "7"), F.when(low.rlike("ó|é"), "1")))).alias("sections"))
+
+
+@query("doc_class_predicates", r"SELECT page_id, regexp_matches(lower(url), '\.html') AS annual, regexp_matches(lower(html), 'proxy') AS proxy, len(regexp_extract_all(lower(html), '<p>'))::BIGINT AS items, len(regexp_extract_all(lower(html), '<p>')) >= 5 AS body FROM pages")
+def doc_class_predicates(t):
+    n = F.regexp_count(F.lower("html"), F.lit("<p>")).cast("long")
+    return t.pages.select("page_id", F.lower("url").rlike(r"\.html").alias("annual"), F.lower("html").rlike("proxy").alias("proxy"), n.alias("items"), (n >= 5).alias("body"))
+
+
+@query("https_upgrade", f"SELECT page_id, CASE WHEN {_HOST} LIKE '%.example.com' THEN regexp_replace(url, '^http://', 'https://') ELSE url END AS url FROM pages")
+def https_upgrade(t):
+    return t.pages.select("page_id", F.when(urls.host("url").endswith(".example.com"), F.regexp_replace("url", "^http://", "https://")).otherwise(F.col("url")).alias("url"))
+
+
+def _field(name):
+    return lambda x: x[name]
+
+
+@query("annual_form_pick", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderpriority NOT LIKE '4%') WHERE rn <= 2")
+def annual_form_pick(t):
+    """From parallel arrays of form, date and id, as a filings list has them."""
+    lists = t.orders.groupBy("o_custkey").agg(*[F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate"))), _field(c)).alias(c) for c in ("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")])
+    rows = lists.select("o_custkey", F.inline(F.arrays_zip("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")))
+    rows = rows.where(F.col("o_orderstatus").isin("F", "O") & ~F.col("o_orderpriority").startswith("4"))
+    return jobs.cap_per_group(rows, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 2).select("o_custkey", "o_orderkey")
+
+
+@query("lookup_exact_then_loose", "WITH q AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN lower(c_name) ELSE '??' END AS k FROM customer), c AS (SELECT c_name, c_acctbal FROM customer) SELECT q.c_custkey, coalesce(a.c_acctbal, b.c_acctbal) AS balance FROM q LEFT JOIN c a ON a.c_name = q.k LEFT JOIN c b ON lower(b.c_name) = lower(q.k)")
+def lookup_exact_then_loose(t):
+    k = F.col("c_custkey") % 3
+    q = t.customer.select("c_custkey", F.when(k == 0, F.col("c_name")).when(k == 1, F.lower("c_name")).otherwise("??").alias("k"))
+    exact, loose = t.customer.select(F.col("c_name").alias("k"), F.col("c_acctbal").alias("x")), t.customer.select(F.lower("c_name").alias("l"), F.col("c_acctbal").alias("y"))
+    return q.join(exact, "k", "left").join(loose, F.lower("k") == F.col("l"), "left").select("c_custkey", F.coalesce("x", "y").alias("balance"))
+
+
+@query("corpus_fingerprint", f"SELECT {_HOST} AS host, sha1(string_agg(url, chr(10) ORDER BY url)) AS h FROM pages GROUP BY 1")
+def corpus_fingerprint(t):
+    return t.pages.groupBy(urls.host("url").alias("host")).agg(F.sha1(F.array_join(F.array_sort(F.collect_list("url")), "\n")).alias("h"))
+
+
+@query("registry_lane_filter", "SELECT event_id, CASE WHEN value >= 50 THEN 'matched' WHEN value >= 25 THEN 'ambiguous' ELSE 'other' END AS status, CASE WHEN value < 25 THEN -100 ELSE 0 END AS priority FROM events WHERE NOT (value >= 25 AND value < 40)")
+def registry_lane_filter(t):
+    v = F.col("value")
+    return t.events.where(~((v >= 25) & (v < 40))).select("event_id", F.when(v >= 50, "matched").when(v >= 25, "ambiguous").otherwise("other").alias("status"), F.when(v < 25, -100).otherwise(0).alias("priority"))
+
+
+@query("cache_validity", "SELECT event_id, event_type <> 'error' AND ts >= TIMESTAMP '2024-02-05' - INTERVAL 30 DAYS AS usable FROM events")
+def cache_validity(t):
+    return t.events.select("event_id", ((F.col("event_type") != "error") & (F.col("ts") >= F.expr("TIMESTAMP_NTZ '2024-02-05 00:00:00' - INTERVAL 30 DAYS"))).alias("usable"))
+
+
+@query("domain_precedence", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 5 = 0 THEN 'report' END, CASE WHEN c_custkey % 3 = 0 THEN 'directory' END, CASE WHEN c_acctbal > 0 THEN 'cached' END, 'explicit') AS domain FROM customer")
+def domain_precedence(t):
+    return t.customer.select("c_custkey", F.coalesce(F.when(F.col("c_custkey") % 5 == 0, "report"), F.when(F.col("c_custkey") % 3 == 0, "directory"), F.when(F.col("c_acctbal") > 0, "cached"), F.lit("explicit")).alias("domain"))
+
+
+@query("array_merge_manual", "WITH x AS (SELECT n_nationkey, [lower(n_name), n_regionkey::VARCHAR, 'manual', lower(n_name)] AS l FROM nation) SELECT n_nationkey, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), ',') AS merged FROM x")
+def array_merge_manual(t):
+    return t.nation.select("n_nationkey", F.array_join(F.array_distinct(F.concat(F.array(F.lower("n_name")), F.array(F.col("n_regionkey").cast("string"), F.lit("manual")), F.array(F.lower("n_name")))), ",").alias("merged"))
+
+
+@query("announcement_filter", f"SELECT host, title FROM (SELECT host, title, row_number() OVER (PARTITION BY host ORDER BY first) AS rn FROM (SELECT {_HOST} AS host, lower({_TITLE}) AS title, min(page_id) AS first FROM pages GROUP BY 1, 2) WHERE regexp_matches(title, 'th') AND NOT regexp_matches(title, 'summary|withdrawn|casino')) WHERE rn <= 3")
+def announcement_filter(t):
+    rows = candidates(t).groupBy(urls.host("url").alias("host"), F.lower("title").alias("title")).agg(F.min("page_id").alias("first")).where(F.col("title").rlike("th") & ~F.col("title").rlike("summary|withdrawn|casino"))
+    return jobs.cap_per_group(rows, ["host"], ["first"], 3).select("host", "title")
+
+
+@query("parent_name", r"SELECT c_custkey, regexp_replace(c_name || CASE c_custkey % 3 WHEN 0 THEN ' Ltd' WHEN 1 THEN ' Inc.' ELSE '' END, '\s+(inc\.?|ltd|plc|corp)$', '', 'i') AS name FROM customer")
+def parent_name(t):
+    k = F.col("c_custkey") % 3
+    return t.customer.select("c_custkey", F.regexp_replace(F.concat("c_name", F.when(k == 0, " Ltd").when(k == 1, " Inc.").otherwise("")), r"(?i)\s+(inc\.?|ltd|plc|corp)$", "").alias("name"))
+
+
+@query("page_challenge", "SELECT page_id, contains(substr(lower(html), 1, 4000), 'captcha') OR contains(substr(lower(html), 1, 4000), 'cookie') AS challenge, contains(substr(lower(html), 1, 6000), 'enable javascript') OR length(html) < 400 AS shell FROM pages")
+def page_challenge(t):
+    top = F.substring(F.lower("html"), 1, 4000)
+    return t.pages.select("page_id", (top.contains("captcha") | top.contains("cookie")).alias("challenge"), (F.substring(F.lower("html"), 1, 6000).contains("enable javascript") | (F.length("html") < 400)).alias("shell"))
+
+
+@query("entity_match", f"WITH {_RANK_SQL} SELECT page_id, least(100, CASE WHEN contains(host, 'example.com') THEN 40 ELSE 0 END + CASE WHEN contains(n, 'the') THEN 30 ELSE 0 END + CASE WHEN regexp_matches(n, '\\bof\\b') THEN 20 ELSE 0 END + 10) AS score FROM r")
+def entity_match(t):
+    name = F.lower("title")
+    return candidates(t).select("page_id", F.least(F.lit(100), F.when(urls.host("url").contains("example.com"), 40).otherwise(0) + F.when(name.contains("the"), 30).otherwise(0) + F.when(name.rlike(r"(?<![A-Za-z0-9_])of(?![A-Za-z0-9_])"), 20).otherwise(0) + 10).alias("score"))
+
+
+@query("domain_verify", f"SELECT page_id, CASE WHEN regexp_matches({_HOST}, 'casino') THEN 'alias' WHEN regexp_matches({_HOST}, 'th') THEN 'name' WHEN regexp_matches({_HOST}, 'tion') THEN 'canonical' ELSE 'none' END AS verified FROM pages")
+def domain_verify(t):
+    host = urls.host("url")
+    return t.pages.select("page_id", F.when(host.rlike("casino"), "alias").when(host.rlike("th"), "name").when(host.rlike("tion"), "canonical").otherwise("none").alias("verified"))
+
+
+@query("registry_status", "WITH s AS (SELECT user_id, max(value) AS best FROM events WHERE event_type = 'view' GROUP BY user_id) SELECT user_id, CASE WHEN best >= 50 THEN 'matched' WHEN best >= 25 THEN 'ambiguous' ELSE 'none' END AS status FROM s")
+def registry_status(t):
+    s = t.events.where("event_type = 'view'").groupBy("user_id").agg(F.max("value").alias("best"))
+    return s.select("user_id", F.when(F.col("best") >= 50, "matched").when(F.col("best") >= 25, "ambiguous").otherwise("none").alias("status"))
+
+
+@query("platform_zero_reason", "WITH e AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS found, count(*) FILTER (WHERE event_type = 'error') AS dead, count(*) FILTER (WHERE event_type = 'purchase') AS used FROM events WHERE event_id % 13 = 0 GROUP BY user_id) SELECT user_id, CASE WHEN used > 0 THEN 'scored' WHEN found = 0 THEN 'not-found' WHEN dead >= found THEN 'fetch-failed' ELSE 'no-evidence' END AS reason FROM e")
+def platform_zero_reason(t):
+    n = lambda k: F.count_if(F.col("event_type") == k)
+    e = t.events.where("event_id % 13 = 0").groupBy("user_id").agg(n("view").alias("found"), n("error").alias("dead"), n("purchase").alias("used"))
+    return e.select("user_id", F.when(F.col("used") > 0, "scored").when(F.col("found") == 0, "not-found").when(F.col("dead") >= F.col("found"), "fetch-failed").otherwise("no-evidence").alias("reason"))
+
+
+@query("query_expand", "WITH g AS (SELECT n_nationkey, n_name || ' ' || s AS q, p FROM nation, (VALUES ('annual report', 1), ('proxy statement', 2), ('sustainability report', 3), ('annual report', 4)) v(s, p)), d AS (SELECT n_nationkey, lower(q) AS q, min(p) AS p FROM g GROUP BY 1, 2) SELECT n_nationkey, q, p FROM (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY p, q) AS rn FROM d) WHERE rn <= 40")
+def query_expand(t):
+    kinds = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(p).alias("p")) for s, p in (("annual report", 1), ("proxy statement", 2), ("sustainability report", 3), ("annual report", 4))])
+    rows = t.nation.select("n_nationkey", "n_name", F.explode(kinds).alias("k")).groupBy("n_nationkey", F.lower(F.concat_ws(" ", "n_name", "k.s")).alias("q")).agg(F.min("k.p").alias("p"))
+    return jobs.cap_per_group(rows, ["n_nationkey"], ["p", "q"], 40)
+
+
+@query("corpus_snapshot", "SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 4 = 0 UNION ALL SELECT o_custkey, o_orderkey FROM orders o WHERE o_orderstatus = 'O' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 4 = 0)")
+def corpus_snapshot(t):
+    frozen = t.orders.where("o_orderstatus = 'F' AND o_custkey % 4 = 0").select("o_custkey", "o_orderkey")
+    new = t.orders.where("o_orderstatus = 'O'").select("o_custkey", "o_orderkey").join(frozen.select("o_custkey"), "o_custkey", "left_anti")
+    return frozen.unionByName(new.select("o_custkey", "o_orderkey"))
+
+
+@query("withdrawal_scan", "SELECT doc_id, p AS pattern, substr(text, greatest(1, strpos(text, p) - 200), strpos(text, p) - greatest(1, strpos(text, p) - 200) + length(p) + 200) AS context FROM documents, (VALUES ('Licensed under'), ('Released under'), ('idiot')) v(p) WHERE contains(text, p)")
+def withdrawal_scan(t):
+    rows = t.documents.select("doc_id", "text", F.explode(F.array(F.lit("Licensed under"), F.lit("Released under"), F.lit("idiot"))).alias("pattern")).where(F.expr("contains(text, pattern)"))
+    at = F.expr("locate(pattern, text)")
+    start = F.greatest(F.lit(1), at - 200)
+    return rows.select("doc_id", "pattern", F.substring("text", start, at - start + F.length("pattern") + 200).alias("context"))
+
+
+@query("dedup_company_import", "WITH i AS (SELECT s_suppkey, s_name, s_acctbal FROM supplier) SELECT c_custkey, coalesce(a.s_acctbal, b.s_acctbal, c_acctbal) AS balance FROM customer LEFT JOIN i a ON a.s_suppkey = c_custkey AND c_custkey % 2 = 0 LEFT JOIN i b ON replace(b.s_name, 'Supplier', 'Customer') = c_name")
+def dedup_company_import(t):
+    a = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("x"))
+    b = t.supplier.select(F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("n"), F.col("s_acctbal").alias("y"))
+    return t.customer.join(a, (F.col("k") == F.col("c_custkey")) & (F.col("c_custkey") % 2 == 0), "left").join(b, F.col("n") == F.col("c_name"), "left").select("c_custkey", F.coalesce("x", "y", "c_acctbal").alias("balance"))

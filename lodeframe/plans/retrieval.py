@@ -1 +1,152 @@
-"""Queries."""
+"""Passage retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import retrieval as ops
+from ..sources.sinks import numbered
+from .registry import query
+
+TERMS = ["the", "thon", "tion", "ing", "queue", "and"]
+_TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^A-Za-z0-9_\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)"
+
+
+@query("tokenize", f"SELECT doc_id, len(x)::BIGINT AS n, sha1(array_to_string(x, ' ')) AS h FROM (SELECT doc_id, {_TOKENS} AS x FROM documents)")
+def tokenize(t):
+    return t.documents.select("doc_id", text.tokens("text").alias("x")).select("doc_id", F.size("x").cast("long").alias("n"), F.sha1(F.array_join("x", " ")).alias("h"))
+
+
+@query("bm25_index", f"WITH x AS (SELECT source, doc_id, unnest({_TOKENS}) AS term FROM documents) SELECT source, term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM x WHERE term IN ('the', 'thon', 'tion', 'ing', 'que', 'and', 'der', 'les') GROUP BY source, term")
+def bm25_index(t):
+    rows = t.documents.select("source", "doc_id", F.explode(F.filter(text.tokens("text"), lambda w: w.isin("the", "thon", "tion", "ing", "que", "and", "der", "les"))).alias("term"))
+    return rows.groupBy("source", "doc_id", "term").agg(F.count("*").alias("tf")).groupBy("source", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(
+    "bm25_score",
+    f"""WITH d AS (SELECT source, doc_id, {_TOKENS} AS x FROM documents), s AS (SELECT source, count(*) AS n, avg(len(x)) AS mean FROM d GROUP BY source),
+    h AS (SELECT source, doc_id, len(x) AS size, w AS term, count(*) AS tf FROM (SELECT source, doc_id, x, unnest(x) AS w FROM d) WHERE w IN ('the', 'thon', 'tion', 'ing', 'queue', 'and') GROUP BY ALL),
+    f AS (SELECT source, term, count(*) AS df FROM h GROUP BY ALL)
+    SELECT source, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25 + 0.75::DOUBLE * size / mean))), 6) AS score FROM h JOIN f USING (source, term) JOIN s USING (source) GROUP BY source, doc_id""",
+)
+def bm25_score(t):
+    return ops.bm25(t.documents, "source", ["doc_id"], "text", TERMS).select("source", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query("topic_terms", r"SELECT item_id, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i)[1:60], ' ') AS terms FROM (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^A-Za-z0-9_\s]', ' ', 'g'), '\s+'), lambda w: length(w) >= 4 AND w NOT IN ('that', 'with', 'from')) AS x FROM benchmark)")
+def topic_terms(t):
+    words = F.filter(text.tokens("text", least=4), lambda w: ~w.isin("that", "with", "from"))
+    return t.benchmark.select("item_id", F.array_join(F.slice(F.array_distinct(words), 1, 60), " ").alias("terms"))
+
+
+@query("topic_hits", r"SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(?:the|ing|of)\b'))::BIGINT AS hits FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')")
+def topic_hits(t):
+    rows = t.documents.where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    return rows.select("doc_id", F.regexp_count("text", F.lit(text.topic_pattern(["the", "ing", "of"]))).cast("long").alias("hits"))
+
+
+@query("corpus_topic_stats", r"WITH h AS (SELECT source, len(regexp_extract_all(text, '(?i)\b(?:the|ing|of)\b')) AS hits FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')) SELECT source, sum(hits)::BIGINT AS hits, count(*) FILTER (WHERE hits > 0) AS chunks FROM h GROUP BY source")
+def corpus_topic_stats(t):
+    return topic_hits_by_source(t).groupBy("source").agg(F.sum("hits").alias("hits"), F.count_if(F.col("hits") > 0).alias("chunks"))
+
+
+def topic_hits_by_source(t):
+    rows = t.documents.where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    return rows.select("source", F.regexp_count("text", F.lit(text.topic_pattern(["the", "ing", "of"]))).cast("long").alias("hits"))
+
+
+@query("chunk_documents")
+def chunk_documents(t):
+    return ops.chunk_documents(t.documents, "doc_id", "source", "text")
+
+
+@query("chunk_fixed", "SELECT doc_id, i AS seq, length(substr(text, i * 1500 + 1, 1500)) AS size, sha1(substr(text, i * 1500 + 1, 1500)) AS h FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 1499) // 1500)) AS i FROM documents)")
+def chunk_fixed(t):
+    n = F.floor((F.length("text") + 1499) / 1500).cast("int")
+    rows = t.documents.where("length(text) > 0").select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", i * 1500 + 1, F.lit(1500)))).alias("seq", "chunk"))
+    return rows.select("doc_id", F.col("seq").cast("long").alias("seq"), F.length("chunk").cast("long").alias("size"), F.sha1("chunk").alias("h"))
+
+
+@query("sec_section_detect")
+def sec_section_detect(t):
+    rows = t.conversations.select("conv_id", "turn", F.concat(F.when(F.col("turn") % 2 == 0, "Item 1A. Risk factors.\n").otherwise("see Item 1A. "), "text").alias("text"))
+    return ops.chunk_documents(rows, "turn", "conv_id", "text").select("conv_id", "turn", "seq", "section")
+
+
+def ranked_chunks(t):
+    chunks = ops.chunk_documents(t.documents, "doc_id", "source", "text")
+    scored = chunks.join(ops.bm25(chunks, "source", ["doc_id", "seq"], "chunk", TERMS), ["source", "doc_id", "seq"], "left")
+    hits = F.regexp_count("chunk", F.lit(text.topic_pattern(["the", "ing", "of"])))
+    scored = scored.withColumn("hits", hits).withColumn("blended", F.coalesce("score", F.lit(0.0)) + F.when(F.col("hits") > 0, 2.0 * (1 + F.log(F.col("hits").cast("double")))).otherwise(0.0) + F.when(F.col("section").isNotNull(), 2.5).otherwise(0.0))
+    rows = scored.where("blended > 0").withColumns({"size": F.length("chunk"), "id": F.concat_ws("#", F.col("doc_id").cast("string"), F.col("seq").cast("string"), F.substring(F.sha1("chunk"), 1, 16))})
+    return numbered(rows, ["source"], [F.desc("blended"), F.col("doc_id"), F.col("seq")], "rank")
+
+
+@query("evidence_pack")
+def evidence_pack(t):
+    """Chunks of each source within its budget, with the pack's fingerprint. The 2,000 best are enough: a pack has 20."""
+    packs = ops.greedy_pack(ranked_chunks(t).where("rank <= 2000"), ["source"], "doc_id")
+    return packs.select("source", "used", F.size("taken").alias("chunks"), ops.pack_fingerprint(F.col("taken"), "c=1|f=1|m=1").alias("fingerprint"))
+
+
+@query("preferred_annual", "SELECT source, arg_max(doc_id, n_chars * 1000000 - doc_id) AS doc_id FROM documents GROUP BY source")
+def preferred_annual(t):
+    return t.documents.groupBy("source").agg(F.max_by("doc_id", F.struct("n_chars", (-F.col("doc_id")).alias("d"))).alias("doc_id"))
+
+
+@query("corpus_pool", "SELECT doc_id FROM (SELECT doc_id, sum(least(n_chars, 4800)) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 56000")
+def corpus_pool(t):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return t.documents.select("doc_id", F.sum(F.least("n_chars", F.lit(4800))).over(w).alias("used")).where("used <= 56000").select("doc_id")
+
+
+@query("quote_provenance")
+def quote_provenance(t):
+    """Benchmark passages, some with changed words, against documents that share a word run with them."""
+    quotes = t.benchmark.select("item_id", text.normal_quote("text").alias("q"))
+    quotes = quotes.withColumn("q", F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("zzz "), "q")).otherwise(F.col("q")))
+    key = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 4, F.lit(1))), lambda i: F.array_join(F.slice(c, i, 5), " ")))
+    docs = t.documents.select("doc_id", text.normal_quote("text").alias("d"))
+    runs = quotes.select("item_id", F.explode(key(F.split("q", " "))).alias("run"))
+    pairs = docs.select("doc_id", F.explode(key(F.split("d", " "))).alias("run")).join(F.broadcast(runs.select("run").distinct()), "run", "left_semi").join(runs, "run").select("item_id", "doc_id").distinct()
+
+    @F.pandas_udf("double")
+    def check(q, d):
+        return q.combine(d, ops.quote_check)
+
+    rows = pairs.join(quotes, "item_id").join(docs, "doc_id").withColumn("share", check("q", "d"))
+    return rows.groupBy("item_id").agg(F.max(F.round("share", 6)).alias("share"), F.max_by("doc_id", F.struct("share", (-F.col("doc_id")).alias("x"))).alias("doc_id"))
+
+
+@query("quote_exact", "SELECT item_id, count(*) AS documents, min(doc_id) AS first FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
+def quote_exact(t):
+    size = 24
+    quotes = t.benchmark.select("item_id", F.col("text").alias("q"), F.substring("text", 1, size).alias("anchor"))
+    places = t.documents.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - size + 1, F.lit(1))), lambda i: F.substring("text", i, size)))).alias("anchor"))
+    hits = places.join(F.broadcast(quotes.select("anchor").distinct()), "anchor", "left_semi").join(quotes, "anchor").join(t.documents, "doc_id").where(F.expr("contains(text, q)"))
+    return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first"))
+
+
+@query("quote_source_norm")
+def quote_source_norm(t):
+    """The source that a quote is credited to: a containing document, else the one that shares most words."""
+    quotes = t.benchmark.select("item_id", F.array_distinct(text.tokens("text")).alias("w")).select("item_id", F.explode("w").alias("term"))
+    words = t.documents.select("doc_id", F.explode(F.array_distinct(text.tokens("text"))).alias("term"))
+    rare = words.join(F.broadcast(quotes.select("term").distinct()), "term", "left_semi").join(quotes, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    return rare.groupBy("item_id").agg(F.max("shared").alias("shared"), F.max_by("doc_id", F.struct("shared", (-F.col("doc_id")).alias("x"))).alias("doc_id"))
+
+
+@query("fn_json_repair")
+def fn_json_repair(t):
+    """Bodies cut off in the middle, closed again."""
+    from ..functions.json import repair
+
+    @F.pandas_udf("string")
+    def fixed(x):
+        return x.map(repair)
+
+    return t.events.select("event_id", fixed(F.expr("substr(props, 1, length(props) - 1)")).alias("body")).select("event_id", F.get_json_object("body", "$.k").cast("int").alias("k"))
