@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import urls
 from ..operators import jobs, ranking
-from .registry import query
+from .registry import alias, query
 
 _HOST = r"lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1))"
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -262,3 +262,6 @@ def dedup_company_import(t):
     a = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("x"))
     b = t.supplier.select(F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("n"), F.col("s_acctbal").alias("y"))
     return t.customer.join(a, (F.col("k") == F.col("c_custkey")) & (F.col("c_custkey") % 2 == 0), "left").join(b, F.col("n") == F.col("c_name"), "left").select("c_custkey", F.coalesce("x", "y", "c_acctbal").alias("balance"))
+
+
+alias("page_js_shell", "page_challenge")

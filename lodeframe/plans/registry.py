@@ -30,3 +30,10 @@ def query(name: str, sql: str | None = None):
         return build
 
     return add
+
+
+def alias(name: str, of: str) -> None:
+    """A second name of a query."""
+    QUERIES[name] = QUERIES[of]
+    if of in ORACLE:
+        ORACLE[name] = ORACLE[of]

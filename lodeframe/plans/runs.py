@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import jobs
-from .registry import query
+from .registry import alias, query
 
 # two runs of verdicts over the same lines: before and after
 _AB = """a AS (SELECT l_orderkey AS company, l_linenumber AS measure, CASE l_returnflag WHEN 'A' THEN 'Yes' WHEN 'R' THEN 'Partial' ELSE 'No' END AS v, l_quantity AS q FROM lineitem WHERE l_linenumber <= 4),
@@ -194,3 +194,6 @@ def fresh_after_start(t):
 @query("latest_per_run", "SELECT o_custkey, o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
 def latest_per_run(t):
     return jobs.first_per_key(t.orders, ["o_custkey", "o_orderpriority"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderpriority", "o_orderkey")
+
+
+alias("quarantine", "replay_quarantine")

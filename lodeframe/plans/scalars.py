@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text, urls
-from .registry import query
+from .registry import alias, query
 
 _HOST = r"lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1))"
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -330,3 +330,7 @@ def fn_score_quantise(t):
 def fn_required_sources_satisfied(t):
     rows = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("kinds"))
     return rows.select("user_id", F.arrays_overlap("kinds", F.array(F.lit("purchase"), F.lit("error"))).alias("satisfied"))
+
+
+alias("fn_filing_type", "fn_form_key")
+alias("cjk_bigrams", "fn_cjk_bigrams")

@@ -146,9 +146,9 @@ def set_union_dedup(t):
     return rows.groupBy("k").agg(F.min("lane").alias("lane"))
 
 
-@query("set_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def set_difference(t):
-    return t.customer.select("c_custkey").exceptAll(t.orders.select("o_custkey").distinct())
+    return t.customer.select("c_custkey").subtract(t.orders.where("o_orderstatus = 'P'").select("o_custkey"))
 
 
 @query("set_intersection", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
