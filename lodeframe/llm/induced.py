@@ -9,7 +9,7 @@ than the smallest common prefix between their sources.
 
 Common prefixes are exact up to ``DEPTH`` and at least DEPTH beyond it, and suffixes that agree so far may stand in any
 order: enough to tell which windows of up to DEPTH bytes are equal. For that bound the leftmost S suffixes need no
-recursive call: they are sorted by eight bytes at a time, and only those still tied go on.
+recursive call: they are sorted by four symbols at a time, and only those still tied go on.
 """
 
 from __future__ import annotations

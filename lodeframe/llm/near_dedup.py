@@ -210,9 +210,14 @@ def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark, docs: DataFrame) -> DataFrame:
-    """The documents of which one of each group stays, by five-word shingles."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents of which one of each group stays, by five-word shingles. Of repeated rows (equal id and text) one stays."""
+    found = common.written(near_duplicates(docs).select("doc_id", "kept"), "near")
+    kept = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        return kept
+    again = docs.join(repeated, "doc_id", "left_semi").join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
 
 
 OP10_SQL = r"""

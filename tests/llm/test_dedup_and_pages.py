@@ -130,6 +130,12 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(3, "a b c d e f", "x"), (3, "a b c d e f", "x"), (4, "A b c d e f", "x"), (5, None, "x"), (None, "a b c d e f", "x"), (3, "other", "x")]
+    got = near_dedup.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()
+    assert sorted((str(r.doc_id), str(r.text), r.kept) for r in got) == [("3", "a b c d e f", "x"), ("3", "other", "x"), ("5", "None", "x"), ("None", "a b c d e f", "x")]
+
+
 def test_min_max_signature():
     items = np.arange(1, 50, dtype=np.uint64) ** np.uint64(5)
     multiply, add = near_dedup.permutations(3)
