@@ -5,10 +5,14 @@ document): the target's, from documents labelled good and not toxic, and the raw
 ``SAMPLE`` labelled documents are used. Counts are held in ``ROWS`` rows of ``BUCKETS`` buckets with a hash each, and
 the smallest of an n-gram's buckets is its count, so that a rare n-gram isn't taken for one it shares a bucket with. The
 log-ratio of an n-gram is log((c + 1) / (e + 1)), where c is its count in the target and e the count that the raw
-model leads one to expect there; where c isn't surely under e (``SURE`` standard deviations and a ratio
-under 1 / ``LESS``), both models share one estimate and the ratio is 1. Ratios over 1 are those of ordinary text, which is
-all alike, and count as 1 too, so that a weight doesn't grow with length. A document's log-weight is the sum over its
-distinct n-grams; ordinary documents have 0. Every document is weighed, whole.
+model leads one to expect there; where c isn't surely under e, both models share one estimate and the ratio is 1. Sure
+means under e / ``LESS``, and less likely, by the Poisson tail bound, than one of all n-grams tested would show by chance (times
+e^``EASE``). Ratios over 1 are those of ordinary text, which is all alike, and count as 1 too, so that a weight doesn't grow
+with length. A document's log-weight is the sum over its distinct n-grams; ordinary documents have 0.
+
+A group of near copies of one rejected document would make its ordinary n-grams look bad. So a labelled document counts as
+one part of its group: of documents that share one of ``GROUPS`` keys, each made of four minima over its n-grams.
+``ALLOW`` of all labelled documents are taken off e, for copies that share none. Every document is weighed, whole.
 
 The sample is drawn by Gumbel top-k: a document's key is its log-weight over ``HEAT`` plus Gumbel noise made
 from its id, and the k largest keys are kept, where k is the number of documents with a log-weight of at least
@@ -29,8 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 from .hashing import SEGMENT, chain, sums
 
-BUCKETS, ROWS, SAMPLE, SURE, LESS, HEAT, LEAST, STRETCH = 1 << 21, 2, 20_000, 2.5, 3, 0.05, -1.0, 12
-_PART = 1 << 14
+BUCKETS, ROWS, SAMPLE, LESS, EASE, ALLOW, GROUPS, HEAT, LEAST, STRETCH = 1 << 21, 2, 20_000, 3, 2.0, 0.0007, 6, 0.05, -1.0, 12
+_PART, _ONE = 1 << 14, 1 << 20  # weights are counted in parts of 2^-20, so that sums don't depend on their order
 
 #: 0 for blanks, 1 for letters, digits and all beyond ASCII, 2 for other characters.
 _KIND = np.array([0 if b == 32 or 9 <= b <= 13 else 1 if b > 127 or chr(b).isalnum() else 2 for b in range(256)], dtype=np.int8)
@@ -65,30 +69,47 @@ def buckets(grams: np.ndarray, row: int) -> np.ndarray:
     return (common.mix(grams ^ np.uint64(row + 1)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
+def group_keys(grams: np.ndarray) -> list[int]:
+    """Keys that near copies are likely to share, each of four minima."""
+    if not len(grams):
+        return [0] * GROUPS
+    low = np.array([common.mix(grams ^ np.uint64(77 + i)).min() for i in range(4 * GROUPS)], dtype=np.uint64).reshape(GROUPS, 4)
+    out = np.arange(GROUPS, dtype=np.uint64)
+    for i in range(4):
+        out = common.mix(out * np.uint64(0x100000001B3) + low[:, i])
+    return out.view(np.int64).tolist()
+
+
 class Ratios:
-    """Log-ratios of n-grams from both models' counts. ``share``: documents of the target for each of the raw text."""
+    """Log-ratios of n-grams from both models' counts (in parts of 1 / _ONE)."""
 
-    def __init__(self, target: np.ndarray, raw: np.ndarray, share: float):
-        self.target, self.raw, self.share = target.astype(np.int32), raw.astype(np.int32), share
+    def __init__(self, target: np.ndarray, raw: np.ndarray, n_target: float, n_raw: float):
+        self.target, self.raw = (target / _ONE).astype(np.float32), (raw / _ONE).astype(np.float32)
+        self.share, self.allow = n_target / max(1.0, n_raw), ALLOW * n_raw
+        self.least = max(5.0, float(np.log(max(1, int((self.raw[0] * self.share >= 4).sum())))) - EASE)
 
     def weight(self, grams: np.ndarray) -> float:
         at = [buckets(grams, r) for r in range(ROWS)]
-        seen = np.minimum.reduce([self.target[r][i] for r, i in enumerate(at)]).astype(np.float64)
         expected = np.minimum.reduce([self.raw[r][i] for r, i in enumerate(at)]) * self.share
-        sure = (seen - expected < -SURE * np.sqrt(expected + 1)) & (LESS * seen < expected)
+        maybe = np.flatnonzero(expected - self.allow > self.least)
+        expected = expected[maybe].astype(np.float64)
+        seen = np.minimum.reduce([self.target[r][i[maybe]] for r, i in enumerate(at)]).astype(np.float64)
+        rest = expected - self.allow
+        tail = rest - seen + np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / rest), 0.0)
+        sure = (LESS * seen < rest) & (tail > self.least)
         return float(np.log((seen[sure] + 1) / (expected[sure] + 1)).sum())
 
 
 def counts(docs: DataFrame) -> np.ndarray:
-    """Documents with an n-gram in the bucket, by row; what reaches the driver is bounded by the number of buckets."""
+    """Weights of documents with an n-gram in the bucket, by row; what reaches the driver is bounded by the number of buckets."""
 
     def run(it):
-        total = np.zeros((ROWS, BUCKETS), dtype=np.int32)
+        total = np.zeros((ROWS, BUCKETS), dtype=np.int64)
         for batch in common.batches(it):
-            for text in batch.column("text").to_pylist():
+            for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist()):
                 grams = ngrams(text)
                 for r in range(ROWS):
-                    np.add.at(total[r], buckets(grams, r), 1)
+                    np.add.at(total[r], buckets(grams, r), part)
         flat = total.ravel()
         for a in range(0, len(flat), _PART):
             if flat[a : a + _PART].any():
@@ -99,20 +120,36 @@ def counts(docs: DataFrame) -> np.ndarray:
         return pa.table({"a": t.column("a").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(ROWS * BUCKETS, dtype=np.int64)
-    for a, n in docs.select("text").mapInArrow(run, "a int, n binary").groupBy("a").applyInArrow(add, "a int, n binary").toLocalIterator():
+    for a, n in docs.select("text", "part").mapInArrow(run, "a int, n binary").groupBy("a").applyInArrow(add, "a int, n binary").toLocalIterator():
         out[a : a + _PART] = np.frombuffer(bytes(n), "<i8")
     return out.reshape(ROWS, BUCKETS)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """text, good and part (of _ONE) of at most about ``sample`` labelled documents."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.min("quality").eqNullSafe(1) & F.max("toxic").eqNullSafe(0)).alias("good"))
+    known = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
+
+    def run(it):
+        for batch in common.batches(it):
+            keys = [group_keys(ngrams(x)) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("good"), pa.array(keys, pa.list_(pa.int64()))], names=["text", "good", "keys"])
+
+    spread = min(16, common.partitions(docs.sparkSession))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "good").repartition(spread).mapInArrow(run, "text string, good boolean, keys array<long>")
+    chosen = common.written(chosen.withColumn("row", F.monotonically_increasing_id()), "labelled")
+    keys = chosen.select("row", F.explode("keys").alias("key"))
+    size = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("row").agg(F.max("n").alias("n"))
+    return common.written(chosen.join(size, "row").select("text", "good", F.floor(F.lit(_ONE) / F.col("n")).cast("long").alias("part")), "labelled")
+
+
 def weigh(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, log_weight and key for every row."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.min("quality").eqNullSafe(1) & F.max("toxic").eqNullSafe(0)).alias("good"))
-    known = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
-    chosen = common.written(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "good").repartition(min(8, common.partitions(spark))), "labelled")
-    n_good, n_all = chosen.where("good").count(), chosen.count()
-    sent = spark.sparkContext.broadcast(Ratios(counts(chosen.where("good")), counts(chosen), n_good / max(1, n_all)))
+    chosen = labelled(docs, labels, sample)
+    parts = {bool(good): n / _ONE for good, n in chosen.groupBy("good").agg(F.sum("part")).collect()}
+    sent = spark.sparkContext.broadcast(Ratios(counts(chosen.where("good")), counts(chosen), parts.get(True, 0.0), sum(parts.values())))
 
     @F.pandas_udf("double")
     def weight(text):
