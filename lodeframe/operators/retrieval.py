@@ -115,3 +115,22 @@ def quote_check(quote: str, body: str) -> float:
     if len(words) >= 5 and any(" ".join(words[i : i + width]) in body for i in range(len(words) - width + 1)):
         return max(0.8, share)
     return 0.0
+
+
+def contained(docs: DataFrame, key: str, body: str, quotes: DataFrame, quote_key: str, quote: str) -> DataFrame:
+    """(key, quote_key) of every quote that a document's text contains.
+
+    A word inside a quote, not its first or last, is a whole word of the text too: the longest such word is the join key, and
+    only pairs that share it are tested. Quotes of under three words have none; they are few and tested against every text.
+    """
+    inner = F.filter(F.split(quote, r"\s+"), lambda w, i: (i > 0) & (i < F.size(F.split(quote, r"\s+")) - 1) & (w != ""))
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    quotes = quotes.select(quote_key, quote, F.when(F.size(inner) > 0, longest).alias("anchor"))
+    long, short = quotes.where("anchor IS NOT NULL"), quotes.where("anchor IS NULL")
+    texts = docs.select(key, F.col(body).alias("_body"))
+    words = texts.select(key, F.explode(F.array_distinct(F.split("_body", r"\s+"))).alias("anchor"))
+    pairs = words.join(long.select(quote_key, "anchor"), "anchor").select(key, quote_key)
+    found = pairs.join(texts, key).join(long.select(quote_key, quote), quote_key).where(F.expr(f"contains(_body, {quote})")).select(key, quote_key).distinct()
+    if short.limit(1).count():
+        found = found.unionByName(texts.join(F.broadcast(short), F.expr(f"contains(_body, {quote})")).select(key, quote_key).distinct())
+    return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import jobs
+from ..operators import jobs, retrieval
 from .registry import query
 
 
@@ -92,14 +92,8 @@ def join_self_max(t):
     SELECT doc_id, min(item_id) AS item_id FROM d JOIN k ON contains(d, k) GROUP BY doc_id""",
 )
 def join_theta_contains(t):
-    """Containment by a prefilter of equal anchors: the first 24 characters of a passage stand in the text at some place."""
-    size = 24
-    keys = t.benchmark.select("item_id", F.lower("text").alias("k")).withColumn("anchor", F.substring("k", 1, size))
-    docs = t.documents.select("doc_id", F.lower("text").alias("d"))
-    wanted = keys.select("anchor").distinct()
-    places = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("d") - size + 1, F.lit(1))), lambda i: F.substring("d", i, size)))).alias("anchor"))
-    hits = places.join(F.broadcast(wanted), "anchor", "left_semi").join(keys, "anchor")
-    return hits.join(docs, "doc_id").where(F.expr("contains(d, k)")).groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
+    docs, keys = t.documents.select("doc_id", F.lower("text").alias("d")), t.benchmark.select("item_id", F.lower("text").alias("k"))
+    return retrieval.contained(docs, "doc_id", "d", keys, "item_id", "k").groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
 
 
 @query(

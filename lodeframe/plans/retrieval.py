@@ -124,11 +124,8 @@ def quote_provenance(t):
 
 @query("quote_exact", "SELECT item_id, count(*) AS documents, min(doc_id) AS first FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def quote_exact(t):
-    size = 24
-    quotes = t.benchmark.select("item_id", F.col("text").alias("q"), F.substring("text", 1, size).alias("anchor"))
-    places = t.documents.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - size + 1, F.lit(1))), lambda i: F.substring("text", i, size)))).alias("anchor"))
-    hits = places.join(F.broadcast(quotes.select("anchor").distinct()), "anchor", "left_semi").join(quotes, "anchor").join(t.documents, "doc_id").where(F.expr("contains(text, q)"))
-    return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first"))
+    hits = ops.contained(t.documents, "doc_id", "text", t.benchmark.select("item_id", F.col("text").alias("q")), "item_id", "q")
+    return hits.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
 
 
 @query("quote_source_norm")

@@ -130,3 +130,10 @@ def test_breaker_and_job_states():
     for kind in ("view", "error", "view", "error", "view", "error", "view"):
         progress.job(job, kind, 0.0)
     assert job == {"status": "failed", "attempts": 3}
+
+
+def test_contained_quotes(spark):
+    docs = spark.createDataFrame([(1, "xx one two three four yy"), (2, "one two  three"), (3, None), (4, "two")], "d int, t string")
+    quotes = spark.createDataFrame([(1, "ne two thr"), (2, "two"), (3, "one two  three"), (4, "absent word here")], "k int, q string")
+    got = sorted(map(tuple, retrieval.contained(docs, "d", "t", quotes, "k", "q").collect()))
+    assert got == [(1, 1), (1, 2), (2, 2), (2, 3), (4, 2)]
