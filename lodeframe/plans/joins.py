@@ -69,8 +69,8 @@ def join_full_outer_diff(t):
     SELECT u.user_id, m.event_type, n AS score, CASE WHEN n IS NULL THEN 'not_assessed' ELSE 'assessed' END AS status FROM u CROSS JOIN m LEFT JOIN s ON s.user_id = u.user_id AND s.event_type = m.event_type""",
 )
 def join_left_backfill(t):
-    measures = [r[0] for r in t.spark.read.parquet(f"{t.sf_dir}/events.parquet").select("event_type").distinct().orderBy("event_type").limit(1000).collect()]  # a framework has some dozens
-    users = t.events.select("user_id").distinct().withColumn("event_type", F.explode(F.array(*[F.lit(m) for m in measures])))
+    measures = t.events.agg(F.collect_set("event_type").alias("kinds"))  # one row: the framework's measures
+    users = t.events.select("user_id").distinct().crossJoin(F.broadcast(measures)).select("user_id", F.explode("kinds").alias("event_type"))
     scores = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("score"))
     return users.join(scores, ["user_id", "event_type"], "left").withColumn("status", F.when(F.col("score").isNull(), "not_assessed").otherwise("assessed"))
 
