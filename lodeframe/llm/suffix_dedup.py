@@ -10,7 +10,7 @@ anchors send the text around them: all windows of one anchor form a context of l
 contexts of a bucket are sent once; the later ones are known to be repeats. Each shard sorts the suffixes of its distinct
 contexts (module ``induced``) and, from the common prefixes, marks each window that has an earlier equal. An anchor
 at over ``HOT`` places, such as a line in every document, is sent window by window with the window's own hash as
-key, which spreads it over all shards.
+key, which spreads it over all shards. That hash is made from the window alone, so it is the same in texts of all lengths.
 
 Texts are dealt out once, by bucket; all three passes over them read that same exchange.
 
@@ -21,8 +21,6 @@ as an empty one; no rows give no rows; further columns stay as they are.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -192,12 +190,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 pick = np.flatnonzero(wanted[at] == h)
                 is_hot = np.isin(h[pick], hot) if len(hot) else np.zeros(len(pick), dtype=bool)
                 again_a, again_b = [], []
-                single = substrings(np.frombuffer(raw, dtype=np.uint8), LENGTH) if is_hot.any() and len(raw) <= 1 << 24 else None
                 for i, burst in zip(pick.tolist(), is_hot.tolist()):
                     a, b, key = int(first[i]), int(last[i]), int(h[i])
                     if burst:
-                        for s in range(a, b + 1):
-                            own = int(single[s]) if single is not None else int.from_bytes(hashlib.blake2b(raw[s : s + LENGTH], digest_size=8).digest(), "little")
+                        single = substrings(np.frombuffer(raw, dtype=np.uint8, count=b + LENGTH - a, offset=a), LENGTH).tolist()
+                        for s, own in enumerate(single, a):
                             mark = (own, raw[s : s + LENGTH])
                             if mark in seen:
                                 again_a.append(s)

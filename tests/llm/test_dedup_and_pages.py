@@ -64,6 +64,15 @@ def test_removal_equals_brute_force(spark, monkeypatch, hot):
         assert got[i].rest == "r"
 
 
+def test_hot_passage_of_a_long_and_a_short_text(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    draw = np.random.default_rng(3)
+    passage, other, filler = (bytes(draw.integers(97, 123, n, dtype=np.uint8)).decode() for n in (150, 300, (1 << 24) + 1000))
+    rows = [(1, filler + passage), (2, other + passage), (3, passage + other[:50])]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 150, 3: 150}
+
+
 def test_removal_of_repeated_ids_and_nothing(spark):
     text = corpus()[0]
     rows = [(1, text), (1, text), (None, text), (2, "short")]
