@@ -10,8 +10,9 @@ Counts cover all training documents. Each document is tokenised once, into a tab
 kept as numbers, others by 64-bit hash (two words share one with a probability of about n^2 / 2^65). The head list comes
 from a sample of at most about ``SAMPLE`` documents and only decides on which of two ways a word is counted; both are
 exact. Head counts are summed by number; other words go to the task of their hash range, packed by chunk, and each
-document's sums come back the same way. Every partition trains on its own training documents (each ``STRIDE``-th
-position is a target), from the same start; parameters are averaged in groups, and at most 64 reach the driver.
+document's sums come back the same way, with the range's words that are frequent enough for the short list. Every
+partition trains on all positions of its own training documents, from the same start; parameters are averaged in
+groups, and at most 64 reach the driver.
 
 Defined cases: null, empty and blank texts are the end token alone; a document is held out if crc32 of its id's digits
 mod 7 is 2, and a null doc_id is not; repeated rows are each counted and scored; without training documents counts and
@@ -32,7 +33,7 @@ from . import common
 from .hashing import word_hashes
 
 FOLDS, HELD, HEAD, SHORT, SAMPLE = 7, 2, 60_000, 1024, 20_000
-SIZE, NOISE, BATCH, RATE, STRIDE, SEED = 24, 48, 1024, 0.15, 3, 11
+SIZE, NOISE, BATCH, RATE, SEED = 24, 48, 1024, 0.15, 11
 END, OTHER = 0, 65_535
 
 
@@ -112,9 +113,10 @@ def head_counts(table: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def rest_sums(table: DataFrame, parts: int) -> DataFrame:
+def rest_sums(table: DataFrame, parts: int, most: int, least: int) -> DataFrame:
     """For each chunk and hash range: by document, the sum of log10(count + 1) and the number of seen tokens, of words
-    that aren't in the head list. Rows with base -1 have a range's number of words and of training tokens."""
+    that aren't in the head list. Rows with base -1 have a range's number of words and of training tokens, and (as docs
+    and logs) hashes and counts of its ``most`` most frequent words of ``least`` training tokens or more."""
     width = (1 << 64) // parts + 1
 
     def deal(it):
@@ -142,10 +144,12 @@ def rest_sums(table: DataFrame, parts: int) -> DataFrame:
         h = np.concatenate([np.frombuffer(x[1], "<u8") for x in held])
         mark = np.concatenate([np.frombuffer(x[2], "<u2") for x in held]).astype(np.int64)
         n = np.concatenate([np.frombuffer(x[3], "<u4") for x in held]).astype(np.int64)
-        at = np.unique(h, return_inverse=True)[1]
+        words, at = np.unique(h, return_inverse=True)
         count = np.bincount(at, weights=np.where(mark >> 15, n, 0)).astype(np.int64)
         log, seen = n * np.log10(count + 1.0)[at], np.where(count[at] > 0, n, 0)
-        out, start = [(-1, None, None, np.array([(count > 0).sum()], dtype="<i8").tobytes(), np.array([count.sum()], dtype="<i8").tobytes())], 0
+        top = np.argsort(-count, kind="stable")[:most]
+        top = top[count[top] >= max(1, least)]
+        out, start = [(-1, words[top].astype("<u8").tobytes(), count[top].astype("<i8").tobytes(), np.array([(count > 0).sum()], dtype="<i8").tobytes(), np.array([count.sum()], dtype="<i8").tobytes())], 0
         for base, _, marks, _ in held:
             stop = start + len(marks) // 2
             doc = mark[start:stop] & 0x7FFF
@@ -245,20 +249,31 @@ def _contexts(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
     return last, second
 
 
-def fit(table: DataFrame, symbol_of: np.ndarray, share: np.ndarray) -> LogBilinear:
+def _symbols(head: np.ndarray, rest: np.ndarray, symbol_of: np.ndarray, more: np.ndarray, symbol_of_more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of a chunk's tokens, and the tokens and numbers in ``more`` of short-listed words outside the head list."""
+    s = symbol_of[head]
+    if not len(more):
+        return s, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    at = np.minimum(np.searchsorted(more, rest), len(more) - 1)
+    known = more[at] == rest
+    where, at = np.flatnonzero(head == OTHER)[known], at[known]
+    s[where] = symbol_of_more[at]
+    return s, where, at
+
+
+def fit(table: DataFrame, symbols: tuple[np.ndarray, np.ndarray, np.ndarray], share: np.ndarray) -> LogBilinear:
     spark = table.sparkSession
-    sent = spark.sparkContext.broadcast((symbol_of, share))
+    sent = spark.sparkContext.broadcast((symbols, share))
 
     def run(it):
-        symbol, p = sent.value
+        listed, p = sent.value
         model, draw, many = LogBilinear(p), np.random.default_rng(SEED + 1), 0
         for batch in it:
             for row in batch.to_pylist():
-                train, lengths, head, _ = _unpack(row)
-                s = symbol[head]
+                train, lengths, head, rest = _unpack(row)
+                s, _, _ = _symbols(head, rest, *listed)
                 last, second = _contexts(s, lengths)
-                use = np.flatnonzero(np.repeat(train, lengths))
-                use = draw.permutation(use[int(draw.integers(STRIDE)) :: STRIDE])
+                use = draw.permutation(np.flatnonzero(np.repeat(train, lengths)))
                 model.train(second[use], last[use], s[use], draw)
                 many += len(use)
         if many:
@@ -288,25 +303,37 @@ def score(docs: DataFrame, short: int = SHORT) -> DataFrame:
     head = head_words(docs)
     table = chunks(docs, head)
     counts = head_counts(table, len(head))
-    rest = rest_sums(table, common.partitions(spark))
+    # a word outside the head list is short-listed only if it is as frequent as the last of as many head words
+    rest = rest_sums(table, common.partitions(spark), short - 1, int(np.sort(counts[1:])[-(short - 1)]) if len(head) >= short - 1 else 1)
     v_rest = n_rest = 0
+    words, times = head, counts[1:]
     # one row for each hash range
-    for seen, total in rest.where("base = -1").select("seen", "total").toLocalIterator():
+    for hashes, often, seen, total in rest.where("base = -1").select("docs", "logs", "seen", "total").toLocalIterator():
         v_rest += int(np.frombuffer(bytes(seen), "<i8")[0])
         n_rest += int(np.frombuffer(bytes(total), "<i8")[0])
+        if hashes:
+            words, times = np.append(words, np.frombuffer(bytes(hashes), "<u8")), np.append(times, np.frombuffer(bytes(often), "<i8"))
+            best = np.lexsort((words, -times))[: short - 1]
+            words, times = words[best], times[best]
     n_all, v_all = int(counts.sum()) + n_rest, int((counts > 0).sum()) + v_rest
 
     # the short list: the end, then the most frequent words; all others are one symbol
-    order = 1 + np.argsort(-counts[1:], kind="stable")[: short - 1]
-    listed = np.append(END, order[counts[order] > 0])
-    symbol_of = np.full(OTHER + 1, len(listed), dtype=np.int32)
-    symbol_of[listed] = np.arange(len(listed))
-    outside = n_all - int(counts[listed].sum())
-    words_outside = v_all - int((counts[listed] > 0).sum())
-    share = np.append(counts[listed], outside) + 1.0
-    model = fit(table, symbol_of, share / share.sum())
-    sent = spark.sparkContext.broadcast((symbol_of, counts, *model.tables()))
-    n_listed = len(listed)
+    best = np.lexsort((words, -times))[: short - 1]
+    best = best[times[best] > 0]
+    words, times = words[best], times[best]
+    n_listed = 1 + len(words)
+    symbol_of = np.full(OTHER + 1, n_listed, dtype=np.int32)
+    symbol_of[END] = 0
+    at = np.minimum(np.searchsorted(head, words), max(0, len(head) - 1))
+    known = head[at] == words if len(head) else np.zeros(len(words), dtype=bool)
+    symbol_of[at[known] + 1] = 1 + np.flatnonzero(known)
+    by = np.flatnonzero(~known)[np.argsort(words[~known])]
+    symbols, more_times = (symbol_of, words[by], (1 + by).astype(np.int32)), times[by]
+    outside = n_all - int(counts[END]) - int(times.sum())
+    words_outside = v_all - int(counts[END] > 0) - len(words)
+    share = np.append(np.append(counts[END], times), outside) + 1.0
+    model = fit(table, symbols, share / share.sum())
+    sent = spark.sparkContext.broadcast((symbols, more_times, counts, *model.tables()))
 
     def results(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -328,20 +355,22 @@ def score(docs: DataFrame, short: int = SHORT) -> DataFrame:
 
     def own(it):
         """The parts of each document's sums that its head words and symbols give."""
-        symbol, count, one, two, norm = sent.value
+        listed, often, count, one, two, norm = sent.value
         logs = np.zeros(OTHER + 1)
         logs[: len(count)] = np.log10(count + 1.0)
         known = np.zeros(OTHER + 1)
         known[: len(count)] = count > 0
         for batch in it:
             for row in batch.to_pylist():
-                _, lengths, head, _ = _unpack(row)
+                _, lengths, head, rest = _unpack(row)
                 start = np.cumsum(lengths) - lengths
-                s = symbol[head]
+                s, where, which = _symbols(head, rest, *listed)
                 last, second = _contexts(s, lengths)
                 p = (one[last, s] + two[second, s] - norm[last, second]).astype(np.float64) / np.log(10)
                 free = s == n_listed
-                sums = [np.add.reduceat(x, start) for x in (logs[head], np.where(free, logs[head], 0.0), p, known[head], free.astype(np.float64))]
+                free_log = np.where(free, logs[head], 0.0)
+                free_log[where] = -np.log10(often[which] + 1.0)  # the sums of other words have these too
+                sums = [np.add.reduceat(x, start) for x in (logs[head], free_log, p, known[head], free.astype(np.float64))]
                 out = [row["base"], row["doc_ids"], lengths.tolist(), *(x.tolist() for x in sums[:3]), sums[3].astype(np.int64).tolist(), sums[4].tolist()]
                 kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *(pa.list_(pa.float64()),) * 3, pa.list_(pa.int64()), pa.list_(pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(out, kinds)], names=["base", "doc_ids", "lengths", "base_log", "free_log", "model", "known", "free"])

@@ -262,6 +262,21 @@ def test_scores_are_normalised_and_beat_the_base(spark):
     assert lm_scoring.score(frame.limit(0)).count() == 0
 
 
+def test_model_trains_on_all_positions_and_lists_words_outside_the_head_list(spark, monkeypatch):
+    rows = [(i, "the cat sat on the mat " * (1 + i % 3) + f"odd{i}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    frames, written = {}, common.written
+    monkeypatch.setattr(common, "written", lambda df, tag: frames.setdefault(tag, written(df, tag)))
+    want = {r.doc_id: r for r in lm_scoring.score(frame, short=5).collect()}
+    assert frames["parameters"].groupBy().sum("weight").first()[0] == want[0].train_tokens
+    frames.clear()
+    monkeypatch.setattr(lm_scoring, "head_words", lambda docs: np.zeros(0, dtype=np.uint64))
+    got = lm_scoring.score(frame, short=5).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id].score) and r.base_score == pytest.approx(want[r.doc_id].base_score)
+
+
 def test_log_normaliser_is_exact():
     model = lm_scoring.LogBilinear(np.full(9, 1 / 9))
     draw = np.random.default_rng(0)
