@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.sinks import numbered
 
 K1, B, CHUNK, OVERLAP = 1.5, 0.75, 1500, 200
 HEADING = re.compile(r"^\s*(?:item\s+(\d+[a-z]?)\b|part\s+([ivx]+)\b|section\s+(\d+)\b)", re.I)
@@ -73,6 +74,18 @@ def bm25(chunks: DataFrame, scope: str, keys: list[str], body: str, terms: list[
     return hits.join(df, [scope, "term"]).join(stats, scope).groupBy(scope, *keys).agg(F.sum(part).alias("score"))
 
 
+def packable(ranked: DataFrame, scope: list[str], doc: str, most_chunks: int = 20, most_chars: int = 20_000, per_doc: int = 5) -> DataFrame:
+    """``ranked`` without chunks that greedy_pack can't take, whatever the sizes are.
+
+    Where a chunk fits, each earlier one of its size did too, unless its document or the pack was full. So none is taken
+    after ``per_doc`` of its document and size, nor, of those left, after ``most_chunks`` of its size. Null documents
+    are never full.
+    """
+    rows = ranked.where(F.col("size") + 2 <= most_chars)
+    rows = numbered(rows, [*scope, doc, "size"], ["rank"], "_own").where((F.col("_own") <= per_doc) | F.col(doc).isNull())
+    return numbered(rows, [*scope, "size"], ["rank"], "_own").where(F.col("_own") <= most_chunks).drop("_own")
+
+
 def greedy_pack(ranked: DataFrame, scope: list[str], doc: str, most_chunks: int = 20, most_chars: int = 20_000, per_doc: int = 5) -> DataFrame:
     """In rank order, chunks that fit are taken: at most ``per_doc`` of a document; one that doesn't fit is skipped.
 

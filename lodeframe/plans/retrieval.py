@@ -88,11 +88,9 @@ def ranked_chunks(t):
 def evidence_pack(t):
     """Chunks of each source within its budget, with the pack's fingerprint.
 
-    A pack takes 20 chunks, 5 of a document. The 40 best of a document and of those the 2,000 best leave at least 50 documents
-    to choose from, so the fold sees a bounded list however large a source is.
+    A pack takes 20 chunks, 5 of a document. The fold sees at most 20 candidates of each size, however large a source is.
     """
-    best = numbered(ranked_chunks(t), ["source", "doc_id"], ["rank"], "own").where("own <= 40").drop("rank")
-    best = numbered(best, ["source"], [F.desc("blended"), F.col("doc_id"), F.col("seq")], "rank").where("rank <= 2000")
+    best = ops.packable(ranked_chunks(t), ["source"], "doc_id")
     packs = ops.greedy_pack(best, ["source"], "doc_id")
     return packs.select("source", "used", F.size("taken").alias("chunks"), ops.pack_fingerprint(F.col("taken"), "c=1|f=1|m=1").alias("fingerprint"))
 

@@ -97,6 +97,27 @@ def test_pack_skips_what_does_not_fit_and_limits_documents(spark):
     assert [x.id for x in got.taken] == ["a1", "a2", "a3", "a4", "a5", "last"] and got.used == 6 * 102
 
 
+def test_packs_of_many_chunks_equal_the_fold_over_all(spark, monkeypatch):
+    import random
+
+    from lodeframe.plans import retrieval as plans
+
+    draw, rows = random.Random(5), []
+    rows += [("far", i, f"far{i}", i, 1500) for i in range(1, 2100)] + [("far", 2100, "small", 2100, 400)]
+    rows += [("one", 1, f"one{i}", i, 19_999) for i in range(1, 50)] + [("one", 1, "last", 50, 10)]
+    rows += [(s, draw.choice([None, *range(6)]), f"{s}{i}", i, draw.choice([5, 300, 900, 2500, 7000, 19_998])) for s in "abcdef" for i in range(1, 300)]
+    ranked = spark.createDataFrame(rows, "source string, doc_id int, id string, rank int, size int").withColumns({"blended": -F.col("rank"), "seq": F.col("rank")})
+    want = {}
+    for source, doc, id_, _, size in rows:
+        used, taken = want.get(source, (0, []))
+        if len(taken) < 20 and used + size + 2 <= 20_000 and (doc is None or sum(d == doc for d, _ in taken) < 5):
+            want[source] = (used + size + 2, [*taken, (doc, id_)])
+    got = {r.source: (r.used, [(x.doc, x.id) for x in r.taken]) for r in retrieval.greedy_pack(retrieval.packable(ranked, ["source"], "doc_id"), ["source"], "doc_id").collect()}
+    assert got == want and got["far"][1][-1] == (2100, "small") and got["one"][1] == [(1, "last")]
+    monkeypatch.setattr(plans, "ranked_chunks", lambda t: ranked)
+    assert {r.source: (r.used, r.chunks) for r in plans.evidence_pack(None).collect()} == {k: (u, len(x)) for k, (u, x) in want.items()}
+
+
 def test_quotes():
     body = "one two three four five six seven eight nine ten"
     assert retrieval.quote_check("three four five", body) == 1.0
