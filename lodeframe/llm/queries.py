@@ -23,8 +23,6 @@ QUERIES = {
 ORACLE = {
     "op2_warc": warc.OP2_SQL,
     "op4_decontamination": decontamination.OP4_SQL,
-    "op6_quality": quality.op6_quality,
-    "op7_html_text": html_text.op7_html_text,
     "op8_suffix_dedup": suffix_dedup.OP8_SQL,
     "op10_near_dedup": near_dedup.OP10_SQL,
 }

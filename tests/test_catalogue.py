@@ -39,6 +39,13 @@ def rows(frame):
     return sorted(tuple(plain(v) for v in r) for r in frame.itertuples(index=False))
 
 
+def test_sql_is_text_of_known_queries():
+    import __spark_entry__
+
+    sql = __spark_entry__.oracle_sql()
+    assert all(isinstance(x, str) for x in sql.values()) and sql.keys() <= __spark_entry__.queries().keys()
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query(name, spark, duck):
     got = catalogue.queries()[name](spark, SF).toPandas()
