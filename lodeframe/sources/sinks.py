@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,13 @@ from pyspark.sql.window import Window
 
 
 def folder(spark: SparkSession, tag: str) -> str:
-    """A new folder in spark.checkpoint.dir, which a cluster's executors share; a local one only where that is unset."""
+    """A new folder in spark.checkpoint.dir, which a cluster's executors share; in local mode, where that may be unset, a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='lodeframe-')).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        base = "file://" + tempfile.mkdtemp(prefix="lodeframe-")
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def csv_round_trip(rows: DataFrame) -> DataFrame:
