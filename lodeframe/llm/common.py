@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts can be long, so Arrow batches hold fewer rows than Spark's default."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Texts can be long, so Arrow batches hold fewer rows than Spark's default, and a bounded number of bytes."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(str(spark.conf.get(key)).rstrip("bB"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -35,9 +36,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir; a local one is set only where that is unset."""
+    """A new folder under the cluster's spark.checkpoint.dir. In local mode, where that may be unset, a local one is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="lodeframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -176,7 +179,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def batches(it: Iterator[pa.RecordBatch], most_rows: int = BATCH_ROWS, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches(it: Iterator[pa.RecordBatch], most_rows: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded size (a single longer row stands alone)."""
     for b in it:
         at = 0

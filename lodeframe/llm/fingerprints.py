@@ -91,8 +91,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     n = common.partitions(spark)
-    rows = common.ordered_buckets(docs.select("doc_id", "text"), "doc_id", 3 * n)
-    firsts = sorted((b, -(1 << 63) if nulls else k) for b, k, nulls in common.ordered_buckets(docs.select("doc_id"), "doc_id", 3 * n).groupBy("bucket").agg(F.min("doc_id"), F.max(F.col("doc_id").isNull().cast("int"))).collect())
+    rows = common.ordered_buckets(docs.select("doc_id", "text"), "doc_id", 3 * n)  # its edges are computed once, for both uses
+    firsts = sorted((b, -(1 << 63) if nulls else k) for b, k, nulls in rows.groupBy("bucket").agg(F.min("doc_id"), F.max(F.col("doc_id").isNull().cast("int"))).collect())
     if not firsts:
         return rows.withColumn("last", F.lit(0))
     least = -(1 << 63)

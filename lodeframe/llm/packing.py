@@ -1,7 +1,7 @@
 """Packing into sequences: first-fit decreasing over a tournament tree of bin capacities.
 
-Documents are dealt into randomised groups by a hash of their id, and each group is packed alone, so no
-group grows with the corpus. Full pieces of ``capacity`` ids are cut off long documents first; what is left
+Documents are dealt into randomised groups by a hash of their id, text and input partition (so that rows with one id, or without
+one, don't meet), and each group is packed alone, so no group grows with the corpus. Full pieces of ``capacity`` ids are cut off long documents first; what is left
 goes into the first bin with room, found in the tree in O(log bins). Bins filled under ``recut`` are laid
 out again end to end; their last ids become sequences whose lengths are powers of two, which need no padding.
 
@@ -94,7 +94,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     common.small_batches(spark)
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(groups)).alias("g")).repartition(common.partitions(spark), "g").sortWithinPartitions("g", "doc_id")
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(groups)).alias("g"))
+    dealt = dealt.repartition(common.partitions(spark), "g").sortWithinPartitions("g", "doc_id")
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 
     def packed(group: int, keys: list, ids: list[np.ndarray]) -> pa.RecordBatch:
