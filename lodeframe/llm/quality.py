@@ -1,26 +1,31 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed n-grams (words and runs of punctuation, and pairs of them, each counted once in a
-document): the target's, from documents labelled good and not toxic, and the raw text's, from all labelled ones; at most
-``SAMPLE`` labelled documents are used. Counts are held in ``ROWS`` rows of ``BUCKETS`` buckets with a hash each, and
-the smallest of an n-gram's buckets is its count, so that a rare n-gram isn't taken for one it shares a bucket with. The
-log-ratio of an n-gram is log((c + 1) / (e + 1)), where c is its count in the target and e the count that the raw
-model leads one to expect there; where c isn't surely under e, both models share one estimate and the ratio is 1. Sure
-means under e / ``LESS``, and less likely, by the Poisson tail bound, than one of all n-grams tested would show by chance (times
-e^``EASE``). Ratios over 1 are those of ordinary text, which is all alike, and count as 1 too, so that a weight doesn't grow
-with length. A document's log-weight is the sum over its distinct n-grams; ordinary documents have 0.
-
-A group of near copies of one rejected document would make its ordinary n-grams look bad. So a labelled document counts as
-one part of its group: of documents that share one of ``GROUPS`` keys, each made of four minima over its n-grams.
-``ALLOW`` of all labelled documents are taken off e, for copies that share none. Every document is weighed, whole.
-
-The sample is drawn by Gumbel top-k: a document's key is its log-weight over ``HEAT`` plus Gumbel noise made
-from its id, and the k largest keys are kept, where k is the number of documents with a log-weight of at least
-``LEAST``. k and the k-th key are found from counts of keys by intervals, narrowed down until one value is left.
-
-Defined cases: null, empty and blank texts have no n-grams and log-weight 0; repeated rows have the same weight and key, and
-equal keys are kept together; a null doc_id has noise 0; without target documents or labels all are kept;
-labels of unknown documents and null labels count for nothing; no rows give no rows; further columns stay.
+Generative models over hashed n-grams (words and runs of punctuation, pairs of them, and runs of repeated pieces by their
+length; each counted once in a document) give a document's weight w = p_target / p_raw. The target is what labels call good and
+not toxic. The raw text is a mixture, by their shares of the labelled documents, of the target and of the other kinds of labels
+(low quality; toxic), so that w lies between 0 and 1 / (share of the target) for texts of every length: a long ordinary text isn't
+rated up for each of its words, as it would be against one model of all raw text. Each kind of rejected text is modelled as
+ordinary text with something added, so the ratio r of its n-gram's probability to that of the target is 1 or more.
+
+r is smoothed by a mixture: an n-gram has the target's rate in that kind, or, with the prior odds ``ODDS``, one of its own,
+(c + 1/2) / (e + 1/2), where c is its count there and e the count that the target's rate leads one to expect plus ``UNSURE``. The
+likelihood of both against each other decides how much of each is taken. The log-weight is then
+-log(share_target + sum over kinds of share * product over n-grams of r).
+
+Counts are held in ``ROWS`` rows of ``BUCKETS`` buckets with a hash each; an n-gram's log r is the least of its buckets', so that a
+rare one isn't taken for one that it shares a bucket with. At most ``SAMPLE`` labelled documents are used. A group of near
+copies would make its ordinary n-grams look like its kind's, so a labelled document counts as one part of its group: of documents
+that share one of ``GROUPS`` keys, each made of four minima over its n-grams. Every document is weighed, whole, and once.
+
+The sample is drawn by Gumbel top-k: a document's key is its log-weight plus standard Gumbel noise made from its id, and the
+k largest keys are kept: sampling without replacement in proportion to the weights. k is the sum of min(1, w) over all documents,
+rounded: as many as are kept on average if each is accepted with probability min(1, w). k and the k-th key are found
+from counts of keys by intervals, narrowed down until one value is left.
+
+Defined cases: null, empty and blank texts have no n-grams and w = 1; repeated rows have the same weight and key, and
+equal keys are kept together; a null doc_id has noise 0; without target documents or labels all weigh 1 and are kept;
+labels of unknown documents and null labels count for nothing; no rows give no rows; further columns stay in ``row``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -33,8 +38,9 @@ from pyspark.sql import functions as F
 from . import common
 from .hashing import SEGMENT, chain, sums
 
-BUCKETS, ROWS, SAMPLE, LESS, EASE, ALLOW, GROUPS, HEAT, LEAST, STRETCH = 1 << 21, 2, 20_000, 3, 2.0, 0.0007, 6, 0.05, -1.0, 12
-_PART, _ONE = 1 << 14, 1 << 20  # weights are counted in parts of 2^-20, so that sums don't depend on their order
+BUCKETS, ROWS, SAMPLE, ODDS, UNSURE, GROUPS, STRETCH = 1 << 20, 2, 20_000, 1e-4, 0.5, 6, 12
+TARGET, KINDS = 0, 3  # good and not toxic; low quality; toxic
+_PART, _ONE = 1 << 14, 1 << 10  # documents are counted in parts of 2^-10, so that sums don't depend on their order
 
 #: 0 for blanks, 1 for letters, digits and all beyond ASCII, 2 for other characters.
 _KIND = np.array([0 if b == 32 or 9 <= b <= 13 else 1 if b > 127 or chr(b).isalnum() else 2 for b in range(256)], dtype=np.int8)
@@ -56,13 +62,17 @@ def pieces(raw: bytes) -> np.ndarray:
 
 
 def ngrams(text: str | None) -> np.ndarray:
-    """Hashes of the distinct n-grams. ``STRETCH`` pieces that each equal the last or last but one are one more, whatever they are."""
+    """Hashes of the distinct n-grams. ``STRETCH`` pieces that each equal the last or last but one are one more, whatever they are,
+    and so is each doubling of such a run."""
     one = pieces((text or "").encode().translate(common.LOWER))
     if not len(one):
         return one
     same = np.append(0, np.cumsum(one[2:] == one[:-2]))
-    again = np.ones(int((same[STRETCH:] - same[:-STRETCH] == STRETCH).any()), dtype=np.uint64)
-    return np.unique(np.concatenate([one, chain(one, 2), again]))
+    runs, size = [], STRETCH
+    while len(same) > size and (same[size:] - same[:-size] == size).any():
+        runs.append(len(runs) + 1)
+        size *= 2
+    return np.unique(np.concatenate([one, chain(one, 2), np.array(runs, dtype=np.uint64)]))
 
 
 def buckets(grams: np.ndarray, row: int) -> np.ndarray:
@@ -81,83 +91,101 @@ def group_keys(grams: np.ndarray) -> list[int]:
 
 
 class Ratios:
-    """Log-ratios of n-grams from both models' counts (in parts of 1 / _ONE)."""
-
-    def __init__(self, target: np.ndarray, raw: np.ndarray, n_target: float, n_raw: float):
-        self.target, self.raw = (target / _ONE).astype(np.float32), (raw / _ONE).astype(np.float32)
-        self.share, self.allow = n_target / max(1.0, n_raw), ALLOW * n_raw
-        self.least = max(5.0, float(np.log(max(1, int((self.raw[0] * self.share >= 4).sum())))) - EASE)
+    """log r of the rejected kinds, by row and bucket, from the counts of all kinds (in parts of 1 / _ONE)."""
+
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
+        self.shares = sizes / max(1.0, sizes.sum()) if sizes[TARGET] else np.eye(KINDS)[TARGET]
+        counts = counts / np.float32(_ONE)
+        usual = (counts[TARGET] + counts.sum(0) / np.float32(max(1.0, sizes.sum()))) / np.float32(sizes[TARGET] + 1)
+        self.logs = np.zeros((KINDS, *counts.shape[1:]), dtype=np.float32)
+        for kind in range(KINDS):
+            if kind != TARGET and self.shares[kind]:
+                seen = counts[kind].astype(np.float64)
+                expected = usual * sizes[kind] + UNSURE
+                gain = np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / expected), 0.0) - (seen - expected)
+                own = 1 / (1 + np.exp(np.clip(0.5 * np.log1p(seen) - np.log(ODDS) - gain, -50, 50)))
+                self.logs[kind] = np.log(np.maximum(1.0, 1 - own + own * (seen + 0.5) / (expected + 0.5)))
 
     def weight(self, grams: np.ndarray) -> float:
         at = [buckets(grams, r) for r in range(ROWS)]
-        expected = np.minimum.reduce([self.raw[r][i] for r, i in enumerate(at)]) * self.share
-        maybe = np.flatnonzero(expected - self.allow > self.least)
-        expected = expected[maybe].astype(np.float64)
-        seen = np.minimum.reduce([self.target[r][i[maybe]] for r, i in enumerate(at)]).astype(np.float64)
-        rest = expected - self.allow
-        tail = rest - seen + np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / rest), 0.0)
-        sure = (LESS * seen < rest) & (tail > self.least)
-        return float(np.log((seen[sure] + 1) / (expected[sure] + 1)).sum())
+        raw = np.log(self.shares[TARGET])
+        for kind in range(KINDS):
+            if kind != TARGET and self.shares[kind]:
+                more = np.minimum.reduce([self.logs[kind, r][i] for r, i in enumerate(at)]).sum(dtype=np.float64)
+                raw = np.logaddexp(raw, np.log(self.shares[kind]) + more)
+        return float(-raw)
 
 
 def counts(docs: DataFrame) -> np.ndarray:
-    """Weights of documents with an n-gram in the bucket, by row; what reaches the driver is bounded by the number of buckets."""
+    """Parts of documents with an n-gram in the bucket, by kind and row; what reaches the driver is bounded by the number of buckets."""
+    size = KINDS * ROWS * BUCKETS
 
     def run(it):
-        total = np.zeros((ROWS, BUCKETS), dtype=np.int64)
+        total = np.zeros((KINDS, ROWS, BUCKETS), dtype=np.int32)
         for batch in common.batches(it):
-            for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist()):
+            for text, part, kind in zip(*(batch.column(c).to_pylist() for c in ("text", "part", "kind"))):
                 grams = ngrams(text)
                 for r in range(ROWS):
-                    np.add.at(total[r], buckets(grams, r), part)
+                    np.add.at(total[kind, r], buckets(grams, r), part)
         flat = total.ravel()
         for a in range(0, len(flat), _PART):
             if flat[a : a + _PART].any():
-                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([flat[a : a + _PART].astype("<i8").tobytes()], pa.binary())], names=["a", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([flat[a : a + _PART].astype("<i4").tobytes()], pa.binary())], names=["a", "n"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<i8") for x in t.column("n").to_pylist())
+        total = sum(np.frombuffer(x, "<i4") for x in t.column("n").to_pylist())
         return pa.table({"a": t.column("a").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
 
-    out = np.zeros(ROWS * BUCKETS, dtype=np.int64)
-    for a, n in docs.select("text", "part").mapInArrow(run, "a int, n binary").groupBy("a").applyInArrow(add, "a int, n binary").toLocalIterator():
-        out[a : a + _PART] = np.frombuffer(bytes(n), "<i8")
-    return out.reshape(ROWS, BUCKETS)
+    out = np.zeros(size, dtype=np.int32)
+    for a, n in docs.select("text", "part", "kind").mapInArrow(run, "a int, n binary").groupBy("a").applyInArrow(add, "a int, n binary").toLocalIterator():
+        out[a : a + _PART] = np.frombuffer(bytes(n), "<i4")
+    return out.reshape(KINDS, ROWS, BUCKETS)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """text, good and part (of _ONE) of at most about ``sample`` labelled documents."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.min("quality").eqNullSafe(1) & F.max("toxic").eqNullSafe(0)).alias("good"))
+    """text, kind and part (of _ONE) of at most about ``sample`` labelled documents."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.expr("CASE WHEN min(quality) <> 1 THEN 1 WHEN max(toxic) <> 0 THEN 2 ELSE 0 END").alias("kind"))
     known = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
 
     def run(it):
         for batch in common.batches(it):
             keys = [group_keys(ngrams(x)) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("good"), pa.array(keys, pa.list_(pa.int64()))], names=["text", "good", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("kind"), pa.array(keys, pa.list_(pa.int64()))], names=["text", "kind", "keys"])
 
     spread = min(16, common.partitions(docs.sparkSession))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "good").repartition(spread).mapInArrow(run, "text string, good boolean, keys array<long>")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "kind").repartition(spread).mapInArrow(run, "text string, kind int, keys array<long>")
     chosen = common.written(chosen.withColumn("row", F.monotonically_increasing_id()), "labelled")
     keys = chosen.select("row", F.explode("keys").alias("key"))
     size = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("row").agg(F.max("n").alias("n"))
-    return common.written(chosen.join(size, "row").select("text", "good", F.floor(F.lit(_ONE) / F.col("n")).cast("long").alias("part")), "labelled")
+    part = F.greatest(F.lit(1), F.floor(F.lit(_ONE) / F.col("n"))).cast("int")
+    return common.written(chosen.join(size, "row").select("text", "kind", part.alias("part")), "labelled")
 
 
-def weigh(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, log_weight and key for every row."""
+def weigh(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:
+    """log_weight and key for every row, beside ``row``, a struct of its columns (or those in ``keep``); written once."""
     spark = docs.sparkSession
     common.small_batches(spark)
     chosen = labelled(docs, labels, sample)
-    parts = {bool(good): n / _ONE for good, n in chosen.groupBy("good").agg(F.sum("part")).collect()}
-    sent = spark.sparkContext.broadcast(Ratios(counts(chosen.where("good")), counts(chosen), parts.get(True, 0.0), sum(parts.values())))
+    sizes = np.zeros(KINDS)
+    for kind, n in chosen.groupBy("kind").agg(F.sum("part")).collect():
+        sizes[kind] = n / _ONE
+    sent = spark.sparkContext.broadcast(Ratios(counts(chosen), sizes))
 
     @F.pandas_udf("double")
     def weight(text):
         ratios = sent.value
         return text.map(lambda x: ratios.weight(ngrams(x)))
 
-    noise = -F.log(-F.log((F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 52)) + 0.5) / float(1 << 52)))
-    return docs.withColumn("log_weight", weight(F.coalesce("text", F.lit("")))).withColumn("key", F.col("log_weight") / HEAT + F.when(F.col("doc_id").isNull(), 0.0).otherwise(noise))
+    noise = -F.log(-F.log((F.pmod(F.xxhash64("row.doc_id", F.lit(9)), F.lit(1 << 52)) + 0.5) / float(1 << 52)))
+    row = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns])
+    out = docs.select(row.alias("row"), weight(F.coalesce("text", F.lit(""))).alias("log_weight"))
+    return common.written(out.withColumn("key", F.col("log_weight") + F.when(F.col("row.doc_id").isNull(), 0.0).otherwise(noise)), "weighed")
+
+
+def expected_size(weighed: DataFrame) -> int:
+    """The sum of min(1, weight), rounded; summed in parts, so that it doesn't depend on the rows' order."""
+    part = F.floor(F.least(F.lit(1.0), F.exp("log_weight")) * float(1 << 20)).cast("long")
+    return round((weighed.agg(F.sum(part)).first()[0] or 0) / (1 << 20))
 
 
 def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float:
@@ -179,23 +207,22 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float:
         low, high = got[i][1], got[i][2]
 
 
-def classify(docs: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
-    """All rows and columns of ``docs`` with log_weight, key and kept."""
-    weighed = weigh(docs, labels)
-    keys = common.written(weighed.select("log_weight", "key"), "keys")
-    k = keys.where(F.col("log_weight") >= least).count()
-    if not k:
-        return weighed.withColumn("kept", F.lit(False))
-    return weighed.withColumn("kept", F.col("key") >= kth_largest(keys, k))
+def draw(weighed: DataFrame, k: int) -> DataFrame:
+    """Gumbel top-k: adds ``kept``, true for the k largest keys."""
+    return weighed.withColumn("kept", F.col("key") >= kth_largest(weighed.select("key"), k) if k else F.lit(False))
+
+
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """For every row: ``row`` (its columns, or those in ``keep``), log_weight, key and kept."""
+    weighed = weigh(docs, labels, keep)
+    return draw(weighed, expected_size(weighed))
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
-    got = classify(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
-    return got.select("doc_id", "log_weight", "key", "kept")
+    got = classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), ["doc_id"])
+    return got.select("row.doc_id", "log_weight", "key", "kept")
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with their columns."""
-    names = [c for c in docs.columns if c not in ("log_weight", "key", "kept")]
-    got = classify(docs.select(*names), common.table(spark, sf_dir, "labels"))
-    return got.where("kept").select(*names)
+    return classify(docs, common.table(spark, sf_dir, "labels")).where("kept").select("row.*")
