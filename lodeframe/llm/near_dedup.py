@@ -4,15 +4,17 @@ Each of ``PERMUTATIONS`` hash functions gives two signature values, its minimum
 ``BANDS`` bands of ``ROWS`` values need half as many hash evaluations. At a similarity of 0.8 a pair misses all bands
 with probability (1 - 0.8^4)^32 < 1e-7.
 
-Equal sets are made one class first (smallest doc_id), which takes care of groups of copies of any size. A bucket's
-classes are then linked to its smallest class, and what the links connect is found. Only buckets that still hold several
-components are looked at again: there all classes of different components are compared, in blocks of
-``BLOCK`` classes, each pair of blocks in a task of its own, and only links that join components are returned.
-So no link between documents that share a bucket is lost, and no group is gathered whole.
+Equal sets are made one class first, named by a 64-bit hash of the set, which takes care of groups of copies of any size. A bucket's
+classes are then linked to one of them, and what the links connect is found. Only buckets that still hold several
+components are looked at again: their classes are dealt into blocks of about ``BLOCK`` shingles, and each pair of blocks is compared
+in a task of its own. There a list of classes by shingle has only those shingles of a class that a similar class must share one of,
+its rarest ones, and is asked for classes of other components and of a size that allows the similarity; what it gives is tested on
+whole sets. Only links that join components are returned. So no link between documents that share a bucket is lost, and no group
+is gathered whole.
 
 Defined cases: text of fewer words than a shingle has is one shingle of them all; null, empty and blank texts have no
-shingles, are linked with nothing and are kept; repeated rows (equal doc_id) are one document as soon as their
-sets are equal; a null doc_id is its own component and kept; no rows give no rows; further columns stay as they are.
+shingles, are linked with nothing and are kept; of rows with the same doc_id each has the component of its own text; a
+null doc_id is its own component and kept; no rows give no rows; further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 from .hashing import chain, word_hashes
 
-SHINGLE, SIMILARITY, PERMUTATIONS, BANDS, ROWS, BLOCK, SEED = 5, 80, 64, 32, 4, 2048, 20240501
+SHINGLE, SIMILARITY, PERMUTATIONS, BANDS, ROWS, BLOCK, SEED = 5, 80, 64, 32, 4, 1 << 19, 20240501
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -50,8 +52,13 @@ def permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
     return draw.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, count, dtype=np.uint64)
 
 
+def set_name(items: np.ndarray) -> int | None:
+    """A 64-bit hash of a set of shingles; None for the empty one."""
+    return int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True) if len(items) else None
+
+
 def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, the size and a 128-bit digest of its set, and the hash of each band."""
+    """doc_id, a hash of the text, the size and name of its set, and the hash of each band."""
     common.small_batches(docs.sparkSession)
 
     def run(it):
@@ -61,7 +68,7 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 got = shingles(text, shingle)
                 size.append(len(got))
-                name.append(hashlib.blake2b(got.tobytes(), digest_size=16).digest() if len(got) else None)
+                name.append(set_name(got))
                 if len(got):
                     s = signature(got, multiply, add).reshape(BANDS, ROWS)
                     h = np.arange(BANDS, dtype=np.uint64)
@@ -70,32 +77,31 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
                     bands.append(h.view(np.int64).tolist())
                 else:
                     bands.append([])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_id", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(size, pa.int64()), pa.array(name, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "node", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """Those of the pairs (a < b) whose whole sets are similar enough.
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose whole sets are similar enough.
 
-    The sets of both documents meet in the task that the smaller of them, a, is dealt to; its texts come once for each
-    pair's other side, and a's own set is held while its rows pass.
+    The sets of both meet in the task that a is dealt to; texts come once for each pair's other side, and a's own set is held while
+    they pass.
     """
     spark = pairs.sparkSession
-    text = docs.select("doc_id", "text")
-    # a large group's smallest class is dealt out in portions: 64 pairs to each
+    # the other sides of one node are dealt out in portions
     spread = pairs.withColumn("portion", (F.pmod(F.xxhash64("b"), F.lit(64))).cast("int"))
-    left = spread.select("a", "portion").distinct().join(text, F.col("a") == F.col("doc_id")).select("a", "portion", F.lit(None).cast("long").alias("b"), "text")
-    right = spread.join(text, F.col("b") == F.col("doc_id")).select("a", "portion", "b", "text")
-    met = left.unionByName(right).repartition(common.partitions(spark), "a", "portion").sortWithinPartitions("a", "portion", F.col("b").asc_nulls_first())
+    left = spread.select("a", "portion").distinct().join(texts, F.col("a") == F.col("node")).select("a", "portion", F.lit(False).alias("other"), F.lit(None).cast("long").alias("b"), "text")
+    right = spread.join(texts, F.col("b") == F.col("node")).select("a", "portion", F.lit(True).alias("other"), "b", "text")
+    met = left.unionByName(right).repartition(common.partitions(spark), "a", "portion").sortWithinPartitions("a", "portion", "other")
 
     def run(it):
         key, own = None, None
         for batch in common.batches(it):
             a_out, b_out = [], []
-            for a, portion, b, words in zip(*(batch.column(c).to_pylist() for c in ("a", "portion", "b", "text"))):
+            for a, portion, other, b, words in zip(*(batch.column(c).to_pylist() for c in ("a", "portion", "other", "b", "text"))):
                 got = shingles(words, shingle)
-                if b is None:
+                if not other:
                     key, own = (a, portion), got
                     continue
                 if key != (a, portion):
@@ -109,8 +115,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: int)
     return met.mapInArrow(run, "a long, b long")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, component: the smallest node that can be reached. Labels spread over links and are then looked up in turn."""
+def components(links: DataFrame) -> DataFrame:
+    """node, component (the smallest node that can be reached) of every linked node. Labels spread over links and are then looked up in turn."""
     both = common.written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     now = common.written(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
     while True:
@@ -118,106 +124,130 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         step = now.join(near, F.col("node") == F.col("a"), "left").select("node", "component", F.least("component", "low").alias("low"))
         step = common.written(step, "labels")
         if step.where("low < component").limit(1).count() == 0:
-            break
+            return now
         jump = step.select(F.col("node").alias("at"), F.col("low").alias("further"))
         now = common.written(step.join(jump, F.col("low") == F.col("at")).select("node", F.least("low", "further").alias("component")), "labels")
-    return nodes.join(now, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def cross_links(members: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """Links between classes of different components in the same bucket: every such pair is tested, in pairs of blocks."""
+def similar(nodes: list[int], comps: list[int], sides: list[bool], sets: list[np.ndarray], similarity: int) -> tuple[list[int], list[int]]:
+    """Links that join components, among sets of which one has side False and the other True, or among all if no side is True."""
+    lengths = np.array([len(s) for s in sets], dtype=np.int64)
+    bounds = np.append(0, np.cumsum(lengths))
+    ids, inverse, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    side, cross = np.array(sides), any(sides)
+    comps = np.unique(np.array(comps), return_inverse=True)[1]
+    # similar sets share one of their n - least + 1 rarest shingles, where least is the smallest intersection
+    rank = np.empty(len(ids), dtype=np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(ids))
+    first = [np.sort(rank[inverse[a:b]])[: (b - a) - -(-similarity * (b - a) // 100) + 1] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in first])
+    token = np.concatenate(first)
+    by = np.argsort(token, kind="stable")
+    token, owner = token[by], owner[by]
+    mark = np.zeros(len(ids), dtype=np.int8)
+    a_out, b_out = [], []
+    for i, mine in enumerate(first):
+        if cross and side[i]:
+            continue
+        spans = np.searchsorted(token, mine), np.searchsorted(token, mine, side="right")
+        found = np.unique(np.concatenate([owner[x:y] for x, y in zip(*spans)]))
+        found = found[(comps[found] != comps[i]) & (100 * np.minimum(lengths[found], lengths[i]) >= similarity * np.maximum(lengths[found], lengths[i]))]
+        found = found[side[found]] if cross else found[found > i]
+        if not len(found):
+            continue
+        mark[inverse[bounds[i] : bounds[i + 1]]] = 1
+        for j in found.tolist():
+            if comps[j] == comps[i]:
+                continue
+            both = int(mark[inverse[bounds[j] : bounds[j + 1]]].sum(dtype=np.int64))
+            if 100 * both >= similarity * int(lengths[i] + lengths[j] - both):
+                a_out.append(nodes[i])
+                b_out.append(nodes[j])
+                comps[comps == comps[j]] = comps[i]
+        mark[inverse[bounds[i] : bounds[i + 1]]] = 0
+    return a_out, b_out
+
+
+def cross_links(members: DataFrame, texts: DataFrame, shingle: int, similarity: int, block: int) -> DataFrame:
+    """Links between classes of different components in the same bucket: every pair that can be similar is tested, in pairs of blocks."""
     spark = members.sparkSession
     # buckets with the same members need one look
-    size = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    size = members.groupBy("bucket").agg(F.sum("n_shingles").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     chosen = size.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
-    blocks = chosen.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    blocks = chosen.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    placed = members.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.select("bucket", "rep", "component", "own", other.alias("other")).select("bucket", "rep", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    rows = dealt.join(docs.select("doc_id", "text"), F.col("rep") == F.col("doc_id")).select("bucket", "low", "high", "rep", "component", "text")
-    rows = rows.repartition(common.partitions(spark), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "rep")
-
-    def look(reps, comps, sets):
-        ids, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-        lengths = np.array([len(s) for s in sets], dtype=np.int64)
-        bounds = np.append(0, np.cumsum(lengths))
-        comps = np.unique(np.array(comps), return_inverse=True)[1]
-        mark = np.zeros(len(ids), dtype=np.int32)
-        a_out, b_out = [], []
-        for i in range(len(reps)):
-            if (comps == comps[i]).all():
-                continue
-            mark[inverse[bounds[i] : bounds[i + 1]]] = 1
-            both = np.add.reduceat(mark[inverse], bounds[:-1]).astype(np.int64)
-            mark[inverse[bounds[i] : bounds[i + 1]]] = 0
-            linked = (100 * both >= similarity * (lengths + lengths[i] - both)) & (comps != comps[i])
-            for c in np.unique(comps[linked]).tolist():
-                j = int(np.flatnonzero(linked & (comps == c))[0])
-                a_out.append(min(reps[i], reps[j]))
-                b_out.append(max(reps[i], reps[j]))
-            joined = np.isin(comps, np.append(comps[linked], comps[i]))
-            comps[joined] = comps[i]
-        return pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+    dealt = placed.select("bucket", "node", "component", "own", other.alias("other")).select("bucket", "node", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("side"))
+    rows = dealt.withColumnRenamed("node", "n").join(texts, F.col("n") == F.col("node")).select("bucket", "low", "high", "node", "component", "side", "text")
+    rows = rows.repartition(common.partitions(spark), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
+
+    def look(held):
+        a, b = similar(*zip(*held), similarity)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(it):
-        key, reps, comps, sets = None, [], [], []
+        key, held = None, []
         for batch in common.batches(it):
-            for bucket, low, high, rep, comp, words in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "high", "rep", "component", "text"))):
-                if key != (bucket, low, high) and reps:
-                    yield look(reps, comps, sets)
-                    reps, comps, sets = [], [], []
+            for bucket, low, high, node, comp, side, words in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "high", "node", "component", "side", "text"))):
+                if key != (bucket, low, high) and held:
+                    yield look(held)
+                    held = []
                 key = (bucket, low, high)
-                if reps and reps[-1] == rep:
-                    continue
-                reps.append(rep)
-                comps.append(comp)
-                sets.append(shingles(words, shingle))
-        if reps:
-            yield look(reps, comps, sets)
+                held.append((node, comp, side, shingles(words, shingle)))
+        if held:
+            yield look(held)
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept for every row of ``docs``."""
     found = common.written(sketch(docs, shingle), "sketch")
-    classes = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+    classes = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles")).alias("first")).select("node", "first.*")
     classes = common.written(classes, "classes")
-    reps = found.join(classes, ["set_id"]).where("doc_id = rep").select("rep", "bands").dropDuplicates(["rep"])
-    exploded = reps.select("rep", F.explode("bands").alias("bucket"))
-    heads = exploded.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
-    members = common.written(exploded.join(heads, "bucket").select("bucket", "rep", "head"), "buckets")
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = common.written(texts, "candidates")
-    stars = members.where("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    bands = found.where("doc_id IS NOT NULL").join(classes.select("node", "doc_id", "text_hash"), ["node", "doc_id", "text_hash"], "left_semi").select("node", "n_shingles", "bands")
+    exploded = bands.select("node", "n_shingles", F.explode("bands").alias("bucket")).distinct()
+    heads = exploded.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
+    members = common.written(exploded.join(heads, "bucket").select("bucket", "node", "n_shingles", "head"), "buckets")
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("of_text")).join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("of_text") == F.col("hash")))
+    texts = common.written(texts.select("node", "text").dropDuplicates(["node"]), "candidates")
+    stars = members.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     links = common.written(confirmed(stars, texts, shingle, similarity), "stars")
-    nodes = members.select(F.col("rep").alias("node")).distinct()
-    comps = common.written(components(nodes, links), "components")
-    labelled = members.join(comps, F.col("rep") == F.col("node")).select("bucket", "rep", "component")
+    comps = components(links)
+    labelled = members.join(comps, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
     several = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
     labelled = common.written(labelled.join(several, "bucket"), "open-buckets")
     if labelled.limit(1).count():
-        more = common.written(cross_links(labelled, texts, shingle, similarity), "cross-links")
+        more = common.written(cross_links(labelled, texts, shingle, similarity, block), "cross-links")
         if more.limit(1).count():
-            comps = common.written(components(nodes, links.unionByName(more)), "components")
-    named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("component"))
-    out = found.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+            comps = components(links.unionByName(more))
+    named = classes.join(comps, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = named.join(least, "component").select("node", "least")
+    out = found.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
+    out = out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"), shingle=2)
+    return near_duplicates(common.table(spark, sf_dir, "documents"), shingle=2).drop("text_hash")
 
 
 def keep_one(spark, docs: DataFrame) -> DataFrame:
     """The documents of which one of each group stays, by five-word shingles. Of repeated rows (equal id and text) one stays."""
-    found = common.written(near_duplicates(docs).select("doc_id", "kept"), "near")
-    kept = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not repeated.limit(1).count():
+    found = common.written(near_duplicates(docs).select("doc_id", "text_hash", "kept"), "near")
+    ids = found.where("NOT kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+
+    def same(them: DataFrame):
+        return (docs["doc_id"] == them["id"]) & (F.xxhash64(docs["text"]) == them["hash"])
+
+    kept = docs.join(ids, same(ids), "left_anti")
+    if not again.limit(1).count():
         return kept
-    again = docs.join(repeated, "doc_id", "left_semi").join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    once = docs.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(ids, same(ids), "left_anti").join(again, same(again), "left_anti").unionByName(once)
 
 
 OP10_SQL = r"""
