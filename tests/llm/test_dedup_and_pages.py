@@ -109,9 +109,8 @@ def brute_components(texts, size):
     return [find(i) for i in range(len(texts))], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("block", [2048, 4])
-def test_components_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
+@pytest.mark.parametrize("block", [1 << 19, 200])
+def test_components_equal_brute_force(spark, block):
     rng = random.Random(5)
     make = lambda n: [f"w{rng.randint(0, 400)}" for _ in range(n)]
     texts = [None, "", " \n", "One", "one", "Two words", "TWO  words", "two words more"]
@@ -126,7 +125,7 @@ def test_components_equal_brute_force(spark, monkeypatch, block):
     frame = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, component string")
     for size in (2, 5):
         want, n = brute_components(texts, size)
-        got = {r.doc_id: r for r in near_dedup.near_duplicates(frame, shingle=size).collect()}
+        got = {r.doc_id: r for r in near_dedup.near_duplicates(frame, shingle=size, block=block).collect()}
         assert [got[i].component_id for i in range(len(texts))] == want
         assert [got[i].n_shingles for i in range(len(texts))] == n
         assert all(got[i].kept == (want[i] == i) for i in range(len(texts)))
@@ -139,10 +138,44 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeated_ids_keep_the_links_of_each_text(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (7, a + " x"), (8, b + " x"), (9, "other words of no one else")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (5, 5), (7, 5), (8, 5), (9, 9)]
+
+
+@pytest.mark.parametrize("sides", [[False] * 60, [i % 2 == 1 for i in range(60)]])
+def test_similar_sets_of_a_block(sides):
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(12):
+        base = rng.choice(5000, 50, replace=False)
+        for k in range(5):
+            sets.append(np.unique(np.append(base[2 * k :], rng.integers(5000, 9000, 2 * k))).astype(np.uint64))
+    sets[3] = np.array([7], dtype=np.uint64)
+    sets[4] = np.array([7], dtype=np.uint64)
+    a, b = near_dedup.similar(list(range(60)), list(range(60)), sides, sets, 80)
+    parent = {i: i for i in range(60)}
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    for x, y in zip(a, b):
+        both = len(np.intersect1d(sets[x], sets[y]))
+        assert 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both) and find(x) != find(y)
+        parent[find(x)] = find(y)
+    for x in range(60):
+        for y in range(x):
+            both = len(np.intersect1d(sets[x], sets[y]))
+            if 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both) and (not any(sides) or sides[x] != sides[y]):
+                assert find(x) == find(y)
+
+
 def test_one_of_repeated_rows_stays(spark):
-    rows = [(3, "a b c d e f", "x"), (3, "a b c d e f", "x"), (4, "A b c d e f", "x"), (5, None, "x"), (None, "a b c d e f", "x"), (3, "other", "x")]
-    got = near_dedup.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()
-    assert sorted((str(r.doc_id), str(r.text), r.kept) for r in got) == [("3", "a b c d e f", "x"), ("3", "other", "x"), ("5", "None", "x"), ("None", "a b c d e f", "x")]
+    rows = [(3, "a b c d e f", "x"), (3, "a b c d e f", "x"), (4, "A b c d e f", "x"), (5, None, "x"), (None, "a b c d e f", "x"), (3, "other", "x"), (9, "other", "x"), (9, "quite another", "x")]
+    got = near_dedup.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string, id string")).collect()
+    assert sorted((str(r.doc_id), str(r.text), r.id) for r in got) == [("3", "a b c d e f", "x"), ("3", "other", "x"), ("5", "None", "x"), ("9", "quite another", "x"), ("None", "a b c d e f", "x")]
 
 
 def test_min_max_signature():

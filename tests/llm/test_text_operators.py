@@ -1,6 +1,8 @@
 """Packing, token files, fingerprints, decontamination, classifier, LM: edge cases and brute force."""
 
 import hashlib
+import math
+import re
 import zlib
 
 import numpy as np
@@ -157,77 +159,176 @@ def test_compare_takes_the_next_document(spark):
 # ---------------------------------------------------------------- decontamination
 
 
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def windows_of(text):
+    w = words_of(text)
+    return [w[i : i + 13] for i in range(max(1, len(w) - 12) if w else 0)]
+
+
 def brute_hits(text, items):
-    words = decontamination.words(text)
+    words = words_of(text)
     hit, found = set(), set()
     for key, body in items:
-        w = decontamination.words(body)
-        for i in range(max(1, len(w) - 12) if w else 0):
-            window = w[i : i + 13]
+        for window in windows_of(body):
             for at in range(len(words) - len(window) + 1):
                 if words[at : at + len(window)] == window:
                     hit |= set(range(at, at + len(window)))
                     found.add(key)
-    return len(words), len(hit), sorted(map(str, found))
+    return len(words), len(hit), sorted(str(k) for k in found if k is not None)
+
+
+def brute_near(text, items):
+    words = words_of(text)
+    near = lambda w: any(set(w) <= set(words[i : i + 2 * len(w)]) for i in range(len(words)))
+    return sorted({str(key) for key, body in items if key is not None and any(near(w) for w in windows_of(body))})
+
 
+def test_terms_tell_words_apart():
+    for text in (None, "", "A-b_C 9Z é\u00a0x\x7f\x00y", "日本 go!", "one"):
+        want = words_of(text)
+        got = decontamination.terms(text).tolist()
+        assert [want.index(w) for w in want] == [got.index(h) for h in got]
 
-def test_contamination_equals_brute_force(spark):
-    passage = " ".join(f"w{i % 7} u{i}" for i in range(20))
-    items = [(2, passage), (10, "Two words!"), (3, ""), (4, None), (5, passage.upper()), (6, "w1 u1")]
-    texts = ["x " * 30 + passage + " y", "two WORDS two, words", None, "", "w1 u1 w2 w1. u1", passage[:60], "é2é words", "two", "words two " * 20]
-    rows = [(i, t, "e") for i, t in enumerate(texts)] + [(0, texts[0], "again")]
+
+ITEM = " ".join(f"w{i % 7} u{i}" for i in range(20))
+ITEMS = [(2, ITEM), (10, "Two words!"), (3, ""), (4, None), (5, ITEM.upper()), (6, "w1 u1"), (None, "w0 u0 w1"), (11, "Two words!")]
+PASSAGES = ["x " * 30 + ITEM + " y", "two WORDS two, words", None, "", "w1 u1 w2 w1. u1", ITEM[:60], "é2é words", "two", "words two " * 20, " ".join(reversed(ITEM.split())), "words a b two", "words a b c two", ITEM + " " + ITEM]
+
+
+@pytest.mark.parametrize(("item_bytes", "shard_bytes"), [(1 << 20, 1 << 20), (40, 1 << 20), (1 << 20, 200), (40, 200)])
+def test_contamination_equals_brute_force(spark, monkeypatch, item_bytes, shard_bytes):
+    monkeypatch.setattr(decontamination, "CANDIDATES", 3)
+    rows = [(i, t, "e") for i, t in enumerate(PASSAGES)] + [(0, PASSAGES[0], "again"), (0, PASSAGES[0], "again"), (0, "two words", "f"), (None, PASSAGES[0], "g"), (None, PASSAGES[0], "g"), (None, "free", "g")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, items string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.contamination(frame, bench).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        n, hit, found = brute_hits(texts[r.doc_id], items)
-        assert (r.n_words, r.n_hit, r["items"]) == (n, hit, found)
-        assert r.contaminated == (hit > 0 and 20 * hit >= n) and sum(s.stop - s.start for s in r.spans) == hit
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontamination.contamination(frame, bench, item_bytes=item_bytes, shard_bytes=shard_bytes).collect()
+    want = []
+    for key, text, _ in rows:
+        n, hit, found = brute_hits(text, ITEMS)
+        want.append((str(key), n, hit, found, brute_near(text, ITEMS), hit > 0 and 20 * hit >= n, hit))
+    spans = lambda r: sum(s.stop - s.start for s in r.spans)
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, list(r["items"]), list(r.near_items), r.contaminated, spans(r)) for r in got) == sorted(want)
+
+
+def test_contamination_of_nothing(spark):
+    frame = spark.createDataFrame([(1, "two words")], "doc_id long, text string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     none = decontamination.contamination(frame, bench.limit(0)).collect()
-    assert len(none) == len(rows) and not any(r.contaminated for r in none)
+    assert [(r.n_words, r.n_hit, r.contaminated) for r in none] == [(2, 0, False)]
     assert decontamination.contamination(frame.limit(0), bench).count() == 0
 
 
-def test_several_blocks_of_items_give_the_same(spark, monkeypatch):
-    items = spark.createDataFrame([(i, f"alpha{i} beta gamma{i}") for i in range(9)], "item_id long, text string")
-    frame = spark.createDataFrame([(0, "alpha1 beta gamma1 alpha2 beta gamma2"), (1, "none")], "doc_id long, text string")
-    want = sorted((r.doc_id, r.n_hit, tuple(r["items"])) for r in decontamination.contamination(frame, items).collect())
-    monkeypatch.setattr(decontamination.item_blocks, "__defaults__", (40,))
-    assert sorted((r.doc_id, r.n_hit, tuple(r["items"])) for r in decontamination.contamination(frame, items).collect()) == want
+def test_clean_takes_out_contaminated_rows_only(spark, tmp_path):
+    spark.createDataFrame([(1, "two words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "two words", "a"), (1, "other", "b"), (None, "two words", "c"), (None, "free", "d"), (3, None, "e")]
+    got = decontamination.clean(spark, spark.createDataFrame(rows, "doc_id long, text string, id string"), str(tmp_path))
+    assert got.columns == ["doc_id", "text", "id"] and sorted(r.id for r in got.collect()) == ["b", "d", "e"]
 
 
-def test_proximity():
-    ids = np.array([0, 5, 1, 9, 9, 9, 1, 0, 2])
-    lists = decontamination.shard_of(ids)
-    assert decontamination.proximity([0, 1], *lists, np.array([0, 9]), 2).tolist() == [0, 7]
-    assert decontamination.proximity([0, 1], *lists, np.array([0, 7, 9]), 2).tolist() == [0]
-    assert decontamination.proximity([0, 77], *lists, np.array([0, 9]), 2).tolist() == []
+def test_phrases_of_a_block_stay_small():
+    rng = np.random.default_rng(1)
+    items = [(i, " ".join(f"v{x}" for x in rng.integers(0, 5000, 200))) for i in range(700)]  # some 0.7 MB
+    got = decontamination.Phrases(items)
+    held = sum(x.nbytes for x in vars(got).values() if isinstance(x, np.ndarray))
+    assert len(got.table) > 100_000 and held < 15 * sum(len(t) for _, t in items)
 
 
 # ---------------------------------------------------------------- classifier
 
 
-def test_classifier_rejects_what_the_target_avoids(spark):
+def labelled_rows():
     rng = np.random.default_rng(6)
     vocabulary = [f"word{i}" for i in range(300)]
     rows, labels = [], []
     for i in range(400):
         text = " ".join(rng.choice(vocabulary, 60))
         bad = i % 4 == 0
-        rows.append((i, text + (" vile rotten" if bad else ""), "log_weight"))
+        rows.append((i, text + (" vile rotten foul" if bad else ""), "log_weight", "kept", "row"))
         if i < 300:
-            labels.append((i, 1, int(bad)))
-    rows += [(1000, None, "k"), (1001, "", "k"), (1002, "a b " * 50, "k"), (None, "word1 word2", "k"), (5, rows[5][1], "again")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, key string")
-    marks = spark.createDataFrame(labels + [(None, 1, 0), (7777, 0, 1)], "doc_id long, quality int, toxic int")
-    got = quality.keep_good(spark, frame, None) if False else quality.classify(frame.drop("key"), marks).collect()
-    kept = {(r.doc_id, r.text) for r in got if r.kept}
-    assert len(got) == len(rows)
-    assert all(((i, t) in kept) == (not (t or "").endswith("vile rotten")) for i, t, _ in rows if i is not None and i < 1000)
-    assert {r.log_weight for r in got if r.doc_id in (1000, 1001)} == {0.0}
-    assert quality.classify(frame.drop("key").limit(0), marks).count() == 0
-    assert all(r.kept for r in quality.classify(frame.drop("key"), marks.limit(0)).collect())
+            labels.append((i, 1 if i % 8 else 0, int(bad)))
+    rows += [(1000, None, "k", "k", "r"), (1001, "", "k", "k", "r"), (1002, "a b " * 50, "k", "k", "r"), (None, "word1 word2", "k", "k", "r"), (5, rows[5][1], "again", "k", "r")]
+    return rows, labels + [(None, 1, 0), (7777, 0, 1)]
+
+
+DRAWN = "doc_id long, text string, key string, kept string, row string"  # names that the classifier uses itself
+
+
+def brute_weights(rows, labels):
+    """From plain sets of n-grams; every labelled text here stands for itself."""
+    by_id, marks = {}, {k: 1 if q != 1 else 2 if t else 0 for k, q, t in labels if k is not None}
+
+    def grams(text):
+        return set(quality.ngrams(text).tolist())
+
+    for key, text, *_ in rows:
+        if key in marks:
+            by_id.setdefault(key, []).append(text)
+    seen, sizes = [{}, {}, {}], [0, 0, 0]
+    for key, texts in by_id.items():
+        for text in texts:
+            share = 1 / len(texts)  # the one repeated text is two halves
+            sizes[marks[key]] += share
+            for g in grams(text):
+                seen[marks[key]][g] = seen[marks[key]].get(g, 0) + share
+    n = sum(sizes)
+
+    def ratio(kind, g):
+        c = seen[kind].get(g, 0.0)
+        usual = (seen[0].get(g, 0.0) + sum(x.get(g, 0.0) for x in seen) / n) / (sizes[0] + 1)
+        e = usual * sizes[kind] + quality.UNSURE
+        gain = (c * math.log(c / e) if c else 0.0) - (c - e)
+        own = 1 / (1 + math.exp(min(50, max(-50, 0.5 * math.log(1 + c) - math.log(quality.ODDS) - gain))))
+        return max(1.0, 1 - own + own * (c + 0.5) / (e + 0.5))
+
+    return [-math.log(sizes[0] / n + sum(sizes[k] / n * math.exp(sum(math.log(ratio(k, g)) for g in grams(text))) for k in (1, 2))) for _, text, *_ in rows]
+
+
+def test_weights_equal_brute_force(spark):
+    rows, labels = labelled_rows()
+    frame = spark.createDataFrame(rows, DRAWN)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = sorted((str(r.row.doc_id), str(r.row.text), r.log_weight) for r in quality.weigh(frame, marks).collect())
+    want = sorted((str(k), str(t), w) for (k, t, *_), w in zip(rows, brute_weights(rows, labels)))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], rel=0.01, abs=0.01)  # a bucket may be shared
+
+
+def test_classifier_rejects_what_the_target_avoids(spark):
+    rows, labels = labelled_rows()
+    frame, marks = spark.createDataFrame(rows, DRAWN), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.classify(frame, marks).collect()
+    assert len(got) == len(rows) and all(list(r.row.asDict()) == frame.columns for r in got)
+    bad = [r for r in got if (r.row.text or "").endswith("vile rotten foul")]
+    assert len(bad) == 100 and not any(r.kept for r in bad) and all(r.log_weight < -8 for r in bad)
+    assert sum(not r.kept for r in got) <= 105  # as many as the weights say, but for the draw
+    assert {r.log_weight for r in got if r.row.doc_id in (1000, 1001)} == {0.0}
+    assert quality.classify(frame.limit(0), marks).count() == 0
+    assert all(r.kept and r.log_weight == 0 for r in quality.classify(frame, marks.limit(0)).collect())
+
+
+def test_keep_good_keeps_columns_of_any_name(spark, tmp_path):
+    rows, labels = labelled_rows()
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame = spark.createDataFrame(rows, DRAWN)
+    got = quality.keep_good(spark, frame, str(tmp_path))
+    assert got.columns == frame.columns and {tuple(r) for r in got.collect()} <= {tuple(r) for r in rows}
+
+
+def test_inclusion_follows_the_weights(spark):
+    rows = [(i, math.log(2) if i % 3 == 0 else 0.0) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "id long, log_weight double")
+    got = {True: 0, False: 0}
+    for trial in range(5):
+        noise = np.random.default_rng(trial).gumbel(size=len(rows)).tolist()
+        keyed = spark.createDataFrame([(i, w, w + g) for (i, w), g in zip(rows, noise)], "id long, log_weight double, key double")
+        for r in quality.draw(keyed, 300).where("kept").collect():
+            got[r.log_weight > 0] += 1
+    assert got[True] + got[False] == 1500
+    assert 0.44 < got[True] / 1500 < 0.56  # 2000 rows of weight 2 and 4000 of weight 1: half and half
+    assert quality.expected_size(frame) == 6000 and quality.expected_size(frame.selectExpr("id", "log_weight - ln(4) AS log_weight")) == 2000
 
 
 def test_kth_largest(spark):
