@@ -15,8 +15,9 @@ key, which spreads it over all shards. That hash is made from the window alone,
 Texts are dealt out once, by bucket; all three passes over them read that same exchange.
 
 Defined cases: null and empty texts have no bytes; texts under LENGTH bytes lose nothing; rows with the same doc_id stand in the
-order of their texts, the former being the earlier; a null doc_id is the smallest; a text that loses all is kept
-as an empty one; no rows give no rows; further columns stay as they are.
+order of their texts, the former being the earlier; rows without doc_id come before all ids from 0 on, in the order of a
+hash of their texts, which also deals them out; a text that loses all is kept as an empty one; no rows give no rows; further
+columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,8 +62,8 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _ordered(table: pa.Table) -> tuple[np.ndarray, list[int], list[bytes]]:
-    """A bucket's rows in the order of doc_id and text: their places in the table, ids (null: the least) and bytes."""
-    ids = [-(1 << 63) if k is None else k for k in table.column("doc_id").to_pylist()]
+    """A bucket's rows in the order of their ids and texts: their places in the table, ids and bytes."""
+    ids = table.column("id").to_pylist()
     raws = [(x or "").encode() for x in table.column("text").to_pylist()]
     order = sorted(range(len(ids)), key=lambda i: (ids[i], raws[i]))
     return np.array(order, dtype=np.int64), [ids[i] for i in order], [raws[i] for i in order]
@@ -111,7 +112,7 @@ def repeated_windows(contexts: list[bytes], ids: list[tuple], memory: int = 64 <
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` and n_bytes, n_removed, n_spans, kept (binary)."""
+    """``row`` (a struct of the columns of ``docs`` but text), n_bytes, n_removed, n_spans, kept (binary)."""
     spark = docs.sparkSession
     common.small_batches(spark)
     n = common.partitions(spark)
@@ -119,8 +120,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets = max(n, -(-total // BUCKET_BYTES))
     parts = max(n, total // 26 // PART_HASHES)
     width = (1 << 64) // parts + 1
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    dealt = docs.select("doc_id", "text", *([F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest")] if rest else []), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")).repartition(n, "bucket")
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])
+    # ids from 0 on are as they are; a row without one gets a negative number from its text
+    number = F.coalesce("doc_id", F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63)))).cast("long")
+    dealt = docs.select(number.alias("id"), "text", row.alias("row"))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")).repartition(n, "bucket")
 
     def gather(left):
         bucket = left.column("bucket")[0].as_py() if left.num_rows else None
@@ -131,7 +135,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         part = h // np.uint64(width)
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(h) else np.zeros(0, dtype=np.int64)
         stops = np.append(first[1:], len(h))
-        rows = [(int(part[a]), bucket, h[a:b].tobytes(), np.minimum(many[a:b], 255).astype("u1").tobytes()) for a, b in zip(first.tolist(), stops.tolist())]
+        rows = [(int(part[a]), bucket, h[a:b].tobytes(), np.minimum(many[a:b], 65_535).astype("<u2").tobytes()) for a, b in zip(first.tolist(), stops.tolist())]
         columns = zip(*rows) if rows else [[], [], [], []]
         return pa.table([pa.array(c, type=t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "bucket", "hashes", "counts"])
 
@@ -142,8 +146,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         def of(held):
             h = np.concatenate([np.frombuffer(x[1], "<u8") for x in held])
-            c = np.concatenate([np.frombuffer(x[2], "u1") for x in held]).astype(np.int64)
-            b = np.repeat(np.array([x[0] for x in held]), [len(x[2]) for x in held])
+            c = np.concatenate([np.frombuffer(x[2], "<u2") for x in held]).astype(np.int64)
+            b = np.repeat(np.array([x[0] for x in held]), [len(x[2]) // 2 for x in held])
             by = np.argsort(h, kind="stable")
             h, c, b = h[by], c[by], b[by]
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
@@ -235,42 +239,35 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 owners.clear()
                 held[0] = 0
 
-        def take(group):
-            """One anchor's contexts in order: equal ones are repeats of the first; the distinct ones are sorted if there are several."""
-            first: dict = {}
-            for bucket, row, doc, start, count, lead, text in group:
-                if (lead, text) in first:
-                    spans.append((bucket, row, start, start + count))
-                else:
-                    first[lead, text] = (bucket, doc, row, start)
+        def sort_distinct():
+            """One anchor's contexts are distinct here; they are sorted if there are several."""
             if len(first) > 1:
                 for (_, text), own in first.items():
                     texts.append(text)
                     owners.append(own)
                     held[0] += len(text)
+                if held[0] >= SHARD_BYTES:
+                    flush()
+            first.clear()
 
         def out():
             got = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(zip(*spans), _SPAN_TYPES)], names=[x for x, _ in _SPAN_TYPES])
             spans.clear()
             return got
 
-        key, group = None, []
+        key, first = None, {}
         for batch in it:
             for k, bucket, row, doc, start, count, lead, text in zip(*(batch.column(c).to_pylist() for c in names)):
-                if text is None:
+                if k != key:
+                    sort_distinct()
+                    key = k
+                if text is None or (lead, text) in first:  # equal contexts are repeats of the first, which is the earliest
                     spans.append((bucket, row, start, start + count))
-                    continue
-                if k != key and group:
-                    take(group)
-                    group = []
-                    if held[0] >= SHARD_BYTES:
-                        flush()
-                key = k
-                group.append((bucket, row, doc, start, count, lead, text))
+                else:
+                    first[lead, text] = (bucket, doc, row, start)
             if len(spans) > 50_000:
                 yield out()
-        if group:
-            take(group)
+        sort_distinct()
         flush()
         if spans:
             yield out()
@@ -278,9 +275,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # row numbers agree in both passes over a bucket: both put it in the same order
     marked = sent.repartition(n, "key").sortWithinPartitions("key", "doc", "row", "start").mapInArrow(sort_shard, _SPANS).repartition(n, "bucket")
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    rest_type = "struct<" + ",".join(f"c{i}:{kinds[c]}" for i, c in enumerate(rest)) + ">"
-    schema = "doc_id {}, {}n_bytes long, n_removed long, n_spans long, kept binary".format(kinds["doc_id"], f"rest {rest_type}, " if rest else "")
+    schema = f"row {dealt.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
 
     def cut(left, right):
         order, _, raws = _ordered(left)
@@ -298,19 +293,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 edges = [0, *np.stack([s, e], axis=1).ravel().tolist(), len(raw)]
                 raw = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2]))
             kept.append(raw)
-        columns = {"doc_id": left.column("doc_id").take(pa.array(order))}
-        if rest:
-            columns["rest"] = left.column("rest").take(pa.array(order))
-        columns |= {"n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())}
-        return pa.table(columns)
+        return pa.table({"row": left.column("row").take(pa.array(order)), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
     whole = dealt.groupBy("bucket").cogroup(marked.groupBy("bucket")).applyInArrow(cut, schema)
-    return whole.select("doc_id", *[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(rest)], "n_bytes", "n_removed", "n_spans", "kept")
+    named = F.struct(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns) if c != "text"])
+    return whole.select(named.alias("row"), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     got = remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return got.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -320,11 +312,11 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     def decoded(raw):
         return raw.map(lambda x: bytes(x).decode("utf-8", "ignore"))
 
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    got = remove_repeats(docs.select("doc_id", "text", *others)).withColumn("text", decoded("kept"))
+    got = remove_repeats(docs).withColumn("text", decoded("kept"))
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return got.select(*docs.columns)
+        columns["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return got.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 OP8_SQL = """

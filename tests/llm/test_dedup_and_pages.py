@@ -54,14 +54,14 @@ def corpus(seed=3):
 def test_removal_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     texts = corpus()
-    frame = spark.createDataFrame([(i, t, "r", 5) for i, t in enumerate(texts)], "doc_id long, text string, rest string, kept int").drop("kept")
-    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame.repartition(3)).collect()}
+    frame = spark.createDataFrame([(i, t, "r", 5) for i, t in enumerate(texts)], "doc_id long, text string, rest string, kept int")
+    got = {r.row.doc_id: r for r in suffix_dedup.remove_repeats(frame.repartition(3)).collect()}
     raws = [(t or "").encode() for t in texts]
     for i, (raw, gone) in enumerate(zip(raws, brute_removed(raws))):
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (len(raw), int(gone.sum()), runs, kept), i
-        assert got[i].rest == "r"
+        assert got[i].row.asDict() == {"doc_id": i, "rest": "r", "kept": 5}
 
 
 def test_hot_passage_of_a_long_and_a_short_text(spark, monkeypatch):
@@ -69,19 +69,30 @@ def test_hot_passage_of_a_long_and_a_short_text(spark, monkeypatch):
     draw = np.random.default_rng(3)
     passage, other, filler = (bytes(draw.integers(97, 123, n, dtype=np.uint8)).decode() for n in (150, 300, (1 << 24) + 1000))
     rows = [(1, filler + passage), (2, other + passage), (3, passage + other[:50])]
-    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.row.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 150, 3: 150}
 
 
 def test_removal_of_repeated_ids_and_nothing(spark):
-    text = corpus()[0]
-    rows = [(1, text), (1, text), (None, text), (2, "short")]
+    text, other = corpus()[0], corpus()[16]
+    rows = [(1, text), (1, text), (None, text), (2, "short"), (None, text), (None, other), (1, other)]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(r.n_removed for r in got) == sorted([0, len(text.encode()), len(text.encode()), 0])
-    assert {r.doc_id: r.n_removed for r in got}[None] == 0
+    lost = sorted((str(r.row.doc_id), r.n_bytes, r.n_removed) for r in got)
+    n, m = len(text.encode()), len(other.encode())
+    alone = [r for r in got if r.row.doc_id is None]  # they come first, in an order of their own; of the passage in both one stays
+    assert sorted(x for x in lost if x[0] != "None") == sorted([("1", n, n), ("1", n, n), ("1", m, m), ("2", 5, 0)])
+    assert len(alone) == 3 and sum(r.n_removed for r in alone) in (n + len(text[100:700].encode()), n + len(other.encode()) - m + len(text[100:700].encode()))
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_cut_keeps_columns_of_any_name(spark):
+    text = corpus()[0]
+    frame = spark.createDataFrame([(1, text, True, 9, "a", "b"), (2, "x" + text, False, 9, "c", "d"), (3, None, None, 9, "e", "f")], "doc_id long, text string, kept boolean, n_chars int, n_bytes string, row string")
+    got = suffix_dedup.cut_repeats(frame)
+    assert got.columns == frame.columns
+    assert sorted(map(tuple, got.collect())) == sorted([(1, text, True, len(text), "a", "b"), (2, "x", False, 1, "c", "d"), (3, "", None, 0, "e", "f")], key=lambda x: x[0])
+
+
 # ---------------------------------------------------------------- near-duplicates
 
 
