@@ -10,9 +10,12 @@ Counts cover all training documents. Each document is tokenised once, into a tab
 kept as numbers, others by 64-bit hash (two words share one with a probability of about n^2 / 2^65). The head list comes
 from a sample of at most about ``SAMPLE`` documents and only decides on which of two ways a word is counted; both are
 exact. Head counts are summed by number; other words go to the task of their hash range, packed by chunk, and each
-document's sums come back the same way, with the range's words that are frequent enough for the short list. Every
-partition trains on all positions of its own training documents, from the same start; parameters are averaged in
-groups, and at most 64 reach the driver.
+document's sums come back the same way. A range has about ``RANGE`` tokens, however many there are in all. Words of theirs that are
+frequent enough for the short list are found by a top-k.
+
+Training takes ``ROUNDS`` rounds, each over the chunks that a hash gives to it, so that every training position is a target once.
+In a round every partition starts from the same parameters and trains on its own chunks; then parameters, and the sums that
+set the learning rates, are averaged in groups, and at most 64 reach the driver.
 
 Defined cases: null, empty and blank texts are the end token alone; a document is held out if crc32 of its id's digits
 mod 7 is 2, and a null doc_id is not; repeated rows are each counted and scored; without training documents counts and
@@ -21,7 +24,6 @@ N are 0 and all symbols but the bias are untrained; no rows give no rows; furthe
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
@@ -33,7 +35,7 @@ from . import common
 from .hashing import word_hashes
 
 FOLDS, HELD, HEAD, SHORT, SAMPLE = 7, 2, 60_000, 1024, 20_000
-SIZE, NOISE, BATCH, RATE, SEED = 24, 48, 1024, 0.15, 11
+SIZE, NOISE, BATCH, RATE, SEED, ROUNDS, RANGE = 24, 48, 1024, 0.15, 11, 3, 1 << 20
 END, OTHER = 0, 65_535
 
 
@@ -66,7 +68,7 @@ def head_words(docs: DataFrame, head: int = HEAD, sample: int = SAMPLE) -> np.nd
     return np.sort(np.array([r[0] for r in counts.orderBy(F.desc("n"), "h").limit(head).collect()], dtype=np.int64).view(np.uint64))
 
 
-_CHUNK = "base long, doc_ids array<long>, train binary, lengths binary, head binary, rest binary"
+_CHUNK = "doc_ids array<long>, train binary, lengths binary, head binary, rest binary"
 
 
 def chunks(docs: DataFrame, head: np.ndarray) -> DataFrame:
@@ -84,10 +86,10 @@ def chunks(docs: DataFrame, head: np.ndarray) -> DataFrame:
                 known = words[at] == h if len(words) else np.zeros(len(h), dtype=bool)
                 numbers.append(np.append(np.where(known, at + 1, OTHER), END).astype("<u2"))
                 others.append(h[~known])
-            row = [int.from_bytes(os.urandom(7), "little"), keys, np.array([not held_out(k) for k in keys], dtype="u1").tobytes(), np.array([len(x) for x in numbers], dtype="<i8").tobytes(), np.concatenate(numbers).tobytes(), np.concatenate(others).astype("<u8").tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=["base", "doc_ids", "train", "lengths", "head", "rest"])
+            row = [keys, np.array([not held_out(k) for k in keys], dtype="u1").tobytes(), np.array([len(x) for x in numbers], dtype="<i8").tobytes(), np.concatenate(numbers).tobytes(), np.concatenate(others).astype("<u8").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(row, (pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=["doc_ids", "train", "lengths", "head", "rest"])
 
-    return common.written(docs.select("doc_id", "text").mapInArrow(run, _CHUNK), "tokens")
+    return common.written(docs.select("doc_id", "text").mapInArrow(run, _CHUNK).withColumn("base", F.monotonically_increasing_id()), "tokens")
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,10 +115,12 @@ def head_counts(table: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def rest_sums(table: DataFrame, parts: int, most: int, least: int) -> DataFrame:
+def rest_sums(table: DataFrame, most: int, least: int, range_tokens: int = RANGE) -> DataFrame:
     """For each chunk and hash range: by document, the sum of log10(count + 1) and the number of seen tokens, of words
-    that aren't in the head list. Rows with base -1 have a range's number of words and of training tokens, and (as docs
-    and logs) hashes and counts of its ``most`` most frequent words of ``least`` training tokens or more."""
+    that aren't in the head list. Rows without base have a range's number of words (``words``) and of training tokens (``tokens``),
+    and hashes and counts (``top``) of its ``most`` most frequent words of ``least`` training tokens or more."""
+    n_rest = table.agg(F.sum(F.octet_length("rest"))).first()[0] or 0
+    parts = max(common.partitions(table.sparkSession), -(-n_rest // 8 // range_tokens))
     width = (1 << 64) // parts + 1
 
     def deal(it):
@@ -149,14 +153,16 @@ def rest_sums(table: DataFrame, parts: int, most: int, least: int) -> DataFrame:
         log, seen = n * np.log10(count + 1.0)[at], np.where(count[at] > 0, n, 0)
         top = np.argsort(-count, kind="stable")[:most]
         top = top[count[top] >= max(1, least)]
-        out, start = [(-1, words[top].astype("<u8").tobytes(), count[top].astype("<i8").tobytes(), np.array([(count > 0).sum()], dtype="<i8").tobytes(), np.array([count.sum()], dtype="<i8").tobytes())], 0
+        pairs = [{"h": h_, "n": n_} for h_, n_ in zip(words[top].view(np.int64).tolist(), count[top].tolist())]
+        out, start = [(None, None, None, None, int((count > 0).sum()), int(count.sum()), pairs)], 0
         for base, _, marks, _ in held:
             stop = start + len(marks) // 2
             doc = mark[start:stop] & 0x7FFF
             docs, where = np.unique(doc, return_inverse=True)
-            out.append((base, docs.astype("<u2").tobytes(), np.bincount(where, weights=log[start:stop]).astype("<f8").tobytes(), np.bincount(where, weights=seen[start:stop]).astype("<i8").tobytes(), None))
+            out.append((base, docs.astype("<u2").tobytes(), np.bincount(where, weights=log[start:stop]).astype("<f8").tobytes(), np.bincount(where, weights=seen[start:stop]).astype("<i8").tobytes(), None, None, None))
             start = stop
-        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=["base", "docs", "logs", "seen", "total"])
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), kinds)], names=["base", "docs", "logs", "seen", "words", "tokens", "top"])
 
     def sums(it):
         part, held = None, []
@@ -171,7 +177,7 @@ def rest_sums(table: DataFrame, parts: int, most: int, least: int) -> DataFrame:
             yield add(held)
 
     dealt = table.mapInArrow(deal, "part int, base long, h binary, doc binary, n binary").repartition(common.partitions(table.sparkSession), "part").sortWithinPartitions("part")
-    return common.written(dealt.mapInArrow(sums, "base long, docs binary, logs binary, seen binary, total binary"), "word-sums")
+    return common.written(dealt.mapInArrow(sums, "base long, docs binary, logs binary, seen binary, words long, tokens long, top array<struct<h:long,n:long>>"), "word-sums")
 
 
 # ---------------------------------------------------------------- the model
@@ -187,19 +193,27 @@ class LogBilinear:
         self.near, self.far = np.ones(size), np.ones(size)
         self.bias = np.log(share)
         self.noise = share
-        self.squares: dict[str, np.ndarray] = {}
+        self.squares = {name: np.ones(len(share)) for name in ("context", "target", "bias")}
 
     def pack(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.target, self.near, self.far, self.bias)])
+        return np.concatenate([x.ravel() for x in (self.context, self.target, self.near, self.far, self.bias, *self.squares.values())])
 
     def unpack(self, flat: np.ndarray) -> LogBilinear:
         at = 0
-        for name in ("context", "target", "near", "far", "bias"):
-            old = getattr(self, name)
-            setattr(self, name, flat[at : at + old.size].reshape(old.shape).copy())
+        for name in ("context", "target", "near", "far", "bias", *self.squares):
+            old = self.squares[name] if at >= self.size() else getattr(self, name)
+            new = flat[at : at + old.size].reshape(old.shape).astype(np.float64)
+            if at >= self.size():
+                self.squares[name] = new
+            else:
+                setattr(self, name, new)
             at += old.size
         return self
 
+    def size(self) -> int:
+        """Of the parameters alone."""
+        return self.context.size + self.target.size + self.near.size + self.far.size + self.bias.size
+
     def train(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray, draw: np.random.Generator, rate: float = RATE, noise: int = NOISE, batch: int = BATCH) -> None:
         """One pass of noise-contrastive estimation over (second last, last, next) symbols."""
         edges = np.cumsum(self.noise)
@@ -225,7 +239,7 @@ class LogBilinear:
         table = getattr(self, name)
         total = np.zeros(table.shape)
         np.add.at(total, rows, gradient)
-        square = self.squares.setdefault(name, np.ones(len(table)))
+        square = self.squares[name]
         square += (total**2).mean(1) if total.ndim > 1 else total**2
         speed = rate / np.sqrt(square)
         table += total * (speed[:, None] if total.ndim > 1 else speed)
@@ -261,13 +275,21 @@ def _symbols(head: np.ndarray, rest: np.ndarray, symbol_of: np.ndarray, more: np
     return s, where, at
 
 
-def fit(table: DataFrame, symbols: tuple[np.ndarray, np.ndarray, np.ndarray], share: np.ndarray) -> LogBilinear:
+def fit(table: DataFrame, symbols: tuple[np.ndarray, np.ndarray, np.ndarray], share: np.ndarray, rounds: int = ROUNDS) -> LogBilinear:
+    model = LogBilinear(share)
+    for i in range(rounds):
+        fit_round(table.where(F.pmod(F.xxhash64("base"), F.lit(rounds)) == i), symbols, model)
+    return model
+
+
+def fit_round(table: DataFrame, symbols: tuple[np.ndarray, np.ndarray, np.ndarray], model: LogBilinear) -> None:
+    """One round over these chunks; the model gets the mean of the partitions' parameters, by their numbers of positions."""
     spark = table.sparkSession
-    sent = spark.sparkContext.broadcast((symbols, share))
+    sent = spark.sparkContext.broadcast((symbols, model.noise, model.pack().astype(np.float32)))
 
     def run(it):
-        listed, p = sent.value
-        model, draw, many = LogBilinear(p), np.random.default_rng(SEED + 1), 0
+        listed, p, start = sent.value
+        model, draw, many = LogBilinear(p).unpack(start), np.random.default_rng(SEED + 1), 0
         for batch in it:
             for row in batch.to_pylist():
                 train, lengths, head, rest = _unpack(row)
@@ -288,12 +310,10 @@ def fit(table: DataFrame, symbols: tuple[np.ndarray, np.ndarray, np.ndarray], sh
     got = common.written(table.mapInArrow(run, kind), "parameters")
     while (n := got.count()) > 64:
         got = common.written(got.groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, n // 32)))).applyInArrow(mean, kind), "parameters")
-    model = LogBilinear(share)
     rows = sorted(got.collect())
     if rows:
         weight = sum(r["weight"] for r in rows)
         model.unpack(sum(r["weight"] / weight * np.frombuffer(r["params"], "<f4").astype(np.float64) for r in rows))
-    return model
 
 
 def score(docs: DataFrame, short: int = SHORT) -> DataFrame:
@@ -304,17 +324,12 @@ def score(docs: DataFrame, short: int = SHORT) -> DataFrame:
     table = chunks(docs, head)
     counts = head_counts(table, len(head))
     # a word outside the head list is short-listed only if it is as frequent as the last of as many head words
-    rest = rest_sums(table, common.partitions(spark), short - 1, int(np.sort(counts[1:])[-(short - 1)]) if len(head) >= short - 1 else 1)
-    v_rest = n_rest = 0
-    words, times = head, counts[1:]
-    # one row for each hash range
-    for hashes, often, seen, total in rest.where("base = -1").select("docs", "logs", "seen", "total").toLocalIterator():
-        v_rest += int(np.frombuffer(bytes(seen), "<i8")[0])
-        n_rest += int(np.frombuffer(bytes(total), "<i8")[0])
-        if hashes:
-            words, times = np.append(words, np.frombuffer(bytes(hashes), "<u8")), np.append(times, np.frombuffer(bytes(often), "<i8"))
-            best = np.lexsort((words, -times))[: short - 1]
-            words, times = words[best], times[best]
+    rest = rest_sums(table, short - 1, int(np.sort(counts[1:])[-(short - 1)]) if len(head) >= short - 1 else 1)
+    ranges = rest.where("base IS NULL")
+    v_rest, n_rest = (int(x or 0) for x in ranges.agg(F.sum("words"), F.sum("tokens")).first())
+    often = ranges.select(F.inline("top")).orderBy(F.desc("n"), F.col("h") < 0, "h").limit(short - 1).collect()  # hashes are unsigned
+    words = np.append(head, np.array([r["h"] for r in often], dtype=np.int64).view(np.uint64))
+    times = np.append(counts[1:], np.array([r["n"] for r in often], dtype=np.int64))
     n_all, v_all = int(counts.sum()) + n_rest, int((counts > 0).sum()) + v_rest
 
     # the short list: the end, then the most frequent words; all others are one symbol
@@ -376,7 +391,7 @@ def score(docs: DataFrame, short: int = SHORT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(out, kinds)], names=["base", "doc_ids", "lengths", "base_log", "free_log", "model", "known", "free"])
 
     left = table.mapInArrow(own, "base long, doc_ids array<long>, lengths array<long>, base_log array<double>, free_log array<double>, model array<double>, known array<long>, free array<double>")
-    return left.groupBy("base").cogroup(rest.where("base <> -1").groupBy("base")).applyInArrow(results, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return left.groupBy("base").cogroup(rest.where("base IS NOT NULL").groupBy("base")).applyInArrow(results, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:

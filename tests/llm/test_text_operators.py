@@ -367,9 +367,10 @@ def test_model_trains_on_all_positions_and_lists_words_outside_the_head_list(spa
     rows = [(i, "the cat sat on the mat " * (1 + i % 3) + f"odd{i}") for i in range(40)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     frames, written = {}, common.written
-    monkeypatch.setattr(common, "written", lambda df, tag: frames.setdefault(tag, written(df, tag)))
+    monkeypatch.setattr(common, "written", lambda df, tag: frames.setdefault(f"{tag}{sum(x.startswith(tag) for x in frames)}", written(df, tag)))
     want = {r.doc_id: r for r in lm_scoring.score(frame, short=5).collect()}
-    assert frames["parameters"].groupBy().sum("weight").first()[0] == want[0].train_tokens
+    trained = [f.groupBy().sum("weight").first()[0] or 0 for tag, f in frames.items() if tag.startswith("parameters")]
+    assert len(trained) == lm_scoring.ROUNDS and sum(trained) == want[0].train_tokens  # each position once
     frames.clear()
     monkeypatch.setattr(lm_scoring, "head_words", lambda docs: np.zeros(0, dtype=np.uint64))
     got = lm_scoring.score(frame, short=5).collect()
@@ -378,6 +379,37 @@ def test_model_trains_on_all_positions_and_lists_words_outside_the_head_list(spa
         assert r.score == pytest.approx(want[r.doc_id].score) and r.base_score == pytest.approx(want[r.doc_id].base_score)
 
 
+@pytest.mark.parametrize("range_tokens", [1 << 20, 3])
+def test_scores_equal_brute_force(spark, monkeypatch, range_tokens):
+    """From the tables alone: symbols by count, softmax over all symbols, and the shares of words that have none."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.6, 30) % 50)) for i in range(60)] + [(70, None), (71, "w1 never-seen w2"), (None, "W1  w2")]
+    models, fit = [], lm_scoring.fit
+    monkeypatch.setattr(lm_scoring, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    monkeypatch.setattr(lm_scoring, "HEAD", 10)
+    monkeypatch.setattr(lm_scoring.rest_sums, "__defaults__", (range_tokens,))
+    monkeypatch.setattr(lm_scoring.head_words, "__defaults__", (10, 20_000))
+    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), short=8).collect()}
+    tokens = {i: [*(t or "").lower().split(), None] for i, t in rows}
+    counts = {}
+    for i, words in tokens.items():
+        for w in words if not lm_scoring.held_out(i) else ():
+            counts[w] = counts.get(w, 0) + 1
+    number = lambda w: int(lm_scoring.tokens(w)[0])
+    listed = [None, *sorted((w for w in counts if w), key=lambda w: (-counts[w], number(w)))[:7]]
+    model = models[0]
+    for i, words in tokens.items():
+        symbols, want = [listed.index(w) if w in listed else 8 for w in words], 0.0
+        for at, (w, y) in enumerate(zip(words, symbols)):
+            one, two = (symbols[at - k] if at >= k else 0 for k in (1, 2))
+            scores = (model.context[one] * model.near + model.context[two] * model.far) @ model.target.T + model.bias
+            want += scores[y] - np.log(np.exp(scores).sum())
+            if y == 8:
+                outside = {v: n for v, n in counts.items() if v not in listed}
+                want += np.log((counts.get(w, 0) + 1) / (sum(outside.values()) + len(outside) + 1))
+        assert got[i].score == pytest.approx(want / np.log(10), rel=1e-4), i
+
+
 def test_log_normaliser_is_exact():
     model = lm_scoring.LogBilinear(np.full(9, 1 / 9))
     draw = np.random.default_rng(0)
