@@ -199,7 +199,7 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         if keys:
             yield shard(keys, marks, tokens)
 
-    index = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_ids array<long>, text_hashes array<long>, n_words array<long>, terms binary, starts binary, places binary")
+    index = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(common.tidy(run), "doc_ids array<long>, text_hashes array<long>, n_words array<long>, terms binary, starts binary, places binary")
     return common.written(index.withColumn("shard", F.monotonically_increasing_id()), "postings")
 
 
@@ -233,7 +233,7 @@ def search(index: DataFrame, phrases: Phrases, near: int = NEAR) -> DataFrame:
                     kinds = (pa.int64(), pa.int32(), _SPAN, pa.list_(pa.string()), pa.list_(pa.string()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), kinds)], names=["shard", "row", "spans", "items", "near_items"])
 
-    return index.select("shard", "n_words", "terms", "starts", "places").mapInArrow(run, "shard long, row int, spans array<struct<start:long,stop:long>>, items array<string>, near_items array<string>")
+    return index.select("shard", "n_words", "terms", "starts", "places").mapInArrow(common.tidy(run), "shard long, row int, spans array<struct<start:long,stop:long>>, items array<string>, near_items array<string>")
 
 
 #: Spans of all blocks in order, each put to the last one if it begins before its end.

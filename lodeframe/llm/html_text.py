@@ -434,7 +434,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = main_texts(batch.column("html").to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(common.tidy(run), "page_id long, url string, text string, n_chars long")
 
 
 def op7_html_text(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ class Queue:
         self.memory, self.held, self.file = memory, 0, None
 
     def push(self, symbol: int, places: np.ndarray, prefixes: np.ndarray) -> None:
-        pair = np.stack([places, prefixes])
+        pair = np.stack([places, prefixes]).astype(np.int32, copy=False)
         if self.held + pair.nbytes > self.memory:
             if self.file is None:
                 self.file = tempfile.TemporaryFile()
@@ -48,7 +48,7 @@ class Queue:
         pair = self.runs[symbol].pop(0)
         if isinstance(pair, tuple):
             self.file.seek(pair[0])
-            return np.frombuffer(self.file.read(16 * pair[1]), dtype=np.int64).reshape(2, -1)
+            return np.frombuffer(self.file.read(8 * pair[1]), dtype=np.int32).reshape(2, -1)
         self.held -= pair.nbytes
         return pair
 
@@ -61,9 +61,9 @@ def _sorted_prefixes(padded: np.ndarray, places: np.ndarray) -> tuple[np.ndarray
     """Places in the order of their next DEPTH symbols, and common prefixes (the first is 0)."""
     n = len(places)
     order = places.copy()
-    prefix = np.zeros(n, dtype=np.int64)
-    group = np.zeros(n, dtype=np.int64)  # by place in order: the tie it belongs to
-    live = np.arange(n)
+    prefix = np.zeros(n, dtype=np.int32)
+    group = np.zeros(n, dtype=np.int32)  # by place in order: the tie it belongs to
+    live = np.arange(n, dtype=np.int32)
     for at in range(0, DEPTH, 4):
         if not len(live):
             break
@@ -95,20 +95,21 @@ def _sorted_prefixes(padded: np.ndarray, places: np.ndarray) -> tuple[np.ndarray
 def suffix_array(text: np.ndarray, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
     """Places of all suffixes in order, and each one's common prefix with the one before it.
 
-    ``text`` has symbols 1 to 4095; the end counts as a smaller symbol.
+    ``text`` has symbols 1 to 4095 and under 2^31 of them; the end counts as a smaller symbol.
     """
     n = len(text)
     if n == 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    t = np.zeros(n + 1, dtype=np.int64)
+    t = np.zeros(n + 1, dtype=np.int16)
     t[:n] = text
     symbols = int(t.max()) + 1
     change = np.flatnonzero(t[:-1] != t[1:])  # the last place of each run of equal symbols
-    end = change[np.searchsorted(change, np.arange(n))]
-    run = end - np.arange(n) + 1
+    end = np.repeat(change, np.diff(change, prepend=-1)).astype(np.int32)
+    run = end - np.arange(n, dtype=np.int32) + 1
     small = np.ones(n + 1, dtype=bool)
     small[:n] = t[end] < t[end + 1]
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    del end, change
+    lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + np.int32(1)
     padded = np.zeros(n + 1 + DEPTH + 8, dtype=np.uint16)
     padded[: n + 1] = t
     lms, lms_prefix = _sorted_prefixes(padded, lms)

@@ -64,7 +64,7 @@ def head_words(docs: DataFrame, head: int = HEAD, sample: int = SAMPLE) -> np.nd
             yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 50_000].view(np.int64)), pa.array(n[a : a + 50_000])], names=["h", "n"])
 
     picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
-    counts = picked.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = picked.mapInArrow(common.tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     return np.sort(np.array([r[0] for r in counts.orderBy(F.desc("n"), "h").limit(head).collect()], dtype=np.int64).view(np.uint64))
 
 
@@ -89,7 +89,7 @@ def chunks(docs: DataFrame, head: np.ndarray) -> DataFrame:
             row = [keys, np.array([not held_out(k) for k in keys], dtype="u1").tobytes(), np.array([len(x) for x in numbers], dtype="<i8").tobytes(), np.concatenate(numbers).tobytes(), np.concatenate(others).astype("<u8").tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(row, (pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=["doc_ids", "train", "lengths", "head", "rest"])
 
-    return common.written(docs.select("doc_id", "text").mapInArrow(run, _CHUNK).withColumn("base", F.monotonically_increasing_id()), "tokens")
+    return common.written(docs.select("doc_id", "text").mapInArrow(common.tidy(run), _CHUNK).withColumn("base", F.monotonically_increasing_id()), "tokens")
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +110,7 @@ def head_counts(table: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["i", "n"])
 
     out = np.zeros(size + 1, dtype=np.int64)
-    for i, n in table.mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n")).collect():
+    for i, n in table.mapInArrow(common.tidy(run), "i int, n long").groupBy("i").agg(F.sum("n")).collect():
         out[i] = n
     return out
 
@@ -176,8 +176,8 @@ def rest_sums(table: DataFrame, most: int, least: int, range_tokens: int = RANGE
         if held:
             yield add(held)
 
-    dealt = table.mapInArrow(deal, "part int, base long, h binary, doc binary, n binary").repartition(common.partitions(table.sparkSession), "part").sortWithinPartitions("part")
-    return common.written(dealt.mapInArrow(sums, "base long, docs binary, logs binary, seen binary, words long, tokens long, top array<struct<h:long,n:long>>"), "word-sums")
+    dealt = table.mapInArrow(common.tidy(deal), "part int, base long, h binary, doc binary, n binary").repartition(common.partitions(table.sparkSession), "part").sortWithinPartitions("part")
+    return common.written(dealt.mapInArrow(common.tidy(sums), "base long, docs binary, logs binary, seen binary, words long, tokens long, top array<struct<h:long,n:long>>"), "word-sums")
 
 
 # ---------------------------------------------------------------- the model
@@ -307,9 +307,9 @@ def fit_round(table: DataFrame, symbols: tuple[np.ndarray, np.ndarray, np.ndarra
         return pa.table({"id": pa.array([t.column("id")[0].as_py()]), "weight": pa.array([float(weight.sum())]), "params": pa.array([(total / weight.sum()).astype("<f4").tobytes()], pa.binary())})
 
     kind = "id long, weight double, params binary"
-    got = common.written(table.mapInArrow(run, kind), "parameters")
+    got = common.written(table.mapInArrow(common.tidy(run), kind), "parameters")
     while (n := got.count()) > 64:
-        got = common.written(got.groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, n // 32)))).applyInArrow(mean, kind), "parameters")
+        got = common.written(got.groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, n // 32)))).applyInArrow(common.tidy(mean), kind), "parameters")
     rows = sorted(got.collect())
     if rows:
         weight = sum(r["weight"] for r in rows)
@@ -390,8 +390,8 @@ def score(docs: DataFrame, short: int = SHORT) -> DataFrame:
                 kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *(pa.list_(pa.float64()),) * 3, pa.list_(pa.int64()), pa.list_(pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(out, kinds)], names=["base", "doc_ids", "lengths", "base_log", "free_log", "model", "known", "free"])
 
-    left = table.mapInArrow(own, "base long, doc_ids array<long>, lengths array<long>, base_log array<double>, free_log array<double>, model array<double>, known array<long>, free array<double>")
-    return left.groupBy("base").cogroup(rest.where("base IS NOT NULL").groupBy("base")).applyInArrow(results, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    left = table.mapInArrow(common.tidy(own), "base long, doc_ids array<long>, lengths array<long>, base_log array<double>, free_log array<double>, model array<double>, known array<long>, free array<double>")
+    return left.groupBy("base").cogroup(rest.where("base IS NOT NULL").groupBy("base")).applyInArrow(common.tidy(results), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:

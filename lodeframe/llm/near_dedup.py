@@ -79,7 +79,7 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
                     bands.append([])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(size, pa.int64()), pa.array(name, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "node", "bands"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(common.tidy(run), "doc_id long, text_hash long, n_shingles long, node long, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
@@ -112,7 +112,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int)
                     b_out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(common.tidy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def cross_links(members: DataFrame, texts: DataFrame, shingle: int, similarity:
         if held:
             yield look(held)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(common.tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:

@@ -137,7 +137,7 @@ def counts(docs: DataFrame) -> np.ndarray:
         return pa.table({"a": t.column("a").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(size, dtype=np.int32)
-    for a, n in docs.select("text", "part", "kind").mapInArrow(run, "a int, n binary").groupBy("a").applyInArrow(add, "a int, n binary").toLocalIterator():
+    for a, n in docs.select("text", "part", "kind").mapInArrow(common.tidy(run), "a int, n binary").groupBy("a").applyInArrow(common.tidy(add), "a int, n binary").toLocalIterator():
         out[a : a + _PART] = np.frombuffer(bytes(n), "<i4")
     return out.reshape(KINDS, ROWS, BUCKETS)
 
@@ -153,7 +153,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("kind"), pa.array(keys, pa.list_(pa.int64()))], names=["text", "kind", "keys"])
 
     spread = min(16, common.partitions(docs.sparkSession))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "kind").repartition(spread).mapInArrow(run, "text string, kind int, keys array<long>")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "kind").repartition(spread).mapInArrow(common.tidy(run), "text string, kind int, keys array<long>")
     chosen = common.written(chosen.withColumn("row", F.monotonically_increasing_id()), "labelled")
     keys = chosen.select("row", F.explode("keys").alias("key"))
     size = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("row").agg(F.max("n").alias("n"))

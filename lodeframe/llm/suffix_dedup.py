@@ -89,14 +89,16 @@ def repeated_windows(contexts: list[bytes], ids: list[tuple], memory: int = 64 <
     ``ids``: what orders the contexts' first bytes, (document, row, place).
     """
     sizes = np.array([len(c) for c in contexts], dtype=np.int64)
-    text = np.frombuffer(b"".join(c + b"\0" for c in contexts), dtype=np.uint8).astype(np.int64) + 2
+    text = np.frombuffer(b"".join(c + b"\0" for c in contexts), dtype=np.uint8).astype(np.int16)
+    text += 2
     ends = np.cumsum(sizes + 1) - 1
     text[ends] = 1  # a separator, smaller than any byte
     begin = ends - sizes
     order, prefix = suffix_array(text, memory)
-    owner = np.repeat(np.arange(len(contexts)), sizes + 1)
-    is_window = np.arange(len(text)) + LENGTH <= ends[owner]
-    joined = np.append(0, np.cumsum(prefix[1:] < LENGTH))  # the class of each suffix in order
+    owner = np.repeat(np.arange(len(contexts), dtype=np.int32), sizes + 1)
+    is_window = np.arange(LENGTH, len(text) + LENGTH, dtype=np.int32) <= ends.astype(np.int32)[owner]
+    joined = np.append(0, np.cumsum(prefix[1:] < LENGTH, dtype=np.int32))  # the class of each suffix in order
+    del prefix
     keep = is_window[order]
     places, group = order[keep], joined[keep]
     who = owner[places]
@@ -111,8 +113,9 @@ def repeated_windows(contexts: list[bytes], ids: list[tuple], memory: int = 64 <
     return [mark[b : b + max(0, n - LENGTH + 1)] for b, n in zip(begin.tolist(), sizes.tolist())]
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``row`` (a struct of the columns of ``docs`` but text), n_bytes, n_removed, n_spans, kept (binary)."""
+def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """``row`` (a struct of the columns of ``docs`` but text), n_bytes, n_removed, n_spans, kept (binary; with ``as_text`` a string, without
+    the bytes of characters that were cut through)."""
     spark = docs.sparkSession
     common.small_batches(spark)
     n = common.partitions(spark)
@@ -139,7 +142,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         columns = zip(*rows) if rows else [[], [], [], []]
         return pa.table([pa.array(c, type=t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "bucket", "hashes", "counts"])
 
-    packed = dealt.groupBy("bucket").applyInArrow(gather, "part int, bucket int, hashes binary, counts binary")
+    packed = dealt.groupBy("bucket").applyInArrow(common.tidy(gather), "part int, bucket int, hashes binary, counts binary")
 
     def several(it):
         """Of each hash range, for each bucket the anchors that stand at more than one place; the hot ones last."""
@@ -172,7 +175,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         if held:
             yield of(held)
 
-    shared = packed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(several, "bucket int, hashes binary, hot binary").repartition(n, "bucket")
+    shared = packed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(common.tidy(several), "bucket int, hashes binary, hot binary").repartition(n, "bucket")
 
     names = ["key", "bucket", "row", "doc", "start", "count", "lead", "context"]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
@@ -221,7 +224,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         columns[0] = np.array(columns[0], dtype=np.uint64).view(np.int64)
         return pa.table([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
 
-    sent = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(contexts, "key long, bucket int, row int, doc long, start long, count long, lead int, context binary")
+    sent = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(common.tidy(contexts), "key long, bucket int, row int, doc long, start long, count long, lead int, context binary")
 
     def sort_shard(it):
         spans: list[tuple] = []
@@ -273,9 +276,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield out()
 
     # row numbers agree in both passes over a bucket: both put it in the same order
-    marked = sent.repartition(n, "key").sortWithinPartitions("key", "doc", "row", "start").mapInArrow(sort_shard, _SPANS).repartition(n, "bucket")
+    marked = sent.repartition(n, "key").sortWithinPartitions("key", "doc", "row", "start").mapInArrow(common.tidy(sort_shard), _SPANS).repartition(n, "bucket")
 
-    schema = f"row {dealt.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
+    schema = f"row {dealt.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
 
     def cut(left, right):
         order, _, raws = _ordered(left)
@@ -292,10 +295,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             if len(s):
                 edges = [0, *np.stack([s, e], axis=1).ravel().tolist(), len(raw)]
                 raw = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2]))
-            kept.append(raw)
-        return pa.table({"row": left.column("row").take(pa.array(order)), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
+            kept.append(raw.decode("utf-8", "ignore") if as_text else raw)
+        return pa.table({"row": left.column("row").take(pa.array(order)), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.string() if as_text else pa.binary())})
 
-    whole = dealt.groupBy("bucket").cogroup(marked.groupBy("bucket")).applyInArrow(cut, schema)
+    whole = dealt.groupBy("bucket").cogroup(marked.groupBy("bucket")).applyInArrow(common.tidy(cut), schema)
     named = F.struct(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns) if c != "text"])
     return whole.select(named.alias("row"), "n_bytes", "n_removed", "n_spans", "kept")
 
@@ -307,12 +310,7 @@ def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """The documents without their repeated passages; a character that a passage's edge cuts through goes with it."""
-
-    @F.pandas_udf("string")
-    def decoded(raw):
-        return raw.map(lambda x: bytes(x).decode("utf-8", "ignore"))
-
-    got = remove_repeats(docs).withColumn("text", decoded("kept"))
+    got = remove_repeats(docs, as_text=True).withColumnRenamed("kept", "text")
     columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)

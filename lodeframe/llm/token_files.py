@@ -125,7 +125,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, bloc
         if keys:
             yield pa.RecordBatch.from_pydict({"block": pa.array([encode_block(bucket, base, keys, ids)], pa.binary())})
 
-    dealt.mapInArrow(run, "block binary").select(F.col("block").cast("string")).write.option("maxRecordsPerFile", 24).text(path)
+    dealt.mapInArrow(common.tidy(run), "block binary").select(F.col("block").cast("string")).write.option("maxRecordsPerFile", 24).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -141,7 +141,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         at += n
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows)], names=["doc_id", "bucket", "place", "n_tokens", "ids_crc32"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "doc_id long, bucket long, place long, n_tokens long, ids_crc32 long")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(common.tidy(run), "doc_id long, bucket long, place long, n_tokens long, ids_crc32 long")
 
 
 def with_starts(rows: DataFrame) -> DataFrame:

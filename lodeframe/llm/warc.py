@@ -107,7 +107,7 @@ def write_arc(pages: DataFrame, path: str) -> None:
                 out.append(member(arc_record(version, key, url, (html or "").encode())))
             yield pa.RecordBatch.from_pydict({"bundle": pa.array([b"".join(out)], pa.binary())})
 
-    _save(pages.select("page_id", "url", "html").mapInArrow(run, "bundle binary"), path)
+    _save(pages.select("page_id", "url", "html").mapInArrow(common.tidy(run), "bundle binary"), path)
 
 
 def read_arc(spark: SparkSession, path: str, with_record: bool) -> DataFrame:
@@ -140,7 +140,7 @@ def read_arc(spark: SparkSession, path: str, with_record: bool) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*held), types)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(common.tidy(run), schema)
 
 
 # ---------------------------------------------------------------- WARC
@@ -199,7 +199,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
                 out.append(member(warc_record(head, body, key, refers)))
             yield pa.RecordBatch.from_pydict({"bundle": pa.array([b"".join(out)], pa.binary())})
 
-    _save(records.mapInArrow(run, "bundle binary"), warc_path)
+    _save(records.mapInArrow(common.tidy(run), "bundle binary"), warc_path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -224,7 +224,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*held), types)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(common.tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
