@@ -63,12 +63,6 @@ def ensemble_union_rank(t):
     return ranking.components(both, _PARAMS, size="bytes").orderBy(*ranking.order()).limit(90).select("page_id")
 
 
-@query("calculate_priority", f"WITH {_RANK_SQL} SELECT page_id, (CASE authority WHEN 2 THEN 40 WHEN 3 THEN 30 ELSE 0 END + CASE WHEN contains(u, '.html') THEN 10 ELSE 0 END - CASE WHEN contains(u, 'utm_') THEN 5 ELSE 0 END + floor(c5)::INT)::BIGINT AS priority FROM r")
-def calculate_priority(t):
-    rows, low = ranking.components(candidates(t), _PARAMS, size="bytes"), F.lower("url")
-    return rows.select("page_id", (F.when(F.col("authority") == 2, 40).when(F.col("authority") == 3, 30).otherwise(0) + F.when(low.contains(".html"), 10).otherwise(0) - F.when(low.contains("utm_"), 5).otherwise(0) + F.floor("title_tokens")).cast("long").alias("priority"))
-
-
 @query("recency_gate", "SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY year(o_orderdate) DESC, o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'P' OR year(o_orderdate) >= 1998 - 4 + 1) WHERE o_orderstatus = 'P' OR rn <= 2")
 def recency_gate(t):
     rows = t.orders.where((F.col("o_orderstatus") == "P") | (F.year("o_orderdate") >= 1998 - 4 + 1))
@@ -82,64 +76,11 @@ def coverage_metric(t):
     return f.select("user_id", "t1", "t2", F.when(F.expr("a AND p AND g"), "full").when(F.expr("a OR p"), "adequate").when(F.expr("t1 > 0 OR t2 >= 3"), "low").otherwise("minimal").alias("level"))
 
 
-@query("recency_status", "SELECT o_custkey, o_orderpriority, max(year(o_orderdate)) AS best, CASE WHEN max(year(o_orderdate)) >= 1998 THEN 'current' ELSE 'stale' END AS status FROM orders GROUP BY o_custkey, o_orderpriority")
-def recency_status(t):
-    rows = t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.max(F.year("o_orderdate").cast("long")).alias("best"))
-    return rows.withColumn("status", F.when(F.col("best") >= 1998, "current").otherwise("stale"))
-
-
 # ---------------------------------------------------------------- hosts and domains
 
 _DOMAIN = r"regexp_extract(regexp_replace(" + _HOST + r", '^www\.', ''), '([^.]+\.[^.]+)$', 1)"
 
 
-@query("platform_detect", f"SELECT {_DOMAIN} AS domain, count(DISTINCT page_id) AS n, count(DISTINCT page_id) >= 3 AS platform FROM pages GROUP BY 1")
-def platform_detect(t):
-    return t.pages.groupBy(urls.registrable_by_pattern(urls.host("url")).alias("domain")).agg(F.countDistinct("page_id").alias("n")).withColumn("platform", F.col("n") >= 3)
-
-
-@query("domain_infer", f"WITH h AS (SELECT {_HOST} AS host, count(*) AS n, min(page_id) AS first FROM pages GROUP BY 1), o AS (SELECT *, lead(n) OVER (ORDER BY n DESC, first) AS second, row_number() OVER (ORDER BY n DESC, first) AS rn FROM h) SELECT host, n, n >= 10 AND n >= 3 * coalesce(second, 0) AS dominant FROM o WHERE rn = 1 AND n >= 2")
-def domain_infer(t):
-    """The most frequent host and whether it dominates; only the two best reach one place."""
-    top = t.pages.groupBy(urls.host("url").alias("host")).agg(F.count("*").alias("n"), F.min("page_id").alias("first")).orderBy(F.desc("n"), "first").limit(2)
-    rows = top.withColumns({"second": F.lead("n").over(Window.orderBy(F.desc("n"), "first")), "rn": F.row_number().over(Window.orderBy(F.desc("n"), "first"))})
-    return rows.where("rn = 1 AND n >= 2").select("host", "n", ((F.col("n") >= 10) & (F.col("n") >= 3 * F.coalesce("second", F.lit(0)))).alias("dominant"))
-
-
-@query("domain_distinctive", f"SELECT page_id, len(list_filter(string_split(regexp_replace({_HOST}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w IN ('casino', 'tiontion', 'therhe'))) > 0 AS distinctive FROM pages")
-def domain_distinctive(t):
-    words = F.split(F.regexp_replace(urls.host("url"), "[^a-z0-9]+", " "), " ")
-    return t.pages.select("page_id", F.arrays_overlap(words, F.array(*[F.lit(x) for x in ("casino", "tiontion", "therhe")])).alias("distinctive"))
-
-
-@query("domain_rank_freq", f"SELECT {_DOMAIN} AS domain, count(*) AS n, min(page_id) AS first FROM pages GROUP BY 1 ORDER BY n DESC, first")
-def domain_rank_freq(t):
-    return t.pages.groupBy(urls.registrable_by_pattern(urls.host("url")).alias("domain")).agg(F.count("*").alias("n"), F.min("page_id").alias("first")).orderBy(F.desc("n"), "first")
-
-
-@query("related_domains", f"WITH h AS (SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY 1) SELECT host FROM h WHERE contains(host, 'th') AND (n >= 3 OR ends_with(host, '.example.net')) ORDER BY host")
-def related_domains(t):
-    rows = t.pages.groupBy(urls.host("url").alias("host")).agg(F.count("*").alias("n"))
-    return rows.where(F.col("host").contains("th") & ((F.col("n") >= 3) | F.col("host").endswith(".example.net"))).select("host").orderBy("host")
-
-
-@query("sibling_domains", f"WITH h AS (SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY 1) SELECT host, n FROM h WHERE n >= 2 AND regexp_matches(host, '^(m\\.)?(casino|the)')")
-def sibling_domains(t):
-    return t.pages.groupBy(urls.host("url").alias("host")).agg(F.count("*").alias("n")).where((F.col("n") >= 2) & F.col("host").rlike(r"^(m\.)?(casino|the)"))
-
-
-@query("section_relevance", "SELECT item_id, concat_ws(',', CASE WHEN regexp_matches(lower(text), 'th') THEN '1A' END, CASE WHEN regexp_matches(lower(text), 'ing') THEN '7' END, CASE WHEN regexp_matches(lower(text), 'ó|é') THEN '1' END) AS sections FROM benchmark")
-def section_relevance(t):
-    low = F.lower("text")
-    return t.benchmark.select("item_id", F.concat_ws(",", F.array_compact(F.array(F.when(low.rlike("th"), "1A"), F.when(low.rlike("ing"), "7"), F.when(low.rlike("ó|é"), "1")))).alias("sections"))
-
-
-@query("doc_class_predicates", r"SELECT page_id, regexp_matches(lower(url), '\.html') AS annual, regexp_matches(lower(html), 'proxy') AS proxy, len(regexp_extract_all(lower(html), '<p>'))::BIGINT AS items, len(regexp_extract_all(lower(html), '<p>')) >= 5 AS body FROM pages")
-def doc_class_predicates(t):
-    n = F.regexp_count(F.lower("html"), F.lit("<p>")).cast("long")
-    return t.pages.select("page_id", F.lower("url").rlike(r"\.html").alias("annual"), F.lower("html").rlike("proxy").alias("proxy"), n.alias("items"), (n >= 5).alias("body"))
-
-
 @query("https_upgrade", f"SELECT page_id, CASE WHEN {_HOST} LIKE '%.example.com' THEN regexp_replace(url, '^http://', 'https://') ELSE url END AS url FROM pages")
 def https_upgrade(t):
     return t.pages.select("page_id", F.when(urls.host("url").endswith(".example.com"), F.regexp_replace("url", "^http://", "https://")).otherwise(F.col("url")).alias("url"))
@@ -192,12 +133,6 @@ def array_merge_manual(t):
     return t.nation.select("n_nationkey", F.array_join(F.array_distinct(F.concat(F.array(F.lower("n_name")), F.array(F.col("n_regionkey").cast("string"), F.lit("manual")), F.array(F.lower("n_name")))), ",").alias("merged"))
 
 
-@query("announcement_filter", f"SELECT host, title FROM (SELECT host, title, row_number() OVER (PARTITION BY host ORDER BY first) AS rn FROM (SELECT {_HOST} AS host, lower({_TITLE}) AS title, min(page_id) AS first FROM pages GROUP BY 1, 2) WHERE regexp_matches(title, 'th') AND NOT regexp_matches(title, 'summary|withdrawn|casino')) WHERE rn <= 3")
-def announcement_filter(t):
-    rows = candidates(t).groupBy(urls.host("url").alias("host"), F.lower("title").alias("title")).agg(F.min("page_id").alias("first")).where(F.col("title").rlike("th") & ~F.col("title").rlike("summary|withdrawn|casino"))
-    return jobs.cap_per_group(rows, ["host"], ["first"], 3).select("host", "title")
-
-
 @query("parent_name", r"SELECT c_custkey, regexp_replace(c_name || CASE c_custkey % 3 WHEN 0 THEN ' Ltd' WHEN 1 THEN ' Inc.' ELSE '' END, '\s+(inc\.?|ltd|plc|corp)$', '', 'i') AS name FROM customer")
 def parent_name(t):
     k = F.col("c_custkey") % 3
@@ -210,18 +145,6 @@ def page_challenge(t):
     return t.pages.select("page_id", (top.contains("captcha") | top.contains("cookie")).alias("challenge"), (F.substring(F.lower("html"), 1, 6000).contains("enable javascript") | (F.length("html") < 400)).alias("shell"))
 
 
-@query("entity_match", f"WITH {_RANK_SQL} SELECT page_id, least(100, CASE WHEN contains(host, 'example.com') THEN 40 ELSE 0 END + CASE WHEN contains(n, 'the') THEN 30 ELSE 0 END + CASE WHEN regexp_matches(n, '\\bof\\b') THEN 20 ELSE 0 END + 10) AS score FROM r")
-def entity_match(t):
-    name = F.lower("title")
-    return candidates(t).select("page_id", F.least(F.lit(100), F.when(urls.host("url").contains("example.com"), 40).otherwise(0) + F.when(name.contains("the"), 30).otherwise(0) + F.when(name.rlike(r"(?<![A-Za-z0-9_])of(?![A-Za-z0-9_])"), 20).otherwise(0) + 10).alias("score"))
-
-
-@query("domain_verify", f"SELECT page_id, CASE WHEN regexp_matches({_HOST}, 'casino') THEN 'alias' WHEN regexp_matches({_HOST}, 'th') THEN 'name' WHEN regexp_matches({_HOST}, 'tion') THEN 'canonical' ELSE 'none' END AS verified FROM pages")
-def domain_verify(t):
-    host = urls.host("url")
-    return t.pages.select("page_id", F.when(host.rlike("casino"), "alias").when(host.rlike("th"), "name").when(host.rlike("tion"), "canonical").otherwise("none").alias("verified"))
-
-
 @query("registry_status", "WITH s AS (SELECT user_id, max(value) AS best FROM events WHERE event_type = 'view' GROUP BY user_id) SELECT user_id, CASE WHEN best >= 50 THEN 'matched' WHEN best >= 25 THEN 'ambiguous' ELSE 'none' END AS status FROM s")
 def registry_status(t):
     s = t.events.where("event_type = 'view'").groupBy("user_id").agg(F.max("value").alias("best"))
@@ -235,13 +158,6 @@ def platform_zero_reason(t):
     return e.select("user_id", F.when(F.col("used") > 0, "scored").when(F.col("found") == 0, "not-found").when(F.col("dead") >= F.col("found"), "fetch-failed").otherwise("no-evidence").alias("reason"))
 
 
-@query("query_expand", "WITH g AS (SELECT n_nationkey, n_name || ' ' || s AS q, p FROM nation, (VALUES ('annual report', 1), ('proxy statement', 2), ('sustainability report', 3), ('annual report', 4)) v(s, p)), d AS (SELECT n_nationkey, lower(q) AS q, min(p) AS p FROM g GROUP BY 1, 2) SELECT n_nationkey, q, p FROM (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY p, q) AS rn FROM d) WHERE rn <= 40")
-def query_expand(t):
-    kinds = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(p).alias("p")) for s, p in (("annual report", 1), ("proxy statement", 2), ("sustainability report", 3), ("annual report", 4))])
-    rows = t.nation.select("n_nationkey", "n_name", F.explode(kinds).alias("k")).groupBy("n_nationkey", F.lower(F.concat_ws(" ", "n_name", "k.s")).alias("q")).agg(F.min("k.p").alias("p"))
-    return jobs.cap_per_group(rows, ["n_nationkey"], ["p", "q"], 40)
-
-
 @query("corpus_snapshot", "SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 4 = 0 UNION ALL SELECT o_custkey, o_orderkey FROM orders o WHERE o_orderstatus = 'O' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 4 = 0)")
 def corpus_snapshot(t):
     frozen = t.orders.where("o_orderstatus = 'F' AND o_custkey % 4 = 0").select("o_custkey", "o_orderkey")

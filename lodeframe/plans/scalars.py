@@ -31,11 +31,6 @@ def fn_regdomain_sql(t):
     return t.pages.select("page_id", urls.registrable_by_pattern(urls.host("url")).alias("domain"))
 
 
-@query("fn_regdomain_set", rf"WITH h AS (SELECT page_id, string_split({_HOST}, '.') AS l FROM pages) SELECT page_id, CASE WHEN array_to_string(l[-2:], '.') IN ('example.com', 'example.org') THEN array_to_string(l[greatest(len(l) - 2, 1):], '.') ELSE array_to_string(l[-2:], '.') END AS domain FROM h")
-def fn_regdomain_set(t):
-    return t.pages.select("page_id", urls.registrable_by_set(urls.host("url")).alias("domain"))
-
-
 @query("fn_norm_domain", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z]+://', ''), '[/?#:].*$', ''), '^www\.', ''), '\.$', '') AS domain FROM pages")
 def fn_norm_domain(t):
     return t.pages.select("page_id", urls.domain("url").alias("domain"))
@@ -68,17 +63,6 @@ def _filing():
     return F.concat(F.lit("/"), pad(1000, 10), tail)
 
 
-@query(
-    "fn_filing_year",
-    f"""WITH f AS (SELECT o_orderkey, {_FILING} AS f FROM orders)
-    SELECT o_orderkey, coalesce(try_cast('20' || nullif(regexp_extract(f, '[0-9]{{10}}-([0-9]{{2}})-[0-9]{{6}}', 1), '') AS INT), try_cast(nullif(regexp_extract(f, '-((?:19|20)[0-9]{{2}})[01][0-9][0-3][0-9]', 1), '') AS INT), try_cast(nullif(regexp_extract(f, ' ((?:19|20)[0-9]{{2}})', 1), '') AS INT)) AS year FROM f""",
-)
-def fn_filing_year(t):
-    rows = t.orders.select("o_orderkey", _filing().alias("f"))
-    pick = lambda p: F.nullif(F.regexp_extract("f", p, 1), F.lit(""))
-    return rows.select("o_orderkey", F.coalesce(F.concat(F.lit("20"), pick("[0-9]{10}-([0-9]{2})-[0-9]{6}")), pick("-((?:19|20)[0-9]{2})[01][0-9][0-3][0-9]"), pick(" ((?:19|20)[0-9]{2})")).try_cast("int").alias("year"))
-
-
 @query("fn_accession_ids", f"WITH f AS (SELECT o_orderkey, {_FILING} AS f FROM orders) SELECT o_orderkey, replace(id, '-', '') AS id FROM (SELECT o_orderkey, unnest(list_distinct(regexp_extract_all(f, '([0-9]{{10}}-[0-9]{{2}}-[0-9]{{6}}|[0-9]{{18}})', 1))) AS id FROM f)")
 def fn_accession_ids(t):
     rows = t.orders.select("o_orderkey", _filing().alias("f"))
@@ -86,30 +70,6 @@ def fn_accession_ids(t):
     return rows.select("o_orderkey", F.explode(ids).alias("id"))
 
 
-@query("fn_filing_date", f"WITH f AS (SELECT o_orderkey, {_FILING} AS f FROM orders), d AS (SELECT o_orderkey, nullif(regexp_extract(f, '((?:19|20)[0-9]{{6}})', 1), '') AS d FROM f) SELECT o_orderkey, d AS filed FROM d WHERE try_strptime(d, '%Y%m%d') IS NOT NULL")
-def fn_filing_date(t):
-    rows = t.orders.select("o_orderkey", F.nullif(F.regexp_extract(_filing(), "((?:19|20)[0-9]{6})", 1), F.lit("")).alias("filed"))
-    return rows.where(F.try_to_timestamp("filed", F.lit("yyyyMMdd")).isNotNull())
-
-
-@query("fn_form_key", "SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), 'standard') THEN '10-K' WHEN regexp_matches(lower(p_type), 'small') THEN '20-F' WHEN regexp_matches(lower(p_type), 'promo|economy') THEN 'proxy' WHEN regexp_matches(lower(p_type), 'large') THEN 'annual' ELSE 'other' END AS form FROM part")
-def fn_form_key(t):
-    kind = F.lower("p_type")
-    return t.part.select("p_partkey", F.when(kind.rlike("standard"), "10-K").when(kind.rlike("small"), "20-F").when(kind.rlike("promo|economy"), "proxy").when(kind.rlike("large"), "annual").otherwise("other").alias("form"))
-
-
-@query("fn_doc_tier", rf"SELECT page_id, CASE WHEN regexp_matches(lower(url), 'casino|/tag/') THEN 4 WHEN regexp_matches(lower(url), '\.pdf|\.html') THEN 1 WHEN regexp_matches({_HOST}, '\.org$') THEN 2 ELSE 3 END AS tier FROM pages")
-def fn_doc_tier(t):
-    url = F.lower("url")
-    return t.pages.select("page_id", F.when(url.rlike("casino|/tag/"), 4).when(url.rlike(r"\.pdf|\.html"), 1).when(urls.host("url").rlike(r"\.org$"), 2).otherwise(3).alias("tier"))
-
-
-@query("fn_source_types", rf"SELECT page_id, concat_ws(',', CASE WHEN url LIKE '%.html%' THEN 'filing' END, CASE WHEN url LIKE '%/en/%' THEN 'press' END, CASE WHEN ends_with({_HOST}, '.org') THEN 'registry' END) AS kinds FROM pages")
-def fn_source_types(t):
-    kinds = F.array_compact(F.array(F.when(F.col("url").contains(".html"), "filing"), F.when(F.col("url").contains("/en/"), "press"), F.when(urls.host("url").endswith(".org"), "registry")))
-    return t.pages.select("page_id", F.array_join(kinds, ",").alias("kinds"))
-
-
 @query("fn_cite_class", rf"SELECT page_id, CASE WHEN url IS NULL OR url = '' THEN 'none' WHEN regexp_matches({_HOST}, 'example\.org$') THEN 'regulator' WHEN regexp_matches({_HOST}, 'example\.com$') THEN 'issuer' WHEN regexp_matches(url, '\?') THEN 'secondary' ELSE 'unknown' END AS class FROM pages")
 def fn_cite_class(t):
     host = urls.host("url")
@@ -127,37 +87,6 @@ def fn_regex_escape_alternation(t):
     return rows.select("doc_id", F.regexp_count("text", F.lit(text.topic_pattern(["of", "the", "and the"]))).cast("long").alias("hits"))
 
 
-@query("fn_aliases", "SELECT n_nationkey, upper(array_to_string(list_transform(string_split(n_name || ' North Co', ' '), lambda w: substr(w, 1, 1)), '')) AS initials, lower(replace(n_name || ' North Co', ' ', '')) AS joined FROM nation")
-def fn_aliases(t):
-    name = F.concat("n_name", F.lit(" North Co"))
-    return t.nation.select("n_nationkey", F.upper(F.array_join(F.transform(F.split(name, " "), lambda w: F.substring(w, 1, 1)), "")).alias("initials"), F.lower(F.replace(name, F.lit(" "), F.lit(""))).alias("joined"))
-
-
-@query("fn_acronym_corroborate", "SELECT n_nationkey, CASE WHEN length(n_name) > 4 THEN 'high' WHEN contains('arc,chin,usa', lower(substr(n_name, 1, 3))) THEN 'medium' ELSE 'low' END AS confidence FROM nation")
-def fn_acronym_corroborate(t):
-    return t.nation.select("n_nationkey", F.when(F.length("n_name") > 4, "high").when(F.lit("arc,chin,usa").contains(F.lower(F.substring("n_name", 1, 3))), "medium").otherwise("low").alias("confidence"))
-
-
-@query("fn_country_languages", "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' ELSE 'English' END AS language FROM documents")
-def fn_country_languages(t):
-    names = F.create_map(*[F.lit(x) for x in ("en", "English", "fr", "French", "de", "German", "es", "Spanish")])
-    return t.documents.select("doc_id", F.coalesce(F.try_element_at(names, "lang"), F.lit("English")).alias("language"))
-
-
-@query(
-    "fn_non_english",
-    rf"""WITH s AS (SELECT doc_id, lower(substr(text, 1, 4000)) AS s FROM documents), w AS (SELECT doc_id, s, list_filter(regexp_split_to_array(s, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS ws FROM s)
-    SELECT doc_id, (length(s) - length(regexp_replace(s, '[{text.ACCENTED}]', '', 'g'))) >= 0.1 * length(s) AND length(s) > 0 OR (len(ws) >= 8 AND len(list_filter(ws, lambda x: list_contains(string_split('{text.FOREIGN}', ' '), x))) >= 0.12 * len(ws)) AS foreign_text FROM w""",
-)
-def fn_non_english(t):
-    return t.documents.select("doc_id", text.non_english("text").alias("foreign_text"))
-
-
-@query("fn_lang_ratio", f"SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 0 ELSE len(regexp_extract_all(lower(text), '[{text.ACCENTED}]')) / length(text) END, 6)::DOUBLE AS ratio FROM documents")
-def fn_lang_ratio(t):
-    return t.documents.select("doc_id", F.round(text.share_of(F.lower("text"), text.ACCENTED), 6).alias("ratio"))
-
-
 _CJK_VALUES = "(VALUES (1, '年度报告 annual'), (2, '株'), (3, 'plain text'), (4, '持続可能性 と 気候')) v(id, s)"
 
 
@@ -332,5 +261,4 @@ def fn_required_sources_satisfied(t):
     return rows.select("user_id", F.arrays_overlap("kinds", F.array(F.lit("purchase"), F.lit("error"))).alias("satisfied"))
 
 
-alias("fn_filing_type", "fn_form_key")
 alias("cjk_bigrams", "fn_cjk_bigrams")

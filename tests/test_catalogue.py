@@ -3,6 +3,7 @@
 import math
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 from lodeframe.plans import catalogue
@@ -23,7 +24,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or value != value or str(value) in ("NaT", "<NA>"):
+    if pd.api.types.is_scalar(value) and pd.isna(value):
         return "~"
     if isinstance(value, str):
         return value
