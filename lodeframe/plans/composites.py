@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import urls
 from ..operators import jobs, ranking
-from .registry import alias, query
+from .registry import query
 
 _HOST = r"lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1))"
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -39,6 +39,22 @@ def rank_signals(t):
     return ranking.components(candidates(t), _PARAMS, size="bytes").select("page_id", "authority", F.round("fine_score", 6).alias("fine_score"), "url_sha1")
 
 
+# the parts of the score that are functions of their own
+@query("fn_recency_weight", f"WITH {_RANK_SQL} SELECT page_id, c2 AS weight FROM r")
+def fn_recency_weight(t):
+    return ranking.components(candidates(t), _PARAMS, size="bytes").select("page_id", F.col("recency").alias("weight"))
+
+
+@query("fn_size_bonus", f"WITH {_RANK_SQL} SELECT page_id, round(c7, 9) AS bonus FROM r")
+def fn_size_bonus(t):
+    return ranking.components(candidates(t), _PARAMS, size="bytes").select("page_id", F.round("size", 9).alias("bonus"))
+
+
+@query("fn_path_discriminator", f"WITH {_RANK_SQL} SELECT page_id, round(c9, 9) AS d FROM r")
+def fn_path_discriminator(t):
+    return ranking.components(candidates(t), _PARAMS, size="bytes").select("page_id", F.round("path", 9).alias("d"))
+
+
 @query(
     "neardup_collapse",
     f"""WITH {_RANK_SQL}, g AS (SELECT *, CASE WHEN regexp_matches(s, '10-?k\\b|10k\\b') THEN '10-K' WHEN regexp_matches(s, '20-?f\\b') THEN '20-F' WHEN regexp_matches(s, '40-?f\\b') THEN '40-F' WHEN regexp_matches(s, 'def.?14a|proxy') THEN 'proxy' WHEN regexp_matches(s, 'annual.?report|integrated.?report') THEN 'annual' ELSE 'other' END AS form,
@@ -69,13 +85,6 @@ def recency_gate(t):
     return jobs.cap_per_group(rows, ["o_custkey", "o_orderstatus"], [F.year("o_orderdate").desc(), F.col("o_orderkey")], 2, exempt=F.col("o_orderstatus") == "P").select("o_orderkey")
 
 
-@query("coverage_metric", "WITH f AS (SELECT user_id, bool_or(event_type = 'purchase') AS a, bool_or(event_type = 'signup') AS p, bool_or(event_type = 'error') AS g, count(*) FILTER (WHERE event_type = 'view') AS t1, count(*) FILTER (WHERE event_type = 'click') AS t2 FROM events WHERE event_id % 7 = 0 GROUP BY user_id) SELECT user_id, t1, t2, CASE WHEN a AND p AND g THEN 'full' WHEN a OR p THEN 'adequate' WHEN t1 > 0 OR t2 >= 3 THEN 'low' ELSE 'minimal' END AS level FROM f")
-def coverage_metric(t):
-    has, n = lambda k: F.bool_or(F.col("event_type") == k), lambda k: F.count_if(F.col("event_type") == k)
-    f = t.events.where("event_id % 7 = 0").groupBy("user_id").agg(has("purchase").alias("a"), has("signup").alias("p"), has("error").alias("g"), n("view").alias("t1"), n("click").alias("t2"))
-    return f.select("user_id", "t1", "t2", F.when(F.expr("a AND p AND g"), "full").when(F.expr("a OR p"), "adequate").when(F.expr("t1 > 0 OR t2 >= 3"), "low").otherwise("minimal").alias("level"))
-
-
 # ---------------------------------------------------------------- hosts and domains
 
 _DOMAIN = r"regexp_extract(regexp_replace(" + _HOST + r", '^www\.', ''), '([^.]+\.[^.]+)$', 1)"
@@ -112,22 +121,6 @@ def corpus_fingerprint(t):
     return t.pages.groupBy(urls.host("url").alias("host")).agg(F.sha1(F.array_join(F.array_sort(F.collect_list("url")), "\n")).alias("h"))
 
 
-@query("registry_lane_filter", "SELECT event_id, CASE WHEN value >= 50 THEN 'matched' WHEN value >= 25 THEN 'ambiguous' ELSE 'other' END AS status, CASE WHEN value < 25 THEN -100 ELSE 0 END AS priority FROM events WHERE NOT (value >= 25 AND value < 40)")
-def registry_lane_filter(t):
-    v = F.col("value")
-    return t.events.where(~((v >= 25) & (v < 40))).select("event_id", F.when(v >= 50, "matched").when(v >= 25, "ambiguous").otherwise("other").alias("status"), F.when(v < 25, -100).otherwise(0).alias("priority"))
-
-
-@query("cache_validity", "SELECT event_id, event_type <> 'error' AND ts >= TIMESTAMP '2024-02-05' - INTERVAL 30 DAYS AS usable FROM events")
-def cache_validity(t):
-    return t.events.select("event_id", ((F.col("event_type") != "error") & (F.col("ts") >= F.expr("TIMESTAMP_NTZ '2024-02-05 00:00:00' - INTERVAL 30 DAYS"))).alias("usable"))
-
-
-@query("domain_precedence", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 5 = 0 THEN 'report' END, CASE WHEN c_custkey % 3 = 0 THEN 'directory' END, CASE WHEN c_acctbal > 0 THEN 'cached' END, 'explicit') AS domain FROM customer")
-def domain_precedence(t):
-    return t.customer.select("c_custkey", F.coalesce(F.when(F.col("c_custkey") % 5 == 0, "report"), F.when(F.col("c_custkey") % 3 == 0, "directory"), F.when(F.col("c_acctbal") > 0, "cached"), F.lit("explicit")).alias("domain"))
-
-
 @query("array_merge_manual", "WITH x AS (SELECT n_nationkey, [lower(n_name), n_regionkey::VARCHAR, 'manual', lower(n_name)] AS l FROM nation) SELECT n_nationkey, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), ',') AS merged FROM x")
 def array_merge_manual(t):
     return t.nation.select("n_nationkey", F.array_join(F.array_distinct(F.concat(F.array(F.lower("n_name")), F.array(F.col("n_regionkey").cast("string"), F.lit("manual")), F.array(F.lower("n_name")))), ",").alias("merged"))
@@ -139,25 +132,6 @@ def parent_name(t):
     return t.customer.select("c_custkey", F.regexp_replace(F.concat("c_name", F.when(k == 0, " Ltd").when(k == 1, " Inc.").otherwise("")), r"(?i)\s+(inc\.?|ltd|plc|corp)$", "").alias("name"))
 
 
-@query("page_challenge", "SELECT page_id, contains(substr(lower(html), 1, 4000), 'captcha') OR contains(substr(lower(html), 1, 4000), 'cookie') AS challenge, contains(substr(lower(html), 1, 6000), 'enable javascript') OR length(html) < 400 AS shell FROM pages")
-def page_challenge(t):
-    top = F.substring(F.lower("html"), 1, 4000)
-    return t.pages.select("page_id", (top.contains("captcha") | top.contains("cookie")).alias("challenge"), (F.substring(F.lower("html"), 1, 6000).contains("enable javascript") | (F.length("html") < 400)).alias("shell"))
-
-
-@query("registry_status", "WITH s AS (SELECT user_id, max(value) AS best FROM events WHERE event_type = 'view' GROUP BY user_id) SELECT user_id, CASE WHEN best >= 50 THEN 'matched' WHEN best >= 25 THEN 'ambiguous' ELSE 'none' END AS status FROM s")
-def registry_status(t):
-    s = t.events.where("event_type = 'view'").groupBy("user_id").agg(F.max("value").alias("best"))
-    return s.select("user_id", F.when(F.col("best") >= 50, "matched").when(F.col("best") >= 25, "ambiguous").otherwise("none").alias("status"))
-
-
-@query("platform_zero_reason", "WITH e AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS found, count(*) FILTER (WHERE event_type = 'error') AS dead, count(*) FILTER (WHERE event_type = 'purchase') AS used FROM events WHERE event_id % 13 = 0 GROUP BY user_id) SELECT user_id, CASE WHEN used > 0 THEN 'scored' WHEN found = 0 THEN 'not-found' WHEN dead >= found THEN 'fetch-failed' ELSE 'no-evidence' END AS reason FROM e")
-def platform_zero_reason(t):
-    n = lambda k: F.count_if(F.col("event_type") == k)
-    e = t.events.where("event_id % 13 = 0").groupBy("user_id").agg(n("view").alias("found"), n("error").alias("dead"), n("purchase").alias("used"))
-    return e.select("user_id", F.when(F.col("used") > 0, "scored").when(F.col("found") == 0, "not-found").when(F.col("dead") >= F.col("found"), "fetch-failed").otherwise("no-evidence").alias("reason"))
-
-
 @query("corpus_snapshot", "SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 4 = 0 UNION ALL SELECT o_custkey, o_orderkey FROM orders o WHERE o_orderstatus = 'O' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 4 = 0)")
 def corpus_snapshot(t):
     frozen = t.orders.where("o_orderstatus = 'F' AND o_custkey % 4 = 0").select("o_custkey", "o_orderkey")
@@ -180,4 +154,3 @@ def dedup_company_import(t):
     return t.customer.join(a, (F.col("k") == F.col("c_custkey")) & (F.col("c_custkey") % 2 == 0), "left").join(b, F.col("n") == F.col("c_name"), "left").select("c_custkey", F.coalesce("x", "y", "c_acctbal").alias("balance"))
 
 
-alias("page_js_shell", "page_challenge")

@@ -77,7 +77,7 @@ p3 AS (SELECT *, list_filter(every, lambda a, i: list_position(every, a) = i AND
 profile AS (SELECT c_custkey, p3.* FROM customer JOIN p3 ON c_custkey % {len(PROFILES)} = k)"""
 _FILL = lambda x: f"replace(replace(replace(replace(replace({x}, '{{c}}', o_custkey::VARCHAR), '{{y}}', year(o_orderdate)::VARCHAR), '{{s}}', p0.stem), '{{a}}', lpad(o_orderkey::VARCHAR, 18, '0')), '{{d}}', strftime(o_orderdate, '%Y%m%d'))"
 _FOUND_SQL = f"""{_PROFILE_SQL}, tpl(i, u, n) AS (VALUES {', '.join(f'({i}, {quoted(u)}, {quoted(n)})' for i, (u, n) in enumerate(DOCUMENTS))}),
-found AS (SELECT o_orderkey, o_custkey AS c_custkey, {_FILL('u')} AS url, {_FILL('n')} AS title, CASE o_custkey % 3 WHEN 0 THEN '10-K/A' WHEN 1 THEN '10-Q' ELSE 'DEF 14A' END AS form, p0.stem || '.com' AS own
+found AS (SELECT o_orderkey, o_custkey AS c_custkey, {_FILL('u')} AS url, {_FILL('n')} AS title, CASE o_custkey % 3 WHEN 0 THEN '10-K/A' WHEN 1 THEN '10-Q' ELSE 'DEF 14A' END AS form, p0.stem || '.com' AS own, o_orderstatus = 'F' AS dead, floor(o_totalprice / 10)::BIGINT AS chars
           FROM orders JOIN tpl ON o_orderkey % {len(DOCUMENTS)} = i JOIN p0 ON o_custkey % {len(PROFILES)} = k),
 doc AS (SELECT *, lower(url || ' ' || title) AS s, lower(url) AS low, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS host FROM found)"""
 
@@ -101,7 +101,7 @@ def found(t):
         return x
 
     k = F.col("o_custkey") % 3
-    return rows.select("o_orderkey", F.col("o_custkey").alias("c_custkey"), fill(F.col("u")).alias("url"), fill(F.col("n")).alias("title"), F.when(k == 0, "10-K/A").when(k == 1, "10-Q").otherwise("DEF 14A").alias("form"), F.concat("stem", F.lit(".com")).alias("own"))
+    return rows.select("o_orderkey", F.col("o_custkey").alias("c_custkey"), fill(F.col("u")).alias("url"), fill(F.col("n")).alias("title"), F.when(k == 0, "10-K/A").when(k == 1, "10-Q").otherwise("DEF 14A").alias("form"), F.concat("stem", F.lit(".com")).alias("own"), (F.col("o_orderstatus") == "F").alias("dead"), F.floor(F.col("o_totalprice") / 10).alias("chars"))
 
 
 
@@ -331,19 +331,24 @@ _BODY_SQL = "lower(title || ' ' || CASE WHEN o_orderkey % 2 = 0 THEN name ELSE u
 _COUNT = lambda a: f"len(list_filter({a}, lambda w: contains(body, w)))"
 
 
-@query(
-    "entity_match",
-    f"""WITH {_FOUND_SQL}, e AS (SELECT o_orderkey, low, profile.*, {_BODY_SQL} AS body, {_SPLIT('name', _NARROW, 3, issuers.ENTITY_WORDS)} AS legal, {_SPLIT('listed', _NARROW, 3, issuers.ENTITY_WORDS)} AS other FROM doc JOIN profile USING (c_custkey)),
+_ENTITY_SQL = f"""e AS (SELECT o_orderkey, doc.low, profile.*, {_BODY_SQL} AS body, host, {_SPLIT('name', _NARROW, 3, issuers.ENTITY_WORDS)} AS legal, {_SPLIT('listed', _NARROW, 3, issuers.ENTITY_WORDS)} AS other FROM doc JOIN profile USING (c_custkey)),
     s AS (SELECT *, CASE WHEN contains(low, stem || '.com') THEN 40 ELSE 0 END + CASE WHEN len(legal) > 0 AND {_COUNT('legal')} >= 0.5 * len(legal) THEN 25 WHEN len(legal) > 0 AND {_COUNT('legal')} >= 1 THEN 10 ELSE 0 END + CASE WHEN {_COUNT('other')} >= 1 THEN 15 ELSE 0 END
-      + CASE WHEN ticker <> '' AND contains(body, lower(ticker)) THEN 10 ELSE 0 END + CASE WHEN isin <> '' AND contains(body, lower(isin)) THEN 20 ELSE 0 END + CASE WHEN {_COUNT('list_filter(aliases, lambda a: length(a) >= 5)')} > 0 THEN 10 ELSE 0 END AS total FROM e)
-    SELECT o_orderkey, least(100, total) AS score, total = 0 AND {_COUNT('list_filter(aliases, lambda a: length(a) <= 4)')} > 0 AS ambiguous, total < 20 AS rejected FROM s""",
-)
-def entity_match(t):
+      + CASE WHEN ticker <> '' AND contains(body, lower(ticker)) THEN 10 ELSE 0 END + CASE WHEN isin <> '' AND contains(body, lower(isin)) THEN 20 ELSE 0 END + CASE WHEN {_COUNT('list_filter(aliases, lambda a: length(a) >= 5)')} > 0 THEN 10 ELSE 0 END AS total FROM e),
+entity AS (SELECT o_orderkey, c_custkey, host, least(100, total) AS score, total = 0 AND {_COUNT('list_filter(aliases, lambda a: length(a) <= 4)')} > 0 AS ambiguous, total < 20 AS rejected FROM s)"""
+
+
+def entities(t):
+    """How well each document matches its company."""
     rows = found(t).join(profiles(t), "c_custkey")
     body = F.concat("title", F.lit(" "), F.when(F.col("o_orderkey") % 2 == 0, F.col("name")).otherwise(F.concat(F.upper(F.try_element_at("aliases", F.lit(1))), F.lit(" "), "isin")))
     aliases = lambda test: F.filter("aliases", lambda a: test(F.length(a)))
     got = issuers.entity_score(F.col("url"), body, F.array(F.concat("stem", F.lit(".com"))), F.col("name"), F.col("listed"), F.col("ticker"), F.col("isin"), aliases(lambda n: n >= 5), aliases(lambda n: n <= 4))
-    return rows.select("o_orderkey", got.alias("m")).select("o_orderkey", "m.*")
+    return rows.select("o_orderkey", "c_custkey", urls.host("url").alias("host"), got.alias("m")).select("o_orderkey", "c_custkey", "host", "m.*")
+
+
+@query("entity_match", f"WITH {_FOUND_SQL}, {_ENTITY_SQL} SELECT o_orderkey, score, ambiguous, rejected FROM entity")
+def entity_match(t):
+    return entities(t).drop("c_custkey", "host")
 
 
 _KEYWORDS, _TOPICS = ["net zero target", "scope 3", "carbon price", "supplier audit"], ["climate transition", "気候変動", "Klimaneutralität"]

@@ -70,12 +70,6 @@ def fn_accession_ids(t):
     return rows.select("o_orderkey", F.explode(ids).alias("id"))
 
 
-@query("fn_cite_class", rf"SELECT page_id, CASE WHEN url IS NULL OR url = '' THEN 'none' WHEN regexp_matches({_HOST}, 'example\.org$') THEN 'regulator' WHEN regexp_matches({_HOST}, 'example\.com$') THEN 'issuer' WHEN regexp_matches(url, '\?') THEN 'secondary' ELSE 'unknown' END AS class FROM pages")
-def fn_cite_class(t):
-    host = urls.host("url")
-    return t.pages.select("page_id", F.when(F.col("url").isNull() | (F.col("url") == ""), "none").when(host.rlike(r"example\.org$"), "regulator").when(host.rlike(r"example\.com$"), "issuer").when(F.col("url").rlike(r"\?"), "secondary").otherwise("unknown").alias("class"))
-
-
 @query("fn_norm_text_quote", r"""SELECT item_id, lower(trim(regexp_replace(regexp_replace(translate(text, '‘’“”–—' || chr(160), '''''""-- '), '[.,;:!?''"()\[\]]', '', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'))) AS k FROM benchmark""")
 def fn_norm_text_quote(t):
     return t.benchmark.select("item_id", text.normal_quote("text").alias("k"))
@@ -161,31 +155,6 @@ def fn_stale_interval(t):
     return t.events.where(seen < F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00' - INTERVAL 45 MINUTES")).select("event_id")
 
 
-# Weights by age in years.
-_AGES = ((1, 10.0), (2, 8.0), (3, 5.0), (4, 3.0), (5, 1.5))
-
-
-@query("fn_recency_weight", "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '5%' THEN 1.5 WHEN 1998 - year(o_orderdate) <= 1 THEN 10.0 WHEN 1998 - year(o_orderdate) <= 2 THEN 8.0 WHEN 1998 - year(o_orderdate) <= 3 THEN 5.0 WHEN 1998 - year(o_orderdate) <= 4 THEN 3.0 WHEN 1998 - year(o_orderdate) <= 5 THEN 1.5 ELSE 0.0 END::DOUBLE AS weight FROM orders")
-def fn_recency_weight(t):
-    age, weight = 1998 - F.year("o_orderdate"), F.when(F.col("o_orderpriority").startswith("5"), 1.5)
-    for most, w in _AGES:
-        weight = weight.when(age <= most, w)
-    return t.orders.select("o_orderkey", weight.otherwise(0.0).alias("weight"))
-
-
-@query("fn_size_bonus", "SELECT page_id, round(CASE WHEN strlen(html) <= 1024 THEN 0 ELSE least(2.0, 0.2 * ln(strlen(html) / 1024.0)) END, 9)::DOUBLE AS bonus FROM pages")
-def fn_size_bonus(t):
-    n = F.octet_length("html")
-    return t.pages.select("page_id", F.round(F.when(n <= 1024, 0.0).otherwise(F.least(F.lit(2.0), 0.2 * F.ln(n / 1024.0))), 9).alias("bonus"))
-
-
-@query("fn_path_discriminator", "SELECT page_id, round(0.6 * least(length(url), 100) / 100.0 + 0.4 * least(len(string_split(url, '/')), 10) / 10.0 + 0.2 * ('0x' || substr(sha1(url), 1, 4))::INT / 65535.0, 9)::DOUBLE AS d FROM pages")
-def fn_path_discriminator(t):
-    jitter = F.conv(F.substring(F.sha1("url"), 1, 4), 16, 10).cast("double") / 65535.0
-    d = 0.6 * F.least(F.length("url"), F.lit(100)) / 100.0 + 0.4 * F.least(F.size(F.split("url", "/")), F.lit(10)) / 10.0 + 0.2 * jitter
-    return t.pages.select("page_id", F.round(d, 9).alias("d"))
-
-
 @query("fn_js_round", "SELECT c_custkey, floor(c_acctbal + 0.5)::BIGINT AS r FROM customer")
 def fn_js_round(t):
     return t.customer.select("c_custkey", text.js_round(F.col("c_acctbal")).cast("long").alias("r"))

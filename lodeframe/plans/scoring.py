@@ -58,12 +58,6 @@ def ensemble_merge(t):
     )
 
 
-@query("abstain_gate", "SELECT user_id, NOT bool_or(event_type IN ('purchase', 'signup')) AS abstain, count(DISTINCT event_type) AS kinds FROM events WHERE event_id % 5 = 0 GROUP BY user_id")
-def abstain_gate(t):
-    rows = t.events.where("event_id % 5 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
-    return rows.select("user_id", (~F.arrays_overlap("k", F.array(F.lit("purchase"), F.lit("signup")))).alias("abstain"), F.size("k").cast("long").alias("kinds"))
-
-
 @query("coverage_label", f"WITH {M_SQL} SELECT id, CASE WHEN passages >= 3 THEN 'full' WHEN passages >= 1 THEN 'partial' WHEN valid THEN 'low' ELSE 'none' END AS coverage FROM m")
 def coverage_label(t):
     return measures(t).select("id", F.when(F.col("passages") >= 3, "full").when(F.col("passages") >= 1, "partial").when(F.col("valid"), "low").otherwise("none").alias("coverage"))
@@ -125,32 +119,6 @@ def zero_reason(t):
     return measures(t).groupBy(F.coalesce(reason, F.lit("scored")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "low_score_reason",
-    """WITH d AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS timeouts, count(*) FILTER (WHERE event_type = 'view') AS verified, count(*) FILTER (WHERE event_type = 'click') AS other, count(*) FILTER (WHERE event_type = 'purchase') AS domains, count(*) AS final FROM events WHERE event_id % 11 = 0 GROUP BY user_id)
-    SELECT user_id, CASE WHEN timeouts > 2 THEN 'timeout' WHEN verified > 0 AND other > 0.5 * verified THEN 'entity-mismatch' WHEN domains = 0 THEN 'no-verified-source' WHEN final <= 3 THEN 'legitimate-thin-disclosure' WHEN final > 10 THEN 'insufficient-evidence' ELSE 'unknown' END AS reason FROM d""",
-)
-def low_score_reason(t):
-    n = lambda k: F.count_if(F.col("event_type") == k)
-    d = t.events.where("event_id % 11 = 0").groupBy("user_id").agg(n("error").alias("timeouts"), n("view").alias("verified"), n("click").alias("other"), n("purchase").alias("domains"), F.count("*").alias("final"))
-    return d.select("user_id", F.when(F.col("timeouts") > 2, "timeout").when((F.col("verified") > 0) & (F.col("other") > 0.5 * F.col("verified")), "entity-mismatch").when(F.col("domains") == 0, "no-verified-source").when(F.col("final") <= 3, "legitimate-thin-disclosure").when(F.col("final") > 10, "insufficient-evidence").otherwise("unknown").alias("reason"))
-
-
-@query("force_invariant", f"WITH {M_SQL} SELECT company, count(*) AS broken FROM m WHERE valid AND passages = 0 GROUP BY company")
-def force_invariant(t):
-    return measures(t).where(F.col("valid") & (F.col("passages") == 0)).groupBy("company").agg(F.count("*").alias("broken"))
-
-
-@query(
-    "reexam_gate",
-    f"""WITH {M_SQL}, s AS (SELECT company, sum(score) AS s, sum(quantity) AS chars, count(*) FILTER (WHERE NOT valid) AS dead, count(*) AS n FROM m WHERE measure = 7 GROUP BY company)
-    SELECT company, (s < 5 AND chars < 2000) OR (n >= 3 AND dead >= 0.5 * n) AS reexamine FROM s""",
-)
-def reexam_gate(t):
-    s = measures(t).where("measure = 7").groupBy("company").agg(F.sum("score").alias("s"), F.sum("quantity").alias("chars"), F.count_if(~F.col("valid")).alias("dead"), F.count("*").alias("n"))
-    return s.select("company", (((F.col("s") < 5) & (F.col("chars") < 2000)) | ((F.col("n") >= 3) & (F.col("dead") >= 0.5 * F.col("n")))).alias("reexamine"))
-
-
 @query(
     "snapshot_build",
     """WITH b AS (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS pos FROM customer LEFT JOIN orders ON o_custkey = c_custkey)
@@ -162,25 +130,6 @@ def snapshot_build(t):
     return built.select("c_custkey", F.posexplode("results").alias("p", "r")).select("c_custkey", (F.col("p") + 1).cast("long").alias("pos"), "r.backfilled", "r.item")
 
 
-@query("fetch_coverage", f"WITH {M_SQL}, f AS (SELECT company, count(*) AS found, count(*) FILTER (WHERE valid) AS fetched, sum(quantity)::BIGINT AS chars, bool_or(NOT valid AND quantity > 48) AS dead_primary FROM m WHERE measure <= 2 GROUP BY company) SELECT company, round(fetched / found, 6)::DOUBLE AS ratio, chars < 5000 AS thin, (fetched < 3 OR fetched < 0.5 * found OR (dead_primary AND fetched < 0.7 * found)) AND chars < 5000 AS low_evidence FROM f")
-def fetch_coverage(t):
-    f = measures(t).where("measure <= 2").groupBy("company").agg(F.count("*").alias("found"), F.count_if("valid").alias("fetched"), F.sum("quantity").alias("chars"), F.bool_or(~F.col("valid") & (F.col("quantity") > 48)).alias("dead"))
-    weak = (F.col("fetched") < 3) | (F.col("fetched") < 0.5 * F.col("found")) | (F.col("dead") & (F.col("fetched") < 0.7 * F.col("found")))
-    return f.select("company", F.round(F.col("fetched") / F.col("found"), 6).alias("ratio"), (F.col("chars") < 5000).alias("thin"), (weak & (F.col("chars") < 5000)).alias("low_evidence"))
-
-
-@query("corpus_validity", "SELECT source, count(*) FILTER (WHERE length(text) >= 200) >= 5 AND bool_or(length(text) >= 200 AND (contains(text, 'tion'))::INT + (contains(text, 'ment'))::INT + (contains(text, 'heit'))::INT >= 2) AS valid FROM documents GROUP BY source")
-def corpus_validity(t):
-    hits = sum((F.col("text").contains(x).cast("int") for x in ("tion", "ment", "heit")), F.lit(0))
-    long = F.length("text") >= 200
-    return t.documents.groupBy("source").agg(((F.count_if(long) >= 5) & F.bool_or(long & (hits >= 2))).alias("valid"))
-
-
-@query("grounding_rate", "SELECT lang, count(*) AS quotes, round(avg(CASE WHEN contains(text, 'the ') THEN 1 ELSE 0 END), 6) AS rate FROM documents GROUP BY lang")
-def grounding_rate(t):
-    return t.documents.groupBy("lang").agg(F.count("*").alias("quotes"), F.round(F.avg(F.col("text").contains("the ").cast("int")), 6).alias("rate"))
-
-
 @query("degraded_flag", "SELECT source, lang, CASE WHEN sum(n_chars) < 5000 THEN 'EMPTY' WHEN sum(n_chars) < 20000 AND count(*) < 10 THEN 'THIN+DEADFETCH' WHEN sum(n_chars) < 20000 THEN 'THIN' ELSE 'OK' END AS flag FROM documents GROUP BY source, lang")
 def degraded_flag(t):
     chars, n = F.sum("n_chars"), F.count("*")
