@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import coverage, filings, issuers
-from ..sources import files
+from ..sources import documents
 from .issuers import _DENIED, _ENTITY_SQL, _FOUND_SQL, _FRAMEWORK, _HIT, _NAME_SQL, _PROFILE_SQL, _TOKENS, entities, found, profiles
 from .registry import query
 from .scans import _HTML_SQL
@@ -181,7 +181,7 @@ def page_challenge(t):
 
 @query("page_js_shell", f"WITH x AS ({_HTML_SQL}) SELECT page_id, {coverage.script_shell_sql('html', 'text')} AS shell FROM pages JOIN x USING (page_id)")
 def page_js_shell(t):
-    return t.pages.select("page_id", coverage.script_shell(F.col("html"), files.html_text("html")).alias("shell"))
+    return t.pages.select("page_id", coverage.script_shell(F.col("html"), documents.main_text(F.col("html"))).alias("shell"))
 
 
 @query("fn_cite_class", f"WITH {_FOUND_SQL} SELECT o_orderkey, {coverage.citation_class_sql('url')} AS class FROM doc")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import jobs
-from ..sources import files, sinks
+from ..sources import documents, files, sinks
 from .registry import query
 
 
@@ -20,66 +20,114 @@ def scan_meta_only(t):
     return t.documents.select("doc_id", "lang", "source", "n_chars")
 
 
-@query("src_csv_quoted", "SELECT * FROM (VALUES ('1', 'a,b', 'x'), ('2', 'say \"hi\"', 'y'), ('3', NULL, 'z')) v(id, name, tag)")
+_NOTE_SQL = "CASE p_size % 3 WHEN 0 THEN p_name || ', \"' || p_brand || '\"' WHEN 1 THEN p_type ELSE NULL END"
+
+
+@query("src_csv_quoted", f"SELECT p_partkey::VARCHAR AS p_partkey, p_name, {_NOTE_SQL} AS note FROM part")
 def src_csv_quoted(t):
-    lines = ['id,name,tag', '1,"a,b", x', '', '2,"say ""hi""",y', '3,,z']
-    return files.csv_lines(t.spark, lines)
+    """Lists written as CSV, with commas and quotes in values, blanks around them, and values that are missing; then read."""
+    k = F.col("p_size") % 3
+    note = F.when(k == 0, F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"'))).when(k == 1, F.col("p_type"))
+    path = sinks.folder(t.spark, "lists")
+    t.part.select("p_partkey", F.concat(F.lit(" "), "p_name", F.lit("  ")).alias("p_name"), note.alias("note")).write.option("header", True).option("escape", '"').csv(path)
+    return files.csv_files(t.spark, path)
 
 
-@query("src_pasted_text", "SELECT * FROM (VALUES (0, 'Alpha'), (1, 'Beta Ltd'), (2, 'Gamma')) v(pos, name)")
-def src_pasted_text(t):
-    return files.pasted(t.spark, "Name\nAlpha\n\n Beta Ltd \nGamma,GM,US")
+@query("src_upload_text", "SELECT doc_id || '.txt' AS path, substr(text, 1, 100000) AS text FROM documents")
+def src_upload_text(t):
+    return documents.texts(t.documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content")))
 
 
-@query("src_json_inline", "SELECT * FROM (VALUES (1, 'a'), (2, NULL)) v(id, name)")
-def src_json_inline(t):
-    return files.json_list(t.spark, '[{"id": 1, "name": "a"}, {"id": 2}]', "id int, name string")
+@query("src_excel", "SELECT n_regionkey || '.xlsx' AS path, n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation")
+def src_excel(t):
+    """A workbook for each region, and the rows of its sheet."""
 
+    @F.udf("binary")
+    def made(rows):
+        return documents.workbook([["N_NationKey", "n_name"], *[[str(r["n_nationkey"]), r["n_name"]] for r in rows]])
 
-@query("src_flex_columns", "SELECT c_custkey, nullif(trim(c_name), '') AS name, nullif(trim(c_mktsegment), '') AS sector FROM customer")
-def src_flex_columns(t):
-    rows = t.customer
-    return rows.select("c_custkey", files.flexible(rows, ["name", "company"]).alias("name"), files.flexible(rows, ["sector", "segment"]).alias("sector"))
+    books = t.nation.groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("rows"))
+    return documents.workbooks(books.select(F.concat(F.col("n_regionkey").cast("string"), F.lit(".xlsx")).alias("path"), made("rows").alias("content")), ["n_nationkey", "n_name"])
 
 
-@query("src_upload_text", "SELECT doc_id, substr(text, 1, 100000) AS text FROM documents")
-def src_upload_text(t):
-    return t.documents.select("doc_id", F.substring("text", 1, 100_000).alias("text"))
+@query("src_pdf_text", "SELECT item_id || '.pdf' AS path, regexp_replace(trim(text, chr(10)), '\n+', chr(10), 'g') AS text FROM benchmark")
+def src_pdf_text(t):
+    """A PDF of each item, and the text of its page."""
+
+    @F.udf("binary")
+    def made(text):
+        return documents.pdf(text)
+
+    return documents.texts(t.benchmark.select(F.concat(F.col("item_id").cast("string"), F.lit(".pdf")).alias("path"), made("text").alias("content")))
+
 
+def _html_sql() -> str:
+    bare = "html"
+    for tag in documents.DROPPED:
+        bare = rf"regexp_replace({bare}, '(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>', ' ', 'g')"
+    return rf"""SELECT page_id, trim(regexp_replace(regexp_replace(CASE WHEN m <> '' THEN m ELSE regexp_replace(bare, '(?is)<title[^>]*>.*?</title>', ' ', 'g') END, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text
+    FROM (SELECT page_id, bare, regexp_extract(bare, '{documents.MAIN}', 1) || regexp_extract(bare, '{documents.MAIN}', 2) AS m FROM (SELECT page_id, {bare} AS bare FROM pages))"""
 
-_HTML_SQL = r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style|nav|footer|header|aside|title)[^>]*>.*?</(script|style|nav|footer|header|aside|title)>', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS text FROM pages"""
+
+_HTML_SQL = _html_sql()
 
 
 @query("src_html_text", _HTML_SQL)
 def src_html_text(t):
-    return t.pages.select("page_id", files.html_text("html").alias("text"))
+    return t.pages.select("page_id", documents.main_text(F.col("html")).alias("text"))
 
 
-@query("infer_doc_type", r"SELECT page_id, CASE WHEN regexp_matches(lower(url), '(\.pdf$|/pdf/|format=pdf)') THEN 'pdf' ELSE 'html' END AS doc_type FROM pages")
-def infer_doc_type(t):
-    return t.pages.select("page_id", files.doc_type("url").alias("doc_type"))
+_LINKS_SQL = """html || '<a href="/files/climate-' || (2010 + page_id % 17) || '.pdf">x</a><a href=''https://s1.q4cdn.com/1/Climate-2024.PDF?x=1''>y</a><a href="https://other.example/climate-2023.pdf">z</a><a href="/a/menu.pdf">m</a><a href="/climate-latest.pdf">l</a>'"""
 
 
 @query(
     "src_pdf_links",
-    r"""WITH l AS (SELECT page_id, url, unnest(range(1, 21)) AS pos, regexp_extract_all(html, 'href="([^"]*[aeiou][^"]*)"', 1) AS links FROM pages),
-    r AS (SELECT page_id, pos, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+') || links[pos] AS link FROM l WHERE pos <= len(links) AND starts_with(links[pos], '/'))
-    SELECT page_id, link, rn FROM (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY link DESC, pos) AS rn FROM r) WHERE rn <= 5""",
+    rf"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+') AS site, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS host, regexp_extract_all({_LINKS_SQL}, '(?i)href=["'']([^"'']*\.pdf[^"'']*)', 1)[1:20] AS links FROM pages),
+    l AS (SELECT page_id, host, CASE WHEN starts_with(links[i], '/') THEN site || links[i] ELSE links[i] END AS link, i FROM (SELECT *, unnest(range(1, len(links) + 1)) AS i FROM p)),
+    k AS (SELECT *, lower(regexp_extract(link, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS target, coalesce(list_max(list_transform(regexp_extract_all(link, '(20[12]\d)', 1), lambda y: y::INT)), 0) AS year FROM l),
+    r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY year DESC, i) AS n FROM k WHERE regexp_matches(link, '(?i)\.pdf(\?|$)') AND ((host <> '' AND contains(target, regexp_replace(host, '^www\.', ''))) OR regexp_matches(target, '{documents.FILE_HOSTS}')) AND regexp_matches(lower(link), 'climate|report'))
+    SELECT page_id, link, year, n FROM r WHERE n <= 5""",
 )
 def src_pdf_links(t):
-    rows = t.pages.select("page_id", F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]+", 0).alias("site"), F.posexplode(F.slice(F.regexp_extract_all("html", F.lit('href="([^"]*[aeiou][^"]*)"'), F.lit(1)), 1, 20)).alias("pos", "href"))
-    rows = rows.where(F.col("href").startswith("/")).select("page_id", F.concat("site", "href").alias("link"), "pos")
-    return sinks.numbered(rows, ["page_id"], [F.desc("link"), F.col("pos")]).where("rn <= 5").select("page_id", "link", "rn")
+    more = """'<a href="/files/climate-', string(2010 + page_id % 17), '.pdf">x</a><a href=\\'https://s1.q4cdn.com/1/Climate-2024.PDF?x=1\\'>y</a><a href="https://other.example/climate-2023.pdf">z</a><a href="/a/menu.pdf">m</a><a href="/climate-latest.pdf">l</a>'"""
+    return documents.pdf_links(t.pages.withColumn("html", F.expr(f"concat(html, {more})")), "page_id", "url", "html", ["climate", "report"])
+
+
+_WIDE = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax", "flag": "l_returnflag", "status": "l_linestatus"}
+_BASE = ["o_orderkey", "o_custkey", "c_name", "c_mktsegment", "n_name", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
 
 @query(
     "sink_csv_wide",
-    """SELECT l_orderkey, coalesce(max(CASE WHEN l_linenumber = 1 THEN l_quantity END), -1) AS q1, coalesce(max(CASE WHEN l_linenumber = 2 THEN l_quantity END), -1) AS q2, coalesce(max(CASE WHEN l_linenumber = 3 THEN l_quantity END), -1) AS q3
-    FROM lineitem WHERE l_orderkey <= 200 GROUP BY l_orderkey""",
+    f"""SELECT {', '.join(_BASE)}, string_agg(DISTINCT l_returnflag, ';' ORDER BY l_returnflag) AS sources, {', '.join(f"max({c}) FILTER (WHERE l_linenumber = {i}) AS m{i}_{k}" for i in range(1, 8) for k, c in _WIDE.items())}
+    FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY {', '.join(_BASE)}""",
 )
 def sink_csv_wide(t):
-    wide = t.lineitem.where("l_orderkey <= 200").groupBy("l_orderkey").pivot("l_linenumber", [1, 2, 3]).agg(F.max("l_quantity"))
-    return sinks.csv_round_trip(wide.select("l_orderkey", *[F.coalesce(F.col(str(i)), F.lit(-1.0)).alias(f"q{i}") for i in (1, 2, 3)]))
+    """Nine columns of each order and six of each of its lines, written as CSV and read back."""
+    wide = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ";").alias("sources"), *[F.max(F.when(F.col("l_linenumber") == i, F.col(c))).alias(f"m{i}_{k}") for i in range(1, 8) for k, c in _WIDE.items()])
+    rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey")).join(wide, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return sinks.csv_round_trip(rows.select(*_BASE, "sources", *[f"m{i}_{k}" for i in range(1, 8) for k in _WIDE]))
+
+
+@query("src_pasted_text", "SELECT * FROM (VALUES (0, 'Alpha'), (1, 'Beta Ltd'), (2, 'Gamma')) v(pos, name)")
+def src_pasted_text(t):
+    return files.pasted(t.spark, "Name\nAlpha\n\n Beta Ltd \nGamma,GM,US")
+
+
+@query("src_json_inline", "SELECT * FROM (VALUES (1, 'a'), (2, NULL)) v(id, name)")
+def src_json_inline(t):
+    return files.json_list(t.spark, '[{"id": 1, "name": "a"}, {"id": 2}]', "id int, name string")
+
+
+@query("src_flex_columns", "SELECT c_custkey, nullif(trim(c_name), '') AS name, nullif(trim(c_mktsegment), '') AS sector FROM customer")
+def src_flex_columns(t):
+    rows = t.customer
+    return rows.select("c_custkey", files.flexible(rows, ["name", "company"]).alias("name"), files.flexible(rows, ["sector", "segment"]).alias("sector"))
+
+
+@query("infer_doc_type", r"SELECT page_id, CASE WHEN regexp_matches(lower(url), '(\.pdf$|/pdf/|format=pdf)') THEN 'pdf' ELSE 'html' END AS doc_type FROM pages")
+def infer_doc_type(t):
+    return t.pages.select("page_id", files.doc_type("url").alias("doc_type"))
 
 
 @query("sink_json_stream", "SELECT n_regionkey, count(*) AS n, string_agg(n_name, '|' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey")

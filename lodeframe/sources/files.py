@@ -42,32 +42,6 @@ def flexible(rows: DataFrame, names: list[str]) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in found]) if found else F.lit(None).cast("string")
 
 
-# Elements without main text.
-DROPPED = "script|style|nav|footer|header|aside|title"
-
-
-def html_text(html: str | Column) -> Column:
-    col = F.col(html) if isinstance(html, str) else html
-    bare = F.regexp_replace(col, f"(?s)<({DROPPED})[^>]*>.*?</({DROPPED})>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, "<[^>]*>", " "), "[ \\t\\n\\r\\f\\x0B]+", " "))
-
-
 def doc_type(url: str | Column) -> Column:
     col = F.col(url) if isinstance(url, str) else url
     return F.when(F.lower(col).rlike(r"(\.pdf$|/pdf/|format=pdf)"), "pdf").otherwise("html")
-
-
-def excel(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of a workbook; needs an Excel reader for pandas, which may be absent."""
-    try:
-        import pandas as pd
-
-        return spark.createDataFrame(pd.read_excel(path, sheet_name=0))
-    except ImportError as missing:
-        raise NotImplementedError("reading workbooks needs openpyxl") from missing
-
-
-def uploads(spark: SparkSession, path: str, most: int = 100_000) -> DataFrame:
-    """Plain-text files with their first characters."""
-    rows = spark.read.format("binaryFile").load(path)
-    return rows.select("path", F.substring(F.decode("content", "UTF-8"), 1, most).alias("text"))
