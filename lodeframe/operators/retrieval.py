@@ -134,16 +134,23 @@ def contained(docs: DataFrame, key: str, body: str, quotes: DataFrame, quote_key
     """(key, quote_key) of every quote that a document's text contains.
 
     A word inside a quote, not its first or last, is a whole word of the text too: the longest such word is the join key, and
-    only pairs that share it are tested. Quotes of under three words have none; they are few and tested against every text.
+    only pairs that share it are tested. A quote of under three words has none; its first three characters (the first one, of a
+    shorter quote) are the key, among all such runs in the texts. Words and runs that no quote has are dropped before the join, so
+    only those of the quotes are dealt out. An empty quote is in every text and gives no rows.
     """
-    inner = F.filter(F.split(quote, r"\s+"), lambda w, i: (i > 0) & (i < F.size(F.split(quote, r"\s+")) - 1) & (w != ""))
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    quotes = quotes.select(quote_key, quote, F.when(F.size(inner) > 0, longest).alias("anchor"))
-    long, short = quotes.where("anchor IS NOT NULL"), quotes.where("anchor IS NULL")
+    words = F.split(quote, r"\s+")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    kind = F.when(F.size(inner) > 0, "word").when(F.length(quote) >= 3, "run").otherwise("letter")
+    anchor = F.when(F.size(inner) > 0, longest).when(F.length(quote) >= 3, F.substring(quote, 1, 3)).otherwise(F.substring(quote, 1, 1))
+    asked = quotes.where(F.length(quote) > 0).select(quote_key, quote, kind.alias("_kind"), anchor.alias("_anchor"))
     texts = docs.select(key, F.col(body).alias("_body"))
-    words = texts.select(key, F.explode(F.array_distinct(F.split("_body", r"\s+"))).alias("anchor"))
-    pairs = words.join(long.select(quote_key, "anchor"), "anchor").select(key, quote_key)
-    found = pairs.join(texts, key).join(long.select(quote_key, quote), quote_key).where(F.expr(f"contains(_body, {quote})")).select(key, quote_key).distinct()
-    if short.limit(1).count():
-        found = found.unionByName(texts.join(F.broadcast(short), F.expr(f"contains(_body, {quote})")).select(key, quote_key).distinct())
-    return found
+    runs = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_body") - n + 1, F.lit(1))), lambda i: F.substring("_body", i, F.lit(n))))
+    found = None
+    for name, parts in (("word", F.array_distinct(F.split("_body", r"\s+"))), ("run", runs(3)), ("letter", runs(1))):
+        these = asked.where(F.col("_kind") == name)
+        pairs = texts.select(key, F.explode(parts).alias("_anchor")).join(these.select(quote_key, "_anchor"), "_anchor").select(key, quote_key)
+        hits = pairs.join(texts, key).join(these.select(quote_key, quote), quote_key).where(F.expr(f"contains(_body, {quote})")).select(key, quote_key)
+        if name == "word" or these.limit(1).count():  # runs are only cut where a quote needs them
+            found = hits if found is None else found.unionByName(hits)
+    return found.distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, composites, coverage, filters, issuers, joins, retrieval, runs, scalars, scans, scoring, streams, windows  # noqa: F401
+from . import aggregates, comparison, composites, coverage, filters, issuers, joins, retrieval, runs, scalars, scans, scoring, streams, windows  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 

@@ -65,13 +65,6 @@ def neardup_collapse(t):
     return ranking.collapse(ranking.components(candidates(t), _PARAMS, size="bytes"), _PARAMS).select("page_id")
 
 
-@query("ranker_diagnostics", f"WITH {_RANK_SQL}, o AS (SELECT host, authority, round(fine, 1) AS x, lag(round(fine, 1)) OVER (PARTITION BY host, authority ORDER BY round(fine, 1) DESC, h) AS before FROM r) SELECT host, count(*) AS docs, count(*) FILTER (WHERE x = before) AS ties FROM o GROUP BY host")
-def ranker_diagnostics(t):
-    rows = ranking.components(candidates(t), _PARAMS, size="bytes").select(urls.host("url").alias("host"), "authority", F.round("fine_score", 1).alias("x"), "url_sha1")
-    rows = rows.withColumn("before", F.lag("x").over(Window.partitionBy("host", "authority").orderBy(F.desc("x"), "url_sha1")))
-    return rows.groupBy("host").agg(F.count("*").alias("docs"), F.count_if(F.col("x") == F.col("before")).alias("ties"))
-
-
 @query("ensemble_union_rank", f"WITH {_RANK_SQL} SELECT page_id FROM r ORDER BY authority, fine DESC, h LIMIT 90")
 def ensemble_union_rank(t):
     first, second = candidates(t).where("page_id % 2 = 0"), candidates(t).where("page_id % 3 <> 1")
@@ -108,14 +101,6 @@ def annual_form_pick(t):
     return jobs.cap_per_group(rows, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 2).select("o_custkey", "o_orderkey")
 
 
-@query("lookup_exact_then_loose", "WITH q AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN lower(c_name) ELSE '??' END AS k FROM customer), c AS (SELECT c_name, c_acctbal FROM customer) SELECT q.c_custkey, coalesce(a.c_acctbal, b.c_acctbal) AS balance FROM q LEFT JOIN c a ON a.c_name = q.k LEFT JOIN c b ON lower(b.c_name) = lower(q.k)")
-def lookup_exact_then_loose(t):
-    k = F.col("c_custkey") % 3
-    q = t.customer.select("c_custkey", F.when(k == 0, F.col("c_name")).when(k == 1, F.lower("c_name")).otherwise("??").alias("k"))
-    exact, loose = t.customer.select(F.col("c_name").alias("k"), F.col("c_acctbal").alias("x")), t.customer.select(F.lower("c_name").alias("l"), F.col("c_acctbal").alias("y"))
-    return q.join(exact, "k", "left").join(loose, F.lower("k") == F.col("l"), "left").select("c_custkey", F.coalesce("x", "y").alias("balance"))
-
-
 @query("corpus_fingerprint", f"SELECT {_HOST} AS host, sha1(string_agg(url, chr(10) ORDER BY url)) AS h FROM pages GROUP BY 1")
 def corpus_fingerprint(t):
     return t.pages.groupBy(urls.host("url").alias("host")).agg(F.sha1(F.array_join(F.array_sort(F.collect_list("url")), "\n")).alias("h"))

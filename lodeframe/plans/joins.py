@@ -89,11 +89,13 @@ def join_self_max(t):
 @query(
     "join_theta_contains",
     """WITH k AS (SELECT item_id, lower(text) AS k FROM benchmark), d AS (SELECT doc_id, lower(text) AS d FROM documents)
-    SELECT doc_id, min(item_id) AS item_id FROM d JOIN k ON contains(d, k) GROUP BY doc_id""",
+    SELECT doc_id, min(item_id) AS item_id FROM d JOIN k ON contains(d, k) OR (d <> '' AND contains(k, d)) GROUP BY doc_id""",
 )
 def join_theta_contains(t):
+    """The first item whose text is part of a document's, or the other way round."""
     docs, keys = t.documents.select("doc_id", F.lower("text").alias("d")), t.benchmark.select("item_id", F.lower("text").alias("k"))
-    return retrieval.contained(docs, "doc_id", "d", keys, "item_id", "k").groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
+    found = retrieval.contained(docs, "doc_id", "d", keys, "item_id", "k").unionByName(retrieval.contained(keys, "item_id", "k", docs.where("d <> ''"), "doc_id", "d"))
+    return found.groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
 
 
 @query(

@@ -24,25 +24,6 @@ def run_key(t):
     return t.orders.select("o_orderkey", F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus", "o_orderpriority", F.lit("v1")), 256).alias("run_key"))
 
 
-@query(
-    "evidence_select",
-    """WITH s AS (SELECT o_orderkey AS id, o_custkey, o_custkey % 50 AS run_key, o_orderstatus, o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN 'not_accepted' WHEN o_totalprice < 20000 THEN 'incomplete' WHEN o_orderpriority LIKE '5%' THEN 'fingerprint' END AS reason FROM orders WHERE o_orderkey <= 400),
-    d AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY run_key, reason IS NULL ORDER BY id) END AS k FROM s),
-    o AS (SELECT *, CASE WHEN k = 1 THEN row_number() OVER (PARTITION BY coalesce(k, 0) = 1 ORDER BY run_key, id) END AS place FROM d)
-    SELECT id, coalesce(reason, CASE WHEN k > 1 THEN 'duplicate' WHEN place > 4 THEN 'overflow' ELSE 'selected' END) AS outcome FROM o""",
-)
-def evidence_select(t):
-    """Snapshots of one cycle (some dozens): the reasons in order, then duplicates of an accepted key, then overflow."""
-    from pyspark.sql.window import Window
-
-    s = t.orders.where("o_orderkey <= 400").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("run_key"), F.when(F.col("o_orderstatus") == "P", "not_accepted").when(F.col("o_totalprice") < 20000, "incomplete").when(F.col("o_orderpriority").startswith("5"), "fingerprint").alias("reason"))
-    good = F.col("reason").isNull()
-    d = s.withColumn("k", F.when(good, F.row_number().over(Window.partitionBy("run_key", good).orderBy("id"))))
-    first = F.coalesce(F.col("k"), F.lit(0)) == 1
-    o = d.withColumn("place", F.when(first, F.row_number().over(Window.partitionBy(first).orderBy("run_key", "id"))))
-    return o.select("id", F.coalesce("reason", F.when(F.col("k") > 1, "duplicate").when(F.col("place") > 4, "overflow").otherwise("selected")).alias("outcome"))
-
-
 _LABELS = "SELECT c_custkey AS id, lower('fw' || (c_nationkey % 5) || CASE c_custkey % 3 WHEN 0 THEN '_A' WHEN 1 THEN '-b' ELSE '' END) AS label, c_acctbal AS score, c_nationkey AS company FROM customer"
 
 
@@ -70,16 +51,6 @@ def gate_report(t):
     return rows.withColumn("delta", F.round(F.col("score_b") - F.col("score_a"), 6))
 
 
-@query(
-    "gate_checks",
-    """WITH s AS (SELECT o_custkey AS cycle, count(*) AS n, bool_and(o_orderstatus <> 'P') AS terminal, bool_and(o_totalprice > 20000) AS complete, count(DISTINCT o_orderpriority) = 1 AS fingerprint, count(DISTINCT o_orderkey) = count(*) AS distinct_runs FROM orders GROUP BY 1)
-    SELECT cycle, n = 4 AS g1, terminal AS g2, complete AS g3, fingerprint AS g4, distinct_runs AS g5, n = 4 AND terminal AND complete AND fingerprint AND distinct_runs AS passed FROM s""",
-)
-def gate_checks(t):
-    s = t.orders.groupBy(F.col("o_custkey").alias("cycle")).agg((F.count("*") == 4).alias("g1"), F.bool_and(F.col("o_orderstatus") != "P").alias("g2"), F.bool_and(F.col("o_totalprice") > 20000).alias("g3"), (F.countDistinct("o_orderpriority") == 1).alias("g4"), (F.countDistinct("o_orderkey") == F.count("*")).alias("g5"))
-    return s.withColumn("passed", F.expr("g1 AND g2 AND g3 AND g4 AND g5"))
-
-
 @query("recovery_labels", "SELECT n_nationkey AS label, coalesce(bool_or(c_acctbal > 9000), false) AS accepted, coalesce(bool_or(c_acctbal < -900), false) AS rejected, NOT coalesce(bool_or(c_acctbal > 9000), false) AS rerun FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def recovery_labels(t):
     rows = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_nationkey").alias("label")).agg(F.coalesce(F.bool_or(F.col("c_acctbal") > 9000), F.lit(False)).alias("accepted"), F.coalesce(F.bool_or(F.col("c_acctbal") < -900), F.lit(False)).alias("rejected"))
@@ -139,24 +110,6 @@ def score_reconciliation(t):
     return a.join(b, ["company", "measure"]).groupBy("company").agg(F.count_if(x).alias("met_before"), F.count_if(y).alias("met_after"), F.count_if(x & ~y).alias("yes_to_other"), F.count_if(~x & y).alias("other_to_yes"))
 
 
-_SOURCES = "SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority) FILTER (WHERE o_orderkey % 2 = 0)) AS x, list_sort(list(DISTINCT o_orderpriority) FILTER (WHERE o_orderkey % 2 = 1)) AS y FROM orders GROUP BY 1"
-
-
-@query("prov_classify", f"WITH s AS ({_SOURCES}), d AS (SELECT k, coalesce(x, []) AS x, coalesce(y, []) AS y FROM s) SELECT k, CASE WHEN len(list_filter(x, lambda v: NOT list_contains(y, v))) = 0 AND len(list_filter(y, lambda v: NOT list_contains(x, v))) = 0 THEN 'same' WHEN list_contains(list_filter(x, lambda v: NOT list_contains(y, v)), '1-URGENT') THEN 'lost-primary' WHEN len(list_filter(x, lambda v: list_contains(y, v))) = 0 THEN 'disjoint' ELSE 'mixed' END AS class FROM d")
-def prov_classify(t):
-    odd = F.col("o_orderkey") % 2
-    s = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set(F.when(odd == 0, F.col("o_orderpriority"))).alias("x"), F.collect_set(F.when(odd == 1, F.col("o_orderpriority"))).alias("y"))
-    gone, new = F.array_except("x", "y"), F.array_except("y", "x")
-    return s.select("k", F.when((F.size(gone) == 0) & (F.size(new) == 0), "same").when(F.array_contains(gone, "1-URGENT"), "lost-primary").when(F.size(F.array_intersect("x", "y")) == 0, "disjoint").otherwise("mixed").alias("class"))
-
-
-@query("adjudicate", f"WITH {_AB} SELECT company, measure, CASE WHEN b.v = 'Yes' AND b.q > 0.05 THEN 'upheld' WHEN b.v = 'Yes' THEN 'review' WHEN a.v = b.v THEN 'agreed' ELSE 'reversed' END AS ruling FROM a JOIN b USING (company, measure)")
-def adjudicate(t):
-    a, b = _runs(t)
-    rows = a.join(b, ["company", "measure"])
-    return rows.select("company", "measure", F.when((F.col("vb") == "Yes") & (F.col("q") > 0.05), "upheld").when(F.col("vb") == "Yes", "review").when(F.col("va") == F.col("vb"), "agreed").otherwise("reversed").alias("ruling"))
-
-
 @query("batch_reconcile", "SELECT l_orderkey, count(*) FILTER (WHERE l_linestatus = 'O') = 0 AND count(*) FILTER (WHERE l_returnflag = 'A') + count(*) FILTER (WHERE l_returnflag <> 'A') = count(*) AS closable, count(DISTINCT l_linenumber) = max(l_linenumber) AS all_measures FROM lineitem GROUP BY l_orderkey")
 def batch_reconcile(t):
     n = lambda c: F.count_if(c)

@@ -50,25 +50,25 @@ def st_status_trace(t):
 @query("st_breaker_state")
 def st_breaker_state(t):
     start = {"recent": "", "open": False, "trips": 0, "probes": 0, "probe": 0.0}
-    return progress.drained(progress.stateful(_stream(t), "user_id", progress.breaker, start, "recent string, open boolean, trips int, probes int, probe double")).drop("recent")
+    return progress.drained(progress.stateful(_stream(t), "user_id", progress.breaker, start, "recent string, open boolean, trips int, probes int, probe double", progress.breaker_ends)).drop("recent")
 
 
 @query("st_job_state")
 def st_job_state(t):
-    return progress.drained(progress.stateful(_stream(t), "user_id", progress.job, {"status": "pending", "attempts": 0}, "status string, attempts int"))
+    return progress.drained(progress.stateful(_stream(t), "user_id", progress.job, {"status": "pending", "attempts": 0}, "status string, attempts int", lambda now: 0.0))
 
 
 @query("st_pause_backoff")
 def st_pause_backoff(t):
-    return progress.drained(progress.stateful(_stream(t), "user_id", progress.backoff, {"delay": 0.0, "until": 0.0, "retries": 0}, "delay double, until double, retries int"))
+    return progress.drained(progress.stateful(_stream(t), "user_id", progress.backoff, {"delay": 0.0, "until": 0.0, "retries": 0}, "delay double, until double, retries int", progress.backoff_ends))
 
 
 @query("st_delayed_retry", "SELECT user_id, count(*) AS retries FROM events WHERE event_type = 'error' GROUP BY user_id")
 def st_delayed_retry(t):
-    rows = progress.stateful(_stream(t), "user_id", progress.backoff, {"delay": 0.0, "until": 0.0, "retries": 0}, "delay double, until double, retries int")
+    rows = progress.stateful(_stream(t), "user_id", progress.backoff, {"delay": 0.0, "until": 0.0, "retries": 0}, "delay double, until double, retries int", progress.backoff_ends)
     return progress.drained(rows).groupBy("user_id").agg(F.max("retries").cast("long").alias("retries")).where("retries > 0")
 
 
 @query("st_ttl_cache")
 def st_ttl_cache(t):
-    return progress.drained(progress.stateful(_stream(t), "user_id", progress.cache, {"at": 0.0, "hits": 0, "misses": 0}, "at double, hits int, misses int")).drop("at")
+    return progress.drained(progress.stateful(_stream(t), "user_id", progress.cache, {"at": 0.0, "hits": 0, "misses": 0}, "at double, hits int, misses int", progress.cache_ends))

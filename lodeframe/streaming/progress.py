@@ -57,20 +57,30 @@ def distinct_jobs(rows: DataFrame, keys: list[str], late: str = "1 day") -> Data
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def stateful(rows: DataFrame, key: str, step: Callable[[dict, str, float], None], start: dict, state_schema: str, late: str = "1 day") -> DataFrame:
-    """Folds each key's events, in the order of their time within a batch, into a state; gives the state after each batch."""
+def stateful(rows: DataFrame, key: str, step: Callable[[dict, str, float], None], start: dict, state_schema: str, ends: Callable[[dict], float], late: str = "1 day") -> DataFrame:
+    """Folds each key's events, in the order of their time within a batch, into a state; gives the state after each batch.
+
+    ``ends`` says until when a state is of use (seconds; 0: not beyond its last event). A timer is set to that time: when the
+    watermark passes it, the state is given once more with ``expired`` true, and forgotten; a later event starts anew.
+    """
     names = [x.split()[0] for x in state_schema.split(", ")]
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = dict(zip(names, state.get)) if state.exists else dict(start)
-        events = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for kind, ts in zip(events["event_type"], events["ts"]):
-            step(now, kind, ts.timestamp())
-        state.update(tuple(now[n] for n in names))
-        yield pd.DataFrame([[k[0], *(now[n] for n in names)]], columns=[key, *names])
+        if state.hasTimedOut:
+            now, expired = dict(zip(names, state.get)), True
+            state.remove()
+        else:
+            now, expired = dict(zip(names, state.get)) if state.exists else dict(start), False
+            events = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+            for kind, ts in zip(events["event_type"], events["ts"]):
+                step(now, kind, ts.timestamp())
+            state.update(tuple(now[n] for n in names))
+            last = events["ts"].iloc[-1].timestamp()
+            state.setTimeoutTimestamp(max(int(1000 * max(ends(now), last)), state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame([[k[0], *(now[n] for n in names), expired]], columns=[key, *names, "expired"])
 
     kinds = dict(rows.dtypes)
-    return rows.withWatermark("ts", late).groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {state_schema}", state_schema, "append", GroupStateTimeout.NoTimeout)
+    return rows.withWatermark("ts", late).groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {state_schema}, expired boolean", state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def breaker(now: dict, kind: str, at: float, window: float = 3600.0, limit: int = 3, cool: float = 7200.0) -> None:
@@ -86,6 +96,11 @@ def breaker(now: dict, kind: str, at: float, window: float = 3600.0, limit: int
         now["probes"], now["probe"] = now["probes"] + 1, at
 
 
+def breaker_ends(now: dict, window: float = 3600.0, cool: float = 7200.0) -> float:
+    recent = [float(x) for x in now["recent"].split(",") if x]
+    return max([now["probe"] + cool if now["open"] else 0.0, *(x + window for x in recent)])
+
+
 def job(now: dict, kind: str, at: float, most: int = 3) -> None:
     """pending, claimed, completed or failed; a claim only of a pending job, at most ``most`` attempts."""
     if kind == "view" and now["status"] == "pending":
@@ -106,9 +121,19 @@ def backoff(now: dict, kind: str, at: float, first: float = 30.0, most: float =
         now["delay"], now["until"] = 0.0, 0.0
 
 
+def backoff_ends(now: dict) -> float:
+    """The pause's end: when the timer fires, work goes on."""
+    return now["until"]
+
+
 def cache(now: dict, kind: str, at: float, life: float = 86_400.0) -> None:
     """Reads of a value kept for ``life`` seconds."""
     if now["at"] and at - now["at"] <= life:
         now["hits"] += 1
     else:
         now["misses"], now["at"] = now["misses"] + 1, at
+
+
+def cache_ends(now: dict, life: float = 86_400.0) -> float:
+    """The value's time to live."""
+    return now["at"] + life
