@@ -13,50 +13,99 @@ from ..functions import text
 from ..sources.sinks import numbered
 
 K1, B, CHUNK, OVERLAP = 1.5, 0.75, 1500, 200
-HEADING = re.compile(r"^\s*(?:item\s+(\d+[a-z]?)\b|part\s+([ivx]+)\b|section\s+(\d+)\b)", re.I)
 
+# Items of annual reports by their titles; bare headings; lines of tables of contents; words before a reference.
+SECTION_TITLES = {
+    "item1a": r"item[\s ]*1a\b[.:\s\-—]{0,3}\s*risk\s+factors",
+    "item1b": r"item[\s ]*1b\b[.:\s\-—]{0,3}\s*unresolved\s+staff",
+    "item7a": r"item[\s ]*7a\b[.:\s\-—]{0,3}\s*quantitative\s+and\s+qualitative",
+    "item7": r"item[\s ]*7\b[.:\s\-—]{0,3}\s*management['’]?s\s+discussion",
+    "item1": r"item[\s ]*1\b[.:\s\-—]{0,3}\s*business\b",
+    "item10": r"item[\s ]*10\b[.:\s\-—]{0,3}\s*directors[,\s]",
+    "item11": r"item[\s ]*11\b[.:\s\-—]{0,3}\s*executive\s+compensation",
+}
+BARE_HEADING, ANY_ITEM, CONTENTS_LINE = r"^\s*item\s+(\d{1,2}[a-c]?)\b[.:\s\-—]", r"item[\s ]*\d{1,2}[a-c]?\b", r"\.{2,}\s*\d+\s*$|\s\d{1,4}\s*$"
+REFERENCE = r"\b(in|see|under|within|to|of|discussion in|described in|set forth in|refer to|referred to in|pursuant to|as well as (?:our|the)?\s*discussion in|included (?:elsewhere )?in|contained in)\s*$"
+MID_LINE_ITEM = r"([^\n])(\s+)(item[\s ]*\d{1,2}[a-c]?[.:][\s ]*[A-Z])"
 
-def section_of(fragment: str, least_items: int = 2) -> str | None:
-    """The section that a fragment opens; not for tables of contents, nor for references to a section."""
-    if len(re.findall(r"\bitem\s+\d", fragment, re.I)) >= least_items or re.search(r"\b(?:see|refer to)\s+(?:item|part|section)\b", fragment, re.I):
+_TITLES = {name: re.compile(p, re.I) for name, p in SECTION_TITLES.items()}
+_BARE, _ITEMS, _CONTENTS, _REFERENCE, _MID = (re.compile(p, re.I) for p in (BARE_HEADING, ANY_ITEM, CONTENTS_LINE, REFERENCE, MID_LINE_ITEM))
+
+
+def _referred(text: str, place: int) -> bool:
+    """What stands before the place makes it a reference to a section, not its start."""
+    return _REFERENCE.search(text[max(0, place - 40) : place].rstrip() + " ") is not None
+
+
+def is_contents(fragment: str) -> bool:
+    """A line of a table of contents: several items, or a page number at its end."""
+    return len(_ITEMS.findall(fragment)) >= 2 or _CONTENTS.search(fragment.strip()) is not None
+
+
+def section_of(fragment: str) -> str | None:
+    """The section that a fragment opens: its last item with its title that isn't referred to, else an item at its start."""
+    if is_contents(fragment):
         return None
-    m = HEADING.match(fragment)
-    return m.group(0).strip().upper() if m else None
+    found = [(m.start(), name) for name, p in _TITLES.items() if (m := p.search(fragment)) and not _referred(fragment, m.start())]
+    if found:
+        return max(found)[1]
+    m = _BARE.match(fragment)
+    return "item" + m.group(1).lower() if m else None
+
+
+def headings_on_lines(body: str) -> str:
+    """A line end before every item with its title, and before items in the middle of a line, where a text names sections at all."""
+    if not any(p.search(body) for p in _TITLES.values()):
+        return body
+    for p in _TITLES.values():
+        body = p.sub(lambda m: m.group(0) if _referred(m.string, m.start()) else "\n" + m.group(0), body)
+    return _MID.sub(lambda m: m.group(0) if _referred(m.string, m.end(1)) else f"{m.group(1)}\n{m.group(3)}", body)
 
 
 def split_chunks(body: str | None, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, str | None, str]]:
-    """(place, section, text): sentences packed up to ``size`` characters; a new section starts a chunk; the last
-    ``overlap`` / 5 words are taken over into the next one. A longer sentence stays whole."""
-    current, section, place = "", None, 0
-    for piece in re.split(r"(?<=[.!?])\s+|\n+", body or ""):
-        if not piece.strip():
+    """(place, section, text): sentences and lines packed up to ``size`` characters; a section that begins starts a chunk, which has
+    the section of its start; the last ``overlap`` / 5 words are taken over into the next one. A longer sentence stays whole."""
+    pieces = re.split(r"(?<=[.!?])\s+|\n+", headings_on_lines(body or ""))
+    current, section, begun, place = "", None, None, 0
+    for i, piece in enumerate(pieces):
+        if not piece:
             continue
-        found = section_of(piece)
+        following = pieces[i + 1] if i + 1 < len(pieces) else ""
+        found = section_of(piece) or section_of(f"{piece} {following}"[:160])
         if found and found != section:
             if current.strip():
-                yield place, section, current.strip()
+                yield place, begun, current.strip()
                 place += 1
-            current, section = "", found
+            current, section, begun = "", found, found
+        elif found and not begun:
+            begun = found
         if current and len(current) + len(piece) > size:
-            yield place, section, current.strip()
-            place += 1
-            current = " ".join(current.split()[-(overlap // 5) :]) + " " + piece
+            if current.strip():
+                yield place, begun, current.strip()
+                place += 1
+            current = " ".join(re.split(r"\s+", current)[-(overlap // 5) :]) + " " + piece
+            begun = section
         else:
+            if not current:
+                begun = section
             current = f"{current} {piece}" if current else piece
     if current.strip():
-        yield place, section, current.strip()
+        yield place, begun, current.strip()
 
 
-def chunk_documents(docs: DataFrame, key: str, scope: str, body: str) -> DataFrame:
-    """Chunks of all documents: scope, key, seq, section, chunk."""
+def chunk_documents(docs: DataFrame, key: str, scope: str, body: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of all documents: scope, key, further columns, seq, section, chunk."""
+    columns = [scope, key, *more]
 
     def run(it):
         for pdf in it:
-            rows = [(s, k, *c) for s, k, x in zip(pdf[scope], pdf[key], pdf[body]) for c in split_chunks(x)]
-            yield pd.DataFrame(rows, columns=[scope, key, "seq", "section", "chunk"])
+            for at in range(0, len(pdf), 64):  # some documents at a time, so that their chunks don't all wait
+                part = pdf.iloc[at : at + 64]
+                rows = [(*row[:-1], *c) for row in part[[*columns, body]].itertuples(index=False, name=None) for c in split_chunks(row[-1])]
+                yield pd.DataFrame(rows, columns=[*columns, "seq", "section", "chunk"], dtype=object)
 
     kinds = dict(docs.dtypes)
-    return docs.select(scope, key, body).mapInPandas(run, f"{scope} {kinds[scope]}, {key} {kinds[key]}, seq int, section string, chunk string")
+    return docs.select(*columns, body).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", seq int, section string, chunk string")
 
 
 def bm25(chunks: DataFrame, scope: str, keys: list[str], body: str, terms: list[str]) -> DataFrame:

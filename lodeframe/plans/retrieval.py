@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import evidence
 from ..operators import retrieval as ops
-from ..sources.sinks import numbered
 from .registry import query
 
 TERMS = ["the", "thon", "tion", "ing", "queue", "and"]
@@ -70,35 +70,46 @@ def chunk_fixed(t):
     return rows.select("doc_id", F.col("seq").cast("long").alias("seq"), F.length("chunk").cast("long").alias("size"), F.sha1("chunk").alias("h"))
 
 
-@query("sec_section_detect")
-def sec_section_detect(t):
-    rows = t.conversations.select("conv_id", "turn", F.concat(F.when(F.col("turn") % 2 == 0, "Item 1A. Risk factors.\n").otherwise("see Item 1A. "), "text").alias("text"))
-    return ops.chunk_documents(rows, "turn", "conv_id", "text").select("conv_id", "turn", "seq", "section")
+# what the documents of a source are taken for, by their number: URL, title, and text put before theirs
+_FORMS = [
+    ("https://www.sec.gov/Archives/edgar/data/7/{d}/abc-20241231.htm", "SEC.gov", "Form 10-K annual report pursuant to section 13. Item 1A. Risk Factors. "),
+    ("https://www.annualreports.com/abc-2024-12-31.pdf", "Annual report 10-K 2024", "Item 1A. Risk Factors. "),
+    ("https://www.sec.gov/Archives/edgar/data/7/{d}/abc-20250331.htm", "10-Q - SEC.gov", "Form 10-Q quarterly report pursuant to section 13. Item 1A. Risk Factors. "),
+    ("https://abc.xyz/def-14a.pdf", "Proxy statement 2025", "Notice of annual meeting of stockholders. "),
+    ("https://abc.xyz/report-{d}.html", "Report", "As described in Item 1A. Risk Factors of another report, "),
+    ("https://abc.xyz/page-{d}.html", "Page", ""),
+]
+MEASURES = [
+    evidence.Measure("9.1", "Risk factors of thing", "material risks that then are there", "Risk", ("thon", "tion"), ("regulatory-filing",)),
+    evidence.Measure("3.1", "Board oversight", "the board and its committee", "Governance", ("ing",), ("proxy",)),
+    evidence.Measure("1.1", "Strategy", "and the plan", "Strategy", ("queue",)),
+]
 
 
-def ranked_chunks(t):
-    chunks = ops.chunk_documents(t.documents, "doc_id", "source", "text")
-    scored = chunks.join(ops.bm25(chunks, "source", ["doc_id", "seq"], "chunk", TERMS), ["source", "doc_id", "seq"], "left")
-    hits = F.regexp_count("chunk", F.lit(text.topic_pattern(["the", "ing", "of"])))
-    scored = scored.withColumn("hits", hits).withColumn("blended", F.coalesce("score", F.lit(0.0)) + F.when(F.col("hits") > 0, 2.0 * (1 + F.log(F.col("hits").cast("double")))).otherwise(0.0) + F.when(F.col("section").isNotNull(), 2.5).otherwise(0.0))
-    rows = scored.where("blended > 0").withColumns({"size": F.length("chunk"), "id": F.concat_ws("#", F.col("doc_id").cast("string"), F.col("seq").cast("string"), F.substring(F.sha1("chunk"), 1, 16))})
-    return numbered(rows, ["source"], [F.desc("blended"), F.col("doc_id"), F.col("seq")], "rank")
+def filed(t):
+    """Documents as a company's filings; a company is a source."""
+    pick = lambda i: F.element_at(F.array(*[F.lit(f[i]) for f in _FORMS]), (F.floor(F.col("doc_id") / 20) % len(_FORMS) + 1).cast("int"))
+    return t.documents.select(F.col("source").alias("company"), F.col("doc_id").alias("doc"), F.replace(pick(0), F.lit("{d}"), F.col("doc_id").cast("string")).alias("url"), pick(1).alias("title"), F.concat(pick(2), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query("sec_section_detect")
+def sec_section_detect(t):
+    """The sections of chunks of filings."""
+    return ops.chunk_documents(filed(t), "doc", "company", "text").groupBy("company", "doc", F.coalesce("section", F.lit("none")).alias("section")).agg(F.count("*").alias("chunks"))
 
 
 @query("evidence_pack")
 def evidence_pack(t):
-    """Chunks of each source within its budget, with the pack's fingerprint.
-
-    A pack takes 20 chunks, 5 of a document. The fold sees at most 20 candidates of each size, however large a source is.
-    """
-    best = ops.packable(ranked_chunks(t), ["source"], "doc_id")
-    packs = ops.greedy_pack(best, ["source"], "doc_id")
-    return packs.select("source", "used", F.size("taken").alias("chunks"), ops.pack_fingerprint(F.col("taken"), "c=1|f=1|m=1").alias("fingerprint"))
+    """The packs of every company and measure, with their fingerprints."""
+    return evidence.summaries(evidence.packs(filed(t), MEASURES, ["the", "ing", "of"], "1"), "1")
 
 
-@query("preferred_annual", "SELECT source, arg_max(doc_id, n_chars * 1000000 - doc_id) AS doc_id FROM documents GROUP BY source")
+@query("preferred_annual")
 def preferred_annual(t):
-    return t.documents.groupBy("source").agg(F.max_by("doc_id", F.struct("n_chars", (-F.col("doc_id")).alias("d"))).alias("doc_id"))
+    """The annual filing that each company's packs are anchored to."""
+    docs = filed(t)
+    facts = evidence.document_facts(evidence.chunked(docs, ["the"]), docs)
+    return evidence.anchors(facts).select("company", "annual_doc", "annual_url")
 
 
 @query("corpus_pool", "SELECT doc_id FROM (SELECT doc_id, sum(least(n_chars, 4800)) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 56000")

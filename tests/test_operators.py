@@ -85,7 +85,7 @@ def test_chunks_overlap_and_sections():
     got = list(retrieval.split_chunks(body))
     assert [g[0] for g in got] == list(range(len(got))) and len(got) > 3
     assert all(len(g[2]) <= 1500 + 400 for g in got)
-    assert got[0][1] == "ITEM 1A" and got[-1][1] == "ITEM 7"
+    assert got[0][1] == "item1a" and got[-1][1] == "item7"
     assert got[1][2].startswith(" ".join(got[0][2].split()[-40:])[:40])
     assert list(retrieval.split_chunks(None)) == []
     assert retrieval.section_of("see Item 1A for more") is None
@@ -97,11 +97,9 @@ def test_pack_skips_what_does_not_fit_and_limits_documents(spark):
     assert [x.id for x in got.taken] == ["a1", "a2", "a3", "a4", "a5", "last"] and got.used == 6 * 102
 
 
-def test_packs_of_many_chunks_equal_the_fold_over_all(spark, monkeypatch):
+def test_packs_of_many_chunks_equal_the_fold_over_all(spark):
     import random
 
-    from lodeframe.plans import retrieval as plans
-
     draw, rows = random.Random(5), []
     rows += [("far", i, f"far{i}", i, 1500) for i in range(1, 2100)] + [("far", 2100, "small", 2100, 400)]
     rows += [("one", 1, f"one{i}", i, 19_999) for i in range(1, 50)] + [("one", 1, "last", 50, 10)]
@@ -114,8 +112,6 @@ def test_packs_of_many_chunks_equal_the_fold_over_all(spark, monkeypatch):
             want[source] = (used + size + 2, [*taken, (doc, id_)])
     got = {r.source: (r.used, [(x.doc, x.id) for x in r.taken]) for r in retrieval.greedy_pack(retrieval.packable(ranked, ["source"], "doc_id"), ["source"], "doc_id").collect()}
     assert got == want and got["far"][1][-1] == (2100, "small") and got["one"][1] == [(1, "last")]
-    monkeypatch.setattr(plans, "ranked_chunks", lambda t: ranked)
-    assert {r.source: (r.used, r.chunks) for r in plans.evidence_pack(None).collect()} == {k: (u, len(x)) for k, (u, x) in want.items()}
 
 
 def test_quotes():
