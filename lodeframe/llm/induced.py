@@ -1,15 +1,20 @@
-"""External induced suffix sorting with common prefixes, for byte texts.
-
-Suffixes are L or S type as in SA-IS. The leftmost S suffixes are sorted first; the L suffixes are then induced
-from small to large, and the S suffixes from large to small. What is induced waits in a monotone priority queue:
-one first-in-first-out run for each first byte, which holds (place, common prefix with the entry before it) and
-is moved to disk when the queue is over its memory. A run is taken off in portions, and all that a portion
-induces is computed at once; the common prefix of two entries that follow each other in a run is one more
-than the smallest common prefix between their sources.
-
-Common prefixes are exact up to ``DEPTH`` and at least DEPTH beyond it, and suffixes that agree so far may stand in any
-order: enough to tell which windows of up to DEPTH bytes are equal. For that bound the leftmost S suffixes need no
-recursive call: they are sorted by four symbols at a time, and only those still tied go on.
+"""External induced suffix sorting with common prefixes, for texts larger than the memory given.
+
+Suffixes are L or S type as in SA-IS. The substrings from one leftmost S suffix to the next are sorted and named, and the string
+of names, in two digits each, is sorted by a recursive call, which gives the order of the leftmost S suffixes; the L suffixes
+are then induced from small to large, and the S suffixes from large to small. What is induced waits in a monotone priority queue:
+one first-in-first-out run for each first symbol, which holds tuples of (place, common prefix with the entry before it) and goes to disk
+beyond the queue's memory. A run is taken off in portions, and all that a portion induces is computed at once; the common prefix of two
+entries that follow each other in a run is one more than the smallest common prefix between their sources. That of two leftmost
+S suffixes is the length of the names they share, which the recursive call gives, and what the next two substrings share.
+
+The text, its types, the names, the induced L runs and the result are arrays in files (``Disk``), read and written in portions; what is in
+memory is a portion, the queue's share, and one first symbol's substrings at a time. The recursion ends with a text of under ``BASE``
+leftmost S suffixes, or with names that are all different.
+
+Common prefixes are exact up to the depth asked for and at least that beyond it, and suffixes that agree so far may stand in any
+order: enough to tell which windows of up to that depth are equal. A shared name stands for two symbols at least, so the recursive
+call needs as many digits and two more.
 """
 
 from __future__ import annotations
@@ -18,7 +23,26 @@ import tempfile
 
 import numpy as np
 
-DEPTH, MEMORY, PORTION = 128, 64 << 20, 1 << 20
+DEPTH, MEMORY, PORTION, BASE, DIGITS = 128, 8 << 20, 1 << 18, 1 << 17, 4000
+
+
+class Disk:
+    """Arrays in unlinked temporary files; small ones in memory."""
+
+    def __init__(self, least: int = 1 << 20):
+        self.least, self.files = least, []
+
+    def array(self, size: int, kind) -> np.ndarray:
+        kind = np.dtype(kind)
+        if size * kind.itemsize < max(1, self.least):
+            return np.zeros(size, dtype=kind)
+        self.files.append(tempfile.TemporaryFile())
+        return np.memmap(self.files[-1], dtype=kind, mode="w+", shape=(size,))
+
+    def close(self) -> None:
+        for f in self.files:
+            f.close()
+        self.files.clear()
 
 
 class Queue:
@@ -41,81 +65,210 @@ class Queue:
             self.held += pair.nbytes
             self.runs[symbol].append(pair)
 
-    def pop(self, symbol: int) -> np.ndarray | None:
-        """The next portion of a run, or None."""
-        if not self.runs[symbol]:
-            return None
-        pair = self.runs[symbol].pop(0)
-        if isinstance(pair, tuple):
-            self.file.seek(pair[0])
-            return np.frombuffer(self.file.read(8 * pair[1]), dtype=np.int32).reshape(2, -1)
-        self.held -= pair.nbytes
-        return pair
+    def pop(self, symbol: int, most: int = PORTION) -> np.ndarray | None:
+        """The next portion of a run, or None: what was pushed first, up to about ``most`` tuples."""
+        pieces, n, run = [], 0, self.runs[symbol]
+        used = 0
+        while used < len(run) and n < most:
+            pair = run[used]
+            used += 1
+            if isinstance(pair, tuple):
+                self.file.seek(pair[0])
+                pair = np.frombuffer(self.file.read(8 * pair[1]), dtype=np.int32).reshape(2, -1)
+            else:
+                self.held -= pair.nbytes
+            pieces.append(pair)
+            n += pair.shape[1]
+        del run[:used]
+        return None if not pieces else pieces[0] if used == 1 else np.concatenate(pieces, axis=1)
 
     def close(self) -> None:
         if self.file is not None:
             self.file.close()
 
 
-def _sorted_prefixes(padded: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the order of their next DEPTH symbols, and common prefixes (the first is 0)."""
+def _sorted(keys: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the order of their next ``lengths`` keys (an end is smaller than any key), common prefixes (the first is 0), and
+    whether each equals the one before it throughout. Four keys at a time; only those still tied go on."""
     n = len(places)
-    order = places.copy()
+    order, limit = places.copy(), lengths.copy()
     prefix = np.zeros(n, dtype=np.int32)
     group = np.zeros(n, dtype=np.int32)  # by place in order: the tie it belongs to
+    same_all = np.zeros(n, dtype=bool)
     live = np.arange(n, dtype=np.int32)
-    for at in range(0, DEPTH, 4):
-        if not len(live):
-            break
-        p = order[live] + at
+    at = 0
+    while len(live):
+        p, room = order[live], limit[live] - at
         word = np.zeros(len(live), dtype=np.uint64)
         for j in range(4):
-            word = word << np.uint64(16) | padded[p + j].astype(np.uint64)
+            inside = room > j
+            word <<= np.uint64(16)
+            word[inside] |= keys[p[inside] + (at + j)].astype(np.uint64)
         by = np.lexsort((word, group[live]))
-        order[live], word, g = order[live][by], word[by], group[live]
+        order[live], limit[live], word, g = order[live][by], limit[live][by], word[by], group[live]
         same = np.zeros(len(live), dtype=bool)
         same[1:] = g[1:] == g[:-1]
         differ = np.zeros(len(live), dtype=np.uint64)
         differ[1:] = word[1:] ^ word[:-1]
         equal = same & (differ == 0)
         cut = np.flatnonzero(same & ~equal)
-        lead = np.zeros(len(cut), dtype=np.int64)
+        lead = np.zeros(len(cut), dtype=np.int32)
         for shift in (48, 32, 16):
-            lead += ((differ[cut] >> np.uint64(shift)) == 0).astype(np.int64)
+            lead += (differ[cut] >> np.uint64(shift)) == 0
         prefix[live[cut]] = at + lead
-        start = ~equal
-        group[live] = live[np.maximum.accumulate(np.where(start, np.arange(len(live)), 0))]
-        prefix[live[equal]] = at + 4
+        group[live] = live[np.maximum.accumulate(np.where(~equal, np.arange(len(live)), 0))]
+        at += 4
+        over = limit[live] <= at  # of equal ones all have ended
+        same_all[live[equal & over]] = True
+        prefix[live[equal]] = np.minimum(at, limit[live[equal]])
         tied = equal.copy()
         tied[:-1] |= equal[1:]
-        live = live[tied]
-    return order, prefix
+        live = live[tied & ~over]
+    return order, prefix, same_all
 
 
-def suffix_array(text: np.ndarray, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all suffixes in order, and each one's common prefix with the one before it.
+def _typed(disk: Disk, text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The text with its end, S types, lengths of runs of equal symbols, and places of leftmost S suffixes; filled from the end."""
+    n = len(text)
+    t, small, run = disk.array(n + 1 + depth + 8, np.int16), disk.array(n + 1, np.bool_), disk.array(n + 1, np.int32)
+    small[n], found = True, []
+    following, follow_small, follow_run = 0, True, 0  # of the place behind a portion
+    for a in range((n - 1) // PORTION * PORTION, -1, -PORTION):
+        part = np.asarray(text[a : min(n, a + PORTION)]).astype(np.int16)
+        b = a + len(part)
+        t[a:b] = part
+        change = np.append(np.flatnonzero(part[:-1] != part[1:]), len(part) - 1)  # the last place of each run of equal symbols
+        last = np.repeat(change, np.diff(change, prepend=-1))
+        after = np.append(part, following)[last + 1]
+        runs = (last - np.arange(len(part)) + 1).astype(np.int32)
+        kind = part[last] < after
+        if part[-1] == following and b < n:  # the last run goes on in the portion behind
+            tail = last == len(part) - 1
+            runs[tail] += follow_run
+            kind[tail] = follow_small
+        small[a:b], run[a:b] = kind, runs
+        edge = np.append(kind, follow_small if b < n else True)
+        found.append((np.flatnonzero(edge[1:] & ~edge[:-1]) + a + 1).astype(np.int32))
+        following, follow_small, follow_run = int(part[0]), bool(kind[0]), int(runs[0])
+    count = sum(map(len, found))
+    lms = disk.array(count, np.int32)
+    at = count
+    for x in found:
+        lms[at - len(x) : at] = x
+        at -= len(x)
+    return t, small, run, lms
 
-    ``text`` has symbols 1 to 4095 and under 2^31 of them; the end counts as a smaller symbol.
-    """
+
+def _shared(t: np.ndarray, a: np.ndarray, b: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
+    """Common prefixes of the suffixes at a and b, known to be ``start`` at least; up to about ``depth``."""
+    got = start.astype(np.int64)
+    live = np.flatnonzero(got < depth)
+    while len(live):
+        differ = np.zeros(len(live), dtype=bool)
+        for _ in range(8):
+            x, y = a[live] + got[live], b[live] + got[live]
+            differ = t[x] != t[y]
+            got[live[~differ]] += 1
+            live = live[~differ & (got[live] < depth)]
+            if not len(live):
+                break
+    return got.astype(np.int32)
+
+
+def _order_lms(disk: Disk, t: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int, depth: int, memory: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leftmost S suffixes in order, and their common prefixes."""
+    m = len(lms)
+    if m <= base:
+        order, prefix, _ = _sorted(t, np.asarray(lms), np.full(m, depth, dtype=np.int32))
+        return order, prefix
+    # substrings to the next leftmost S suffix, by symbol and type; they are dealt out by their first symbol
+    queue = Queue(symbols, memory)
+    for a in range(0, m, PORTION):
+        part = np.asarray(lms[a : a + PORTION])
+        ends = np.asarray(lms[a + 1 : a + PORTION + 1])
+        sizes = np.minimum(np.append(ends, part[-1:])[: len(part)] - part + 1, depth).astype(np.int32)
+        first = np.asarray(t[part])
+        by = np.argsort(first, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(first[by]) != 0))
+        for x, y in zip(cuts.tolist(), np.append(cuts[1:], len(by)).tolist()):
+            queue.push(int(first[by[x]]), part[by[x:y]], sizes[by[x:y]])
+    typed = _Typed(t, small)
+    names, name, unique = disk.array(m, np.int32), -1, True
+    for c in range(symbols):
+        group = queue.pop(c, 1 << 62)
+        if group is None:
+            continue
+        order, _, same = _sorted(typed, group[0], group[1])
+        number = name + np.cumsum(~same).astype(np.int32)
+        names[np.searchsorted(lms, order)] = number
+        name, unique = int(number[-1]), unique and not same.any()
+    queue.close()
+    by_rank, shared = disk.array(m, np.int32), disk.array(m, np.int32)  # numbers of lms in order, and names they share with the one before
+    if unique:
+        for a in range(0, m, PORTION):
+            by_rank[np.asarray(names[a : a + PORTION])] = np.arange(a, min(m, a + PORTION), dtype=np.int32)
+    else:
+        digits = disk.array(2 * m, np.int16)
+        for a in range(0, m, PORTION):
+            part = np.asarray(names[a : a + PORTION])
+            digits[2 * a : 2 * (a + len(part)) : 2] = part // DIGITS + 1
+            digits[2 * a + 1 : 2 * (a + len(part)) : 2] = part % DIGITS + 1
+        inner = Disk(disk.least)
+        order, prefix = _suffixes(inner, digits, depth + 2, memory, base)
+        at, low = 0, 1 << 30
+        for a in range(0, 2 * m, PORTION):
+            part, common = np.asarray(order[a : a + PORTION]), np.asarray(prefix[a : a + PORTION])
+            even = np.flatnonzero(part % 2 == 0)
+            if not len(even):
+                low = min(low, int(common.min()))
+                continue
+            least = np.minimum.reduceat(common, np.append(0, even[:-1] + 1))[: len(even)]
+            least[0] = min(low, int(common[: even[0] + 1].min()))
+            by_rank[at : at + len(even)], shared[at : at + len(even)] = part[even] // 2, least // 2
+            at += len(even)
+            rest = common[even[-1] + 1 :]
+            low = int(rest.min()) if len(rest) else 1 << 30
+        inner.close()
+    places, prefixes = disk.array(m, np.int32), disk.array(m, np.int32)
+    before = -1
+    for a in range(0, m, PORTION):
+        number = np.asarray(by_rank[a : a + PORTION]).astype(np.int64)
+        here = np.asarray(lms[number]).astype(np.int64)
+        places[a : a + len(number)] = here
+        skip = np.asarray(shared[a : a + len(number)]).astype(np.int64)
+        start = np.asarray(lms[np.minimum(number + skip, m - 1)]) - here
+        other = np.append(before if before >= 0 else here[0], here[:-1])
+        got = _shared(t, other, here, np.where(np.arange(len(here)) + a > 0, start, depth), depth)
+        if a == 0:
+            got[0] = 0
+        prefixes[a : a + len(number)] = got
+        before = int(here[-1])
+    return places, prefixes
+
+
+class _Typed:
+    """Keys of a text by place: twice the symbol, and one more for S types."""
+
+    def __init__(self, t: np.ndarray, small: np.ndarray):
+        self.t, self.small = t, small
+
+    def __getitem__(self, places: np.ndarray) -> np.ndarray:
+        return 2 * np.asarray(self.t[places]).astype(np.int32) + self.small[places]
+
+
+def _suffixes(disk: Disk, text: np.ndarray, depth: int, memory: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(text)
+    order, prefix = disk.array(n, np.int32), disk.array(n + 1, np.int32)
     if n == 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    t = np.zeros(n + 1, dtype=np.int16)
-    t[:n] = text
-    symbols = int(t.max()) + 1
-    change = np.flatnonzero(t[:-1] != t[1:])  # the last place of each run of equal symbols
-    end = np.repeat(change, np.diff(change, prepend=-1)).astype(np.int32)
-    run = end - np.arange(n, dtype=np.int32) + 1
-    small = np.ones(n + 1, dtype=bool)
-    small[:n] = t[end] < t[end + 1]
-    del end, change
-    lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + np.int32(1)
-    padded = np.zeros(n + 1 + DEPTH + 8, dtype=np.uint16)
-    padded[: n + 1] = t
-    lms, lms_prefix = _sorted_prefixes(padded, lms)
-    heads = t[lms]
-    limit = np.searchsorted(heads, np.arange(symbols + 1))
-    whole = np.append(run, 0)
+        return order, prefix
+    work = Disk(disk.least)
+    t, small, run, lms = _typed(work, text, depth)
+    symbols = max(int(t[a : min(n, a + PORTION)].max()) for a in range(0, n, PORTION)) + 1
+    lms, lms_prefix = _order_lms(work, t, small, lms, symbols, depth, memory, base)
+    limit = np.zeros(symbols + 1, dtype=np.int64)
+    for a in range(0, len(lms), PORTION):
+        limit[1:] += np.bincount(t[lms[a : a + PORTION]], minlength=symbols)[:symbols]
+    limit = np.cumsum(limit)
 
     def spread(queue, carry, places, prefixes, want_small):
         """Pushes what the scanned places induce. carry: the smallest prefix since each run's last entry."""
@@ -124,60 +277,76 @@ def suffix_array(text: np.ndarray, memory: int = MEMORY) -> tuple[np.ndarray, np
         ok[ok] = small[before[ok]] == want_small
         src = np.flatnonzero(ok)
         low = prefixes.min()
+        fresh = np.zeros(symbols, dtype=bool)
         if len(src):
-            to = t[before[src]]
+            to = np.asarray(t[before[src]])
             by = np.argsort(to, kind="stable")
             src, to = src[by], to[by]
-            first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-            for a, b in zip(first.tolist(), np.append(first[1:], len(src)).tolist()):
+            cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+            for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(src)).tolist()):
                 s, d = src[a:b], int(to[a])
-                got = np.empty(b - a, dtype=np.int64)
+                got = np.empty(b - a, dtype=np.int32)
                 got[0] = -1 if carry[d] < 0 else min(carry[d], prefixes[: s[0] + 1].min())
                 if b - a > 1:
                     got[1:] = np.minimum.reduceat(prefixes[: s[-1] + 1], s[:-1] + 1)
                 queue.push(d, before[s], got + 1)
-                carry[d] = 1 << 40 if s[-1] + 1 == len(prefixes) else prefixes[s[-1] + 1 :].min()
-                fresh[d] = True
-        rest = ~fresh
-        live = rest & (carry >= 0)
+                carry[d] = 1 << 30 if s[-1] + 1 == len(prefixes) else prefixes[s[-1] + 1 :].min()
+            fresh[to[cuts]] = True
+        live = ~fresh & (carry >= 0)
         carry[live] = np.minimum(carry[live], low)
-        fresh[:] = False
 
     # carry is -1 until a run has its first entry, whose common prefix with what stands before it is 0
-    fresh = np.zeros(symbols, dtype=bool)
     queue, carry = Queue(symbols, memory), np.full(symbols, -1, dtype=np.int64)
-    larges: list[list[np.ndarray]] = [[] for _ in range(symbols)]
+    count = sum(int((~small[a : min(n, a + PORTION)]).sum()) for a in range(0, n, PORTION))
+    large, large_prefix, spans, at = work.array(count, np.int32), work.array(count, np.int32), [], 0
     for c in range(symbols):
-        last = -1
+        start, last = at, -1
         while (pair := queue.pop(c)) is not None:
-            larges[c].append(pair)
-            last = int(pair[0, -1])
+            size = pair.shape[1]
+            large[at : at + size], large_prefix[at : at + size] = pair[0], pair[1]
+            at, last = at + size, int(pair[0, -1])
             spread(queue, carry, pair[0], pair[1], False)
-        a, b = limit[c], limit[c + 1]
-        if a < b:
-            prefixes = lms_prefix[a:b].copy()
-            prefixes[0] = min(whole[last], whole[lms[a]]) if last >= 0 else 0
-            spread(queue, carry, lms[a:b], prefixes, False)
+        spans.append((start, at))
+        for a in range(int(limit[c]), int(limit[c + 1]), PORTION):
+            b = min(a + PORTION, int(limit[c + 1]))
+            prefixes = np.array(lms_prefix[a:b])
+            if a == limit[c]:
+                prefixes[0] = min(int(run[last]), int(run[lms[a]])) if last >= 0 else 0
+            spread(queue, carry, np.asarray(lms[a:b]), prefixes, False)
     queue.close()
-    queue, carry = Queue(symbols, memory), np.full(symbols, -1, dtype=np.int64)
-    out: list[np.ndarray] = []
+    # downwards, an entry's prefix is that with the entry after it in the suffix order
+    queue, carry, at = Queue(symbols, memory), np.full(symbols, -1, dtype=np.int64), n
+
+    def put(pair):
+        nonlocal at
+        size = pair.shape[1]
+        order[at - size : at] = pair[0, ::-1]
+        prefix[at - size + 1 : at + 1] = pair[1, ::-1]
+        at -= size
+
     for c in range(symbols - 1, -1, -1):
-        # downwards, an entry's prefix is that with the entry after it in the suffix order
-        smalls, last = [], -1
+        last = -1
         while (pair := queue.pop(c)) is not None:
-            smalls.append(pair)
+            put(pair)
             last = int(pair[0, -1])
             spread(queue, carry, pair[0], pair[1], True)
-        if larges[c]:
-            up = np.concatenate(larges[c], axis=1)
-            down = np.stack([up[0, ::-1], np.append(0, up[1, :0:-1])])
-            down[1, 0] = min(whole[last], whole[down[0, 0]]) if last >= 0 else 0
-            smalls.append(down)
-            spread(queue, carry, down[0], down[1], True)
-        if smalls:
-            out.append(np.concatenate(smalls, axis=1))
-        larges[c] = []
+        start, stop = spans[c]
+        for b in range(stop, start, -PORTION):
+            a = max(start, b - PORTION)
+            pair = np.stack([large[a:b][::-1], np.append(large_prefix[a + 1 : b + 1], 0)[: b - a][::-1]]) if b < stop else np.stack([large[a:b][::-1], np.append(0, large_prefix[a + 1 : b][::-1])])
+            if b == stop:
+                pair[1, 0] = min(int(run[last]), int(run[pair[0, 0]])) if last >= 0 else 0
+            put(pair)
+            spread(queue, carry, pair[0], pair[1], True)
     queue.close()
-    down = np.concatenate(out, axis=1)
-    order, prefix = down[0, ::-1], np.append(0, down[1, :0:-1])
-    return order, prefix
+    work.close()
+    prefix[0] = 0
+    return order, prefix[:n]
+
+
+def suffix_array(text: np.ndarray, memory: int = MEMORY, depth: int = DEPTH, base: int = BASE, disk: Disk | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all suffixes in order, and each one's common prefix with the one before it, as arrays of ``disk``.
+
+    ``text`` has symbols 1 to 4095 and under 2^31 of them; the end counts as a smaller symbol. ``memory``: bytes for waiting tuples.
+    """
+    return _suffixes(disk or Disk(), text, depth, memory, base)

@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from . import common
 from .hashing import SEGMENT, substrings
-from .induced import suffix_array
+from .induced import BASE, MEMORY, PORTION, Disk, suffix_array
 
-LENGTH, ANCHOR, HOT, BUCKET_BYTES, PART_HASHES, SHARD_BYTES = 100, 50, 20_000, 8 << 20, 400_000, 2 << 20
+LENGTH, ANCHOR, HOT, BUCKET_BYTES, PART_HASHES, SHARD_BYTES = 100, 50, 20_000, 8 << 20, 400_000, 16 << 20
 _SPAN = LENGTH - ANCHOR + 1
 
 
@@ -83,34 +83,47 @@ _SPANS = "bucket int, row int, start long, stop long"
 _SPAN_TYPES = [("bucket", pa.int32()), ("row", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]
 
 
-def repeated_windows(contexts: list[bytes], ids: list[tuple], memory: int = 64 << 20) -> list[np.ndarray]:
+def repeated_windows(contexts: list[bytes], ids: list[tuple], memory: int = MEMORY, base: int = BASE) -> list[np.ndarray]:
     """For each context, whether the window at each place has an equal one that comes earlier.
 
-    ``ids``: what orders the contexts' first bytes, (document, row, place).
+    ``ids``: what orders the contexts' first bytes, (document, row, place). Sorted suffixes are read in portions; windows that have
+    LENGTH bytes in common follow each other there.
     """
     sizes = np.array([len(c) for c in contexts], dtype=np.int64)
-    text = np.frombuffer(b"".join(c + b"\0" for c in contexts), dtype=np.uint8).astype(np.int16)
-    text += 2
     ends = np.cumsum(sizes + 1) - 1
-    text[ends] = 1  # a separator, smaller than any byte
     begin = ends - sizes
-    order, prefix = suffix_array(text, memory)
-    owner = np.repeat(np.arange(len(contexts), dtype=np.int32), sizes + 1)
-    is_window = np.arange(LENGTH, len(text) + LENGTH, dtype=np.int32) <= ends.astype(np.int32)[owner]
-    joined = np.append(0, np.cumsum(prefix[1:] < LENGTH, dtype=np.int32))  # the class of each suffix in order
-    del prefix
-    keep = is_window[order]
-    places, group = order[keep], joined[keep]
-    who = owner[places]
-    doc = np.array([i[0] for i in ids], dtype=np.int64)[who]
-    row = np.array([i[1] for i in ids], dtype=np.int64)[who]
-    at = np.array([i[2] for i in ids], dtype=np.int64)[who] + places - begin[who]
-    by = np.lexsort((at, row, doc, group))
-    later = np.zeros(len(by), dtype=bool)
-    later[1:] = group[by][1:] == group[by][:-1]
-    mark = np.zeros(len(text), dtype=bool)
-    mark[places[by][later]] = True
-    return [mark[b : b + max(0, n - LENGTH + 1)] for b, n in zip(begin.tolist(), sizes.tolist())]
+    n = int(ends[-1]) + 1 if len(ends) else 0
+    disk = Disk()
+    text = disk.array(n, np.int16)
+    text[:] = np.frombuffer(b"".join(c + b"\0" for c in contexts), dtype=np.uint8)
+    text += 2
+    text[ends] = 1  # a separator, smaller than any byte
+    order, prefix = suffix_array(text, memory, LENGTH, base, disk)
+    orders = np.array(ids, dtype=np.int64).reshape(-1, 3)
+    mark = np.zeros(n, dtype=bool)
+
+    def settle(places, group):
+        """Of each group of equal windows all but the earliest are repeats."""
+        who = np.searchsorted(begin, places, side="right") - 1
+        doc, row, at = orders[who].T
+        by = np.lexsort((at + places - begin[who], row, doc, group))
+        later = np.zeros(len(by), dtype=bool)
+        later[1:] = group[by][1:] == group[by][:-1]
+        mark[places[by][later]] = True
+
+    number, places, groups = 0, np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    for a in range(0, n, PORTION):
+        part = np.asarray(order[a : a + PORTION])
+        group = number + np.cumsum(np.asarray(prefix[a : a + PORTION]) < LENGTH)
+        number = int(group[-1])
+        keep = part + LENGTH <= ends[np.searchsorted(begin, part, side="right") - 1]
+        places, groups = np.append(places, part[keep]), np.append(groups, group[keep])
+        done = np.searchsorted(groups, number)  # the last group may go on
+        settle(places[:done], groups[:done])
+        places, groups = places[done:], groups[done:]
+    settle(places, groups)
+    disk.close()
+    return [mark[b : b + max(0, k - LENGTH + 1)] for b, k in zip(begin.tolist(), sizes.tolist())]
 
 
 def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
