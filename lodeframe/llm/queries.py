@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, fingerprints, html_text, lm_scoring, near_dedup, packing, quality, suffix_dedup, token_files, warc
+from . import decontamination, filter_audit, fingerprints, html_text, lm_scoring, near_dedup, packing, pieces, quality, suffix_dedup, token_files, warc, whitening
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_pieces": pieces.op13_pieces,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,4 +28,5 @@ ORACLE = {
     "op4_decontamination": decontamination.OP4_SQL,
     "op8_suffix_dedup": suffix_dedup.OP8_SQL,
     "op10_near_dedup": near_dedup.OP10_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
 }
