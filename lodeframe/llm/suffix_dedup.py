@@ -31,7 +31,7 @@ from . import common
 from .hashing import SEGMENT, substrings
 from .induced import BASE, MEMORY, PORTION, Disk, suffix_array
 
-LENGTH, ANCHOR, HOT, BUCKET_BYTES, PART_HASHES, SHARD_BYTES = 100, 50, 20_000, 8 << 20, 400_000, 16 << 20
+LENGTH, ANCHOR, HOT, BUCKET_BYTES, PART_HASHES, SHARD_BYTES = 100, 50, 20_000, 8 << 20, 400_000, 4 << 20
 _SPAN = LENGTH - ANCHOR + 1
 
 
@@ -126,9 +126,9 @@ def repeated_windows(contexts: list[bytes], ids: list[tuple], memory: int = MEMO
     return [mark[b : b + max(0, k - LENGTH + 1)] for b, k in zip(begin.tolist(), sizes.tolist())]
 
 
-def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, as_text: bool = False, memory: int = MEMORY, base: int = BASE) -> DataFrame:
     """``row`` (a struct of the columns of ``docs`` but text), n_bytes, n_removed, n_spans, kept (binary; with ``as_text`` a string, without
-    the bytes of characters that were cut through)."""
+    the bytes of characters that were cut through). ``memory`` and ``base`` are those of the sorter."""
     spark = docs.sparkSession
     common.small_batches(spark)
     n = common.partitions(spark)
@@ -248,7 +248,7 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
         def flush():
             if texts:
                 order = [(o[1], o[2], o[3]) for o in owners]
-                for (bucket, _, row, start), mark in zip(owners, repeated_windows(texts, order)):
+                for (bucket, _, row, start), mark in zip(owners, repeated_windows(texts, order, memory, base)):
                     edge = np.diff(np.concatenate([[0], mark.view(np.int8), [0]]))
                     spans.extend((bucket, row, start + int(a), start + int(b)) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)))
                 texts.clear()

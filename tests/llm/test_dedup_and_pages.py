@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from lodeframe.llm import common, html_text, near_dedup, suffix_dedup, warc
+from lodeframe.llm import common, html_text, induced, near_dedup, suffix_dedup, warc
 from lodeframe.llm.induced import DEPTH, suffix_array
 
 # ---------------------------------------------------------------- suffix sorting
@@ -28,6 +28,49 @@ def test_suffix_array_equals_sorting():
         assert all(s[i : i + DEPTH] <= s[j : j + DEPTH] for i, j in zip(order, order[1:]))
 
 
+@pytest.mark.parametrize(("portion", "width", "few"), [(1, 1, 0), (7, 3, 0), (64, 200, 4), (64, 16, 512)])
+def test_recursion_equals_sorting(monkeypatch, portion, width, few):
+    """Every level is reached with short texts: no direct sorting, small portions and ranges of symbols, arrays on disk."""
+    monkeypatch.setattr(induced, "PORTION", portion)
+    monkeypatch.setattr(induced, "RANGE", width)
+    monkeypatch.setattr(induced, "FEW", few)
+    rng = np.random.default_rng(2)
+    for trial in range(24):
+        t = rng.integers(1, 1 + int(rng.choice([1, 2, 3, 20, 300, 60_000])), int(rng.integers(1, 300))).astype(np.int32)
+        if trial % 3 == 0:
+            t = np.concatenate([t, *[t[:9]] * 12])
+        depth = len(t) + 2 if trial % 2 else 20
+        order, prefix = suffix_array(t, memory=[0, 700, 1 << 20][trial % 3], depth=depth, base=[0, 1, 8][trial % 3], disk=induced.Disk(1))
+        s = t.tolist()
+        starts = [tuple(s[i : i + depth]) for i in np.asarray(order).tolist()]
+        assert sorted(np.asarray(order).tolist()) == list(range(len(s))) and starts == sorted(starts)
+        shared = [0] + [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(starts, starts[1:])]
+        assert np.minimum(prefix, depth).tolist() == shared
+
+
+def test_levels_halve_and_long_texts_end(monkeypatch):
+    """Random letters, prose and one period, 1 MB each: each level has half the symbols at most, and the order holds."""
+    sizes, inner = [], induced._suffixes
+
+    def level(disk, text, depth, memory, base):
+        sizes.append(len(text))
+        return inner(disk, text, depth, memory, base)
+
+    monkeypatch.setattr(induced, "_suffixes", level)
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, int(rng.integers(1, 10))).astype(np.uint8)) for _ in range(3000)]
+    prose = b" ".join(words[i] for i in np.minimum(rng.zipf(1.2, 300_000) - 1, 2999))[: 1 << 20]
+    for raw in (bytes(rng.integers(97, 123, 1 << 20).astype(np.uint8)), prose, b"abcabd" * 170_000):
+        sizes.clear()
+        order, prefix = suffix_array(np.frombuffer(raw, np.uint8).astype(np.int16), base=64)
+        assert all(2 * b <= a + 1 for a, b in zip(sizes, sizes[1:])) and len(sizes) <= 20
+        assert np.bincount(order, minlength=len(raw)).max() == 1
+        for i in rng.integers(1, len(raw), 3000).tolist():
+            a, b = raw[order[i - 1] : order[i - 1] + DEPTH], raw[order[i] : order[i] + DEPTH]
+            assert a <= b
+            assert min(int(prefix[i]), DEPTH) == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def brute_removed(rows):
     """rows in order; the removed places of each."""
     seen, out = set(), []
@@ -50,6 +93,23 @@ def corpus(seed=3):
     return texts
 
 
+def test_removal_through_every_level_of_the_recursion(spark, monkeypatch):
+    for name, value in (("PORTION", 64), ("RANGE", 16), ("FEW", 4)):
+        monkeypatch.setattr(induced, name, value)
+    texts = corpus(5)
+    contexts = [(t or "").encode() for t in texts]
+    want = brute_removed(contexts)
+    marks = suffix_dedup.repeated_windows(contexts, [(i, 0, 0) for i in range(len(texts))], memory=500, base=8)
+    for raw, mark, gone in zip(contexts, marks, want):
+        cover = np.zeros(len(raw), dtype=bool)
+        for i in np.flatnonzero(mark):
+            cover[i : i + 100] = True
+        assert (cover == gone).all()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(frame, memory=500, base=8).collect()}
+    assert got == {i: (len(raw), int(gone.sum())) for i, (raw, gone) in enumerate(zip(contexts, want))}
+
+
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_removal_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
