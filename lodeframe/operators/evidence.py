@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.sinks import folder, numbered
+from ..sources.sinks import kept, numbered
 from . import filings, retrieval
 
 # Sizes of packs, weights of scores, limits of forced chunks.
@@ -77,12 +77,6 @@ class Measure:
         return sorted({s for p, names in filings.SECTIONS if re.search(p, low) for s in names} | (set(filings.SECTIONS[0][1]) if bound else set()))
 
 
-def _kept(rows: DataFrame, tag: str) -> DataFrame:
-    path = folder(rows.sparkSession, tag)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def topic_prefix(terms: list[str]) -> str:
     """Occurrences of any term at the start of a word."""
     return r"(?i)(?<![A-Za-z0-9_])(?:" + "|".join(re.escape(x.lower()) for x in sorted(terms, key=lambda x: (-len(x), x))) + ")"
@@ -102,7 +96,7 @@ def chunked(docs: DataFrame, topics: list[str]) -> DataFrame:
         "body": filings.is_risk_body(chunk, F.col("section")) & ~proxy & ~contents, "proxy_body": proxy & (F.length("chunk") >= LEAST_BODY) & ~contents, "substance": (F.length("chunk") >= LEAST_BODY) & ~contents,
         "id": F.concat(key, F.lit("#"), F.col("seq").cast("string"), F.lit("#"), F.substring(F.sha1("chunk"), 1, 16)),
     })
-    return _kept(rows, "chunks")
+    return kept(rows, "chunks")
 
 
 def document_facts(chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -311,7 +305,7 @@ def packs(docs: DataFrame, measures: list[Measure], topics: list[str], framework
     """
     chunks = chunked(docs, topics)
     anchor = anchors(document_facts(chunks, docs))
-    rows = candidates(scored(chunks, measures), _kept(anchor, "anchors"))
+    rows = candidates(scored(chunks, measures), kept(anchor, "anchors"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         records = pdf.to_dict("records")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -118,3 +120,23 @@ def collapse(ranked: DataFrame, p: Params, scope: list[str] | None = None, url:
     rows = ranked.withColumns({"form": form_key(s), "year": F.coalesce(year_of(s, p).cast("string"), F.lit("noyear")), "stem": text.title_stem(F.coalesce(F.col(title), F.lit("")))})
     loose = (F.col("form") == "other") | (F.col("year") == "noyear") | (F.length("stem") < 4)
     return cap_per_group(rows, [*(scope or []), "form", "year", "stem"], order(), 1, exempt=loose)
+
+
+# Names of filings and of reports on any topic that are fetched first; pages that are fetched last.
+FETCH_FIRST, FETCH_REPORTS = "10-?k|20-?f|40-?f|annual.?report|integrated.?report|def.?14a|proxy", r"esg\b|sustainability.?report|integrated.?report|csr.?report|responsibility.?report"
+FETCH_LAST, FETCH_KEYWORDS = r"10-?q|transcript|glossary|job.?listing|careers?", 20
+
+
+def fetch_value(url: Column, required: tuple[str, ...] = (), keywords: tuple[str, ...] = ()) -> Column:
+    """2 for filings, reports and what the framework names (its first keywords), -1 for pages of little value, else 0."""
+    words = [w for x in [*required, *keywords[:FETCH_KEYWORDS]] for w in re.split(r"[/,\s]+", x.lower()) if len(w) >= 3]
+    first = "|".join([FETCH_FIRST, FETCH_REPORTS, *map(re.escape, words)])
+    low = F.lower(F.coalesce(url, F.lit("")))
+    return F.when(low.rlike(FETCH_LAST), -1).when(low.rlike(first), 2).otherwise(0)
+
+
+def fetch_order(url: Column, domain: Column, required: tuple[str, ...] = (), keywords: tuple[str, ...] = ()) -> list[Column]:
+    """Value, then the company's own domain (anywhere in the URL; none is no domain), then PDF."""
+    low = F.lower(F.coalesce(url, F.lit("")))
+    own = F.coalesce((F.length(domain) > 0) & F.contains(low, F.lower(domain)), F.lit(False))
+    return [fetch_value(url, required, keywords).desc(), own.desc(), low.endswith(".pdf").desc()]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evidence
+from ..operators import evidence, pool, ranking
 from ..operators import retrieval as ops
+from ..operators.allocation import places
 from .registry import query
 
 TERMS = ["the", "thon", "tion", "ing", "queue", "and"]
@@ -86,10 +87,10 @@ MEASURES = [
 ]
 
 
-def filed(t):
-    """Documents as a company's filings; a company is a source."""
+def filed(t, company="source"):
+    """Documents as a company's filings; a company is a source, or a language."""
     pick = lambda i: F.element_at(F.array(*[F.lit(f[i]) for f in _FORMS]), (F.floor(F.col("doc_id") / 20) % len(_FORMS) + 1).cast("int"))
-    return t.documents.select(F.col("source").alias("company"), F.col("doc_id").alias("doc"), F.replace(pick(0), F.lit("{d}"), F.col("doc_id").cast("string")).alias("url"), pick(1).alias("title"), F.concat(pick(2), F.coalesce("text", F.lit(""))).alias("text"))
+    return t.documents.select(F.col(company).alias("company"), F.col("doc_id").alias("doc"), F.replace(pick(0), F.lit("{d}"), F.col("doc_id").cast("string")).alias("url"), pick(1).alias("title"), F.concat(pick(2), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 @query("sec_section_detect")
@@ -112,12 +113,52 @@ def preferred_annual(t):
     return evidence.anchors(facts).select("company", "annual_doc", "annual_url")
 
 
-@query("corpus_pool", "SELECT doc_id FROM (SELECT doc_id, sum(least(n_chars, 4800)) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 56000")
+FRAMEWORK = pool.Framework("The queue of things, and the company's inerion", (r"thon\w*", "queue"), ("proxy report", "annualreports"))
+
+
+def _filed_sql() -> str:
+    pick = lambda i: "CASE (doc_id // 20) % 6 " + " ".join(f"WHEN {k} THEN '{f[i]}'" for k, f in enumerate(_FORMS)) + " END"
+    return f"SELECT doc_id, lang, replace({pick(0)}, '{{d}}', doc_id::VARCHAR) AS url, {pick(1)} AS title, lower(({pick(2)}) || coalesce(text, '')) AS low FROM documents"
+
+
+@query(
+    "sort_doc_priority",
+    rf"""WITH f AS ({_filed_sql()}), n AS (SELECT *, lower(url || ' ' || title) AS name, regexp_extract_all(low, '[a-z0-9_]+') AS ws FROM f),
+    c AS (SELECT *, CASE WHEN url LIKE '%sec.gov/Archives/edgar%' OR regexp_matches(name, '\b(10-?k|20-?f|40-?f)\b') OR regexp_matches(url, '-\d{{8}}\.htm') THEN 'regulatory'
+        WHEN regexp_matches(name, 'proxy|def.?14a') THEN 'proxy' WHEN (contains(name, 'proxy') AND contains(name, 'report')) OR contains(name, 'annualreports') THEN 'topic-primary' ELSE 'other' END AS class,
+        (SELECT sum(least(10, len(list_filter(ws, lambda w: w = t)))) FROM (VALUES ('the'), ('queue'), ('things'), ('and'), ('company'), ('inerion'), ('thon')) AS v(t)) AS density,
+        len(regexp_extract_all(low, 'thon\w*')) + len(regexp_extract_all(low, 'queue')) AS precision FROM n),
+    s AS (SELECT *, CASE class WHEN 'regulatory' THEN 100000 WHEN 'proxy' THEN 90000 WHEN 'topic-primary' THEN 80000 ELSE 1000 END + least(density, 800)
+        + CASE WHEN regexp_matches(lower(url), 'proxy|report|annualreports') THEN 200 ELSE 0 END AS score FROM c)
+    SELECT doc_id, lang, class, score::INTEGER AS score, precision::INTEGER AS precision, row_number() OVER (PARTITION BY lang ORDER BY precision < 3, score DESC, precision DESC, doc_id) - 1 AS place FROM s""",
+)
+def sort_doc_priority(t):
+    """The order in which a company's documents go into its pool; a company is a language."""
+    rows = pool.ordered(pool.priorities(filed(t, "lang"), FRAMEWORK))
+    return rows.select(F.col("doc").alias("doc_id"), F.col("company").alias("lang"), "class", F.col("score").cast("int").alias("score"), F.col("precision").cast("int").alias("precision"), "place")
+
+
+@query("corpus_pool")
 def corpus_pool(t):
-    from pyspark.sql.window import Window
+    """The pool of every company, by passage; a company is a language."""
+    rows = pool.pool(filed(t, "lang"), FRAMEWORK)
+    return rows.select(F.col("company").alias("lang"), F.col("doc").alias("doc_id"), "place", "seq", "part", "size", F.sha1("chunk").alias("h"))
+
+
+_FETCHED = "CASE page_id % 7 WHEN 0 THEN '/annual-report.PDF' WHEN 1 THEN '/Careers' WHEN 2 THEN '/abc-10q.htm' WHEN 3 THEN '/doc.pdf' ELSE '' END"
 
-    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.documents.select("doc_id", F.sum(F.least("n_chars", F.lit(4800))).over(w).alias("used")).where("used <= 56000").select("doc_id")
+
+@query(
+    "sort_fetch_order",
+    rf"""WITH f AS (SELECT page_id, lower(url || {_FETCHED}) AS u, CASE page_id % 3 WHEN 0 THEN 'example.com' WHEN 1 THEN 'example.org' ELSE NULL END AS domain FROM pages)
+    SELECT page_id, row_number() OVER (PARTITION BY domain ORDER BY CASE WHEN regexp_matches(u, '10-?q|transcript|glossary|job.?listing|careers?') THEN -1
+        WHEN regexp_matches(u, '10-?k|20-?f|40-?f|annual.?report|integrated.?report|def.?14a|proxy|esg\b|sustainability.?report|csr.?report|responsibility.?report|blog|feed') THEN 2 ELSE 0 END DESC,
+        coalesce(contains(u, domain), false) DESC, ends_with(u, '.pdf') DESC, page_id) - 1 AS place FROM f""",
+)
+def sort_fetch_order(t):
+    """The order in which a company's pages are fetched."""
+    pages = t.pages.select("page_id", F.expr(f"url || {_FETCHED}").alias("url"), F.expr("CASE page_id % 3 WHEN 0 THEN 'example.com' WHEN 1 THEN 'example.org' END").alias("domain"))
+    return places(pages, ["domain"], [*ranking.fetch_order(F.col("url"), F.col("domain"), ("blog",), ("feed",)), F.col("page_id")]).select("page_id", "place")
 
 
 @query("quote_provenance")

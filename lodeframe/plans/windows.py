@@ -110,21 +110,6 @@ def topk_protected_cap(t):
     return jobs.cap_per_group(t.orders, ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 4, exempt=F.col("o_orderstatus") == "P").select("o_orderkey")
 
 
-@query("sort_fetch_order", "SELECT page_id FROM pages ORDER BY CASE WHEN url LIKE '%.html' THEN 2 WHEN url LIKE '%?%' THEN 0 ELSE 1 END DESC, ends_with(url, '.pdf') DESC, page_id")
-def sort_fetch_order(t):
-    value = F.when(F.col("url").endswith(".html"), 2).when(F.col("url").contains("?"), 0).otherwise(1)
-    return t.pages.orderBy(value.desc(), F.col("url").endswith(".pdf").desc(), "page_id").select("page_id")
-
-
-@query(
-    "sort_doc_priority",
-    "SELECT doc_id, round(CASE lang WHEN 'en' THEN 5 ELSE 1 END + least(3.0, 1000.0 * (length(text) - length(replace(text, '.', ''))) / greatest(length(text), 1)), 6) AS precision_score FROM documents ORDER BY precision_score DESC, doc_id",
-)
-def sort_doc_priority(t):
-    density = 1000.0 * (F.length("text") - F.length(F.replace("text", F.lit("."), F.lit("")))) / F.greatest(F.length("text"), F.lit(1))
-    return t.documents.select("doc_id", F.round(F.when(F.col("lang") == "en", 5).otherwise(1) + F.least(F.lit(3.0), density), 6).alias("precision_score")).orderBy(F.desc("precision_score"), "doc_id")
-
-
 @query("sample_every_nth", "SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE (rn - 1) % 10 = 0")
 def sample_every_nth(t):
     return numbered(t.lineitem, ["l_suppkey"], ["l_orderkey", "l_linenumber"]).where("(rn - 1) % 10 = 0").select("l_suppkey", "l_orderkey", "l_linenumber")

@@ -21,6 +21,13 @@ def folder(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, tag: str) -> DataFrame:
+    """The rows written to the shared folder and read back: they are made once, and a lost executor costs nothing."""
+    path = folder(rows.sparkSession, tag)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def csv_round_trip(rows: DataFrame) -> DataFrame:
     """Written as CSV with RFC-4180 quotes and read back."""
     path = folder(rows.sparkSession, "csv")
