@@ -154,52 +154,3 @@ def greedy_pack(ranked: DataFrame, scope: list[str], doc: str, most_chunks: int
 def pack_fingerprint(taken: Column, parameters: str) -> Column:
     ids = F.array_sort(F.transform(taken, lambda x: x["id"]))
     return F.when(F.size(taken) == 0, F.sha1(F.lit("EMPTY_PACK|" + parameters))).otherwise(F.sha1(F.concat(F.lit(parameters + "||"), F.array_join(ids, "|"))))
-
-
-def quote_check(quote: str, body: str) -> float:
-    """1 for a contained quote; the share of its longest contained run of words from 0.9 on; at least 0.8 where a window
-    of 60 % of its words (five at least) is contained; else 0."""
-    if not quote:
-        return 0.0
-    if quote in body:
-        return 1.0
-    words = quote.split(" ")
-    best, stop = 0, 0
-    for start in range(len(words)):
-        stop = max(stop, start)
-        while stop < len(words) and " ".join(words[start : stop + 1]) in body:
-            stop += 1
-        best = max(best, len(" ".join(words[start:stop])))
-    share = best / len(quote)
-    if share >= 0.9:
-        return share
-    width = max(5, -(-len(words) * 6 // 10))
-    if len(words) >= 5 and any(" ".join(words[i : i + width]) in body for i in range(len(words) - width + 1)):
-        return max(0.8, share)
-    return 0.0
-
-
-def contained(docs: DataFrame, key: str, body: str, quotes: DataFrame, quote_key: str, quote: str) -> DataFrame:
-    """(key, quote_key) of every quote that a document's text contains.
-
-    A word inside a quote, not its first or last, is a whole word of the text too: the longest such word is the join key, and
-    only pairs that share it are tested. A quote of under three words has none; its first three characters (the first one, of a
-    shorter quote) are the key, among all such runs in the texts. Words and runs that no quote has are dropped before the join, so
-    only those of the quotes are dealt out. An empty quote is in every text and gives no rows.
-    """
-    words = F.split(quote, r"\s+")
-    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    kind = F.when(F.size(inner) > 0, "word").when(F.length(quote) >= 3, "run").otherwise("letter")
-    anchor = F.when(F.size(inner) > 0, longest).when(F.length(quote) >= 3, F.substring(quote, 1, 3)).otherwise(F.substring(quote, 1, 1))
-    asked = quotes.where(F.length(quote) > 0).select(quote_key, quote, kind.alias("_kind"), anchor.alias("_anchor"))
-    texts = docs.select(key, F.col(body).alias("_body"))
-    runs = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_body") - n + 1, F.lit(1))), lambda i: F.substring("_body", i, F.lit(n))))
-    found = None
-    for name, parts in (("word", F.array_distinct(F.split("_body", r"\s+"))), ("run", runs(3)), ("letter", runs(1))):
-        these = asked.where(F.col("_kind") == name)
-        pairs = texts.select(key, F.explode(parts).alias("_anchor")).join(these.select(quote_key, "_anchor"), "_anchor").select(key, quote_key)
-        hits = pairs.join(texts, key).join(these.select(quote_key, quote), quote_key).where(F.expr(f"contains(_body, {quote})")).select(key, quote_key)
-        if name == "word" or these.limit(1).count():  # runs are only cut where a quote needs them
-            found = hits if found is None else found.unionByName(hits)
-    return found.distinct()

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import urls
 from ..functions.rules import contains_any, contains_any_sql, quoted
-from ..operators import coverage, ranking, retrieval
+from ..operators import coverage, matching, ranking
 from .composites import _PARAMS, _RANK_SQL, candidates
 from .issuers import _FOUND_SQL, PROFILES, found, profiles
 from .registry import query
@@ -156,6 +156,6 @@ def lookup_exact_then_loose(t):
     keys = listed.groupBy("key").agg(F.min("number").alias("number"))
     names = profiles(t).select("c_custkey", "name", "ticker").withColumn("loose", F.trim(F.regexp_replace(F.regexp_replace(F.upper("name"), "[.,]", ""), LEGAL_FORMS, "")))
     wanted = names.where(F.length("loose") >= 4).select("loose").distinct().withColumn("wanted", F.col("loose"))
-    near = retrieval.contained(listed.select("number", F.regexp_replace("key", "[.,]", "").alias("text")), "number", "text", wanted, "wanted", "loose").groupBy("wanted").agg(F.min("number").alias("third"))
+    near = matching.within(wanted, "wanted", "loose", listed.select("number", F.regexp_replace("key", "[.,]", "").alias("text")), "number", "text").groupBy("wanted").agg(F.min("number").alias("third"))
     rows = names.join(keys.withColumnsRenamed({"key": "k1", "number": "first"}), F.upper("ticker") == F.col("k1"), "left").join(keys.withColumnsRenamed({"key": "k2", "number": "second"}), F.upper("name") == F.col("k2"), "left").join(near, F.col("loose") == F.col("wanted"), "left")
     return rows.select("c_custkey", F.coalesce("first", "second", "third").alias("number"))

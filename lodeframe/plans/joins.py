@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import jobs, retrieval
+from ..operators import jobs, matching
 from .registry import query
 
 
@@ -94,7 +94,7 @@ def join_self_max(t):
 def join_theta_contains(t):
     """The first item whose text is part of a document's, or the other way round."""
     docs, keys = t.documents.select("doc_id", F.lower("text").alias("d")), t.benchmark.select("item_id", F.lower("text").alias("k"))
-    found = retrieval.contained(docs, "doc_id", "d", keys, "item_id", "k").unionByName(retrieval.contained(keys, "item_id", "k", docs.where("d <> ''"), "doc_id", "d"))
+    found = matching.contained(docs, "doc_id", "d", keys, "item_id", "k").unionByName(matching.within(docs, "doc_id", "d", keys, "item_id", "k"))
     return found.groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
 
 

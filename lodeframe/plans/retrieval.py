@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evidence, pool, ranking
+from ..operators import evidence, matching, pool, ranking
 from ..operators import retrieval as ops
 from ..operators.allocation import places
 from .registry import query
@@ -163,35 +163,45 @@ def sort_fetch_order(t):
 
 @query("quote_provenance")
 def quote_provenance(t):
-    """Benchmark passages, some with changed words, against documents that share a word run with them."""
-    quotes = t.benchmark.select("item_id", text.normal_quote("text").alias("q"))
-    quotes = quotes.withColumn("q", F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("zzz "), "q")).otherwise(F.col("q")))
-    key = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 4, F.lit(1))), lambda i: F.array_join(F.slice(c, i, 5), " ")))
-    docs = t.documents.select("doc_id", text.normal_quote("text").alias("d"))
-    runs = quotes.select("item_id", F.explode(key(F.split("q", " "))).alias("run"))
-    pairs = docs.select("doc_id", F.explode(key(F.split("d", " "))).alias("run")).join(F.broadcast(runs.select("run").distinct()), "run", "left_semi").join(runs, "run").select("item_id", "doc_id").distinct()
-
-    @F.pandas_udf("double")
-    def check(q, d):
-        return q.combine(d, ops.quote_check)
-
-    rows = pairs.join(quotes, "item_id").join(docs, "doc_id").withColumn("share", check("q", "d"))
-    return rows.groupBy("item_id").agg(F.max(F.round("share", 6)).alias("share"), F.max_by("doc_id", F.struct("share", (-F.col("doc_id")).alias("x"))).alias("doc_id"))
+    """Benchmark passages, some with other words before or inside them, and the document where most of each stands in one run."""
+    marred = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("zzz "), "text")).when(F.col("item_id") % 3 == 1, F.regexp_replace("text", "^(.{30}[^ ]*) ", "$1 zzz ")).otherwise(F.col("text"))
+    found = matching.provenance(t.documents.select("doc_id", matching.normal("text").alias("d")), "doc_id", "d", t.benchmark.select("item_id", matching.normal(marred).alias("q")), "item_id", "q")
+    return found.groupBy("item_id").agg(F.max(F.round("share", 6)).alias("share"), F.max_by("doc_id", F.struct(F.round("share", 6).alias("share"), (-F.col("doc_id")).alias("x"))).alias("doc_id"), F.count("*").alias("documents"))
 
 
 @query("quote_exact", "SELECT item_id, count(*) AS documents, min(doc_id) AS first FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def quote_exact(t):
-    hits = ops.contained(t.documents, "doc_id", "text", t.benchmark.select("item_id", F.col("text").alias("q")), "item_id", "q")
+    hits = matching.contained(t.documents, "doc_id", "text", t.benchmark.select("item_id", F.col("text").alias("q")), "item_id", "q")
     return hits.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
 
 
-@query("quote_source_norm")
+_TITLED = "SELECT doc_id AS doc, lang AS company, 'https://abc.xyz/' || doc_id AS url, CASE WHEN doc_id % 11 = 0 THEN '' ELSE array_to_string(string_split(regexp_replace(trim(coalesce(text, '')), '\\s+', ' ', 'g'), ' ')[1:5], ' ') END AS title, coalesce(text, '') AS text FROM documents"
+_CLAIMED = "SELECT item_id, CASE item_id % 7 WHEN 0 THEN 'fr' WHEN 1 THEN 'xx' ELSE 'en' END AS company, CASE WHEN item_id % 3 = 0 THEN text WHEN item_id % 3 = 1 THEN 'zzz ' || text ELSE '' END AS text, CASE item_id % 5 WHEN 0 THEN array_to_string(string_split(text, ' ')[1:5], ' ') WHEN 1 THEN 'The and of thon report' WHEN 2 THEN 'abc' WHEN 3 THEN 'HTTPS://ABC.XYZ/' || 11 * item_id ELSE NULL END AS source FROM benchmark"
+
+
+@query(
+    "quote_source_norm",
+    rf"""WITH d AS (SELECT doc, company, url, coalesce(nullif(trim(title), ''), url) AS title, text FROM ({_TITLED})), q AS (SELECT *, lower(coalesce(source, '')) AS s, substr(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 80) AS p FROM ({_CLAIMED})),
+    n AS (SELECT company, lower(title) AS low, min(doc) AS doc FROM d GROUP BY ALL), z AS (SELECT company, min(doc) AS zero FROM d GROUP BY company),
+    one AS (SELECT item_id, doc AS one FROM q JOIN n ON q.company = n.company AND s = low WHERE s <> ''),
+    two AS (SELECT item_id, min(doc) AS two FROM q JOIN d ON q.company = d.company AND contains(lower('--- DOCUMENT: ' || title || ' [' || url || '] ---' || chr(10) || chr(10) || d.text), p) WHERE q.text <> '' GROUP BY item_id),
+    has AS (SELECT item_id, min(doc) AS three FROM q JOIN n ON q.company = n.company AND (contains(low, s) OR contains(s, low)) WHERE s <> '' GROUP BY item_id),
+    words AS (SELECT item_id, doc, list_distinct(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) AS sw, list_filter(regexp_split_to_array(low, '\s+'), lambda w: w <> '') AS tw FROM q JOIN n USING (company) WHERE s <> ''),
+    pairs AS (SELECT item_id, doc, len(list_filter(tw, lambda w: list_contains(sw, w))) / greatest(len(sw), len(tw))::DOUBLE AS likeness FROM words),
+    likest AS (SELECT item_id, arg_min(doc, (-likeness, doc)) AS likest FROM pairs WHERE likeness > 0.3 GROUP BY item_id),
+    r AS (SELECT q.*, CASE WHEN zero IS NULL THEN 0 WHEN one IS NOT NULL THEN 1 WHEN two IS NOT NULL THEN 2 WHEN coalesce(three, likest) IS NOT NULL THEN 3 ELSE 4 END AS step, coalesce(one, two, three, likest, zero) AS doc
+          FROM q LEFT JOIN z USING (company) LEFT JOIN one USING (item_id) LEFT JOIN two USING (item_id) LEFT JOIN has USING (item_id) LEFT JOIN likest USING (item_id))
+    SELECT item_id, CASE WHEN step = 0 THEN source ELSE d.title END AS credited, CASE WHEN step = 2 THEN d.url ELSE u.url END AS credited_url, step
+    FROM r LEFT JOIN d ON r.company = d.company AND r.doc = d.doc LEFT JOIN n ON n.company = d.company AND n.low = lower(d.title) LEFT JOIN d u ON u.company = n.company AND u.doc = n.doc""",
+)
 def quote_source_norm(t):
-    """The source that a quote is credited to: a containing document, else the one that shares most words."""
-    quotes = t.benchmark.select("item_id", F.array_distinct(text.tokens("text")).alias("w")).select("item_id", F.explode("w").alias("term"))
-    words = t.documents.select("doc_id", F.explode(F.array_distinct(text.tokens("text"))).alias("term"))
-    rare = words.join(F.broadcast(quotes.select("term").distinct()), "term", "left_semi").join(quotes, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
-    return rare.groupBy("item_id").agg(F.max("shared").alias("shared"), F.max_by("doc_id", F.struct("shared", (-F.col("doc_id")).alias("x"))).alias("doc_id"))
+    """The document that each quote is credited to: by its title, by its text, by a title like it, or the first."""
+    words = F.array_join(F.slice(F.split(F.regexp_replace(F.trim(F.coalesce("text", F.lit(""))), r"\s+", " "), " "), 1, 5), " ")
+    docs = t.documents.select(F.col("doc_id").alias("doc"), F.col("lang").alias("company"), F.concat(F.lit("https://abc.xyz/"), "doc_id").alias("url"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(words).alias("title"), "text")
+    of = lambda n: F.col("item_id") % n
+    source = F.when(of(5) == 0, F.array_join(F.slice(F.split("text", " "), 1, 5), " ")).when(of(5) == 1, "The and of thon report").when(of(5) == 2, "abc").when(of(5) == 3, F.concat(F.lit("HTTPS://ABC.XYZ/"), 11 * F.col("item_id")))
+    quotes = t.benchmark.select(F.col("item_id").alias("id"), F.when(of(7) == 0, "fr").when(of(7) == 1, "xx").otherwise("en").alias("company"), F.when(of(3) == 0, F.col("text")).when(of(3) == 1, F.concat(F.lit("zzz "), "text")).otherwise("").alias("text"), source.alias("source"))
+    return matching.credited(docs, quotes).select(F.col("id").alias("item_id"), "credited", "credited_url", "step")
 
 
 @query("fn_json_repair")

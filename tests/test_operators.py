@@ -114,14 +114,6 @@ def test_packs_of_many_chunks_equal_the_fold_over_all(spark):
     assert got == want and got["far"][1][-1] == (2100, "small") and got["one"][1] == [(1, "last")]
 
 
-def test_quotes():
-    body = "one two three four five six seven eight nine ten"
-    assert retrieval.quote_check("three four five", body) == 1.0
-    assert retrieval.quote_check("x one two three four five six seven eight nine ten", body) >= 0.9
-    assert retrieval.quote_check("zz yy one two three four five six ww vv", body) == 0.8
-    assert retrieval.quote_check("none of these words occur", body) == 0.0 == retrieval.quote_check("", body)
-
-
 def test_json_repair():
     assert repair('{"a": [1, 2') == '{"a": [1, 2]}'
     assert repair('{"a": "x') == '{"a": "x"}'
@@ -147,10 +139,3 @@ def test_breaker_and_job_states():
     for kind in ("view", "error", "view", "error", "view", "error", "view"):
         progress.job(job, kind, 0.0)
     assert job == {"status": "failed", "attempts": 3}
-
-
-def test_contained_quotes(spark):
-    docs = spark.createDataFrame([(1, "xx one two three four yy"), (2, "one two  three"), (3, None), (4, "two")], "d int, t string")
-    quotes = spark.createDataFrame([(1, "ne two thr"), (2, "two"), (3, "one two  three"), (4, "absent word here")], "k int, q string")
-    got = sorted(map(tuple, retrieval.contained(docs, "d", "t", quotes, "k", "q").collect()))
-    assert got == [(1, 1), (1, 2), (2, 2), (2, 3), (4, 2)]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.functions import language
-from lodeframe.operators import coverage, expansion, filings, issuers, retrieval
+from lodeframe.operators import coverage, expansion, filings, issuers
 from lodeframe.sources import documents
 from lodeframe.streaming import progress
 
@@ -149,13 +149,6 @@ def test_pages_and_quotes(spark):
     assert grounded("Two  THREE", text) and grounded("zzz two three four five six seven", text) and not grounded("one three two five four seven six", text) and not grounded("", text)
 
 
-def test_contained_texts(spark):
-    docs = spark.createDataFrame([(1, "a long run of words, and more"), (2, "xyz"), (3, ""), (4, None)], "d int, t string")
-    quotes = spark.createDataFrame([(1, "long run of words"), (2, "xy"), (3, "run of"), (4, ""), (5, None), (6, "nds"), (7, "yz"), (8, "z")], "q int, w string")
-    got = sorted(tuple(r) for r in retrieval.contained(docs, "d", "t", quotes, "q", "w").collect())
-    assert got == [(1, 1), (1, 3), (2, 2), (2, 7), (2, 8)]
-
-
 # ---------------------------------------------------------------- files
 
 
