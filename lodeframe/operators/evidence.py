@@ -196,13 +196,9 @@ _ANCHORS = "company annual_url annual_doc filing_there filing_doc filing_placed
 def scored(chunks: DataFrame, measures: list[Measure]) -> DataFrame:
     """A row for each chunk and measure with a positive score or a topic hit, and for those that may be forced."""
     terms = sorted({w for m in measures for w in m.terms})
-    rows = chunks.select("company", "doc", "seq", text.tokens("chunk").alias("tokens")).withColumn("length", F.size("tokens"))
-    stats = rows.groupBy("company").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    found = rows.select("company", "doc", "seq", "length", F.explode(F.filter("tokens", lambda w: w.isin(*terms))).alias("term")).groupBy("company", "doc", "seq", "length", "term").agg(F.count("*").alias("tf"))
-    often = found.groupBy("company", "term").agg(F.count("*").alias("df"))
-    part = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (retrieval.K1 + 1) / (F.col("tf") + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("length") / F.col("mean")))
+    found = retrieval.weighed(retrieval.build_index(chunks, "company", ["doc", "seq"], "chunk", terms), terms)
     asked = F.array(*[F.struct(F.lit(m.id).alias("measure"), F.array(*map(F.lit, m.terms)).cast("array<string>").alias("words")) for m in measures])
-    parts = found.join(often, ["company", "term"]).join(stats, "company").select("company", "doc", "seq", "term", part.alias("part"), F.inline(asked)).where(F.array_contains("words", F.col("term")))
+    parts = found.select("company", "doc", "seq", "term", "part", F.inline(asked)).where(F.array_contains("words", F.col("term")))
     sums = parts.groupBy("company", "doc", "seq", "measure").agg(F.sum("part").alias("bm25"))
     kinds = F.array(*[F.struct(F.lit(m.id).alias("measure"), F.array(*map(F.lit, m.sections)).cast("array<string>").alias("sections"), F.lit(m.filing).alias("needs_filing"), F.lit(m.proxy).alias("needs_proxy")) for m in measures])
     every = chunks.drop("chunk").select("*", F.inline(kinds)).join(sums, ["company", "doc", "seq", "measure"], "left")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.sinks import numbered
+from ..sources.sinks import folder, kept, numbered
 
 K1, B, CHUNK, OVERLAP = 1.5, 0.75, 1500, 200
 
@@ -29,6 +31,7 @@ REFERENCE = r"\b(in|see|under|within|to|of|discussion in|described in|set forth
 MID_LINE_ITEM = r"([^\n])(\s+)(item[\s ]*\d{1,2}[a-c]?[.:][\s ]*[A-Z])"
 
 _TITLES = {name: re.compile(p, re.I) for name, p in SECTION_TITLES.items()}
+_ITEM = re.compile("item", re.I)  # each of the patterns needs it
 _BARE, _ITEMS, _CONTENTS, _REFERENCE, _MID = (re.compile(p, re.I) for p in (BARE_HEADING, ANY_ITEM, CONTENTS_LINE, REFERENCE, MID_LINE_ITEM))
 
 
@@ -55,7 +58,7 @@ def section_of(fragment: str) -> str | None:
 
 def headings_on_lines(body: str) -> str:
     """A line end before every item with its title, and before items in the middle of a line, where a text names sections at all."""
-    if not any(p.search(body) for p in _TITLES.values()):
+    if not _ITEM.search(body) or not any(p.search(body) for p in _TITLES.values()):
         return body
     for p in _TITLES.values():
         body = p.sub(lambda m: m.group(0) if _referred(m.string, m.start()) else "\n" + m.group(0), body)
@@ -66,12 +69,13 @@ def split_chunks(body: str | None, size: int = CHUNK, overlap: int = OVERLAP) ->
     """(place, section, text): sentences and lines packed up to ``size`` characters; a section that begins starts a chunk, which has
     the section of its start; the last ``overlap`` / 5 words are taken over into the next one. A longer sentence stays whole."""
     pieces = re.split(r"(?<=[.!?])\s+|\n+", headings_on_lines(body or ""))
+    names = [_ITEM.search(p) is not None for p in pieces] if _ITEM.search(body or "") else [False] * len(pieces)
     current, section, begun, place = "", None, None, 0
     for i, piece in enumerate(pieces):
         if not piece:
             continue
         following = pieces[i + 1] if i + 1 < len(pieces) else ""
-        found = section_of(piece) or section_of(f"{piece} {following}"[:160])
+        found = (section_of(piece) if names[i] else None) or (section_of(f"{piece} {following}"[:160]) if any(names[i : i + 2]) else None)
         if found and found != section:
             if current.strip():
                 yield place, begun, current.strip()
@@ -108,19 +112,64 @@ def chunk_documents(docs: DataFrame, key: str, scope: str, body: str, more: tupl
     return docs.select(*columns, body).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", seq int, section string, chunk string")
 
 
-def bm25(chunks: DataFrame, scope: str, keys: list[str], body: str, terms: list[str]) -> DataFrame:
-    """Scores of every chunk that has one of the terms, with statistics of its scope alone.
+@dataclass(frozen=True)
+class Index:
+    """A stored inverted index: ``postings`` (scope, keys, size, term, tf) as a table in buckets by scope and keys, sorted by term; ``terms`` (scope, term,
+    df, cf); ``stats`` (scope, n, mean). ``size`` is a text's number of tokens."""
+
+    name: str
+    scope: str
+    keys: tuple[str, ...]
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+    def drop(self) -> None:
+        """Forgets the table; its files stay in the shared folder."""
+        self.postings.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+#: Rows of (scope, term) for a query's terms that may be broadcast: some ten MB.
+BROADCAST_ROWS = 100_000
+
 
-    Only rows of query terms are exploded; lengths come from the token arrays.
+def build_index(rows: DataFrame, scope: str, keys: list[str], body: str, wanted: list[str] | None = None) -> Index:
+    """Postings of all terms (or those in ``wanted``) of every text, tokenised once.
+
+    Texts are dealt by scope and keys before they are cut into terms, so counting needs no other shuffle, and each task writes one bucket. A row without a term
+    stands for the text itself. (scope, keys) are unique.
     """
-    wanted = sorted(set(terms))
-    rows = chunks.withColumn("tokens", text.tokens(body)).withColumn("size", F.size("tokens"))
-    stats = rows.groupBy(scope).agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
-    hits = rows.select(scope, *keys, "size", F.explode(F.filter("tokens", lambda w: w.isin(*wanted))).alias("term")).groupBy(scope, *keys, "size", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy(scope, "term").agg(F.count("*").alias("df"))
+    spark = rows.sparkSession
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(scope, *keys, body).repartition(count, scope, *keys).select(scope, *keys, text.tokens(body).alias("_tokens"))
+    terms = F.col("_tokens") if wanted is None else F.filter("_tokens", lambda w: w.isin(*sorted(set(wanted))))
+    found = dealt.select(scope, *keys, F.size("_tokens").alias("size"), F.explode(F.concat(F.array(F.lit(None).cast("string")), terms)).alias("term")).groupBy(scope, *keys, "size", "term").agg(F.count("*").alias("tf"))
+    name = f"index_{uuid.uuid4().hex}"
+    found.write.bucketBy(count, scope, *keys).sortBy("term").option("path", folder(spark, "index")).format("parquet").saveAsTable(name)
+    postings = spark.table(name)
+    stats = postings.where("term IS NULL").groupBy(scope).agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    return Index(name, scope, tuple(keys), postings.where("term IS NOT NULL"), postings.where("term IS NOT NULL").groupBy(scope, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), stats)
+
+
+def weighed(index: Index, terms: list[str]) -> DataFrame:
+    """scope, keys, term, part: what each of the terms adds to a text's BM25. Postings aren't shuffled while the terms' statistics are few; their number is looked at first."""
+    asked = kept(index.terms.where(F.col("term").isin(*sorted(set(terms)))).join(index.stats, index.scope), "asked")
+    few = asked.count() <= BROADCAST_ROWS
+    asked = asked.select(F.col(index.scope).alias("_scope"), F.col("term").alias("_term"), "df", "n", "mean")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    return hits.join(df, [scope, "term"]).join(stats, scope).groupBy(scope, *keys).agg(F.sum(part).alias("score"))
+    hits = index.postings.where(F.col("term").isin(*sorted(set(terms))))
+    return hits.join(F.broadcast(asked) if few else asked, (hits[index.scope] == F.col("_scope")) & (hits["term"] == F.col("_term"))).select(index.scope, *index.keys, "term", part.alias("part"))
+
+
+def scores(index: Index, terms: list[str]) -> DataFrame:
+    """scope, keys, score of every text that has one of the terms."""
+    return weighed(index, terms).groupBy(index.scope, *index.keys).agg(F.sum("part").alias("score"))
+
+
+def bm25(chunks: DataFrame, scope: str, keys: list[str], body: str, terms: list[str]) -> DataFrame:
+    """Scores of every chunk that has one of the terms, with statistics of its scope alone."""
+    return scores(build_index(chunks, scope, keys, body, terms), terms)
 
 
 def packable(ranked: DataFrame, scope: list[str], doc: str, most_chunks: int = 20, most_chars: int = 20_000, per_doc: int = 5) -> DataFrame:

@@ -19,10 +19,10 @@ def tokenize(t):
     return t.documents.select("doc_id", text.tokens("text").alias("x")).select("doc_id", F.size("x").cast("long").alias("n"), F.sha1(F.array_join("x", " ")).alias("h"))
 
 
-@query("bm25_index", f"WITH x AS (SELECT source, doc_id, unnest({_TOKENS}) AS term FROM documents) SELECT source, term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM x WHERE term IN ('the', 'thon', 'tion', 'ing', 'que', 'and', 'der', 'les') GROUP BY source, term")
+@query("bm25_index", f"WITH x AS (SELECT source, doc_id, unnest({_TOKENS}) AS term FROM documents) SELECT source, term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM x GROUP BY source, term")
 def bm25_index(t):
-    rows = t.documents.select("source", "doc_id", F.explode(F.filter(text.tokens("text"), lambda w: w.isin("the", "thon", "tion", "ing", "que", "and", "der", "les"))).alias("term"))
-    return rows.groupBy("source", "doc_id", "term").agg(F.count("*").alias("tf")).groupBy("source", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """The terms of the stored index, with their documents and occurrences in each source."""
+    return ops.build_index(t.documents, "source", ["doc_id"], "text").terms
 
 
 @query(
@@ -33,7 +33,8 @@ def bm25_index(t):
     SELECT source, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25 + 0.75::DOUBLE * size / mean))), 6) AS score FROM h JOIN f USING (source, term) JOIN s USING (source) GROUP BY source, doc_id""",
 )
 def bm25_score(t):
-    return ops.bm25(t.documents, "source", ["doc_id"], "text", TERMS).select("source", "doc_id", F.round("score", 6).alias("score"))
+    """From the stored index of all terms."""
+    return ops.scores(ops.build_index(t.documents, "source", ["doc_id"], "text"), TERMS).select("source", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("topic_terms", r"SELECT item_id, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i)[1:60], ' ') AS terms FROM (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^A-Za-z0-9_\s]', ' ', 'g'), '\s+'), lambda w: length(w) >= 4 AND w NOT IN ('that', 'with', 'from')) AS x FROM benchmark)")
