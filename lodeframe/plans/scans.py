@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import jobs
-from ..sources import documents, files, sinks
+from ..sources import documents, files, sinks, stored
 from .registry import query
 
 
@@ -141,24 +141,38 @@ _UPSERT = """WITH new AS (SELECT c_custkey + 100 AS c_custkey, 'new' AS c_name,
     SELECT c_custkey, c_name, c_acctbal FROM {} """
 
 
+def _customers(t):
+    old = t.customer.select("c_custkey", "c_name", "c_acctbal")
+    return old, t.customer.where("c_custkey % 3 = 0").select((F.col("c_custkey") + 100).alias("c_custkey"), F.lit("new").alias("c_name"), "c_acctbal")
+
+
 @query("sink_upsert", _UPSERT.format("customer WHERE c_custkey NOT IN (SELECT c_custkey FROM new) UNION ALL SELECT * FROM new"))
 def sink_upsert(t):
-    old = t.customer.select("c_custkey", "c_name", "c_acctbal")
-    new = t.customer.where("c_custkey % 3 = 0").select((F.col("c_custkey") + 100).alias("c_custkey"), F.lit("new").alias("c_name"), "c_acctbal")
-    return jobs.upsert(old, new, ["c_custkey"], [F.desc("c_acctbal")])
+    """A stored table after a merge, which is run twice."""
+    old, new = _customers(t)
+    table = stored.create(old, ["c_custkey"], parts=16)
+    for _ in range(2):
+        table.merge(new, [F.desc("c_acctbal")])
+    return table.read()
 
 
 @query("sink_upsert_nothing", _UPSERT.format("customer UNION ALL SELECT * FROM new WHERE c_custkey NOT IN (SELECT c_custkey FROM customer)"))
 def sink_upsert_nothing(t):
-    old = t.customer.select("c_custkey", "c_name", "c_acctbal")
-    new = t.customer.where("c_custkey % 3 = 0").select((F.col("c_custkey") + 100).alias("c_custkey"), F.lit("new").alias("c_name"), "c_acctbal")
-    return jobs.upsert(old, new, ["c_custkey"], [F.desc("c_acctbal")], update=False)
+    """A stored table after a merge that leaves what is there."""
+    old, new = _customers(t)
+    table = stored.create(old, ["c_custkey"], parts=16)
+    table.merge(new, [F.desc("c_acctbal")], update=False)
+    return table.read()
 
 
 @query("sink_append_log", "SELECT event_type, count(*) * 2 AS n FROM events GROUP BY event_type")
 def sink_append_log(t):
+    """A log after two batches, of which one came twice."""
     rows = t.events.select("event_id", "event_type")
-    return sinks.appended([rows, rows], "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    path = sinks.folder(t.spark, "log")
+    for number in (0, 1, 1):
+        stored.put_batch(rows, path, number)
+    return stored.log(t.spark, path, rows.schema).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("check_unique", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey HAVING count(*) > 1")

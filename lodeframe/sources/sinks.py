@@ -35,13 +35,5 @@ def csv_round_trip(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path)
 
 
-def appended(parts: list[DataFrame], tag: str) -> DataFrame:
-    """Parts appended to one Parquet log, read back."""
-    path = folder(parts[0].sparkSession, tag)
-    for part in parts:
-        part.write.mode("append").parquet(path)
-    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(path)
-
-
 def numbered(rows: DataFrame, keys: list, order: list, name: str = "rn") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.sinks import folder
+from ..sources.stored import log, put_batch
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -32,11 +33,12 @@ def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
     """All that the stream gives for what is there now."""
     spark = rows.sparkSession
     out, checkpoint = folder(spark, "stream"), folder(spark, "stream-state")
-    if mode == "append":
+    if mode == "append":  # a sink with a log of its own
         rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     else:
-        rows.writeStream.foreachBatch(lambda df, n: df.write.mode("append").parquet(out)).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+        rows.writeStream.foreachBatch(lambda df, n: put_batch(df, out, n)).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return log(spark, out, rows.schema)
+    return spark.read.schema(rows.schema).parquet(out)
 
 
 def tumbling(rows: DataFrame, length: str = "5 minutes", late: str = "1 day") -> DataFrame:
