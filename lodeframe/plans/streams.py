@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import progress
+from ..streaming import processors, progress
 from .registry import query
 
 
@@ -55,12 +55,12 @@ def st_breaker_state(t):
 
 @query("st_job_state")
 def st_job_state(t):
-    return progress.drained(progress.stateful(_stream(t), "user_id", progress.job, {"status": "pending", "attempts": 0}, "status string, attempts int", lambda now: 0.0))
+    return progress.drained(processors.processed(_stream(t), processors.Jobs()))
 
 
 @query("st_pause_backoff")
 def st_pause_backoff(t):
-    return progress.drained(progress.stateful(_stream(t), "user_id", progress.backoff, {"delay": 0.0, "until": 0.0, "retries": 0}, "delay double, until double, retries int", progress.backoff_ends))
+    return progress.drained(processors.processed(_stream(t), processors.Pauses()))
 
 
 @query("st_delayed_retry", "SELECT user_id, count(*) AS retries FROM events WHERE event_type = 'error' GROUP BY user_id")
@@ -71,4 +71,4 @@ def st_delayed_retry(t):
 
 @query("st_ttl_cache")
 def st_ttl_cache(t):
-    return progress.drained(progress.stateful(_stream(t), "user_id", progress.cache, {"at": 0.0, "hits": 0, "misses": 0}, "at double, hits int, misses int", progress.cache_ends))
+    return progress.drained(processors.processed(_stream(t), processors.Cached()))

@@ -29,10 +29,10 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
+def drained(rows: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """All that the stream gives for what is there now."""
     spark = rows.sparkSession
-    out, checkpoint = folder(spark, "stream"), folder(spark, "stream-state")
+    out, checkpoint = folder(spark, "stream"), checkpoint or folder(spark, "stream-state")
     if mode == "append":  # a sink with a log of its own
         rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     else:
