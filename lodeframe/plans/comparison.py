@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import urls
 from ..functions.rules import contains_any, contains_any_sql, quoted
-from ..operators import coverage, matching, ranking
+from ..operators import coverage, gates, matching, ranking
 from .composites import _PARAMS, _RANK_SQL, candidates
 from .issuers import _FOUND_SQL, PROFILES, found, profiles
 from .registry import query
@@ -103,19 +103,47 @@ def evidence_select(t):
     return rows.select("id", F.coalesce("reason", F.when(F.col("id") != F.col("first"), "duplicate").when(F.col("chosen"), "selected").otherwise("overflow")).alias("outcome"))
 
 
+# a cycle's snapshots are a customer's orders: their run keys (some missing, some alike), and what each gate looks at
+_SNAPSHOTS = """SELECT o_custkey AS cycle, o_orderkey AS id, CASE WHEN o_orderkey % 41 = 0 THEN '' WHEN o_orderkey % 43 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'run-' || o_custkey::VARCHAR ELSE 'run-' || o_orderkey::VARCHAR END AS run_key,
+    o_orderstatus AS state, CASE WHEN o_totalprice > 400000 THEN 'rejected' ELSE 'accepted' END AS acceptance, o_totalprice > 20000 AS complete, CASE WHEN o_orderkey % 11 = 0 THEN o_orderpriority ELSE 'x' END AS fingerprint, l.lines, l.score
+    FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS lines, max(l_quantity) AS score FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey"""
+_EXPECTED, _LINES = 4, 4
+
+
 @query(
     "gate_checks",
-    """WITH s AS (SELECT o_custkey AS cycle, count(*) AS n, bool_and(o_orderstatus <> 'P') AS g2, bool_and(o_totalprice > 20000) AS g3, count(DISTINCT o_orderpriority) = 1 AS g4, count(DISTINCT o_orderdate) = count(*) AS g5, bool_and(lines = 4) AS g6, bool_and(length(o_orderstatus) > 0) AS g7, round(avg(o_totalprice), 6) AS average
-      FROM orders JOIN (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1)
-    SELECT cycle, average, n = 4 AS g1, g2, g3, g4, g5, g6, g7, n = 4 AND g2 AND g3 AND g4 AND g5 AND g6 AND g7 AS passed FROM s""",
+    f"""WITH s AS ({_SNAPSHOTS}), g AS (SELECT cycle, count(*) AS n, round(avg(coalesce(score, 0)), 6) AS average, bool_and(state IN ('O', 'F') AND acceptance = 'accepted') AS g2, bool_and(complete) AS g3, bool_and(fingerprint = 'x') AS g4,
+        count(DISTINCT coalesce(run_key, '')) = count(*) AS g5, bool_and(coalesce(lines, 0) = {_LINES}) AS g6, bool_and(coalesce(run_key, '') <> '') AS g7 FROM s GROUP BY cycle)
+    SELECT cycle, average, n = {_EXPECTED} AS g1, g2, g3, g4, g5, g6, g7, n = {_EXPECTED} AND g2 AND g3 AND g4 AND g5 AND g6 AND g7 AS passed FROM g""",
 )
 def gate_checks(t):
-    """The seven gates of each cycle's snapshots, and their average: number, acceptance, coverage, fingerprint, keys, rows, inputs."""
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("lines"))
-    s = t.orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("cycle")).agg(
-        F.round(F.avg("o_totalprice"), 6).alias("average"), (F.count("*") == 4).alias("g1"), F.bool_and(F.col("o_orderstatus") != "P").alias("g2"), F.bool_and(F.col("o_totalprice") > 20000).alias("g3"), (F.countDistinct("o_orderpriority") == 1).alias("g4"),
-        (F.countDistinct("o_orderdate") == F.count("*")).alias("g5"), F.bool_and(F.col("lines") == 4).alias("g6"), F.bool_and(F.length("o_orderstatus") > 0).alias("g7"))
-    return s.withColumn("passed", F.expr("g1 AND g2 AND g3 AND g4 AND g5 AND g6 AND g7"))
+    """The seven gates of each cycle's snapshots, and the average of their scores."""
+    return gates.checks(_snapshots(t), _EXPECTED, _LINES)
+
+
+def _snapshots(t):
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.max("l_quantity").alias("score"))
+    key = F.col("o_orderkey")
+    run = F.when(key % 41 == 0, "").when(key % 43 == 0, F.lit(None)).when(key % 7 == 0, F.concat(F.lit("run-"), F.col("o_custkey"))).otherwise(F.concat(F.lit("run-"), key))
+    rows = t.orders.join(lines, F.col("l_orderkey") == key, "left")
+    return rows.select(
+        F.col("o_custkey").alias("cycle"), key.alias("id"), run.alias("run_key"), F.when(F.col("o_orderstatus").isin("O", "F"), "accepted").otherwise("running").alias("state"),
+        F.when(F.col("o_totalprice") > 400000, "rejected").otherwise("accepted").alias("acceptance"), (F.col("o_totalprice") > 20000).alias("complete"),
+        (F.when(key % 11 == 0, F.col("o_orderpriority")).otherwise("x") == "x").alias("same"), "lines", "score",
+    )
+
+
+@query(
+    "gate_reasons",
+    f"""WITH s AS ({_SNAPSHOTS}), g AS (SELECT cycle, count(*) AS n, bool_and(state IN ('O', 'F') AND acceptance = 'accepted') AS g2, bool_and(complete) AS g3, bool_and(fingerprint = 'x') AS g4,
+        count(DISTINCT coalesce(run_key, '')) = count(*) AS g5, bool_and(coalesce(lines, 0) = {_LINES}) AS g6, bool_and(coalesce(run_key, '') <> '') AS g7 FROM s GROUP BY cycle)
+    SELECT cycle, gate, CASE gate WHEN 1 THEN 'expected four accepted snapshots, found ' || n WHEN 2 THEN 'one or more snapshots are not terminal-success and accepted' WHEN 3 THEN 'one or more snapshots are partial'
+        WHEN 4 THEN 'mixed deployment fingerprints were detected' WHEN 5 THEN 'duplicate run keys were detected' WHEN 6 THEN 'one or more snapshots lack complete result rows' ELSE 'one or more report inputs lack a run key' END AS reason
+    FROM (SELECT *, unnest([1, 2, 3, 4, 5, 6, 7]) AS gate, unnest([n = {_EXPECTED}, g2, g3, g4, g5, g6, g7]) AS ok FROM g) WHERE NOT ok""",
+)
+def gate_reasons(t):
+    """The gates that a cycle fails, and why."""
+    return gates.reasons(gates.checks(_snapshots(t), _EXPECTED, _LINES, True))
 
 
 # ---------------------------------------------------------------- ranker and lookups

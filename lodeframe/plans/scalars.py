@@ -80,18 +80,21 @@ def fn_regex_escape_alternation(t):
     return t.documents.select("doc_id", F.regexp_count("text", F.lit(text.topic_pattern(["of", "the", "and the"]))).cast("long").alias("hits"))
 
 
-_CJK_VALUES = "(VALUES (1, '年度报告 annual'), (2, '株'), (3, 'plain text'), (4, '持続可能性 と 気候')) v(id, s)"
 
 
-@query("fn_cjk_bigrams", f"WITH r AS (SELECT id, unnest(regexp_extract_all(s, '[{text.CJK}]+')) AS r FROM {_CJK_VALUES}) SELECT id, unnest(CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END) AS gram FROM r")
+_CJK_TEXT = "translate(coalesce(text, ''), 'aehk', '年度报株')"  # documents in which some letters are ideographs
+
+
+@query("fn_cjk_bigrams", f"SELECT doc_id, len(g) AS n, sha1(array_to_string(g, ' ')) AS h FROM (SELECT doc_id, flatten(list_transform(regexp_extract_all({_CJK_TEXT}, '[{text.CJK}]+'), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END)) AS g FROM documents)")
 def fn_cjk_bigrams(t):
-    rows = t.spark.createDataFrame([(1, "年度报告 annual"), (2, "株"), (3, "plain text"), (4, "持続可能性 と 気候")], "id int, s string")
-    return rows.select("id", F.explode(text.cjk_bigrams("s")).alias("gram"))
+    grams = t.documents.select("doc_id", text.cjk_bigrams(F.expr(_CJK_TEXT)).alias("g"))
+    return grams.select("doc_id", F.size("g").cast("long").alias("n"), F.sha1(F.array_join("g", " ")).alias("h"))
 
 
-@query("fn_has_cjk", f"SELECT id, regexp_matches(s, '[{text.CJK}]') AS cjk FROM {_CJK_VALUES}")
+@query("fn_has_cjk", f"SELECT doc_id, regexp_matches(CASE WHEN doc_id % 3 = 0 THEN {_CJK_TEXT} ELSE text END, '[{text.CJK}]') AS cjk FROM documents")
 def fn_has_cjk(t):
-    return t.spark.createDataFrame([(1, "年度报告 annual"), (2, "株"), (3, "plain text"), (4, "持続可能性 と 気候")], "id int, s string").select("id", F.col("s").rlike(f"[{text.CJK}]").alias("cjk"))
+    shown = F.expr(f"CASE WHEN doc_id % 3 = 0 THEN {_CJK_TEXT} ELSE text END")
+    return t.documents.select("doc_id", shown.rlike(f"[{text.CJK}]").alias("cjk"))
 
 
 @query("fn_context_window", "SELECT doc_id, substr(text, greatest(1, strpos(text, 'ing') - 200), strpos(text, 'ing') - greatest(1, strpos(text, 'ing') - 200) + 203) AS context FROM documents WHERE strpos(text, 'ing') > 0")

@@ -42,9 +42,9 @@ def src_upload_text(t):
 def src_excel(t):
     """A workbook for each region, and the rows of its sheet."""
 
-    @F.udf("binary")
-    def made(rows):
-        return documents.workbook([["N_NationKey", "n_name"], *[[str(r["n_nationkey"]), r["n_name"]] for r in rows]])
+    @F.pandas_udf("binary")
+    def made(groups):
+        return groups.map(lambda rows: documents.workbook([["N_NationKey", "n_name"], *[[str(r["n_nationkey"]), r["n_name"]] for r in rows]]))
 
     books = t.nation.groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("rows"))
     return documents.workbooks(books.select(F.concat(F.col("n_regionkey").cast("string"), F.lit(".xlsx")).alias("path"), made("rows").alias("content")), ["n_nationkey", "n_name"])
@@ -54,9 +54,9 @@ def src_excel(t):
 def src_pdf_text(t):
     """A PDF of each item, and the text of its page."""
 
-    @F.udf("binary")
-    def made(text):
-        return documents.pdf(text)
+    @F.pandas_udf("binary")
+    def made(texts):
+        return texts.map(documents.pdf)
 
     return documents.texts(t.benchmark.select(F.concat(F.col("item_id").cast("string"), F.lit(".pdf")).alias("path"), made("text").alias("content")))
 
@@ -109,14 +109,20 @@ def sink_csv_wide(t):
     return sinks.csv_round_trip(rows.select(*_BASE, "sources", *[f"m{i}_{k}" for i in range(1, 8) for k in _WIDE]))
 
 
-@query("src_pasted_text", "SELECT * FROM (VALUES (0, 'Alpha'), (1, 'Beta Ltd'), (2, 'Gamma')) v(pos, name)")
+_PASTED = """concat(CASE c_custkey % 3 WHEN 0 THEN 'Name' WHEN 1 THEN 'Company Name,Ticker' ELSE '' END, {n}, c_name, {n}, {n}, ' ', c_mktsegment, ' ', {r}, {n}, c_name, ',GM,US', {n})"""
+
+
+@query("src_pasted_text", "SELECT c_custkey, pos, CASE pos WHEN 1 THEN c_mktsegment ELSE c_name END AS name FROM customer, (VALUES (0), (1), (2)) v(pos)")
 def src_pasted_text(t):
-    return files.pasted(t.spark, "Name\nAlpha\n\n Beta Ltd \nGamma,GM,US")
+    """A list that each customer pastes: with a header, one that looks like CSV, or none."""
+    return files.pasted(t.customer.select("c_custkey", F.expr(_PASTED.format(n="chr(10)", r="chr(13)")).alias("body")), "c_custkey", "body")
 
 
-@query("src_json_inline", "SELECT * FROM (VALUES (1, 'a'), (2, NULL)) v(id, name)")
+@query("src_json_inline", "SELECT c_custkey, c_nationkey AS id, c_name AS name FROM customer UNION ALL SELECT c_custkey, c_nationkey + 1, NULL FROM customer")
 def src_json_inline(t):
-    return files.json_list(t.spark, '[{"id": 1, "name": "a"}, {"id": 2}]', "id int, name string")
+    """A body with two objects, of which one has no name, of each customer."""
+    body = F.expr("""concat('[{"id": ', c_nationkey, ', "name": "', c_name, '"}, {"id": ', c_nationkey + 1, '}]')""")
+    return files.json_list(t.customer.select("c_custkey", body.alias("body")), "c_custkey", "body", "id int, name string")
 
 
 @query("src_flex_columns", "SELECT c_custkey, nullif(trim(c_name), '') AS name, nullif(trim(c_mktsegment), '') AS sector FROM customer")

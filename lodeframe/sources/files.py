@@ -22,17 +22,20 @@ def csv_lines(spark: SparkSession, lines: list[str]) -> DataFrame:
     return body.select(row.alias("r")).select("r.*")
 
 
-def pasted(spark: SparkSession, text: str) -> DataFrame:
-    """One name for each line; the first field where lines look like CSV; a header line is left out."""
-    lines = F.filter(F.transform(F.split(F.lit(text), "\r?\n"), lambda x: F.trim(F.split(x, ",")[0])), lambda x: x != "")
-    rows = spark.range(1).select(F.posexplode(lines).alias("pos", "name"))
-    header = F.lower("name").isin("name", "company", "company name", "ticker", "isin")
-    first = F.when(F.lower(F.trim(lines[0])).isin("name", "company", "company name", "ticker", "isin"), 1).otherwise(0)
-    return rows.where(~((F.col("pos") == 0) & header)).select((F.col("pos") - first).cast("int").alias("pos"), "name")
+# What a pasted list's header says.
+HEADERS = ("name", "company", "company name", "ticker", "isin")
 
 
-def json_list(spark: SparkSession, body: str, schema: str) -> DataFrame:
-    return spark.range(1).select(F.explode(F.from_json(F.lit(body), f"array<struct<{', '.join(x.strip().replace(' ', ':') for x in schema.split(','))}>>")).alias("r")).select("r.*")
+def pasted(rows: DataFrame, key: str, body: str) -> DataFrame:
+    """key, pos, name of every line of each body: one name for each line; the first field where lines look like CSV; blank lines and a header are left out."""
+    lines = F.filter(F.transform(F.split(body, "\r?\n"), lambda x: F.trim(F.split(x, ",")[0])), lambda x: x != "")
+    names = F.when(F.lower(F.get(lines, F.lit(0))).isin(*HEADERS), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
+    return rows.select(key, F.posexplode(names).alias("pos", "name"))
+
+
+def json_list(rows: DataFrame, key: str, body: str, schema: str) -> DataFrame:
+    """key and the fields of every object in each body, a list; a body that is none gives no rows."""
+    return rows.select(key, F.explode(F.from_json(body, f"array<struct<{', '.join(x.strip().replace(' ', ':') for x in schema.split(','))}>>")).alias("r")).select(key, "r.*")
 
 
 def flexible(rows: DataFrame, names: list[str]) -> Column:

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import text, urls
 from lodeframe.functions.json import repair
-from lodeframe.operators import anomaly, jobs, ranking, retrieval
+from lodeframe.operators import anomaly, gates, jobs, ranking, retrieval
+from lodeframe.sources import files
 from lodeframe.streaming import progress
 
 
@@ -139,3 +140,25 @@ def test_breaker_and_job_states():
     for kind in ("view", "error", "view", "error", "view", "error", "view"):
         progress.job(job, kind, 0.0)
     assert job == {"status": "failed", "attempts": 3}
+
+
+def test_pasted_lists_and_bodies(spark):
+    bodies = {1: "Name\nAlpha\n\n Beta Ltd \r\nGamma,GM,US", 2: "ISIN, x\n", 3: "", 4: None, 5: "Alpha\nname\n,\nBeta", 6: " company name \n"}
+    frame = spark.createDataFrame(list(bodies.items()), "k int, body string")
+    got = sorted(tuple(r) for r in files.pasted(frame, "k", "body").collect())
+    assert got == [(1, 0, "Alpha"), (1, 1, "Beta Ltd"), (1, 2, "Gamma"), (5, 0, "Alpha"), (5, 1, "name"), (5, 2, "Beta")]
+    lists = spark.createDataFrame([(1, '[{"id": 1, "name": "a"}, {"id": 2}]'), (2, "no list"), (3, None), (4, "[]")], "k int, body string")
+    assert sorted(map(tuple, files.json_list(lists.where("k != 2"), "k", "body", "id int, name string").collect())) == [(1, 1, "a"), (1, 2, None)]
+
+
+def test_gates(spark):
+    good = lambda i, **more: {"cycle": 1, "run_key": f"r{i}", "state": "accepted", "acceptance": "accepted", "complete": True, "same": True, "lines": 22, "score": float(i)} | more
+    schema = "cycle int, run_key string, state string, acceptance string, complete boolean, same boolean, lines int, score double"
+    failed = lambda rows: sorted(r.gate for r in gates.reasons(gates.checks(spark.createDataFrame(rows, schema), 4, 22, True)).collect())
+    four = [good(i) for i in range(4)]
+    assert failed(four) == [] and gates.checks(spark.createDataFrame(four, schema), 4, 22).first().average == 1.5
+    assert failed(four[:3]) == [1]
+    assert failed([*four[:3], good(3, state="running")]) == [2] == failed([*four[:3], good(3, acceptance=None)])
+    assert failed([*four[:3], good(3, complete=False)]) == [3] and failed([*four[:3], good(3, same=False)]) == [4]
+    assert failed([*four[:3], good(0)]) == [5] and failed([*four[:3], good(3, lines=None)]) == [6]
+    assert failed([*four[:3], good(3, run_key=None)]) == [7] and failed([*four[:2], good(2, run_key=None), good(3, run_key="")]) == [5, 7]
