@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -112,6 +112,18 @@ def chunk_documents(docs: DataFrame, key: str, scope: str, body: str, more: tupl
     return docs.select(*columns, body).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", seq int, section string, chunk string")
 
 
+class Chunks:
+    """The chunks of one text, as a table function."""
+
+    def eval(self, body: str):
+        yield from split_chunks(body)
+
+
+def register_chunks(spark: SparkSession, name: str = "chunks") -> None:
+    """Makes the chunks of a text a lateral source in SQL: ``SELECT d.doc_id, c.* FROM documents d, LATERAL chunks(d.text) c``. Rows travel as Arrow batches."""
+    spark.udtf.register(name, F.udtf(Chunks, returnType="seq int, section string, chunk string", useArrow=True))
+
+
 @dataclass(frozen=True)
 class Index:
     """A stored inverted index: ``postings`` (scope, keys, size, term, tf) as a table in buckets by scope and keys, sorted by term; ``terms`` (scope, term,
@@ -137,11 +149,11 @@ def build_index(rows: DataFrame, scope: str, keys: list[str], body: str, wanted:
     """Postings of all terms (or those in ``wanted``) of every text, tokenised once.
 
     Texts are dealt by scope and keys before they are cut into terms, so counting needs no other shuffle, and each task writes one bucket. A row without a term
-    stands for the text itself. (scope, keys) are unique.
+    stands for the text itself. (scope, keys) are unique; a null text is an empty one.
     """
     spark = rows.sparkSession
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select(scope, *keys, body).repartition(count, scope, *keys).select(scope, *keys, text.tokens(body).alias("_tokens"))
+    dealt = rows.select(scope, *keys, body).repartition(count, scope, *keys).select(scope, *keys, text.tokens(F.coalesce(F.col(body), F.lit(""))).alias("_tokens"))
     terms = F.col("_tokens") if wanted is None else F.filter("_tokens", lambda w: w.isin(*sorted(set(wanted))))
     found = dealt.select(scope, *keys, F.size("_tokens").alias("size"), F.explode(F.concat(F.array(F.lit(None).cast("string")), terms)).alias("term")).groupBy(scope, *keys, "size", "term").agg(F.count("*").alias("tf"))
     name = f"index_{uuid.uuid4().hex}"

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import urls
 from ..functions.rules import contains_any, contains_any_sql, quoted
 from ..operators import coverage, gates, matching, ranking
 from .composites import _PARAMS, _RANK_SQL, candidates
 from .issuers import _FOUND_SQL, PROFILES, found, profiles
+from ..sources.sinks import numbered
 from .registry import query
 
 # ---------------------------------------------------------------- what two runs cite
@@ -158,10 +158,14 @@ def gate_reasons(t):
 def ranker_diagnostics(t):
     """For each list: distinct places among the first 20, the largest tie, and the share of neighbours that only the hash tells apart."""
     rows = ranking.components(candidates(t), _PARAMS, size="bytes").select(urls.host("url").alias("host"), "authority", "fine_score", F.round("fine_score", 4).alias("x"), "url_sha1")
-    w = Window.partitionBy("host").orderBy(*ranking.order())
-    o = rows.withColumns({"rn": F.row_number().over(w), "tied": (F.lag("authority").over(w) == F.col("authority")) & (F.lag("fine_score").over(w) == F.col("fine_score"))})
-    largest = rows.groupBy("host", "authority", "x").count().groupBy("host").agg(F.max("count").alias("largest_tie"))
-    got = o.groupBy("host").agg(F.count("*").alias("docs"), F.countDistinct(F.when(F.col("rn") <= 20, F.struct("authority", "x"))).alias("distinct_top20"), F.count_if("tied").alias("tied")).join(largest, "host")
+    # in order, neighbours with equal places are those of one group, so their number is that of rows less that of groups
+    alike = rows.groupBy("host", "authority", "fine_score", "x").agg(F.count("*").alias("n"))
+    counted = alike.groupBy("host").agg(F.sum("n").alias("docs"), (F.sum("n") - F.count("*")).alias("tied"))
+    largest = alike.groupBy("host", "authority", "x").agg(F.sum("n").alias("n")).groupBy("host").agg(F.max("n").alias("largest_tie"))
+    # the first 20 of a host are among the first 20 of its parts, so a large host isn't one window
+    first = numbered(rows.withColumn("part", F.pmod(F.xxhash64("url_sha1"), F.lit(64))), ["host", "part"], ranking.order()).where("rn <= 20")
+    top = numbered(first.drop("rn"), ["host"], ranking.order()).where("rn <= 20").groupBy("host").agg(F.countDistinct(F.struct("authority", "x")).alias("distinct_top20"))
+    got = counted.join(top, "host").join(largest, "host")
     return got.select("host", "docs", "distinct_top20", "largest_tie", F.round(F.coalesce(F.try_divide(F.col("tied"), F.col("docs") - 1), F.lit(0.0)), 6).alias("hash_decided"))
 
 

@@ -27,7 +27,7 @@ def bm25_index(t):
 
 @query(
     "bm25_score",
-    f"""WITH d AS (SELECT source, doc_id, {_TOKENS} AS x FROM documents), s AS (SELECT source, count(*) AS n, avg(len(x)) AS mean FROM d GROUP BY source),
+    f"""WITH d AS (SELECT source, doc_id, {_TOKENS} AS x FROM (SELECT source, doc_id, coalesce(text, '') AS text FROM documents)), s AS (SELECT source, count(*) AS n, avg(len(x)) AS mean FROM d GROUP BY source),
     h AS (SELECT source, doc_id, len(x) AS size, w AS term, count(*) AS tf FROM (SELECT source, doc_id, x, unnest(x) AS w FROM d) WHERE w IN ('the', 'thon', 'tion', 'ing', 'queue', 'and') GROUP BY ALL),
     f AS (SELECT source, term, count(*) AS df FROM h GROUP BY ALL)
     SELECT source, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25 + 0.75::DOUBLE * size / mean))), 6) AS score FROM h JOIN f USING (source, term) JOIN s USING (source) GROUP BY source, doc_id""",
@@ -65,6 +65,14 @@ def chunk_documents(t):
     return ops.chunk_documents(t.documents, "doc_id", "source", "text")
 
 
+@query("chunk_lateral")
+def chunk_lateral(t):
+    """The same chunks from SQL, with the chunker as a lateral source."""
+    ops.register_chunks(t.spark)
+    t.documents.createOrReplaceTempView("_chunked")
+    return t.spark.sql("SELECT d.source, d.doc_id, c.seq, c.section, c.chunk FROM _chunked d, LATERAL chunks(d.text) c")
+
+
 @query("chunk_fixed", "SELECT doc_id, i AS seq, length(substr(text, i * 1500 + 1, 1500)) AS size, sha1(substr(text, i * 1500 + 1, 1500)) AS h FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 1499) // 1500)) AS i FROM documents)")
 def chunk_fixed(t):
     n = F.floor((F.length("text") + 1499) / 1500).cast("int")

@@ -31,6 +31,33 @@ def test_chunks_have_the_section_of_their_start():
     assert got[1][2].startswith("Item 1.") and sum(len(c) for *_, c in got) >= len(body) - 10
 
 
+def test_chunks_as_a_lateral_source(spark):
+    body = "Item 1. Business We sell. " + "A sentence here. " * 200 + "Item 1A. Risk Factors It could fail. " + "Another. " * 300
+    docs = spark.createDataFrame([(1, "a", body), (2, "a", None), (3, "b", ""), (4, "b", "One.")], "doc_id long, source string, text string")
+    retrieval.register_chunks(spark)
+    docs.createOrReplaceTempView("_docs")
+    got = spark.sql("SELECT d.source, d.doc_id, c.seq, c.section, c.chunk FROM _docs d, LATERAL chunks(d.text) c").collect()
+    want = retrieval.chunk_documents(docs, "doc_id", "source", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len(got) > 4
+
+
+def test_stored_index_scores_without_a_shuffle_of_postings(spark):
+    docs = spark.createDataFrame([("a", i, "alpha beta " * (i % 5) + "gamma") for i in range(40)] + [("b", 1, None), ("b", 2, "beta")], "s string, d long, body string")
+    index = retrieval.build_index(docs, "s", ["d"], "body")
+    assert {(r.s, r.term): (r.df, r.cf) for r in index.terms.collect()} == {("a", "alpha"): (32, 80), ("a", "beta"): (32, 80), ("a", "gamma"): (40, 40), ("b", "beta"): (1, 1)}
+    assert {r.s: (r.n, r["mean"]) for r in index.stats.collect()} == {"a": (40, 5.0), "b": (2, 0.5)}
+    scored = retrieval.scores(index, ["alpha", "gamma"])
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    n, want = 40, {}
+    for i in range(40):
+        size, parts = 2 * (i % 5) + 1, {"alpha": (i % 5, 32), "gamma": (1, 40)}
+        total = sum(math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / 5.0)) for tf, df in parts.values() if tf)
+        want["a", i] = total
+    assert {(r.s, r.d): r.score for r in scored.collect()} == pytest.approx(want)
+    index.drop()
+
+
 def plain_pack(docs, measure, topics, anchor):
     """The same choice, made step by step over all chunks of one company."""
     chunks = []
