@@ -31,8 +31,9 @@ from . import common
 from .hashing import SEGMENT, substrings
 from .induced import BASE, MEMORY, PORTION, Disk, suffix_array
 
-LENGTH, ANCHOR, HOT, BUCKET_BYTES, PART_HASHES, SHARD_BYTES = 100, 50, 20_000, 8 << 20, 400_000, 4 << 20
+LENGTH, ANCHOR, HOT, BUCKET_BYTES, PART_HASHES, SHARD_BYTES = 100, 50, 20_000, 8 << 20, 400_000, 1 << 20
 _SPAN = LENGTH - ANCHOR + 1
+KEPT_BYTES = 8 << 20  # bytes of an array that a shard's sorter keeps in memory; larger ones are on disk
 
 
 def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +94,7 @@ def repeated_windows(contexts: list[bytes], ids: list[tuple], memory: int = MEMO
     ends = np.cumsum(sizes + 1) - 1
     begin = ends - sizes
     n = int(ends[-1]) + 1 if len(ends) else 0
-    disk = Disk()
+    disk = Disk(KEPT_BYTES)
     text = disk.array(n, np.int16)
     text[:] = np.frombuffer(b"".join(c + b"\0" for c in contexts), dtype=np.uint8)
     text += 2
