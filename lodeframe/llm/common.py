@@ -33,20 +33,37 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+_LIBC = ctypes.CDLL(None)
+if hasattr(_LIBC, "mallopt"):  # of glibc, which else raises the size from which arrays are given back when they are freed
+    _LIBC.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+#: What workers keep from task to task, by name.
+HELD: dict[str, dict] = {"encoders": {}, "pieces": {}}
+
+
 def release() -> None:
     """Gives memory that is free back to the machine; Python workers live on after a task, and many share an executor."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-    if trim is not None:
-        trim(0)
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
 
+def forget(needs: str | None) -> None:
+    """Drops what the worker has kept but for ``needs``."""
+    for name, kept in HELD.items():
+        if kept and name != needs:
+            kept.clear()
+            release()
 
-def tidy(run: Callable) -> Callable:
-    """``run``, a function of mapInArrow or of a group of applyInArrow, with its memory given back at its end."""
+
+def tidy(run: Callable, needs: str | None = None) -> Callable:
+    """``run``, a function of mapInArrow or of a group of applyInArrow, with its memory given back at its end. Of what the worker has kept from other
+    operators' tasks only ``needs`` stays."""
 
     if inspect.isgeneratorfunction(run):
 
         def tidied(*args):
+            forget(needs)
             try:
                 yield from run(*args)
             finally:
@@ -55,6 +72,7 @@ def tidy(run: Callable) -> Callable:
     else:
 
         def tidied(*args):
+            forget(needs)
             try:
                 return run(*args)
             finally:
@@ -179,14 +197,11 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One for each Python worker, which Spark uses again for later tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if path not in HELD["encoders"]:
+        HELD["encoders"][path] = WordEncoder(path)
+    return HELD["encoders"][path]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -124,7 +124,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         if keys:
             yield packed(group, keys, ids)
 
-    return dealt.mapInArrow(common.tidy(run), _SCHEMA)
+    return dealt.mapInArrow(common.tidy(run, "encoders"), _SCHEMA)
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:

@@ -219,14 +219,11 @@ def _characters(raw: bytes):
             at += 1
 
 
-_models: dict[str, Pieces] = {}
-
-
 def model(path: str) -> Pieces:
     """One for each Python worker, which Spark uses again for later tasks."""
-    if path not in _models:
-        _models[path] = Pieces(path)
-    return _models[path]
+    if path not in common.HELD["pieces"]:
+        common.HELD["pieces"][path] = Pieces(path)
+    return common.HELD["pieces"][path]
 
 
 def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
@@ -242,7 +239,7 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
             columns = [batch.column("doc_id"), pa.ListArray.from_arrays(edges, np.concatenate([*ids, np.zeros(0, np.int32)]))]
             yield pa.RecordBatch.from_arrays(columns + [pa.array([pieces.decode(x) for x in ids], pa.string())] * decoded, names=["doc_id", "ids"] + ["decoded"] * decoded)
 
-    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded)
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(run, "pieces"), f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded)
 
 
 def op13_pieces(spark, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, bloc
         if keys:
             yield pa.RecordBatch.from_pydict({"block": pa.array([encode_block(bucket, base, keys, ids)], pa.binary())})
 
-    dealt.mapInArrow(common.tidy(run), "block binary").select(F.col("block").cast("string")).write.option("maxRecordsPerFile", 24).text(path)
+    dealt.mapInArrow(common.tidy(run, "encoders"), "block binary").select(F.col("block").cast("string")).write.option("maxRecordsPerFile", 24).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
