@@ -40,7 +40,7 @@ from .hashing import SEGMENT, chain, sums
 
 BUCKETS, ROWS, SAMPLE, ODDS, UNSURE, GROUPS, STRETCH = 1 << 20, 2, 20_000, 1e-4, 0.5, 6, 12
 TARGET, KINDS = 0, 3  # good and not toxic; low quality; toxic
-_PART, _ONE = 1 << 14, 1 << 10  # documents are counted in parts of 2^-10, so that sums don't depend on their order
+_PART, _STEP, _ONE = 1 << 14, 1 << 16, 1 << 10  # documents are counted in parts of 2^-10, so that sums don't depend on their order
 
 #: 0 for blanks, 1 for letters, digits and all beyond ASCII, 2 for other characters.
 _KIND = np.array([0 if b == 32 or 9 <= b <= 13 else 1 if b > 127 or chr(b).isalnum() else 2 for b in range(256)], dtype=np.int8)
@@ -95,16 +95,21 @@ class Ratios:
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray):
         self.shares = sizes / max(1.0, sizes.sum()) if sizes[TARGET] else np.eye(KINDS)[TARGET]
-        counts = counts / np.float32(_ONE)
+        self.logs = np.zeros(counts.shape, dtype=np.float32)
+        for at in range(0, counts.shape[2], _STEP):  # some buckets at a time: this is done on the driver
+            self.logs[:, :, at : at + _STEP] = self._logs(counts[:, :, at : at + _STEP] / np.float32(_ONE), sizes)
+
+    def _logs(self, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        logs = np.zeros(counts.shape, dtype=np.float32)
         usual = (counts[TARGET] + counts.sum(0) / np.float32(max(1.0, sizes.sum()))) / np.float32(sizes[TARGET] + 1)
-        self.logs = np.zeros((KINDS, *counts.shape[1:]), dtype=np.float32)
         for kind in range(KINDS):
             if kind != TARGET and self.shares[kind]:
                 seen = counts[kind].astype(np.float64)
                 expected = usual * sizes[kind] + UNSURE
                 gain = np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / expected), 0.0) - (seen - expected)
                 own = 1 / (1 + np.exp(np.clip(0.5 * np.log1p(seen) - np.log(ODDS) - gain, -50, 50)))
-                self.logs[kind] = np.log(np.maximum(1.0, 1 - own + own * (seen + 0.5) / (expected + 0.5)))
+                logs[kind] = np.log(np.maximum(1.0, 1 - own + own * (seen + 0.5) / (expected + 0.5)))
+        return logs
 
     def weight(self, grams: np.ndarray) -> float:
         at = [buckets(grams, r) for r in range(ROWS)]
@@ -170,6 +175,7 @@ def weigh(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, sam
     for kind, n in chosen.groupBy("kind").agg(F.sum("part")).collect():
         sizes[kind] = n / _ONE
     sent = spark.sparkContext.broadcast(Ratios(counts(chosen), sizes))
+    common.release()
 
     @F.pandas_udf("double")
     def weight(text):
