@@ -63,38 +63,123 @@ def word_text(content: bytes) -> str:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{_WORD}t")) for p in body.iter(f"{_WORD}p"))
 
 
-_STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
-_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]+>|T\*|\bT[jJdD]\b|\bTm\b|'|\"|\bET\b", re.S)
+_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
+_STREAM = re.compile(rb"\bstream\r?\n(.*?)\r?\n?endstream", re.S)
+_REFERENCE = rb"(\d+)\s+\d+\s+R"
+_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]+>|/[^\s/<>\[\]()]+\s+[\d.]+\s+Tf\b|T\*|\bT[jJdD]\b|\bTm\b|'|\"|\bET\b", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
-def _literal(token: bytes) -> str:
+def _bytes_of(token: bytes) -> bytes:
+    """The bytes of a string in parentheses or in hexadecimal digits."""
     if token.startswith(b"<"):
-        raw = bytes.fromhex(re.sub(rb"\s", b"", token[1:-1]).decode().ljust(2, "0"))
-        return raw.decode("utf-16-be", "ignore") if raw.startswith(b"\xfe\xff") else raw.decode("cp1252", "ignore")
-    plain = re.sub(rb"\\(?:([0-7]{1,3})|(.))", lambda m: bytes([int(m[1], 8) & 255]) if m[1] else _ESCAPES.get(m[2], m[2]), token[1:-1], flags=re.S)
-    return plain[2:].decode("utf-16-be", "ignore") if plain.startswith(b"\xfe\xff") else plain.decode("cp1252", "ignore")
+        digits = re.sub(rb"\s", b"", token[1:-1]).decode()
+        return bytes.fromhex(digits + "0" * (len(digits) % 2))
+    return re.sub(rb"\\(?:([0-7]{1,3})|(.))", lambda m: bytes([int(m[1], 8) & 255]) if m[1] else _ESCAPES.get(m[2], m[2]), token[1:-1], flags=re.S)
 
 
-def pdf_text(content: bytes) -> str:
-    """What a PDF's page streams show, in their order; moves to another line are line ends. Streams of other filters and fonts with
-    their own codes give no text, as does a file that isn't a PDF."""
-    if not content.startswith(b"%PDF"):
-        return ""
-    out: list[str] = []
-    for head, raw in _STREAM.findall(content):
-        if b"/FlateDecode" in head:
+def _plain(raw: bytes) -> str:
+    return raw[2:].decode("utf-16-be", "ignore") if raw.startswith(b"\xfe\xff") else raw.decode("cp1252", "ignore")
+
+
+def _objects(content: bytes) -> dict[int, tuple[bytes, bytes | None]]:
+    """Number, dictionary and inflated stream of every object, those in object streams too. Streams of other filters are None."""
+    found: dict[int, tuple[bytes, bytes | None]] = {}
+    for m in _OBJECT.finditer(content):
+        number, body = int(m[1]), m[2]
+        stream = _STREAM.search(body)
+        head, raw = (body[: stream.start()], stream[1]) if stream else (body, None)
+        if raw is not None and b"/FlateDecode" in head:
             try:
                 raw = zlib.decompressobj().decompress(raw)  # an end that looks like a line end may be cut off
             except zlib.error:
-                continue
+                raw = None
         elif b"/Filter" in head:
+            raw = None
+        found[number] = (head, raw)
+    for head, raw in list(found.values()):
+        first = re.search(rb"/First\s+(\d+)", head)
+        if raw is None or b"/ObjStm" not in head or not first:
+            continue
+        start = int(first[1])
+        pairs = [int(x) for x in re.findall(rb"\d+", raw[:start])]
+        places = [start + at for at in pairs[1::2]]
+        for number, a, b in zip(pairs[::2], places, [*places[1:], len(raw)]):
+            found.setdefault(number, (raw[a:b], None))
+    return found
+
+
+def _codes(cmap: bytes) -> dict[bytes, str]:
+    """The characters of a font's codes, from its ToUnicode map: single codes and ranges."""
+    text = lambda digits: bytes.fromhex(digits.decode()).decode("utf-16-be", "ignore")
+    out: dict[bytes, str] = {}
+    for part in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        for code, shown in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
+            out[bytes.fromhex(code.decode())] = text(shown)
+    for part in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for low, high, shown, several in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[(.*?)\])", part, re.S):
+            listed, size = re.findall(rb"<([0-9A-Fa-f]+)>", several), len(low) // 2
+            for k, code in enumerate(range(int(low, 16), min(int(high, 16), int(low, 16) + 0xFFFF) + 1)):
+                if shown:
+                    first = text(shown)
+                    out[code.to_bytes(size, "big")] = first[:-1] + chr(ord(first[-1]) + k) if first else ""
+                elif k < len(listed):
+                    out[code.to_bytes(size, "big")] = text(listed[k])
+    return out
+
+
+def _decoded(raw: bytes, codes: dict[bytes, str] | None) -> str:
+    if not codes:
+        return _plain(raw)
+    sizes, out, at = sorted({len(c) for c in codes}, reverse=True), [], 0
+    while at < len(raw):
+        size = next((k for k in sizes if raw[at : at + k] in codes), sizes[-1])
+        out.append(codes.get(raw[at : at + size], ""))
+        at += size
+    return "".join(out)
+
+
+def _fonts(objects: dict[int, tuple[bytes, bytes | None]]) -> dict[int, dict[bytes, dict[bytes, str]]]:
+    """For each page stream, its fonts' codes by the font's name; resources may be the page's, its parent's, or objects of their own."""
+    out: dict[int, dict[bytes, dict[bytes, str]]] = {}
+    empty = (b"", None)
+    for head, _ in objects.values():
+        contents = re.search(rb"/Contents\s*(?:" + _REFERENCE + rb"|\[(.*?)\])", head, re.S)
+        if not contents:
             continue
-        if b"BT" not in raw:
+        holder, seen = head, 0
+        while b"/Resources" not in holder and (up := re.search(rb"/Parent\s+" + _REFERENCE, holder)) and seen < 50:
+            holder, seen = objects.get(int(up[1]), empty)[0], seen + 1
+        if own := re.search(rb"/Resources\s+" + _REFERENCE, holder):
+            holder = objects.get(int(own[1]), empty)[0]
+        listed = re.search(rb"/Font\s*(?:" + _REFERENCE + rb"|<<(.*?)>>)", holder, re.S)
+        named = objects.get(int(listed[1]), empty)[0] if listed and listed[1] else listed[2] if listed else b""
+        fonts = {}
+        for name, number in re.findall(rb"/([^\s/<>\[\]()]+)\s+" + _REFERENCE, named):
+            if to := re.search(rb"/ToUnicode\s+" + _REFERENCE, objects.get(int(number), empty)[0]):
+                fonts[name] = _codes(objects.get(int(to[1]), empty)[1] or b"")
+        for number in [contents[1]] if contents[1] else re.findall(_REFERENCE, contents[2]):
+            out[int(number)] = fonts
+    return out
+
+
+def pdf_text(content: bytes) -> str:
+    """What a PDF's page streams show, in their order; moves to another line are line ends. Codes of fonts with a ToUnicode map are read by it, and
+    objects in object streams are found. Streams of other filters, and codes without such a map, give no text or that of Windows-1252; a file that
+    isn't a PDF gives none."""
+    if not content.startswith(b"%PDF"):
+        return ""
+    objects, out = _objects(content), []
+    fonts = _fonts(objects)
+    for number, (head, raw) in objects.items():
+        if raw is None or b"BT" not in raw or b"begincmap" in raw or b"/ObjStm" in head:
             continue
+        codes = None
         for token in _SHOWN.findall(raw):
-            if token[:1] in b"(<":
-                out.append(_literal(token))
+            if token.endswith(b"Tf"):
+                codes = fonts.get(number, {}).get(token[1:].split()[0])
+            elif token[:1] in b"(<":
+                out.append(_decoded(_bytes_of(token), codes))
             elif token in (b"T*", b"Td", b"TD", b"Tm", b"'", b'"', b"ET") and out and out[-1] != "\n":
                 out.append("\n")
     return "".join(out).strip("\n")

@@ -178,6 +178,32 @@ def test_main_text(spark):
     assert one(spark, documents.main_text(F.col("h")), h=page.replace("main", "div")) == "A b c"
 
 
+def packed_pdf(compressed):
+    """A page whose fonts have codes of their own; its page, resources and fonts are in an object stream."""
+    import zlib
+
+    def stream(number, head, raw):
+        raw = zlib.compress(raw) if compressed else raw
+        return b"%d 0 obj\n<<%s /Length %d%s>>\nstream\n%s\nendstream\nendobj\n" % (number, head, len(raw), b" /Filter /FlateDecode" if compressed else b"", raw)
+
+    wide = b"begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0003> <0020> <0010> <00660069> endbfchar 2 beginbfrange <0024> <0027> <0041> <0030> <0031> [<00E9> <682A>] endbfrange endcmap"
+    narrow = b"begincmap 1 beginbfrange <01> <03> <0078> endbfrange endcmap"
+    objects = {1: b"<</Type /Catalog /Pages 2 0 R>>", 2: b"<</Type /Pages /Kids [3 0 R] /Resources 4 0 R>>", 3: b"<</Type /Page /Parent 2 0 R /Contents [8 0 R 9 0 R]>>", 4: b"<</Font <</F1 5 0 R /F2 6 0 R /F3 7 0 R>>>>", 5: b"<</Type /Font /ToUnicode 10 0 R>>", 6: b"<</Type /Font /ToUnicode 11 0 R>>", 7: b"<</Type /Font>>"}
+    heads, bodies = [], b""
+    for number, body in objects.items():
+        heads.append(b"%d %d" % (number, len(bodies)))
+        bodies += body + b" "
+    head = b" ".join(heads) + b" "
+    out = b"%PDF-1.5\n" + stream(12, b"/Type /ObjStm /N %d /First %d" % (len(objects), len(head)), head + bodies)
+    out += stream(8, b"", b"BT /F1 12 Tf 10 700 Td <00240025> Tj 0 -14 Td [<0026> -20 <00030030>] TJ /F2 9 Tf (\\001\\002) Tj ET") + stream(9, b"", b"BT /F3 9 Tf (plain) Tj /F1 9 Tf <00100031> Tj ET")
+    return out + stream(10, b"", wide) + stream(11, b"", narrow) + b"trailer\n<<>>\n%%EOF"
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_pdf_of_fonts_with_their_own_codes(compressed):
+    assert documents.pdf_text(packed_pdf(compressed)) == "AB\nC éxy\nplainfi株"
+
+
 # ---------------------------------------------------------------- streams
 
 FOLDS = {
