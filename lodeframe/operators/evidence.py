@@ -174,8 +174,9 @@ def choose_required(rows: list[dict], spec: str, preferred: str | None) -> tuple
 def anchors(facts: DataFrame) -> DataFrame:
     """company, annual_url, and for each spec (filing, proxy) whether the document is there, which is forced, and if by place alone.
 
-    A company's documents meet as rows of counts and flags, without their texts.
+    Only documents that can be one of them meet, annual filings and proxy statements, as rows of counts and flags without their texts.
     """
+    able = facts.where((F.col("bodies") > 0) | (F.col("annual_chunks") > 0) | (F.col("proxy_chunks") > 0) | (F.col("proxy_bodies") > 0))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.to_dict("records")
@@ -187,7 +188,9 @@ def anchors(facts: DataFrame) -> DataFrame:
         return pd.DataFrame([out], columns=_ANCHORS, dtype=object)
 
     kinds = dict(facts.dtypes)
-    return facts.groupBy("company").applyInPandas(run, f"company {kinds['company']}, annual_url string, annual_doc long, filing_there boolean, filing_doc long, filing_placed boolean, proxy_there boolean, proxy_doc long, proxy_placed boolean")
+    chosen = able.groupBy("company").applyInPandas(run, f"company {kinds['company']}, annual_url string, annual_doc long, filing_there boolean, filing_doc long, filing_placed boolean, proxy_there boolean, proxy_doc long, proxy_placed boolean")
+    flags = [F.coalesce(c, F.lit(False)).alias(c) if c.endswith(("there", "placed")) else F.col(c) for c in _ANCHORS]
+    return facts.select("company").distinct().join(chosen, "company", "left").select(*flags)
 
 
 _ANCHORS = "company annual_url annual_doc filing_there filing_doc filing_placed proxy_there proxy_doc proxy_placed".split()
