@@ -54,6 +54,8 @@ def forget(needs: str | None) -> None:
         if kept and name != needs:
             kept.clear()
             release()
+    if hasattr(_LIBC, "mallopt"):  # encoders make arrays of some MB again and again
+        _LIBC.mallopt(-3, (8 if needs == "encoders" else 1) << 20)
 
 
 def tidy(run: Callable, needs: str | None = None) -> Callable:
