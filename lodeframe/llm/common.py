@@ -136,8 +136,8 @@ def texts(column: pa.Array) -> list[str]:
 _LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc\xbd\xbe"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
-#: Beyond these code points (and where added tokens may stand) the library gets the text itself.
-_OTHER = re.compile("[^\x00-įı-ſ]|<\\|")
+#: Beyond these code points (and with "<|", where added tokens may stand) the library gets the text itself.
+_OTHER = re.compile("[^\x00-įı-ſ]")
 
 
 class WordEncoder:
@@ -179,7 +179,7 @@ class WordEncoder:
         out: list = [None] * len(batch)
         split: dict[int, list[str]] = {}
         for i, x in enumerate(batch):
-            if _OTHER.search(x) is None and unicodedata.is_normalized("NFC", x):
+            if "<|" not in x and _OTHER.search(x) is None and unicodedata.is_normalized("NFC", x):
                 split[i] = _PIECE.findall(x.lower())
             else:
                 out[i] = np.array(self.whole.encode(x, add_special_tokens=False).ids, dtype=self.kind)

@@ -31,6 +31,12 @@ def test_encoder_equals_the_library():
             assert got.tolist() == library_ids(text)
 
 
+def test_encoder_gives_added_tokens_and_other_characters_to_the_library():
+    some = ["x <|endoftext|> y", "<|endoftext|>", "a <| b", "a < | b |<", "İstanbul", "ſtop ŀ", "ƀ", "Ā ā <|", "x <|endoftext|>\x85é"]
+    for text, got in zip(some, common.WordEncoder(common.tokenizer_path()).encode(some)):
+        assert got.tolist() == library_ids(text), text
+
+
 # ---------------------------------------------------------------- packing
 
 
